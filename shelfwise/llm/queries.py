@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bigru_lang, bpe, decision_list, source_mix, token_cache
+from . import bigru_lang, bpe, decision_list, license_scan, media_chunks, semicrf_pii, source_mix, token_cache
 from .common import crc_class, documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,37 @@ def op6_token_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op3_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_documents(documents(spark, sf_dir))
+    parts = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["stop"], m["reduction"], m["missing"], m["added"]))
+    return found.select(
+        "doc_id",
+        "n_blocks",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.array_join(parts, ",").alias("matches"),
+    )
+
+
+def op7_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = semicrf_pii.find_personal_data(docs, semicrf_pii.train(semicrf_pii.training_windows(docs)))
+
+    def joined(spans: str) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    counts = [_of_kind("base", kind).alias(f"n_{kind}") for kind in semicrf_pii.KINDS]
+    return found.select("doc_id", *counts, sha256_hex(joined("base")).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
+def _of_kind(spans: str, kind: str) -> F.Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.read_media(*media_chunks.store_media(documents(spark, sf_dir)))
+
+
 def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = bigru_lang.train(bigru_lang.training_words(docs))
@@ -56,9 +87,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op2_source_mix,
+            op3_license_compression,
             op4_bpe_forced_boundaries,
             op5_quality_decision_list,
             op6_token_digest_cache,
+            op7_pii_semicrf,
+            op8_media_chunks,
             op10_bigru_language,
         )
     }
