@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bigru_lang, bpe, decision_list, license_scan, media_chunks, semicrf_pii, source_mix, token_cache
+from . import bigru_lang, bpe, decision_list, deleted_interpolation, license_scan, media_chunks, semicrf_pii, setsketch, source_mix, token_cache
 from .common import crc_class, documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,10 @@ def sha256_hex(column) -> F.Column:
     return F.sha2(column, 256)
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score_documents(documents(spark, sf_dir))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -76,6 +80,10 @@ def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.read_media(*media_chunks.store_media(documents(spark, sf_dir)))
 
 
+def op9_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(documents(spark, sf_dir), width=2)
+
+
 def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = bigru_lang.train(bigru_lang.training_words(docs))
@@ -86,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_deleted_interpolation,
             op2_source_mix,
             op3_license_compression,
             op4_bpe_forced_boundaries,
@@ -93,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_token_digest_cache,
             op7_pii_semicrf,
             op8_media_chunks,
+            op9_setsketch_near_duplicates,
             op10_bigru_language,
         )
     }
