@@ -6,20 +6,15 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _schema(columns: str) -> T.StructType:
-    return T.StructType.fromDDL(columns)
 
 
 #: Declared schemas of the source tables.
-SCHEMAS: dict[str, T.StructType] = {
-    "region": _schema("r_regionkey int, r_name string"),
-    "nation": _schema("n_nationkey int, n_name string, n_regionkey int"),
-    "documents": _schema("doc_id bigint, text string, lang string, source string, n_chars bigint"),
-    "labels": _schema("doc_id bigint, quality int, toxic int"),
-    "pages": _schema("page_id bigint, url string, html string"),
+SCHEMAS: dict[str, str] = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
 }
 
 
