@@ -16,25 +16,26 @@ def _last_nulls(names: Sequence[str]) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def shelflist(items: DataFrame, order: Sequence[str] = SHELF_ORDER, location: str = "location_code", key: str = "item_id", pieces: int = 1) -> DataFrame:
+def shelflist(items: DataFrame, order: Sequence[str] = SHELF_ORDER, location: str = "location_code", key: str = "item_id", lead: int = 0) -> DataFrame:
     """(location_code, row_number from 0, item_id).
 
-    Only key columns are sorted.  With ``pieces`` over 1 a location is first
-    cut by leading sort values into as many stretches, numbered from the counts
-    of those before, so that one huge location is not one task.
+    Only key columns are sorted.  With ``lead`` a location is first cut into
+    stretches of equal type and equal leading characters of the sort key; each
+    is numbered for itself and moved by the counts of those before it, so that
+    one huge location is not one task.
     """
     keys = items.select(location, *order)
-    if pieces <= 1:
+    if not lead:
         w = Window.partitionBy(location).orderBy(*_last_nulls(order))
         return keys.select(location, (F.row_number().over(w) - 1).cast("long").alias("row_number"), key)
-    lead = F.concat_ws("\x01", F.coalesce(order[0], F.lit("￿")), F.coalesce(order[1], F.lit("￿")))
-    cut = keys.withColumn("_lead", lead)
-    bounds = cut.groupBy(location).agg(F.percentile_approx(F.conv(F.hex(F.substring("_lead", 1, 7)), 16, 10).cast("long"), [i / pieces for i in range(1, pieces)]).alias("_cuts"))
-    cut = cut.join(bounds, location).withColumn("_piece", F.size(F.filter("_cuts", lambda c: F.conv(F.hex(F.substring("_lead", 1, 7)), 16, 10).cast("long") > c)))
+    cut = keys.withColumn("_piece", F.struct(F.col(order[0]).isNull(), order[0], F.col(order[1]).isNull(), F.substring(order[1], 1, lead)))
     before = cut.groupBy(location, "_piece").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(location).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    stretch = Window.partitionBy(location).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(stretch), F.lit(0)))
     w = Window.partitionBy(location, "_piece").orderBy(*_last_nulls(order))
-    return cut.join(before.drop("_n"), [location, "_piece"]).select(location, (F.col("_before") + F.row_number().over(w) - 1).cast("long").alias("row_number"), key)
+    same = F.col(f"a.{location}").eqNullSafe(F.col(f"b.{location}")) & F.col("a._piece").eqNullSafe(F.col("b._piece"))
+    numbered = cut.withColumn("_nth", F.row_number().over(w))
+    return numbered.alias("a").join(before.alias("b"), same).select(f"a.{location}", (F.col("_before") + F.col("_nth") - 1).cast("long").alias("row_number"), key)
 
 
 def refresh_manifests(old: DataFrame, items: DataFrame, locations: Sequence[str]) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import documents, joins, predicates, shelflist
-from . import selection_queries
+from . import analysis_queries, document_queries, selection_queries
 from .views import Catalogue
 
-PARTS = (selection_queries,)
+PARTS = (selection_queries, analysis_queries, document_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,7 +29,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = documents.call_number_fields(c.items)
     manifest = shelflist.shelflist(items)
     fields = {"location": predicates.Field("location_code"), "number": predicates.Field("call_number_search", prepare=K.search_key)}
-    found = predicates.apply_filters(items, [("location", "exact", False, "fra6"), ("number", "startswith", False, "promo")], fields)
+    found = predicates.apply_filters(items, [("location", "exact", False, "nat6"), ("number", "startswith", False, "promo")], fields)
     labelled = joins.with_labels(found, c.locations, "location_code", "location_code", "label", "location_label")
     numbered = labelled.join(manifest.select("item_id", "row_number"), "item_id")
     return numbered.orderBy("row_number").limit(20).select("item_id", "call_number", "location_code", "location_label", F.col("row_number"))

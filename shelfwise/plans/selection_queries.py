@@ -66,7 +66,7 @@ def _bib_locations(c):
 
 
 _BIB_LOCATIONS = "SELECT bib_num, location_code FROM f_bibs JOIN f_locations ON bib_num % 25 = location_num WHERE bib_num % 4 = 0"
-add("R8_by_location", lambda c: R.select_by_location(c.bibs, _bib_locations(c), c.items, ["fra6", "ger7"]).select("bib_num"), f"SELECT bib_num FROM f_bibs WHERE bib_num IN (SELECT bib_num FROM f_items WHERE location_code IN ('fra6', 'ger7')) OR bib_num IN (SELECT bib_num FROM ({_BIB_LOCATIONS}) WHERE location_code IN ('fra6', 'ger7'))")
+add("R8_by_location", lambda c: R.select_by_location(c.bibs, _bib_locations(c), c.items, ["nat6", "nat7"]).select("bib_num"), f"SELECT bib_num FROM f_bibs WHERE bib_num IN (SELECT bib_num FROM f_items WHERE location_code IN ('nat6', 'nat7')) OR bib_num IN (SELECT bib_num FROM ({_BIB_LOCATIONS}) WHERE location_code IN ('nat6', 'nat7'))")
 add("R9_deletions", lambda c: R.deletions(c.bibs, "b").select("bib_num", F.col("deleted_date").cast("string").alias("deleted_on")), "SELECT bib_num, CAST(deleted_date AS VARCHAR) AS deleted_on FROM f_bibs WHERE deleted_date IS NOT NULL")
 add("R10_dnf_filter", lambda c: R.dnf_filter(c.lineitem, [[F.col("l_quantity") > 45, F.col("l_returnflag") == "R"], [F.col("l_discount") == 0.1, F.col("l_linenumber") == 1]]).groupBy("l_returnflag").agg(F.count("*").alias("n")), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE (l_quantity > 45 AND l_returnflag = 'R') OR (l_discount = 0.1 AND l_linenumber = 1) GROUP BY 1")
 add("R11_added_filters", lambda c: R.select_with_filters(c.lineitem, [F.col("l_quantity") < 10, F.col("l_linestatus") == "O", F.col("l_tax") > 0.02]).groupBy("l_linenumber").agg(F.count("*").alias("n")), "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity < 10 AND l_linestatus = 'O' AND l_tax > 0.02 GROUP BY 1")
@@ -162,7 +162,7 @@ add("P13_keywords", lambda c: P.apply_filters(c.documents, [("text", "keywords",
 add("P14_negation", _items(("volume", "endswith", True, "1"), ("volume", "isnull", True, True)), _items_sql("NOT coalesce(suffix(volume, '1'), false) AND volume IS NOT NULL"))
 add("P15_any_match", _items(("flags", "exact", False, "x"), ("flags", "in", True, ["R"])), _items_sql("coalesce(list_contains(flags, 'x'), false) AND NOT coalesce(list_contains(flags, 'R'), false)"))
 add("P16_call_number", _items(("search", "startswith", False, "promo 1.")), _items_sql("coalesce(starts_with(call_number_search, 'PROMO1'), false)"))
-add("P17_base_filter", _items(("type", "exact", False, "Item"), ("place", "exact", False, "fra6")), _items_sql("location_code = 'fra6'"))
+add("P17_base_filter", _items(("type", "exact", False, "Item"), ("place", "exact", False, "nat6")), _items_sql("location_code = 'nat6'"))
 add("P18_exclude", lambda c: P.exclude(c.lineitem, [("flag", "exact", False, "R"), ("quantity", "gt", False, 10)], LINES).groupBy("l_linenumber").agg(F.count("*").alias("n")), "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity <= 10 GROUP BY 1")
 
 # --- projections ------------------------------------------------------------------
