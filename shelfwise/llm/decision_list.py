@@ -219,12 +219,26 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge_quality(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> DataFrame:
-    """``docs`` with the text statistics, the features, base_failed, rule and kept added.
+def _judged(rows: DataFrame, rules: Sequence[Rule], text_col: str) -> DataFrame:
+    d = text_statistics(rows, text_col).withColumns(features())
+    return d.withColumn("base_failed", base_failed()).withColumn("rule", rejected_by(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def judge_quality(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text statistics, features, base_failed, rule, kept) of every row.
 
     Null and empty texts have no words and fail the base.  Repeated rows get
     equal verdicts; an empty table gives an empty result.
     """
-    d = text_statistics(docs, text_col)
-    d = d.withColumns(features())
-    return d.withColumn("base_failed", base_failed()).withColumn("rule", rejected_by(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_body")), rules, "_body").drop("_body")
+
+
+def kept_documents(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> DataFrame:
+    """The rows that are kept, all columns as they were, whatever their names.
+
+    Verdicts are written before rows are filtered by them: a filter pushed
+    down into the statistics would compute them once for every place it names
+    them in.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_body"))
+    return materialize(_judged(rows, rules, "_body").select("_row", "kept"), "quality-judged").where("kept").select("_row.*")

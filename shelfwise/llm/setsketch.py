@@ -5,7 +5,7 @@ the minimum of exponentially distributed hashes over the set, put on an
 exponential scale (base ``BASE``) and truncated: such registers of two sets can
 be merged by maximum and agree about as often as the sets overlap.  Documents
 with equal sets form a class at once.  Runs of register values are bands; the
-members of a bucket of equal bands are tried against its first member only, a
+members of a bucket of equal bands are tried against its most central member only, a
 likelihood of both sketches and sizes drops the hopeless, and the others are
 confirmed on the full sets.  What then still spans several components of one
 bucket is tried pair by pair, except pairs inside a component, which cannot
@@ -134,8 +134,8 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     return wanted.mapInArrow(run, schema)
 
 
-def plausible(pairs: DataFrame, drawn: DataFrame, least: float, slack: float = 0.2) -> DataFrame:
-    """Pairs (a, b) whose most likely similarity is at least ``least - slack`` (over five standard errors)."""
+def plausible(pairs: DataFrame, drawn: DataFrame, least: float, slack: float = 0.15) -> DataFrame:
+    """Pairs (a, b) whose most likely similarity is at least ``least - slack`` (over four standard errors)."""
     side = lambda s: drawn.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
 
@@ -238,13 +238,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     first_rep = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same_id = first_rep.join(member, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
     places = reps.select("rep", F.explode("bands").alias("band"))
-    firsts = places.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(firsts, "near-buckets")
-    placed = materialize(places.join(buckets, "band"), "near-placed")
-    stars = placed.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = materialize(plausible(stars, reps, least), "near-stars")
-    # Each document first against the first of its partners, then what still joins two components.
-    first_try = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    sizes = materialize(places.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "near-buckets")
+    placed = materialize(places.join(sizes, "band"), "near-placed")
+    # The member that stands in the fullest buckets is the likeliest to be near all others: it is the bucket's pivot.
+    central = placed.groupBy("rep").agg(F.sum("size").alias("central"))
+    pivots = placed.select("band", "rep").join(central, "rep").groupBy("band").agg(F.max(F.struct("central", (-F.col("rep")).alias("m"), "rep")).alias("p"))
+    placed = materialize(placed.join(pivots.select("band", F.col("p.rep").alias("pivot"), F.col("p.central").alias("central")), "band"), "near-pivots")
+    stars = placed.where("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.max("central").alias("central"))
+    stars = materialize(plausible(stars, reps, least).join(stars, ["a", "b"]), "near-stars")
+    # Each document first against the most central of its pivots, then what still joins two components.
+    first_try = stars.groupBy("b").agg(F.max_by("a", F.struct("central", "a")).alias("a")).select("a", "b")
     wanted = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
     sets = materialize(full_sets(docs, wanted.join(reps.select("rep", "digest"), "rep"), width, id_col, text_col), "near-sets")
     links = materialize(confirmed(first_try, sets, percent), "near-links")
@@ -257,9 +260,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rooted = _with_roots(placed.where("size > 2"), roots, "rep", "root")
     mixed = rooted.groupBy("band", "root").agg(F.count("*").alias("members"))
     mixed = mixed.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("members", "root")).alias("main")).where("parts > 1")
-    inside = materialize(rooted.join(mixed.select("band", "main"), "band").join(reps.select("rep", "n"), "rep").select("band", "rep", "root", "main", "first", "n"), "near-mixed")
-    small = inside.where("root <> main AND rep <> first").select("band", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    others = inside.where("rep <> first").select("band", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), (F.col("root") == F.col("main")).alias("in_main"))
+    inside = materialize(rooted.join(mixed.select("band", "main"), "band").join(reps.select("rep", "n"), "rep").where("rep <> pivot").select("band", "rep", "root", "main", "n"), "near-mixed")
+    small = inside.where("root <> main").select("band", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
+    others = inside.select("band", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), (F.col("root") == F.col("main")).alias("in_main"))
     crossing = small.join(
         others, (small["band"] == others["band"]) & (F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))
     ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -133,15 +133,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs:
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, its columns unchanged."""
     sizes = materialize(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
-    plan = mix_plan(sizes, weights, max_epochs).select(F.col("source").alias("_plan_source"), F.col("epochs").alias("_epochs"), F.col("cut_key").alias("_cut_key"))
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    return (
-        docs.alias("d")
-        .join(materialize(plan, "mix-cuts"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("_plan_source")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(0), copies(F.col("_epochs"), F.col("_cut_key"), mix_key(F.col(f"d.`{id_col}`"), F.col(f"d.`{text_col}`"), seed)))))
-        .where(F.col("_copy") > 0)
-        .select(*own)
+    plan = materialize(mix_plan(sizes, weights, max_epochs).select("source", "epochs", "cut_key"), "mix-cuts")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).alias("_source"), mix_key(F.col(id_col), F.col(text_col), seed).alias("_key")
     )
+    taken = rows.join(plan, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_copies", copies(F.col("epochs"), F.col("cut_key"), F.col("_key")))
+    return taken.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("_row.*")
 
 
 ORACLE = """
