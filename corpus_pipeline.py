@@ -19,7 +19,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
     rules = decision_list.learn(*decision_list.labelled_cells(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return decision_list.judge_quality(docs, rules).where("kept").select(*docs.columns)
+    return decision_list.kept_documents(docs, rules)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
