@@ -8,7 +8,8 @@ from ..functions import keys as K
 from ..operators import documents as D
 from ..operators import edits as E
 from ..operators import shelflist as W
-from ..streaming.incremental import latest
+from ..sources import tables as S
+from ..streaming.incremental import incremental_load, latest
 from .analysis_queries import _SHELF, sql_facet_key, sql_sort_key, sql_steps, sql_volume
 from .registry import Registry
 
@@ -243,3 +244,48 @@ def _e7(c):
 add("E7_maintain_holdings", _e7, "SELECT CASE WHEN copy_number = 3 THEN -1 ELSE bib_num END AS resource, string_agg(item_id, '|' ORDER BY copy_number, item_id) AS holdings FROM f_items WHERE status_code <> 'N' GROUP BY 1")
 add("E8_locations", lambda c: E.locations(D.code_documents(c.locations, "location_code", "label", "Location").unionByName(D.code_documents(c.region, "r_regionkey", "r_name", "Region"))), "SELECT location_code AS code FROM f_locations")
 add("R14_latest_versions", lambda c: latest(c.events.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type"), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS last FROM events) WHERE ts = last GROUP BY 1")
+
+
+# --- sinks and streams ------------------------------------------------------------------------
+
+
+def _s7(c):
+    path = S.scratch(c._spark, "documents")
+    docs = D.code_documents(c.locations, "location_code", "label", "Location").unionByName(D.code_documents(c.region, "r_regionkey", "r_name", "Region"))
+    S.write_documents(docs, path)
+    return S.scan_documents(c._spark, path, ["label", "type"])
+
+
+_CODE_DOCS = "SELECT 'Location.' || location_code AS id, label, 'Location' AS type FROM f_locations UNION ALL SELECT 'Region.' || r_regionkey, r_name, 'Region' FROM region"
+add("S7_write_documents", _s7, _CODE_DOCS)
+add("S9_scan_documents", lambda c: _s7(c).select("id", "label"), f"SELECT id, label FROM ({_CODE_DOCS})")
+
+
+def _s8(c):
+    path = S.scratch(c._spark, "records")
+    S.write_records(D.assemble_records(c.varfields, c.part.select(F.col("p_partkey").alias("record_num")))[0].select("record_num", "fields"), path)
+    back = c._spark.read.schema("record_num bigint, fields array<struct<tag: string, subfields: array<struct<code: string, value: string>>>>").json(path)
+    return back.select("record_num", F.size("fields").cast("long").alias("n_fields"), F.array_join(F.transform("fields", lambda f: f["tag"]), "|").alias("tags"))
+
+
+add("S8_write_records", _s8, "SELECT record_num, count(*) AS n_fields, string_agg(marc_tag, '|' ORDER BY marc_tag, type_code, occ_num) AS tags FROM f_varfields WHERE marc_tag IS NOT NULL GROUP BY 1")
+
+
+def _r14(c):
+    spark, target = c._spark, S.scratch(c._spark, "loaded")
+    events = c.events.select("user_id", "ts", "event_id", "event_type")
+    inbox = S.scratch(spark, "inbox")
+    for part in (0, 1):  # two deliveries, the later one with what changed since
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(inbox)
+    state = {"docs": spark.createDataFrame([], events.schema)}
+
+    def put(batch, n):
+        E.upsert(state["docs"], batch.join(state["docs"].select("user_id", F.col("ts").alias("_had")), "user_id", "left").where("_had IS NULL OR ts >= _had").drop("_had"), "user_id").write.mode("overwrite").parquet(f"{target}/{n}")
+        state["docs"] = spark.read.parquet(f"{target}/{n}")
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    incremental_load(stream, put, "user_id", "ts", S.scratch(spark, "mark")).awaitTermination()
+    return state["docs"].select("user_id", "event_id", "event_type")
+
+
+add("R14_incremental_load", _r14, reg.sql["R14_latest_versions"])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Declared schemas of the source tables.
 SCHEMAS: dict[str, str] = {
     "region": "r_regionkey int, r_name string",
@@ -54,3 +55,9 @@ def rows_to_batch(df: DataFrame, flags: Mapping[str, str], map_col: str = "permi
     """String flag columns to one map of permission name to truth; the other columns stay."""
     pairs = [x for name, column in flags.items() for x in (F.lit(name), string_is_true(F.col(column)))]
     return df.withColumn(map_col, F.create_map(*pairs)).drop(*flags.values())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; in a local session without that setting, a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
