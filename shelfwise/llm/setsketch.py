@@ -7,9 +7,9 @@ be merged by maximum and agree about as often as the sets overlap.  Documents
 with equal sets form a class at once.  Runs of register values are bands; the
 members of a bucket of equal bands are tried against its most central member only, a
 likelihood of both sketches and sizes drops the hopeless, and the others are
-confirmed on the full sets.  What then still spans several components of one
-bucket is tried pair by pair, except pairs inside a component, which cannot
-change the result.
+confirmed on the full sets.  Members of one pivot that are then still in
+several components are paired by the items in which they differ from the pivot;
+pairs inside a component cannot change the result and are left out.
 """
 
 from __future__ import annotations
@@ -187,6 +187,49 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
+def differences(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """``group`` (pivot, rep, root, apart) with n, the size of the set, common, what it shares with the pivot's, and added, its items that the pivot lacks."""
+    met = group.join(sets.select(F.col("rep").alias("pivot"), F.col("items").alias("ip")), "pivot").join(sets.select("rep", "items"), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                n, common, added = [], [], []
+                for x, y in zip(part.column("ip").to_pylist(), part.column("items").to_pylist(), strict=True):
+                    own = np.frombuffer(y, np.uint64)
+                    rest = np.setdiff1d(own, np.frombuffer(x, np.uint64), assume_unique=True)
+                    n.append(len(own))
+                    common.append(len(own) - len(rest))
+                    added.append(rest.view(np.int64))
+                names = ["pivot", "rep", "root", "apart"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(added, pa.list_(pa.int64()))], [*names, "n", "common", "added"])
+
+    return met.mapInArrow(run, "pivot bigint, rep bigint, root bigint, apart boolean, n bigint, common bigint, added array<bigint>")
+
+
+def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one pivot's members in two components that can still be linked; none that can is left out.
+
+    Two linked sets x, y share at least percent / (100 + percent) of |x| + |y|
+    items.  Either one of these is no item of the pivot, so both have it among
+    their added ones, or all are, so |y| is bounded by what x shares with the
+    pivot and |x| by what y does.  x is not in the pivot's component and so
+    shares little with it: the second case leaves a narrow range of sizes.
+    """
+    side = lambda s: [F.col("rep").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("common").alias(f"c{s}")]
+    apart = F.col("rx") != F.col("ry")
+    once = F.col("whole") | (F.col("x") < F.col("y"))
+    sizes = (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
+    x, y = members.where("apart"), members.withColumn("whole", ~F.col("apart"))
+    item = F.explode("added").alias("item")
+    by_item = x.select("pivot", item, *side("x")).join(y.select("pivot", item, "whole", *side("y")), ["pivot", "item"]).where(apart & once & sizes)
+    enough = lambda c: percent * (F.col("nx") + F.col("ny")) <= (100 + percent) * F.col(c)
+    by_size = x.select("pivot", *side("x")).join(y.select("pivot", "whole", *side("y")), "pivot").where(apart & once & sizes & enough("cx") & enough("cy"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    return by_item.select(*pair).unionByName(by_size.select(*pair)).distinct()
+
+
 def components(edges: DataFrame, name: str = "near") -> DataFrame:
     """(node, root) for every node of the edges (a, b); a component's root is any one of its nodes.
 
@@ -256,19 +299,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     more = materialize(confirmed(rest, sets, percent), "near-links")
     links = links.unionByName(more)
     roots = components(links)
-    # Buckets of three and more that still hold several components.
-    rooted = _with_roots(placed.where("size > 2"), roots, "rep", "root")
-    mixed = rooted.groupBy("band", "root").agg(F.count("*").alias("members"))
-    mixed = mixed.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("members", "root")).alias("main")).where("parts > 1")
-    inside = materialize(rooted.join(mixed.select("band", "main"), "band").join(reps.select("rep", "n"), "rep").where("rep <> pivot").select("band", "rep", "root", "main", "n"), "near-mixed")
-    small = inside.where("root <> main").select("band", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    others = inside.select("band", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), (F.col("root") == F.col("main")).alias("in_main"))
-    crossing = small.join(
-        others, (small["band"] == others["band"]) & (F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))
-    ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = materialize(plausible(crossing, reps, least), "near-late")
-    missing = late.select(F.col("a").alias("rep")).union(late.select(F.col("b").alias("rep"))).distinct().join(sets.select("rep"), "rep", "left_anti")
+    # Members of one pivot that are still apart: candidates by what they differ in from the pivot.
+    group = _with_roots(_with_roots(placed.where("rep <> pivot").select("pivot", "rep").distinct(), roots, "rep", "root"), roots, "pivot", "own").withColumn("apart", F.col("root") != F.col("own"))
+    mixed = group.groupBy("pivot").agg(F.count("*").alias("members"), F.bool_or("apart").alias("any")).where("members > 1 AND any")
+    group = materialize(group.join(mixed.select("pivot"), "pivot").select("pivot", "rep", "root", "apart"), "near-mixed")
+    missing = group.select(F.col("pivot").alias("rep")).union(group.select("rep")).distinct().join(sets.select("rep"), "rep", "left_anti")
     sets = sets.unionByName(materialize(full_sets(docs, missing.join(reps.select("rep", "digest"), "rep"), width, id_col, text_col), "near-sets"))
+    crossing = crossing_pairs(materialize(differences(group, sets), "near-differences"), percent)
+    late = materialize(plausible(crossing, reps, least), "near-late")
     links = links.unionByName(confirmed(late, sets, percent)).unionByName(same_id)
     roots = components(links)
     rooted = materialize(_with_roots(reps.select("rep"), roots, "rep", "root"), "near-roots")
