@@ -57,7 +57,7 @@ def dewey_key(c: Column) -> Column:
     return _marked(padded_numbers(apply_steps(F.upper(c), [*SPACES, *SEPARATE])))
 
 
-def _let(c: Column, then) -> Column:
+def let(c: Column, then) -> Column:
     """``then(c)`` with ``c`` computed once, however often it is used."""
     return F.get(F.transform(F.array(c), then), 0)
 
@@ -68,12 +68,12 @@ def sudoc_key(c: Column) -> Column:
     def key(parts: Column) -> Column:
         two = F.size(parts) == 2
         stem = F.replace(F.when(two, F.get(parts, 0)).otherwise(F.array_join(parts, ":")), F.lit("."), F.lit(" "))
-        full = _let(stem, lambda s: F.when(s.contains("/"), s).otherwise(F.concat(s, F.lit("/0"))))
-        full = _let(full, lambda s: F.when(s.contains("-"), s).otherwise(F.concat(s, F.lit("-0"))))
+        full = let(stem, lambda s: F.when(s.contains("/"), s).otherwise(F.concat(s, F.lit("/0"))))
+        full = let(full, lambda s: F.when(s.contains("-"), s).otherwise(F.concat(s, F.lit("-0"))))
         suffix = apply_steps(F.when(two, F.get(parts, 1)).otherwise(F.lit("")), SUDOC_SUFFIX)
         return apply_steps(F.concat(full, F.lit(":"), suffix), SEPARATE)
 
-    whole = _let(F.split(apply_steps(F.upper(c), SPACES), ":"), key)
+    whole = let(F.split(apply_steps(F.upper(c), SPACES), ":"), key)
     return F.when(c.isNotNull(), _marked(apply_steps(padded_numbers(whole, decimals=False), SUDOC_LETTERS)))
 
 

@@ -171,31 +171,41 @@ def interpret_dates(kind: Column, date1: Column, date2: Column, serial: Column,
 
 def year_label(y: Column) -> Column:
     """A coded year for display: ``1960s``, ``20th century``, ``present year``, ``?``."""
-    y = F.regexp_replace(y, "^0+", "")
-    century = F.coalesce(F.regexp_extract(y, "^([0-9]*)uu$", 1).try_cast("int"), F.lit(0)) + 1
-    suffix = F.when((century % 100).isin(11, 12, 13), "th").when(century % 10 == 1, "st").when(century % 10 == 2, "nd").when(century % 10 == 3, "rd").otherwise("th")
-    return (
-        F.when(y == "9999", "present year")
-        .when(y.rlike("^[0-9]*uu$"), F.concat(century.cast("string"), suffix, F.lit(" century")))
-        .when(y.rlike("^[0-9]*u$"), F.regexp_replace(y, "u$", "0s"))
-        .when(y.rlike("u"), "?")
-        .otherwise(y)
-    )
+
+    def century(c: Column) -> Column:
+        suffix = F.when((c % 100).isin(11, 12, 13), "th").when(c % 10 == 1, "st").when(c % 10 == 2, "nd").when(c % 10 == 3, "rd").otherwise("th")
+        return F.concat(c.cast("string"), suffix, F.lit(" century"))
+
+    def label(y: Column) -> Column:
+        number = F.coalesce(F.regexp_extract(y, "^([0-9]*)uu$", 1).try_cast("int"), F.lit(0)) + 1
+        return (
+            F.when(y == "9999", "present year")
+            .when(y.rlike("^[0-9]*uu$"), K.let(number, century))
+            .when(y.rlike("^[0-9]*u$"), F.regexp_replace(y, "u$", "0s"))
+            .when(y.rlike("u"), "?")
+            .otherwise(y)
+        )
+
+    return K.let(F.regexp_replace(y, "^0+", ""), label)
 
 
 def range_label(first: Column, last: Column) -> Column:
     """Both ends; ``to present`` for an open one, ``(to ...)`` where the first may be later than the last."""
-    a, b = year_label(first), year_label(last)
-    a_short = F.when(a.endswith("century") & b.endswith("century"), F.regexp_replace(a, " century$", "")).otherwise(a)
     high = lambda y: F.replace(y, F.lit("u"), F.lit("9")).try_cast("int")
-    return (
-        F.when(first.isNull(), "")
-        .when((a == "?") & (last.isNull() | (b == "?")), "dates unknown")
-        .when(last.isNull() | (a == "present year"), a)
-        .when(last == "9999", F.concat(a, F.lit(" to present")))
-        .when((a != "?") & (high(first) >= high(last)), F.concat(a_short, F.lit(" (to "), b, F.lit(")")))
-        .otherwise(F.concat(a_short, F.lit(" to "), b))
-    )
+
+    def label(s: Column) -> Column:
+        a, b, first, last = s["a"], s["b"], s["first"], s["last"]
+        a_short = F.when(a.endswith("century") & b.endswith("century"), F.regexp_replace(a, " century$", "")).otherwise(a)
+        return (
+            F.when(first.isNull(), "")
+            .when((a == "?") & (last.isNull() | (b == "?")), "dates unknown")
+            .when(last.isNull() | (a == "present year"), a)
+            .when(last == "9999", F.concat(a, F.lit(" to present")))
+            .when((a != "?") & (high(first) >= high(last)), F.concat(a_short, F.lit(" (to "), b, F.lit(")")))
+            .otherwise(F.concat(a_short, F.lit(" to "), b))
+        )
+
+    return K.let(F.struct(year_label(first).alias("a"), year_label(last).alias("b"), first.alias("first"), last.alias("last")), label)
 
 
 def expand_years(df: DataFrame, low: str, high: str) -> DataFrame:
