@@ -188,7 +188,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def differences(group: DataFrame, sets: DataFrame) -> DataFrame:
-    """``group`` (pivot, rep, root, apart) with n, the size of the set, common, what it shares with the pivot's, and added, its items that the pivot lacks."""
+    """``group`` (pivot, rep, root, apart, top) with n, the size of the set, common, what it shares with the pivot's, and added, its items that the pivot lacks."""
     met = group.join(sets.select(F.col("rep").alias("pivot"), F.col("items").alias("ip")), "pivot").join(sets.select("rep", "items"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +202,10 @@ def differences(group: DataFrame, sets: DataFrame) -> DataFrame:
                     n.append(len(own))
                     common.append(len(own) - len(rest))
                     added.append(rest.view(np.int64))
-                names = ["pivot", "rep", "root", "apart"]
+                names = ["pivot", "rep", "root", "apart", "top"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(added, pa.list_(pa.int64()))], [*names, "n", "common", "added"])
 
-    return met.mapInArrow(run, "pivot bigint, rep bigint, root bigint, apart boolean, n bigint, common bigint, added array<bigint>")
+    return met.mapInArrow(run, "pivot bigint, rep bigint, root bigint, apart boolean, top bigint, n bigint, common bigint, added array<bigint>")
 
 
 def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -216,9 +216,12 @@ def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
     their added ones, or all are, so |y| is bounded by what x shares with the
     pivot and |x| by what y does.  x is not in the pivot's component and so
     shares little with it: the second case leaves a narrow range of sizes.
+    Two members whose most central pivot (top) is the same meet there and
+    nowhere else; a member and its top have met already.
     """
-    side = lambda s: [F.col("rep").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("common").alias(f"c{s}")]
-    apart = F.col("rx") != F.col("ry")
+    side = lambda s: [F.col("rep").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("common").alias(f"c{s}"), F.col("top").alias(f"t{s}")]
+    here = (F.col("tx") != F.col("ty")) | (F.col("pivot") == F.col("tx"))
+    apart = (F.col("rx") != F.col("ry")) & here & (F.col("x") != F.col("ty")) & (F.col("y") != F.col("tx"))
     once = F.col("whole") | (F.col("x") < F.col("y"))
     sizes = (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
     x, y = members.where("apart"), members.withColumn("whole", ~F.col("apart"))
@@ -301,8 +304,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     roots = components(links)
     # Members of one pivot that are still apart: candidates by what they differ in from the pivot.
     group = _with_roots(_with_roots(placed.where("rep <> pivot").select("pivot", "rep").distinct(), roots, "rep", "root"), roots, "pivot", "own").withColumn("apart", F.col("root") != F.col("own"))
-    mixed = group.groupBy("pivot").agg(F.count("*").alias("members"), F.bool_or("apart").alias("any")).where("members > 1 AND any")
-    group = materialize(group.join(mixed.select("pivot"), "pivot").select("pivot", "rep", "root", "apart"), "near-mixed")
+    top = placed.where("rep <> pivot").groupBy("rep").agg(F.max_by("pivot", F.struct("central", "pivot")).alias("top"))
+    group = group.join(top, "rep")
+    mixed = group.groupBy("pivot").agg(F.count("*").alias("members"), F.bool_or("apart").alias("any"), (F.bool_or(F.col("top") == F.col("pivot")) | (F.min("top") != F.max("top"))).alias("own_pairs"))
+    group = materialize(group.join(mixed.where("members > 1 AND any AND own_pairs").select("pivot"), "pivot").select("pivot", "rep", "root", "apart", "top"), "near-mixed")
     missing = group.select(F.col("pivot").alias("rep")).union(group.select("rep")).distinct().join(sets.select("rep"), "rep", "left_anti")
     sets = sets.unionByName(materialize(full_sets(docs, missing.join(reps.select("rep", "digest"), "rep"), width, id_col, text_col), "near-sets"))
     crossing = crossing_pairs(materialize(differences(group, sets), "near-differences"), percent)
