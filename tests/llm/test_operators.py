@@ -159,6 +159,42 @@ def test_license_in_a_very_long_line():
     assert [m.license for m in license_scan.scan(text)[1]] == ["MIT"]
 
 
+def test_licenses_wrapped_over_lines():
+    mit = next(t for name, t in license_scan.TEMPLATES if name == "MIT" and t.startswith("Permission"))
+    w = mit.split(" ")
+    wrapped = "int x;\n" + "".join(f" * {' '.join(w[i : i + 5])}\n" for i in range(0, len(w), 5)) + " */\nint y;"
+    blocks, found = license_scan.scan(wrapped)
+    assert [(m.license, m.missing, m.added) for m in found] == [("MIT", "", "")] and blocks == 1
+    assert wrapped[found[0].start :].startswith("Permission") and wrapped[: found[0].stop].endswith("restriction")
+    assert [m.license for m in license_scan.scan("ALL RIGHTS\nRESERVED.")[1]] == ["proprietary"]
+
+
+def test_every_license_of_a_line_is_found():
+    text = "Released under the MIT License. All rights reserved. Licensed under CC BY 4.0. Released under the MIT License."
+    assert [m.license for m in license_scan.scan(text)[1]] == ["MIT", "proprietary", "CC-BY-4.0", "MIT"]
+    assert license_scan.scan(" ".join([text] * 300))[1][-1].stop == len(text) * 300 + 298
+
+
+def test_every_license_with_few_changes_is_found():
+    r = random.Random(4)
+    for k, (_, template) in enumerate(license_scan.TEMPLATES):
+        want = license_scan.words(template)
+        for _ in range(20):
+            have = list(want)
+            for _ in range(len(want) // 10):
+                if r.random() < 0.5:
+                    del have[r.randrange(len(have))]
+                else:
+                    have.insert(r.randrange(len(have) + 1), "zzz")
+            found = license_scan.places(["x"] * r.randint(0, 3) + have + ["x"] * r.randint(0, 3))
+            assert any(p.template == k for p in found)
+
+
+def test_license_words_take_linear_time():
+    for t in ("-" * 300_000, "a." * 150_000, "license " * 50_000):
+        license_scan.scan(t)
+
+
 def test_license_tables(docs, none):
     assert license_scan.scan_documents(docs).count() == len(hard_rows()) and license_scan.scan_documents(none).count() == 0
 
