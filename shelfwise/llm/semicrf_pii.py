@@ -2,10 +2,11 @@
 
 The fixed patterns give the base spans.  The random field adds spans that are
 written in other ways: inside windows around digits and address signs it lists
-candidate segments of at most ``MOST_TOKENS`` tokens, scores each as a whole by
-features of the span, and a dynamic programme over token positions picks
-boundaries and kinds together.  Text outside such windows cannot hold a
-candidate, so leaving it out changes nothing.  Weights are learned in numpy
+candidate segments (addresses of any length, figures of at most as many digits
+as a card has), scores each as a whole by features of the span, and a dynamic
+programme over token positions picks boundaries and kinds together.  A segment
+with an address sign that has not the form of an address is a candidate only up
+to ``MOST_TOKENS`` tokens.  Weights are learned in numpy
 from a bounded sample of windows whose base spans, and rewritten forms of them,
 serve as labels.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 #: Kinds in their order (fixed values).
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 20
+#: Digits of the longest card, and its tokens with three marks between any two digits.
+MOST_DIGITS, MOST_FIGURES = 19, 73
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,28 +83,60 @@ def joined(spans: list[Span]) -> str:
 # --- candidates -------------------------------------------------------------
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|[^A-Za-z0-9\s]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
+_TRIGGER = re.compile(r"(?i)[0-9@]|[\[(] ?at ?[\])]| at (?=[a-z0-9-]+ dot )")
 _REACH = 40
+_INNER = frozenset("@.-+()[]_% :")
+
+
+def _unbroken(c: str) -> bool:
+    return c.isalnum() or (c != " " and c in _INNER)
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches that can hold a candidate: around every trigger, merged where they meet."""
+    """Stretches that can hold a candidate: around every trigger and address, never ending inside a run of usable marks, merged where they meet."""
+    near = [(max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)) for m in _TRIGGER.finditer(text)]
+    if not near:
+        return []
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)
+    for a, b in sorted(near + [m.span() for m in _MAIL.finditer(text)]):
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    wide: list[list[int]] = []
+    for a, b in out:
+        done = wide[-1][1] if wide else 0
+        while a > done and _unbroken(text[a - 1]) and _unbroken(text[a]):
+            a -= 1
+        b = max(b, done)
+        while b < len(text) and _unbroken(text[b - 1]) and _unbroken(text[b]):
+            b += 1
+        if wide and a <= done:
+            wide[-1][1] = b
+        else:
+            wide.append([a, b])
+    return [(a, b) for a, b in wide]
 
 
-_AT = re.compile(r" ?[\[(] ?at ?[\])] ?| @ ?|@ ")
-_INNER = frozenset("@.-+()[]_% :")
-_MAIL = re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?@ ?| ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]+)+")
+_AT = re.compile(r"(?i) ?[\[(] ?at ?[\])] ?| @ ?|@ ")
+_MAIL = re.compile(
+    r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?:"
+    r"(?:@| ?@ ?| ?[\[(] ?at ?[\])] ?)[a-z0-9-]++(?:(?:\.| ?[\[(] ?dot ?[\])] ?| dot )[a-z0-9-]++)+"
+    r"| at [a-z0-9-]++(?: dot [a-z0-9-]++)+)",
+    re.ASCII,
+)
 _FOUR = re.compile(r"[0-9]{1,3}(?:[.:-][0-9]{1,3}){3}")
 
 
+def addresses(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first token, one past the last) of everything in a window that has the form of an address, each as long as can be."""
+    if not tokens:
+        return []
+    starts, ends = {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
+    found = (m.span() for m in _MAIL.finditer(text, tokens[0][0], tokens[-1][1]))
+    return [(starts[a], ends[b]) for a, b in found if a in starts and b in ends]
+
+
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Candidate segments (first token, one past the last) of a window."""
     words = [text[a:b] for a, b in tokens]
@@ -111,7 +146,7 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if not usable[i] or not (w[0].isalnum() or w in "+("):
             continue
         digits, at, letters = 0, False, False
-        for j in range(i, min(len(words), i + MOST_TOKENS)):
+        for j in range(i, min(len(words), i + MOST_FIGURES)):
             if not usable[j]:
                 break
             v = words[j]
@@ -119,24 +154,26 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 digits += len(v)
             elif v[0].isalpha():
                 letters = True
-            at = at or v == "@" or (v == "at" and words[j - 1] in ("[", "(", " "))
+            at = at or v == "@" or (v.lower() == "at" and words[j - 1] in ("[", "(", " "))
+            if (letters or at) and j >= i + MOST_TOKENS or digits > MOST_DIGITS and not at:
+                break
             if letters and not at and digits > 3 and " " in words[i : j + 1]:
                 break
             if v[-1].isalnum() and (digits >= 4 or at):
                 out.append((i, j + 1))
-    return out
+    known = set(out)
+    return out + [x for x in addresses(text, tokens) if x not in known]
 
 
 N_FEATURES = 24
 
 
-def span_features(s: str, before: str, after: str) -> np.ndarray:
-    """Features of a span as a whole and of the characters that touch it."""
+def span_features(s: str, before: str, after: str, mail: bool) -> np.ndarray:
+    """Features of a span as a whole (``mail``: a whole address by its form) and of the characters that touch it."""
     digits = _NOT_DIGIT.sub("", s)
     n, letters = len(digits), any(c.isalpha() for c in s)
     groups = re.findall(r"[0-9]+", s)
     four = bool(_FOUR.fullmatch(s)) and all(map(_small, groups))
-    mail = bool(_MAIL.fullmatch(s))
     only = not letters and "@" not in s
     seps = {c for c in s if not c.isalnum()}
     return np.array(
@@ -189,7 +226,8 @@ def laid_out(text: str, a: int, b: int):
     """(tokens, segments, features of the segments) of one window."""
     tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
     found = segments(text, tokens)
-    rows = [span_features(text[tokens[i][0] : tokens[j - 1][1]], text[tokens[i][0] - 1 : tokens[i][0]], text[tokens[j - 1][1] : tokens[j - 1][1] + 1]) for i, j in found]
+    mails = set(addresses(text, tokens))
+    rows = [span_features(text[tokens[i][0] : tokens[j - 1][1]], text[max(0, tokens[i][0] - 1) : tokens[i][0]], text[tokens[j - 1][1] : tokens[j - 1][1] + 1], (i, j) in mails) for i, j in found]
     return tokens, found, np.array(rows).reshape(-1, N_FEATURES)
 
 
@@ -275,7 +313,9 @@ def rewritten(text: str, span: Span, r: random.Random) -> tuple[str, Span] | Non
     kind, a, b = span
     s = text[a:b]
     if kind == "email":
-        s = s.replace("@", r.choice([" [at] ", " (at) ", "(at)", " @ "]), 1)
+        at, dot = r.choice([(" [at] ", "."), (" (at) ", "."), ("(at)", "."), (" @ ", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" at ", " dot ")])
+        local, domain = s.split("@", 1)
+        s = local + at + domain.replace(".", dot)
     elif kind == "phone":
         d = _NOT_DIGIT.sub("", s)[-10:]
         if len(d) < 10:

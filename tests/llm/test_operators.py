@@ -373,6 +373,28 @@ def test_field_adds_spans_and_keeps_base_ones(field):
     assert semicrf_pii.all_spans("on 2024-01-05 12:35 we paid 4500.20", field)[1] == []
 
 
+@pytest.mark.parametrize(
+    "mail",
+    [
+        "jane.doe (at) mail [dot] example [dot] com",
+        "jane.doe [at] cs [dot] example [dot] edu",
+        "j.doe (at) example (dot) co (dot) uk",
+        "jane at example dot com",
+        "JANE (AT) EXAMPLE (DOT) COM",
+        "a" * 60 + " [at] " + "b" * 60 + ".example.com",
+        "j-" * 40 + "doe (at) " + "x [dot] " * 20 + "com",
+    ],
+)
+def test_long_addresses_are_found_whole(field, mail):
+    t = f"please write to us, {mail}, or come by"
+    assert ("email", mail) in {(k, t[a:b]) for k, a, b in semicrf_pii.all_spans(t, field)[1]}
+
+
+def test_windows_take_linear_time():
+    for t in ("a" * 300_000 + "1", "a." * 30_000 + "@", " at b dot" * 10_000, "1 " + "x" * 300_000):
+        semicrf_pii.windows(t)
+
+
 def test_gradients_of_the_field():
     r = np.random.default_rng(0)
     f = semicrf_pii.Field.new()
