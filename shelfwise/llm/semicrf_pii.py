@@ -13,8 +13,10 @@ serve as labels.
 
 from __future__ import annotations
 
+import heapq
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
+
 #: Kinds in their order (fixed values).
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 20
@@ -343,9 +347,33 @@ def decoys(r: random.Random, n: int) -> list[str]:
     return [x for x in (r.choice(shapes)() for _ in range(n)) if not base_spans(x)]
 
 
-def train(samples: list[str], epochs: int = 6, rate: float = 0.1, seed: int = 3) -> Field | None:
-    """Weights from stretches of text; None if no base span is among them."""
+def generated(kind: str, r: random.Random) -> str:
+    """A made-up datum of a kind in a form of the fixed patterns, with words around it."""
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8)))
+    if kind == "email":
+        s = f"{name()}{r.choice(['', '.' + name(), '-' + d(2)])}@{name()}{r.choice(['', '.' + name()])}.{r.choice(['com', 'org', 'net', 'edu', 'de'])}"
+    elif kind == "ip":
+        s = ".".join(str(r.randint(0, 255)) for _ in range(4))
+    elif kind == "card":
+        s = "4" + d(14)
+        s += next(c for c in "0123456789" if luhn(s + c))
+        s = r.choice(["", " ", "-"]).join(s[i : i + 4] for i in range(0, 16, 4))
+    else:
+        s = r.choice(["+1 ({}) {}-{}", "+1 {} {} {}", "+1-{}-{}-{}"]).format(f"{r.randint(2, 9)}{d(2)}", d(3), d(4))
+    return f"{name()} {name()} {s} {name()} {name()}"
+
+
+def train(samples: list[str], epochs: int = 6, rate: float = 0.1, seed: int = 3, least: int = 20) -> Field | None:
+    """Weights from stretches of text; kinds that none of them holds are learned from generated forms.
+
+    None without stretches: then no text holds a window, and nothing is there to be found.
+    """
+    if not samples:
+        return None
     r, cases = random.Random(seed), []
+    held = {k for text in samples for k, _, _ in base_spans(text)}
+    samples = samples + [generated(k, r) for k in KINDS if k not in held for _ in range(least)]
     for text in samples:
         base = base_spans(text)
         spans = [s for i, s in enumerate(base) if not i or s[1] >= base[i - 1][2]]
@@ -353,8 +381,7 @@ def train(samples: list[str], epochs: int = 6, rate: float = 0.1, seed: int = 3)
         for s in spans:
             if (new := rewritten(text, s, r)) and len(spans) == 1:
                 cases.append((new[0], [new[1]]))
-    if any(spans for _, spans in cases):
-        cases += [(x, []) for x in decoys(r, 80)]
+    cases += [(x, []) for x in decoys(r, 80)]
     laid = []
     for text, spans in cases:
         tokens, found, rows = laid_out(text, 0, len(text))
@@ -362,8 +389,6 @@ def train(samples: list[str], epochs: int = 6, rate: float = 0.1, seed: int = 3)
         gold = {(starts[a], ends[b]): KINDS.index(k) + 1 for k, a, b in spans if a in starts and b in ends and (starts[a], ends[b]) in known}
         if len(gold) == len(spans) and found:
             laid.append((len(tokens), found, rows, gold))
-    if not any(x[3] for x in laid):
-        return None
     field = Field.new()
     sq_s, sq_t = np.full_like(field.spans, 1e-2), np.full_like(field.turns, 1e-2)
     for _ in range(epochs):
@@ -379,18 +404,46 @@ def train(samples: list[str], epochs: int = 6, rate: float = 0.1, seed: int = 3)
     return field
 
 
-def training_windows(docs: DataFrame, most_documents: int = 1_000, most_windows: int = 400, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """A bounded sample of stretches with digits or address signs, by hash; each at most 300 characters."""
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where(F.col("body").rlike("[0-9@]"))
-    chosen = marked.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(most_documents).select("id").distinct()
+def stretches(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, stretch) around every base span, ("none", stretch) of windows without base spans and addresses, ("unknown", "") of others; of 300 characters or little more."""
+    base, i = base_spans(text), 0
+    for k, a, b in base:
+        yield k, text[max(0, a - 100) : min(b, a + 300) + 100]
+    for a, b in windows(text):
+        while i < len(base) and base[i][2] <= a:
+            i += 1
+        # Addresses in other forms have no label, so their windows would teach that they are none.
+        if i == len(base) or base[i][1] >= b:
+            yield ("none", text[a : min(b, a + 300)]) if not _MAIL.search(text, a, b) else ("unknown", "")
+
+
+def training_windows(docs: DataFrame, most_windows: int = 400, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """A bounded sample of stretches over all documents: by hash, equally many around base spans of each kind and without any."""
+    kinds = (*KINDS, "none")
+    most = most_windows // len(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[str, int]] = {k: {} for k in (*kinds, "unknown")}
         for batch in batches:
-            cut = sorted({t[a : min(b, a + 300)] for t in batch.column("body").to_pylist() for a, b in windows(t)})
-            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], ["stretch"])
-
-    found = marked.join(F.broadcast(chosen), "id").select("body").mapInArrow(run, "stretch string")
-    return [x["stretch"] for x in found.distinct().orderBy(F.xxhash64("stretch"), "stretch").limit(most_windows).collect()]
+            for t in batch.column("body").to_pylist():
+                for k, x in stretches(t):
+                    best[k].setdefault(x, zlib.crc32(x.encode("utf-8", "replace")))
+                for k, of in best.items():
+                    if len(of) > 8 * most:
+                        best[k] = dict(_lowest(of, most))
+        rows = [(k, x, h) for k, of in best.items() for x, h in _lowest(of, most)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "stretch", "h"])
+
+    marked = docs.select(F.col(text_col).alias("body")).where(F.col("body").rlike(r"(?i)[0-9@]|[\[(] ?at ?[\])]| at [a-z0-9-]+ dot "))
+    found = materialize(marked.mapInArrow(run, "kind string, stretch string, h bigint"), "personal-data-windows")
+    chosen = [found.where(F.col("kind") == k).select("h", "stretch").distinct().orderBy("h", "stretch").limit(most).collect() for k in kinds]
+    if not any(chosen) and not found.isEmpty():
+        return decoys(random.Random(3), most)
+    return [x["stretch"] for rows in chosen for x in rows]
+
+
+def _lowest(of: dict[str, int], most: int) -> list[tuple[str, int]]:
+    return heapq.nsmallest(most, of.items(), key=lambda x: (x[1], x[0].encode("utf-8", "replace")))
 
 
 # --- application ------------------------------------------------------------

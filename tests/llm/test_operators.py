@@ -390,6 +390,25 @@ def test_long_addresses_are_found_whole(field, mail):
     assert ("email", mail) in {(k, t[a:b]) for k, a, b in semicrf_pii.all_spans(t, field)[1]}
 
 
+def test_rare_personal_data_is_learned_from(spark):
+    rows = [(i, f"on 20{i % 90 + 10}-01-{i % 28 + 1:02} we paid {i}.50 for {i + 3} of them", None, None, None) for i in range(3000)]
+    rows += [(3000, "write to ann@site.org today", None, None, None), (3001, "call +1 (212) 555-1234 now", None, None, None)]
+    found = semicrf_pii.training_windows(frame(spark, rows))
+    assert len(found) <= 400 and {k for x in found for k, _, _ in semicrf_pii.base_spans(x)} == {"email", "phone"}
+    only = frame(spark, [(1, "mail john.doe [at] example.com now", None, None, None)])
+    assert [r["spans"][0]["kind"] for r in semicrf_pii.find_personal_data(only, semicrf_pii.train(semicrf_pii.training_windows(only))).collect()] == ["email"]
+    again = semicrf_pii.training_windows(frame(spark, rows[::-1]).repartition(7))
+    assert found == again
+
+
+def test_kinds_without_samples_are_learned_from_generated_forms():
+    r = random.Random(1)
+    assert all([x[0] for x in semicrf_pii.base_spans(semicrf_pii.generated(k, r))] == [k] for k in semicrf_pii.KINDS for _ in range(50))
+    field = semicrf_pii.train([f"on 2024-01-{i:02} we paid {i}.50" for i in range(1, 29)])
+    t = "mail john.doe [at] example.com or call (555) 123-4567 now"
+    assert {("email", "john.doe [at] example.com"), ("phone", "(555) 123-4567")} <= {(k, t[a:b]) for k, a, b in semicrf_pii.all_spans(t, field)[1]}
+
+
 def test_windows_take_linear_time():
     for t in ("a" * 300_000 + "1", "a." * 30_000 + "@", " at b dot" * 10_000, "1 " + "x" * 300_000):
         semicrf_pii.windows(t)
