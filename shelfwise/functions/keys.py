@@ -135,9 +135,13 @@ def keyed_facet(c: Column, nonfiling: Column | int = 0) -> Column:
 PUNCTUATION: Steps = [(r"\s+([,;:.!?])", r"\1"), (r"([,;:])[,;:]+", r"\1"), (r"\s+", " "), (r"^[ ,;:/]+", ""), (r"[ ,;:/]+$", "")]
 
 
+#: The same replacements, in linear time on long runs of blanks and marks.
+_TIDY: Steps = [(r"(?<!\s)\s++([,;:.!?])", "$1"), PUNCTUATION[1], *PUNCTUATION[2:4], (r"(?<![ ,;:/])[ ,;:/]++$", "")]
+
+
 def tidy(c: Column) -> Column:
     """N9"""
-    return apply_steps(c, PUNCTUATION)
+    return apply_steps(c, _TIDY)
 
 
 def truncated(c: Column, least: int, most: int) -> Column:

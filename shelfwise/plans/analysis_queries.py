@@ -95,6 +95,10 @@ add("N6_search_key", lambda c: _numbers(c).select("p_partkey", K.search_key(F.co
 add("N7_sort_key", lambda c: _numbers(c).select("p_partkey", K.sort_key(F.col("cn"), F.element_at(F.array(F.lit("lc"), F.lit("dewey"), F.lit("sudoc"), F.lit("unknown")), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("key")), f"SELECT p_partkey, {sql_sort_key('cn', 'kind')} AS key FROM (SELECT *, ['lc', 'dewey', 'sudoc', 'unknown'][p_partkey % 4 + 1] AS kind FROM {_NUM_SQL})")
 add("N8_keyed_facet", lambda c: c.documents.select("doc_id", K.keyed_facet(_heading()).alias("facet")), f"SELECT doc_id, {sql_facet_key(_WORDS)} || '!' || {_WORDS} AS facet FROM documents")
 add("N9_tidy", lambda c: c.documents.select("doc_id", K.tidy(F.substring("text", 1, 4000)).alias("tidy")), f"SELECT doc_id, {sql_steps('substr(text, 1, 4000)', K.PUNCTUATION)} AS tidy FROM documents")
+# The SQL of N5, N8, N9 and T1 reads the beginnings of texts; these read whole texts and are held against a small fixture.
+add("N5_facet_key_whole", lambda c: c.documents.select("doc_id", K.facet_key(F.col("text")).alias("key")))
+add("N8_keyed_facet_whole", lambda c: c.documents.select("doc_id", K.keyed_facet(F.col("text")).alias("facet")))
+add("N9_tidy_whole", lambda c: c.documents.select("doc_id", K.tidy(F.col("text")).alias("tidy")))
 add("N10_truncated", lambda c: c.documents.select("doc_id", K.truncated(F.regexp_replace("text", r"\s+", " "), 40, 120).alias("short")), r"SELECT doc_id, CASE WHEN length(t) <= 120 THEN t WHEN regexp_matches(p, '[^0-9A-Za-z_\s]\s') AND regexp_matches(p, '[^\p{L}\p{N}_\s]\s') THEN substr(t, 1, 39) || regexp_extract(p, '(?s)^(.*)[^0-9A-Za-z_\s]\s', 1) WHEN regexp_matches(p, '[^0-9A-Za-z_\s]\s') THEN substr(t, 1, 39) || regexp_extract(p, '(?s)^(.*)[^0-9A-Za-z_\s]\s', 1) WHEN regexp_matches(p, '\s') THEN substr(t, 1, 39) || regexp_extract(p, '(?s)^(.*\S|)\s', 1) ELSE substr(t, 1, 40) END AS short FROM (SELECT doc_id, t, substr(t, 40, 81) AS p FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents))")
 _LABEL_RULES = [("1$", "one", None), ("[02468]$", "even", "^.*1.$"), ("N_?1", "teen", "5$"), ("^NATION", "nation", "[37]$")]
 add("N11_label_code", lambda c: c.nation.select("n_nationkey", K.label_code(F.col("n_name"), _LABEL_RULES, "?").alias("code")), "SELECT n_nationkey, CASE WHEN regexp_matches(n_name, '1$') THEN 'one' WHEN regexp_matches(n_name, '[02468]$') AND NOT regexp_matches(n_name, '^.*1.$') THEN 'even' WHEN regexp_matches(n_name, 'N_?1') AND NOT regexp_matches(n_name, '5$') THEN 'teen' WHEN regexp_matches(n_name, '^NATION') AND NOT regexp_matches(n_name, '[37]$') THEN 'nation' ELSE '?' END AS code FROM nation")
@@ -214,6 +218,7 @@ add("W14_get_one", _w14, "SELECT item_id, label FROM f_items JOIN f_locations US
 # --- arrays ---------------------------------------------------------------------------
 
 add("T1_combine_lists", lambda c: c.documents.select("doc_id", F.array_join(T.combine_lists(F.split(F.substring("text", 1, 80), "[ \n]"), F.array("lang", "source"), F.lit(None).cast("array<string>")), "|").alias("words")), "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_split_to_array(substr(text, 1, 80), '[ \\n]'), [lang, source]))), '|') AS words FROM documents")
+add("T1_combine_lists_whole", lambda c: c.documents.select("doc_id", F.array_join(T.combine_lists(F.split("text", "[ \n]"), F.array("lang", "source"), F.lit(None).cast("array<string>")), "|").alias("words")))
 
 
 def _t2(c):

@@ -13,6 +13,7 @@ from shelfwise.operators import predicates as P
 from shelfwise.operators import search as Q
 from shelfwise.operators import select as R
 from shelfwise.operators import shelflist as W
+from shelfwise.plans import catalogue
 from shelfwise.sources import tables as S
 from shelfwise.streaming.incremental import incremental_load
 
@@ -262,3 +263,21 @@ def test_facets_and_sets(spark):
     assert [tuple(r) for r in A.facet(df, "v", multi=True).collect()] == [("b", 2), ("a", 1)]
     both = spark.createDataFrame([(["x", "y"], ["y", "z"])], "o array<string>, n array<string>")
     assert [list(x) for x in both.select(*T.flag_diff(F.col("o"), F.col("n"))).first()] == [["x"], ["z"]]
+
+
+# --- whole texts ----------------------------------------------------------------
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    text = "word  , " * 2_000 + "last :; "
+    spark.createDataFrame([(1, text, "en", "a", len(text)), (2, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    of = lambda name: {r[0]: r[1] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}[1]
+    assert of("N9_tidy_whole") == "word, " * 2_000 + "last"
+    assert of("N5_facet_key_whole") == "word-" * 2_000 + "last"
+    assert of("N8_keyed_facet_whole") == "word-" * 2_000 + "last!" + text
+    assert of("T1_combine_lists_whole").split("|") == sorted({*text.split(" "), "en", "a"})
+
+
+def test_tidy_takes_linear_time(spark):
+    for c in (" ", " ,", ";", "/"):
+        one(spark, K.tidy, "a" + c * 100_000 + "b")
