@@ -118,6 +118,20 @@ def order_by(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str] | No
     return df.orderBy(*order_columns(keys, columns, tie))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], stretches: Mapping[str, Column], stretch_order: Sequence[Column]) -> DataFrame:
+    """All rows with their ``position`` (from 0) in a total order.
+
+    ``stretches`` cut the order into pieces that follow each other by
+    ``stretch_order``; each is numbered from the counts of those before it.
+    """
+    cut = df.withColumns(dict(stretches))
+    before = F.sum("_n").over(Window.orderBy(*stretch_order).rowsBetween(Window.unboundedPreceding, -1))
+    counts = cut.groupBy(*stretches).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).select(*[F.col(k).alias(f"_of{k}") for k in stretches], "_before")
+    placed = cut.withColumn("_row", F.row_number().over(Window.partitionBy(*stretches).orderBy(*order)))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in stretches])
+    return placed.join(counts, same).withColumn("position", F.col("_before") + F.col("_row") - 1).select(*df.columns, "position")
+
+
 def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 20, most: int = 500) -> tuple[DataFrame, dict]:
     """Rows of one page, and (total, start_row, end_row, previous, next)."""
     limit, offset = min(max(limit, 0), most), max(offset, 0)

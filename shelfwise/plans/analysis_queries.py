@@ -199,6 +199,16 @@ SELECT record_num, marc_tag, occ_num, CAST((sum(CASE WHEN before IS NULL OR befo
 add("W11_order_by", lambda c: W.order_by(c.items, ["-volume", "price"], tie="item_id").limit(50).select("item_id", "volume"), "SELECT item_id, volume FROM f_items ORDER BY volume DESC NULLS LAST, price NULLS LAST, item_id LIMIT 50")
 
 
+def _w11_whole(c):
+    prices = c.items.approxQuantile("price", [i / 64 for i in range(1, 64)], 0.005)
+    bucket = F.when(F.col("price").isNotNull(), F.size(F.filter(F.array(*map(F.lit, prices)), lambda p: p <= F.col("price"))) if prices else F.lit(0))
+    order = W.order_columns(["-volume", "price"], tie="item_id")
+    return W.numbered(c.items, order, {"_volume": F.col("volume"), "_bucket": bucket}, [F.col("_volume").desc_nulls_last(), F.col("_bucket").asc_nulls_last()]).select("item_id", "volume", "position")
+
+
+add("W11_order_by_whole", _w11_whole)
+
+
 def _w12(c):
     rows, around = W.page(c.items, W.order_columns(["-copy_number", "item_id"]), offset=40, limit=25)
     return rows.select("item_id", *[F.lit(around[k]).cast("long").alias(k) for k in ("total", "start_row", "end_row", "previous", "next")])

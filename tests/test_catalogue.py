@@ -1,3 +1,4 @@
+import os
 from datetime import date, datetime
 
 import pytest
@@ -14,6 +15,7 @@ from shelfwise.operators import search as Q
 from shelfwise.operators import select as R
 from shelfwise.operators import shelflist as W
 from shelfwise.plans import catalogue
+from shelfwise.plans.views import Catalogue
 from shelfwise.sources import tables as S
 from shelfwise.streaming.incremental import incremental_load
 
@@ -281,3 +283,34 @@ def test_whole_texts_are_read(spark, tmp_path):
 def test_tidy_takes_linear_time(spark):
     for c in (" ", " ,", ";", "/"):
         one(spark, K.tidy, "a" + c * 100_000 + "b")
+
+
+# --- whole tables ---------------------------------------------------------------
+
+DATA = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+
+
+@needs_tables
+def test_whole_order_has_positions(spark):
+    items = Catalogue(spark, DATA).items.select("item_id", "volume", "price").collect()
+    want = sorted(items, key=lambda r: r["item_id"])
+    want.sort(key=lambda r: (r["price"] is None, r["price"] or 0))
+    want.sort(key=lambda r: r["volume"] or "", reverse=True)
+    got = catalogue.queries()["W11_order_by_whole"](spark, DATA).collect()
+    assert len(got) > 50 and {r["item_id"]: r["position"] for r in got} == {r["item_id"]: i for i, r in enumerate(want)}
+
+
+@needs_tables
+def test_harvest_and_locations_of_whole_tables(spark):
+    c = Catalogue(spark, DATA)
+    orders = {r["o_orderkey"]: r for r in c.orders.collect()}
+    roots = {k for k, r in orders.items() if r["o_orderstatus"] == "P"}
+    found = catalogue.queries()["R16_harvest_whole"](spark, DATA).collect()
+    assert {r["id"] for r in found if r["table_name"] == "orders"} == roots and max(roots) > 60
+    assert sorted(r["id"] for r in found if r["table_name"] == "customer") == sorted({orders[k]["o_custkey"] for k in roots})
+    assert sorted(r["id"] for r in found if r["table_name"] == "part") == sorted({r["l_partkey"] for r in c.lineitem.collect() if r["l_orderkey"] in roots})
+    numbers = {r["location_num"] for r in c.locations.collect() if r["location_code"] in ("nat6", "nat7")}
+    of_items = {r["bib_num"] for r in c.items.where("location_code IN ('nat6', 'nat7')").select("bib_num").collect()}
+    want = {r["bib_num"] for r in c.bibs.select("bib_num").collect() if r["bib_num"] % 25 in numbers or r["bib_num"] in of_items}
+    assert sorted(r["bib_num"] for r in catalogue.queries()["R8_by_location_whole"](spark, DATA).collect()) == sorted(want)
