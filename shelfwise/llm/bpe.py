@@ -4,15 +4,16 @@ Two bytes that never stand next to each other inside any vocabulary token are
 a certain cut: no merge can cross it.  A text is cut at all such places at
 once (one table look-up per byte), the fragments, most of which recur, are
 encoded independently of each other, and their ids are joined in order.
-Python works on Arrow batches inside Spark tasks; a worker keeps a bounded
-table of fragments it has met.
+Python works on Arrow batches inside Spark tasks, in slices of about a
+megabyte of text; a worker keeps a table of fragments it has met, bounded by
+bytes.  ``code_documents`` encodes and decodes in one pass.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +30,9 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 # Two bytes that UTF-8 never uses: between fragments, and between texts.
 _SEPARATOR, _TEXT_END = 0xFF, 0xFE
-_MOST_FRAGMENTS = 600_000
+#: Bytes of the fragments that a worker remembers, with what Python keeps for each beside its own.
+MOST_BYTES, _FRAGMENT_BYTES = 48_000_000, 120
+SLICE_BYTES = 1_000_000
 
 
 @lru_cache(1)
@@ -40,29 +43,42 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class ForcedBoundaryBPE:
-    """Encoder and decoder of one byte-level vocabulary file of the tokenizers library."""
-
-    def __init__(self, path: str, most_fragments: int = _MOST_FRAGMENTS):
-        from tokenizers import Tokenizer
+class Tokens:
+    """The byte strings that the ids of a byte-level vocabulary file stand for; all that decoding needs."""
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        stand_in = byte_alphabet()
-        back = {c: b for b, c in stand_in.items()}
-        self.letters = [stand_in[b] for b in range(256)]
+        back = {c: b for b, c in byte_alphabet().items()}
         self.special = {a["content"].encode(): a["id"] for a in spec["added_tokens"]}
         vocab = spec["model"]["vocab"]
         size = max([*vocab.values(), *self.special.values()]) + 1
-        self.token_bytes: list[bytes] = [b""] * size
-        joined = np.zeros(65536, bool)
+        self.bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():
-            self.token_bytes[i] = raw = bytes(back[c] for c in token)
+            self.bytes[i] = bytes(map(back.__getitem__, token))
+        self.plain = sorted(vocab.values())
+        for token, i in self.special.items():
+            self.bytes[i] = token
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class ForcedBoundaryBPE:
+    """Encoder of one byte-level vocabulary file of the tokenizers library."""
+
+    def __init__(self, path: str, most_bytes: int = MOST_BYTES):
+        from tokenizers import Tokenizer
+
+        self.merges = Tokenizer.from_file(path).model
+        self.tokens = tokens(path)
+        self.letters = [byte_alphabet()[b] for b in range(256)]
+        self.special = self.tokens.special
+        joined = np.zeros(65536, bool)
+        for i in self.tokens.plain:
+            raw = self.tokens.bytes[i]
             for a, b in zip(raw, raw[1:], strict=False):
                 joined[a << 8 | b] = True
-        for token, i in self.special.items():
-            self.token_bytes[i] = token
         self.forced = ~joined
         # Not between the bytes of one character; and before an apostrophe only where
         # what stands on its left cannot change how the apostrophe is read.
@@ -81,15 +97,16 @@ class ForcedBoundaryBPE:
                 self.blank_mid[raw[-2]] = True
         self.pattern = regex.compile(PRE_TOKEN)
         self.splitter = regex.compile(b"(" + b"|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
-        self.most = most_fragments
+        self.most = most_bytes
         self.forget()
 
     def forget(self) -> None:
+        self.held = 0
         self.seen: dict[bytes, int] = {b"\xfe": 0}
         self.starts, self.lengths, self.flat = array("q", [0, 0]), array("q", [0]), array("i")
 
     def _merge(self, piece: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+        return [t.id for t in self.merges.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
 
     def _encode_fragment(self, fragment: bytes) -> list[int]:
         """Ids of a fragment; a trailing separator byte says that other text than a blank follows."""
@@ -110,6 +127,7 @@ class ForcedBoundaryBPE:
         self.lengths.append(len(ids))
         self.flat.extend(ids)
         self.starts.append(len(self.flat))
+        self.held += _FRAGMENT_BYTES + len(fragment) + 4 * len(ids)
         return n
 
     def fragments(self, text: bytes) -> list[bytes]:
@@ -148,7 +166,7 @@ class ForcedBoundaryBPE:
 
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
-        if len(self.seen) > self.most:
+        if self.held > self.most:
             self.forget()
         whole = b"\xfe".join(texts)
         if self.splitter is not None and any(s in whole for s in self.special):
@@ -162,10 +180,10 @@ class ForcedBoundaryBPE:
         """Ids of fragments by their numbers, and where each fragment's ids begin (one more: the end)."""
         if not len(numbers):
             return np.empty(0, np.int32), np.zeros(1, np.int64)
-        starts, lengths, flat = np.array(self.starts), np.array(self.lengths), np.array(self.flat)
+        starts, lengths, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.lengths, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.empty(0, np.int32)
         size = lengths[numbers]
         ends = np.concatenate([[0], np.cumsum(size)])
-        return flat[np.repeat(starts[numbers] - ends[:-1], size) + np.arange(ends[-1])].astype(np.int32), ends
+        return flat[np.repeat(starts[numbers] - ends[:-1], size) + np.arange(ends[-1])], ends
 
     def _with_specials(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts that spell special tokens: what stands between those is encoded for itself."""
@@ -181,8 +199,13 @@ class ForcedBoundaryBPE:
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text.encode()])[0].tolist()
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: Iterable[int]) -> str:
+        return self.tokens.decode(ids)
+
+
+@lru_cache(2)
+def tokens(path: str) -> Tokens:
+    return Tokens(path)
 
 
 @lru_cache(2)
@@ -191,16 +214,18 @@ def coder(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def blocks(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Slices of a batch with about ``most`` bytes each, so that memory does not follow the longest batch."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batch: pa.RecordBatch, text_col: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text each (one text alone where it is longer), so that what Python holds does not follow the batch."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(ends):
+        room = most + (int(ends[start - 1]) if start else 0)
+        end = max(start + 1, int(np.searchsorted(ends, room, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -208,35 +233,49 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()
 
 
+def _coded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+    wanted = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    fields = [T.StructField("doc_id", wanted.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*fields, T.StructField("decoded", T.StringType())] if decoded else fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(vocabulary)
+        for batch in batches:
+            for part in slices(batch):
+                ids, counts = c.encode_batch(as_bytes(part.column("text")))
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                columns = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+                if decoded:
+                    every, at = ids.tolist(), offsets.tolist()
+                    columns.append(pa.array([c.decode(every[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return wanted.mapInArrow(run, schema)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row, ids as the library gives them without adding special tokens.
 
     Null and empty texts have no ids; repeated rows are encoded alike; an
     empty table gives an empty result.
     """
-    wanted = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return _coded(docs, vocabulary, id_col, text_col, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(vocabulary)
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for a, b in blocks(texts):
-                ids, counts = c.encode_batch(texts[a:b])
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
 
-    return wanted.mapInArrow(run, T.StructType([T.StructField("doc_id", wanted.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+def code_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``encode_documents`` and the text that each row's ids stand for, in one pass over the rows."""
+    return _coded(docs, vocabulary, id_col, text_col, True)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its ids stand for; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(vocabulary)
+        t = tokens(vocabulary)
         for batch in batches:
-            column = batch.column(ids_col)
-            values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [c.decode(values[offsets[i] : offsets[i + 1]].tolist()) if column[i].is_valid else "" for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [t.decode(ids or ()) for ids in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))

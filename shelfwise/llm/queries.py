@@ -27,9 +27,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE)
-    decoded = bpe.decode_documents(encoded, BYTE_BPE)
-    return decoded.select(
+    return bpe.code_documents(documents(spark, sf_dir), BYTE_BPE).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256_hex(F.array_join("ids", ",")).alias("ids_sha256"),

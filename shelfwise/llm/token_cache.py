@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import as_bytes, blocks, coder
+from .bpe import as_bytes, coder, slices
 from .common import shared_dir
 
 CACHE_SCHEMA = T.StructType(
@@ -56,12 +56,9 @@ def encode_misses(misses: DataFrame, vocabulary: str, version: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary)
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for a, b in blocks(texts):
-                _, counts = c.encode_batch(texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("content_digest").slice(a, b - a), pa.array([version] * (b - a)), pa.array(counts, pa.int64())], CACHE_SCHEMA.names
-                )
+            for part in slices(batch):
+                _, counts = c.encode_batch(as_bytes(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("content_digest"), pa.array([version] * part.num_rows), pa.array(counts, pa.int64())], CACHE_SCHEMA.names)
 
     return misses.mapInArrow(run, CACHE_SCHEMA)
 

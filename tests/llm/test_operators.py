@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -242,7 +243,7 @@ def test_bpe_equals_the_library():
 
 
 def test_bpe_batches_and_bounded_memory():
-    own = bpe.ForcedBoundaryBPE(VOCABULARY, most_fragments=20)
+    own = bpe.ForcedBoundaryBPE(VOCABULARY, most_bytes=3_000)
     texts = [t.encode() for _, t, *_ in prose(40)] + [b"", b"a"]
     for _ in range(2):
         ids, counts = own.encode_batch(texts)
@@ -260,6 +261,19 @@ def test_bpe_tables(docs, none):
     rows = bpe.decode_documents(bpe.encode_documents(docs, VOCABULARY), VOCABULARY).collect()
     assert sorted((r["decoded"] for r in rows)) == sorted(t or "" for _, t, *_ in hard_rows())
     assert bpe.decode_documents(bpe.encode_documents(none, VOCABULARY), VOCABULARY).count() == 0
+    apart = {(r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in rows}
+    assert {(r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe.code_documents(docs, VOCABULARY).collect()} == apart
+    assert bpe.code_documents(none, VOCABULARY).count() == 0
+
+
+def test_slices_hold_every_row_once():
+    texts = ["a" * 10, None, "b" * 300, "", "c" * 60, "d" * 60, "é" * 20, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(8))], ["text", "n"])
+    for most in (1, 50, 120, 10_000):
+        parts = list(bpe.slices(batch, most=most))
+        assert [n for p in parts for n in p.column("n").to_pylist()] == list(range(8))
+        assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= most for p in parts)
+    assert list(bpe.slices(batch.slice(0, 0))) == []
 
 
 def test_token_cache(spark, docs, none, tmp_path, monkeypatch):
