@@ -42,9 +42,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the digest of the text that they decode to."""
-    encoded = bpe.encode_documents(docs, VOCABULARY)
-    decoded = bpe.decode_documents(encoded, VOCABULARY)
-    return decoded.select(
+    return bpe.code_documents(docs, VOCABULARY).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
