@@ -163,13 +163,19 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 break
             if letters and not at and digits > 3 and " " in words[i : j + 1]:
                 break
-            if v[-1].isalnum() and (digits >= 4 or at):
+            # Only addresses have letters.
+            if v[-1].isalnum() and (at or digits >= 4 and not letters):
                 out.append((i, j + 1))
     known = set(out)
     return out + [x for x in addresses(text, tokens) if x not in known]
 
 
-N_FEATURES = 24
+N_FEATURES = 29
+
+#: Calendar days, year first or last, and times of day.
+_DAY = re.compile(r"(?<![0-9])(?:(?:1[5-9]|20|21)[0-9]{2}([-. ])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])([-. ])(?:0?[1-9]|[12][0-9]|3[01])\2(?:1[5-9]|20|21)[0-9]{2})(?![0-9])")
+_CLOCK = re.compile(r"(?<![0-9:])(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?![0-9])")
+_YEAR = re.compile(r"(?:1[5-9]|20|21)[0-9]{2}")
 
 
 def span_features(s: str, before: str, after: str, mail: bool) -> np.ndarray:
@@ -206,6 +212,11 @@ def span_features(s: str, before: str, after: str, mail: bool) -> np.ndarray:
             after == "@" or before == "@" or (before in "-+." and before != ""),
             only and len(groups) == 1,
             only and n in (10, 11, 12) and len(groups) in (3, 4) and max(map(len, groups), default=0) <= 4,
+            only and bool(_DAY.search(s)),
+            only and bool(_CLOCK.search(s)),
+            only and bool(groups) and any(_YEAR.fullmatch(g) for g in (groups[0], groups[-1])),
+            only and ":" in s,
+            s.count("(") != s.count(")"),
         ],
         dtype=np.float64,
     )
@@ -324,7 +335,7 @@ def rewritten(text: str, span: Span, r: random.Random) -> tuple[str, Span] | Non
         d = _NOT_DIGIT.sub("", s)[-10:]
         if len(d) < 10:
             return None
-        s = r.choice(["({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}"]).format(d[:3], d[3:6], d[6:])
+        s = r.choice(["({}) {}-{}", "({}) {} {}", "{}-{}-{}", "{} {} {}", "{}.{}.{}"]).format(d[:3], d[3:6], d[6:])
     elif kind == "card":
         d = _NOT_DIGIT.sub("", s)
         s = r.choice([".", " - ", "-"]).join(d[i : i + 4] for i in range(0, len(d), 4))
@@ -336,9 +347,16 @@ def rewritten(text: str, span: Span, r: random.Random) -> tuple[str, Span] | Non
 def decoys(r: random.Random, n: int) -> list[str]:
     """Figures that are nobody's data: dates, times, prices, sizes and numbers of things."""
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    day = lambda: (r.choice(("19", "20")) + d(2), f"{r.randint(1, 12):02}", f"{r.randint(1, 28):02}")
+    date = lambda: r.choice("-. ").join(day() if r.random() < 0.6 else day()[::-1])
+    clock = lambda: f"{r.randint(0, 23):02}:{r.randint(0, 59):02}"
     shapes = (
-        lambda: f"on 20{d(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02} {r.randint(0, 23):02}:{d(1)}5 we",
-        lambda: f"from {r.randint(1, 28)}.{r.randint(1, 12)}.20{d(2)} to {r.randint(1, 28)}.{r.randint(1, 12)}.20{d(2)} the",
+        lambda: f"on {date()} {clock()} we",
+        lambda: f"on {date()} {clock()}:{r.randint(0, 59):02} and {date()} {clock()} we",
+        lambda: f"on {date()} we paid {d(4)}.{d(2)}",
+        lambda: f"at {clock()} {date()} and {clock()}-{clock()} the",
+        lambda: f"from {date()} to {date()} the",
+        lambda: f"in {day()[0]}-{day()[0]} {d(2)} and {day()[0]} {d(4)} of",
         lambda: f"total {d(4)}.{d(2)} of {d(5)}.{d(2)} in {d(3)} 000 000",
         lambda: f"order {r.randint(1, 9)}{d(10)} and version {d(1)}.{d(2)}.{d(1)} and",
         lambda: f"pages {d(3)}-{d(3)} of {d(2)} {d(3)}, {d(4)} x {d(4)} at",
@@ -381,7 +399,7 @@ def train(samples: list[str], epochs: int = 6, rate: float = 0.1, seed: int = 3,
         for s in spans:
             if (new := rewritten(text, s, r)) and len(spans) == 1:
                 cases.append((new[0], [new[1]]))
-    cases += [(x, []) for x in decoys(r, 80)]
+    cases += [(x, []) for x in decoys(r, 160)]
     laid = []
     for text, spans in cases:
         tokens, found, rows = laid_out(text, 0, len(text))

@@ -387,6 +387,11 @@ def test_field_adds_spans_and_keeps_base_ones(field):
     assert semicrf_pii.all_spans("on 2024-01-05 12:35 we paid 4500.20", field)[1] == []
 
 
+@pytest.mark.parametrize("text", ["from 1999-12-31 to 2000-01-01 there", "at 12:35:10 on 05.01.2024 it", "on 05-01-2024 10:00-12:30 we", "from 1914-1918 and 1939-1945", "in 2023 2024 2025 the", "done 2024-01-05 12-35 and", "log 2024-01-05T12:35:10 ok"])
+def test_dates_are_no_personal_data(field, text):
+    assert semicrf_pii.all_spans(text, field)[1] == []
+
+
 @pytest.mark.parametrize(
     "mail",
     [
