@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 #: Shelf order inside a location; missing values last, the id settles ties.
 SHELF_ORDER = ("call_number_type", "call_number_sort", "volume_sort", "copy_number", "item_id")
 
@@ -16,31 +18,31 @@ def _last_nulls(names: Sequence[str]) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def shelflist(items: DataFrame, order: Sequence[str] = SHELF_ORDER, location: str = "location_code", key: str = "item_id", lead: int = 0) -> DataFrame:
-    """(location_code, row_number from 0, item_id).
+def ranked(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), out: str = "row_number") -> DataFrame:
+    """Rows with their number from 0 in a total order, counted anew in every group (null is one).
 
-    Only key columns are sorted.  With ``lead`` a location is first cut into
-    stretches of equal type and equal leading characters of the sort key; each
-    is numbered for itself and moved by the counts of those before it, so that
-    one huge location is not one task.
+    One sort by ranges of (group, order) spreads a group of any size over all
+    tasks.  The sorted rows are stored with their place in their range; what
+    is counted after that is one row per group and range that it stands in.
     """
-    keys = items.select(location, *order)
-    if not lead:
-        w = Window.partitionBy(location).orderBy(*_last_nulls(order))
-        return keys.select(location, (F.row_number().over(w) - 1).cast("long").alias("row_number"), key)
-    cut = keys.withColumn("_piece", F.struct(F.col(order[0]).isNull(), order[0], F.col(order[1]).isNull(), F.substring(order[1], 1, lead)))
-    before = cut.groupBy(location, "_piece").agg(F.count("*").alias("_n"))
-    stretch = Window.partitionBy(location).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(stretch), F.lit(0)))
-    w = Window.partitionBy(location, "_piece").orderBy(*_last_nulls(order))
-    same = F.col(f"a.{location}").eqNullSafe(F.col(f"b.{location}")) & F.col("a._piece").eqNullSafe(F.col("b._piece"))
-    numbered = cut.withColumn("_nth", F.row_number().over(w))
-    return numbered.alias("a").join(before.alias("b"), same).select(f"a.{location}", (F.col("_before") + F.col("_nth") - 1).cast("long").alias("row_number"), key)
+    at = F.monotonically_increasing_id()  # the range in the high bits, the place in it in the low ones
+    placed = stored(df.orderBy(*_last_nulls(group), *order).withColumn("_at", at), "ranked")
+    runs = placed.groupBy(*group, F.shiftright("_at", 33).alias("_range")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group], F.shiftright("a._at", 33) == F.col("b._range"))
+    number = (F.col("_before") + F.col("_at") - F.col("_first")).cast("long").alias(out)
+    return placed.alias("a").join(runs.alias("b"), same).select(*[F.col(f"a.`{c}`") for c in df.columns], number)
+
+
+def shelflist(items: DataFrame, order: Sequence[str] = SHELF_ORDER, location: str = "location_code", key: str = "item_id") -> DataFrame:
+    """(location_code, row_number from 0, item_id); only key columns are sorted."""
+    return ranked(items.select(location, *order), _last_nulls(order), [location]).select(location, "row_number", key)
 
 
 def refresh_manifests(old: DataFrame, items: DataFrame, locations: Sequence[str]) -> DataFrame:
-    """Manifests of the given locations anew, all others as they were."""
-    touched = F.col("location_code").isin(*locations)
+    """Manifests of the given locations anew, all others (and a null one) as they were."""
+    touched = F.coalesce(F.col("location_code").isin(*locations), F.lit(False))
     return old.where(~touched).unionByName(shelflist(items.where(touched)))
 
 
@@ -51,9 +53,12 @@ def manifest_lookup(manifest: DataFrame, ids: DataFrame, key: str = "item_id") -
 
 def manifest_slice(manifest: DataFrame, first: int, last: int) -> DataFrame:
     """Rows from ``first`` to ``last`` inclusive in every location; negative numbers count from the end."""
-    sized = manifest.withColumn("_size", F.count("*").over(Window.partitionBy("location_code"))) if first < 0 or last < 0 else manifest.withColumn("_size", F.lit(0))
+    if first >= 0 and last >= 0:
+        return manifest.where(F.col("row_number").between(first, last))
+    sizes = manifest.groupBy("location_code").agg(F.count("*").alias("_size"))
     at = lambda n: F.lit(n) if n >= 0 else F.col("_size") + n
-    return sized.where(F.col("row_number").between(at(first), at(last))).drop("_size")
+    same = F.col("m.location_code").eqNullSafe(F.col("s.location_code"))
+    return manifest.alias("m").join(sizes.alias("s"), same).where(F.col("row_number").between(at(first), at(last))).select("m.*")
 
 
 def manifest_splice(manifest: DataFrame, values: DataFrame, offset: int | None = None) -> DataFrame:
@@ -66,10 +71,18 @@ def manifest_splice(manifest: DataFrame, values: DataFrame, offset: int | None =
     return manifest.join(new.select("row_number"), "row_number", "left_anti").select("row_number", "item_id").unionByName(new)
 
 
-def first_per_location(items: DataFrame, manifest: DataFrame, order: Sequence[str] = SHELF_ORDER) -> DataFrame:
-    """First item by shelf order in each location, and its row number in the whole location."""
-    first = items.groupBy("location_code").agg(F.min_by("item_id", F.struct(*[x for n in order for x in (F.col(n).isNull(), F.col(n))])).alias("item_id"), F.count("*").alias("n_items"))
-    return first.join(manifest, ["location_code", "item_id"], "left")
+def first_per_location(items: DataFrame, found: Column, order: Sequence[str] = SHELF_ORDER, key: str = "item_id") -> DataFrame:
+    """In each location the first item in shelf order of those that meet a condition, how many meet it, and the first's row number in the whole location.
+
+    The row number is a count of the items that stand before it: no location is sorted.
+    """
+    place = F.struct(*[x for n in order for x in (F.col(n).isNull(), F.col(n))])
+    rows = items.select("location_code", key, place.alias("_place"), F.coalesce(found, F.lit(False)).alias("_found"))
+    first = rows.where("_found").groupBy("location_code").agg(F.min(F.struct("_place", key)).alias("_least"), F.count("*").alias("n_items"))
+    same = F.col("i.location_code").eqNullSafe(F.col("f.location_code"))
+    before = rows.alias("i").join(first.alias("f"), same).groupBy("f.location_code").agg(F.count_if(F.struct("i._place", f"i.{key}") < F.col("f._least")).alias("row_number"))
+    same = F.col("f.location_code").eqNullSafe(F.col("b.location_code"))
+    return first.alias("f").join(before.alias("b"), same).select("f.location_code", F.col(f"f._least.{key}").alias(key), "f.n_items", "b.row_number")
 
 
 def order_items(links: DataFrame, parent: str, order: str, number: str) -> DataFrame:
@@ -118,18 +131,9 @@ def order_by(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str] | No
     return df.orderBy(*order_columns(keys, columns, tie))
 
 
-def numbered(df: DataFrame, order: Sequence[Column], stretches: Mapping[str, Column], stretch_order: Sequence[Column]) -> DataFrame:
-    """All rows with their ``position`` (from 0) in a total order.
-
-    ``stretches`` cut the order into pieces that follow each other by
-    ``stretch_order``; each is numbered from the counts of those before it.
-    """
-    cut = df.withColumns(dict(stretches))
-    before = F.sum("_n").over(Window.orderBy(*stretch_order).rowsBetween(Window.unboundedPreceding, -1))
-    counts = cut.groupBy(*stretches).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).select(*[F.col(k).alias(f"_of{k}") for k in stretches], "_before")
-    placed = cut.withColumn("_row", F.row_number().over(Window.partitionBy(*stretches).orderBy(*order)))
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in stretches])
-    return placed.join(counts, same).withColumn("position", F.col("_before") + F.col("_row") - 1).select(*df.columns, "position")
+def ordered_with_position(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str] | None = None, tie: str | None = None) -> DataFrame:
+    """W11 with the ``position`` (from 0) of every row."""
+    return ranked(df, order_columns(keys, columns, tie), out="position")
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 20, most: int = 500) -> tuple[DataFrame, dict]:

@@ -14,6 +14,7 @@ from ..operators import search as Q
 from ..operators import shelflist as W
 from ..operators.documents import call_number_fields
 from .registry import Registry
+from .views import busiest_sql
 
 reg = Registry()
 add = reg.add
@@ -88,17 +89,13 @@ def _numbers(c):
 _NUM_SQL = f"({_NUMBERS.replace('{part}', 'part')})"
 for _name, _key, _sql in (("N1_lc_key", K.lc_key, sql_lc), ("N2_dewey_key", K.dewey_key, sql_dewey), ("N3_sudoc_key", K.sudoc_key, sql_sudoc), ("N4_other_key", K.other_key, sql_other), ("N4_volume_key", K.volume_key, sql_volume)):
     add(_name, lambda c, k=_key: _numbers(c).select("p_partkey", k(F.col("cn")).alias("key")), f"SELECT p_partkey, {_sql('cn')} AS key FROM {_NUM_SQL}")
-_WORDS = "array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 12), ' ')"
-_heading = lambda: F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 12), " ")
-add("N5_facet_key", lambda c: c.documents.select("doc_id", K.facet_key(_heading()).alias("key")), f"SELECT doc_id, {sql_facet_key(_WORDS)} AS key FROM documents")
+add("N5_facet_key", lambda c: c.documents.select("doc_id", K.facet_key(F.col("text")).alias("key")), f"SELECT doc_id, {sql_facet_key('text')} AS key FROM documents")
 add("N6_search_key", lambda c: _numbers(c).select("p_partkey", K.search_key(F.col("cn")).alias("key")), f"SELECT p_partkey, {sql_steps('upper(cn)', K.SEARCH)} AS key FROM {_NUM_SQL}")
 add("N7_sort_key", lambda c: _numbers(c).select("p_partkey", K.sort_key(F.col("cn"), F.element_at(F.array(F.lit("lc"), F.lit("dewey"), F.lit("sudoc"), F.lit("unknown")), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("key")), f"SELECT p_partkey, {sql_sort_key('cn', 'kind')} AS key FROM (SELECT *, ['lc', 'dewey', 'sudoc', 'unknown'][p_partkey % 4 + 1] AS kind FROM {_NUM_SQL})")
-add("N8_keyed_facet", lambda c: c.documents.select("doc_id", K.keyed_facet(_heading()).alias("facet")), f"SELECT doc_id, {sql_facet_key(_WORDS)} || '!' || {_WORDS} AS facet FROM documents")
-add("N9_tidy", lambda c: c.documents.select("doc_id", K.tidy(F.substring("text", 1, 4000)).alias("tidy")), f"SELECT doc_id, {sql_steps('substr(text, 1, 4000)', K.PUNCTUATION)} AS tidy FROM documents")
-# The SQL of N5, N8, N9 and T1 reads the beginnings of texts; these read whole texts and are held against a small fixture.
-add("N5_facet_key_whole", lambda c: c.documents.select("doc_id", K.facet_key(F.col("text")).alias("key")))
-add("N8_keyed_facet_whole", lambda c: c.documents.select("doc_id", K.keyed_facet(F.col("text")).alias("facet")))
-add("N9_tidy_whole", lambda c: c.documents.select("doc_id", K.tidy(F.col("text")).alias("tidy")))
+add("N8_keyed_facet", lambda c: c.documents.select("doc_id", K.keyed_facet(F.col("text")).alias("facet")), f"SELECT doc_id, {sql_facet_key('text')} || '!' || text AS facet FROM documents")
+add("N9_tidy", lambda c: c.documents.select("doc_id", K.tidy(F.col("text")).alias("tidy")), f"SELECT doc_id, {sql_steps('text', K.PUNCTUATION)} AS tidy FROM documents")
+for _name in ("N5_facet_key", "N8_keyed_facet", "N9_tidy"):
+    reg.also(f"{_name}_whole", _name)
 add("N10_truncated", lambda c: c.documents.select("doc_id", K.truncated(F.regexp_replace("text", r"\s+", " "), 40, 120).alias("short")), r"SELECT doc_id, CASE WHEN length(t) <= 120 THEN t WHEN regexp_matches(p, '[^0-9A-Za-z_\s]\s') AND regexp_matches(p, '[^\p{L}\p{N}_\s]\s') THEN substr(t, 1, 39) || regexp_extract(p, '(?s)^(.*)[^0-9A-Za-z_\s]\s', 1) WHEN regexp_matches(p, '[^0-9A-Za-z_\s]\s') THEN substr(t, 1, 39) || regexp_extract(p, '(?s)^(.*)[^0-9A-Za-z_\s]\s', 1) WHEN regexp_matches(p, '\s') THEN substr(t, 1, 39) || regexp_extract(p, '(?s)^(.*\S|)\s', 1) ELSE substr(t, 1, 40) END AS short FROM (SELECT doc_id, t, substr(t, 40, 81) AS p FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents))")
 _LABEL_RULES = [("1$", "one", None), ("[02468]$", "even", "^.*1.$"), ("N_?1", "teen", "5$"), ("^NATION", "nation", "[37]$")]
 add("N11_label_code", lambda c: c.nation.select("n_nationkey", K.label_code(F.col("n_name"), _LABEL_RULES, "?").alias("code")), "SELECT n_nationkey, CASE WHEN regexp_matches(n_name, '1$') THEN 'one' WHEN regexp_matches(n_name, '[02468]$') AND NOT regexp_matches(n_name, '^.*1.$') THEN 'even' WHEN regexp_matches(n_name, 'N_?1') AND NOT regexp_matches(n_name, '5$') THEN 'teen' WHEN regexp_matches(n_name, '^NATION') AND NOT regexp_matches(n_name, '[37]$') THEN 'nation' ELSE '?' END AS code FROM nation")
@@ -175,20 +172,20 @@ def _keyed(c):
 _KEYED = f"SELECT *, {sql_sort_key('call_number', 'call_number_type')} AS call_number_sort, {sql_volume('volume')} AS volume_sort FROM f_items"
 _SHELF = f"SELECT location_code, row_number() OVER (PARTITION BY location_code ORDER BY call_number_type NULLS LAST, call_number_sort NULLS LAST, volume_sort NULLS LAST, copy_number NULLS LAST, item_id) - 1 AS row_number, item_id, status_code FROM ({_KEYED})"
 add("W1_shelflist", lambda c: W.shelflist(_keyed(c)), f"SELECT location_code, row_number, item_id FROM ({_SHELF})")
-add("W1_shelflist_in_pieces", lambda c: W.shelflist(_keyed(c), lead=8), f"SELECT location_code, row_number, item_id FROM ({_SHELF})")
+add("W1_shelflist_in_pieces", lambda c: W.shelflist(_keyed(c).repartition(64)), f"SELECT location_code, row_number, item_id FROM ({_SHELF})")
 
 
 def _w2(c):
     items = _keyed(c)
     old = W.shelflist(items).where("row_number < 3")
-    return W.refresh_manifests(old, items, ["nat6", "nat7"])
+    return W.refresh_manifests(old, items, c.busiest(2))
 
 
-add("W2_refresh_manifests", _w2, f"SELECT location_code, row_number, item_id FROM ({_SHELF}) WHERE row_number < 3 OR location_code IN ('nat6', 'nat7')")
+add("W2_refresh_manifests", _w2, f"SELECT location_code, row_number, item_id FROM ({_SHELF}) WHERE row_number < 3 OR location_code IN {busiest_sql(2)}")
 add("W3_manifest_lookup", lambda c: W.manifest_lookup(W.shelflist(_keyed(c)), c.items.where("copy_number = 2").select("item_id").unionByName(c.locations.select(F.col("location_code").alias("item_id")))), f"SELECT item_id, row_number FROM ({_SHELF}) JOIN (SELECT item_id FROM f_items WHERE copy_number = 2) USING (item_id) UNION ALL SELECT location_code, NULL FROM f_locations")
 add("W4_manifest_slice", lambda c: W.manifest_slice(W.shelflist(_keyed(c)), -4, -2), f"SELECT location_code, row_number, item_id FROM (SELECT *, count(*) OVER (PARTITION BY location_code) AS n FROM ({_SHELF})) WHERE row_number BETWEEN n - 4 AND n - 2")
-add("W5_manifest_splice", lambda c: W.manifest_splice(W.shelflist(_keyed(c)).where("location_code = 'nat6'"), c.locations.select(F.col("location_num").alias("position"), F.col("location_code").alias("item_id")).where("position < 5"), 10), f"SELECT row_number, item_id FROM ({_SHELF}) WHERE location_code = 'nat6' AND row_number NOT BETWEEN 10 AND 14 UNION ALL SELECT location_num + 10, location_code FROM f_locations WHERE location_num < 5")
-add("W6_first_per_location", lambda c: W.first_per_location(_keyed(c).where("status_code = 'R'"), W.shelflist(_keyed(c))), f"SELECT location_code, arg_min(item_id, row_number) AS item_id, count(*) AS n_items, min(row_number) AS row_number FROM ({_SHELF}) WHERE status_code = 'R' GROUP BY 1")
+add("W5_manifest_splice", lambda c: W.manifest_splice(W.shelflist(_keyed(c)).where(F.col("location_code") == c.busiest(1)[0]), c.locations.select(F.col("location_num").alias("position"), F.col("location_code").alias("item_id")).where("position < 5"), 10), f"SELECT row_number, item_id FROM ({_SHELF}) WHERE location_code IN {busiest_sql(1)} AND row_number NOT BETWEEN 10 AND 14 UNION ALL SELECT location_num + 10, location_code FROM f_locations WHERE location_num < 5")
+add("W6_first_per_location", lambda c: W.first_per_location(_keyed(c), F.col("status_code") == "R"), f"SELECT location_code, arg_min(item_id, row_number) AS item_id, count(*) AS n_items, min(row_number) AS row_number FROM ({_SHELF}) WHERE status_code = 'R' GROUP BY 1")
 add("W7_order_items", lambda c: W.order_items(c.items, "bib_num", "display_order", "item_id").select("bib_num", "item_id", "position"), "SELECT bib_num, item_id, row_number() OVER (PARTITION BY bib_num ORDER BY display_order NULLS LAST, item_id) - 1 AS position FROM f_items")
 add("W8_split_items", lambda c: W.split_items(c.items.groupBy("bib_num").agg(F.array_sort(F.collect_list("item_id")).alias("ids")), "ids").select("bib_num", F.array_join("first_items", "|").alias("first_items"), F.array_join("more_items", "|").alias("more_items"), "has_more"), "SELECT bib_num, array_to_string(list_slice(ids, 1, 3), '|') AS first_items, array_to_string(list_slice(ids, 4, 1000), '|') AS more_items, len(ids) > 3 AS has_more FROM (SELECT bib_num, list(item_id ORDER BY item_id) AS ids FROM f_items GROUP BY 1)")
 add("W9_fields_of", lambda c: W.fields_of(c.varfields, "d").select("record_num", F.array_join("contents", "^").alias("contents")), "SELECT record_num, string_agg(content, '^' ORDER BY occ_num) AS contents FROM f_varfields WHERE type_code = 'd' GROUP BY 1")
@@ -196,17 +193,9 @@ add("W9_first_field_of", lambda c: W.fields_of(c.varfields, "d", True), "SELECT
 add("W10_order_varfields", lambda c: W.order_varfields(c.varfields).select("record_num", "marc_tag", "occ_num", "place"), """
 WITH o AS (SELECT *, lag(type_code) OVER w AS before FROM f_varfields WHERE marc_tag IS NOT NULL WINDOW w AS (PARTITION BY record_num ORDER BY marc_tag, type_code, occ_num))
 SELECT record_num, marc_tag, occ_num, CAST((sum(CASE WHEN before IS NULL OR before <> type_code THEN 1 ELSE 0 END) OVER (PARTITION BY record_num ORDER BY marc_tag, type_code, occ_num) - 1) * 1000 + occ_num AS BIGINT) AS place FROM o""")
-add("W11_order_by", lambda c: W.order_by(c.items, ["-volume", "price"], tie="item_id").limit(50).select("item_id", "volume"), "SELECT item_id, volume FROM f_items ORDER BY volume DESC NULLS LAST, price NULLS LAST, item_id LIMIT 50")
-
-
-def _w11_whole(c):
-    prices = c.items.approxQuantile("price", [i / 64 for i in range(1, 64)], 0.005)
-    bucket = F.when(F.col("price").isNotNull(), F.size(F.filter(F.array(*map(F.lit, prices)), lambda p: p <= F.col("price"))) if prices else F.lit(0))
-    order = W.order_columns(["-volume", "price"], tie="item_id")
-    return W.numbered(c.items, order, {"_volume": F.col("volume"), "_bucket": bucket}, [F.col("_volume").desc_nulls_last(), F.col("_bucket").asc_nulls_last()]).select("item_id", "volume", "position")
-
-
-add("W11_order_by_whole", _w11_whole)
+_W11 = "SELECT item_id, volume, row_number() OVER (ORDER BY volume DESC NULLS LAST, price NULLS LAST, item_id) - 1 AS position FROM f_items"
+add("W11_order_by", lambda c: W.ordered_with_position(c.items, ["-volume", "price"], tie="item_id").select("item_id", "volume", "position"), _W11)
+add("W11_order_by_whole", lambda c: W.ordered_with_position(c.items.repartition(64), ["-volume", "price"], tie="item_id").select("item_id", "volume", "position"), _W11)
 
 
 def _w12(c):
@@ -219,16 +208,16 @@ add("W13_call_number_matches", lambda c: W.call_number_matches(_keyed(c).where("
 
 
 def _w14(c):
-    one = W.get_one(c.locations, location_code="nat6")
+    one = W.get_one(c.locations, location_code=c.busiest(1)[0])
     return c.items.where(F.col("location_code") == one["location_code"]).select("item_id", F.lit(one["label"]).alias("label"))
 
 
-add("W14_get_one", _w14, "SELECT item_id, label FROM f_items JOIN f_locations USING (location_code) WHERE location_code = 'nat6'")
+add("W14_get_one", _w14, f"SELECT item_id, label FROM f_items JOIN f_locations USING (location_code) WHERE location_code IN {busiest_sql(1)}")
 
 # --- arrays ---------------------------------------------------------------------------
 
-add("T1_combine_lists", lambda c: c.documents.select("doc_id", F.array_join(T.combine_lists(F.split(F.substring("text", 1, 80), "[ \n]"), F.array("lang", "source"), F.lit(None).cast("array<string>")), "|").alias("words")), "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_split_to_array(substr(text, 1, 80), '[ \\n]'), [lang, source]))), '|') AS words FROM documents")
-add("T1_combine_lists_whole", lambda c: c.documents.select("doc_id", F.array_join(T.combine_lists(F.split("text", "[ \n]"), F.array("lang", "source"), F.lit(None).cast("array<string>")), "|").alias("words")))
+add("T1_combine_lists", lambda c: c.documents.select("doc_id", F.array_join(T.combine_lists(F.split("text", "[ \n]"), F.array("lang", "source"), F.lit(None).cast("array<string>")), "|").alias("words")), "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_split_to_array(text, '[ \\n]'), [lang, source]))), '|') AS words FROM documents")
+reg.also("T1_combine_lists_whole", "T1_combine_lists")
 
 
 def _t2(c):
@@ -289,7 +278,13 @@ add("Q7_copy_fields", lambda c: Q.copy_fields(c.items.withColumn("tags", F.array
 
 _RULES = [U.Rule(("status_code",), {("R",): "returned", ("N",): "none"}), U.Rule(("item_type_code",), {(i,): "small" for i in range(1, 11)}), U.Rule(("status_code", "copy_number"), {("R", 1): "first returned"})]
 add("U1_apply_rules", lambda c: U.apply_rules(c.items.select("item_id", "status_code", "item_type_code", "copy_number"), _RULES, "other", "result").select("item_id", "result"), "SELECT item_id, CASE WHEN status_code = 'R' AND copy_number = 1 THEN 'first returned' WHEN item_type_code <= 10 THEN 'small' WHEN status_code = 'R' THEN 'returned' WHEN status_code = 'N' THEN 'none' ELSE 'other' END AS result FROM f_items")
-add("U2_requestable", lambda c: U.requestable(c.items.withColumn("status_code", F.lower("status_code")), ["nat6", "nat18"], [(7, "nat12")], storage="nat3", reading_room=["nat2"], finding_aid=["nat6"]).select("item_id", "requestability"), "SELECT item_id, CASE WHEN location_code = 'nat3' THEN 'jlf' WHEN location_code = 'nat2' THEN 'aeon' WHEN NOT (location_code IN ('nat6', 'nat18') OR lower(status_code) IN ('e','f','i','j','m','n','o','p','w','y','z') OR item_type_code IN (20, 29, 69, 74, 112) OR (item_type_code = 7 AND location_code = 'nat12')) THEN 'catalog' WHEN location_code = 'nat6' THEN 'finding_aid' END AS requestability FROM f_items")
+def _u2(c):
+    a, b, d, e, g = c.busiest(5)
+    return U.requestable(c.items.withColumn("status_code", F.lower("status_code")), [a, b], [(7, d)], storage=e, reading_room=[g], finding_aid=[a]).select("item_id", "requestability")
+
+
+_PLACE = "(SELECT location_code FROM f_busy WHERE place = {})"
+add("U2_requestable", _u2, f"SELECT item_id, CASE WHEN location_code = {_PLACE.format(4)} THEN 'jlf' WHEN location_code = {_PLACE.format(5)} THEN 'aeon' WHEN NOT (location_code IN {busiest_sql(2)} OR lower(status_code) IN ('e','f','i','j','m','n','o','p','w','y','z') OR item_type_code IN (20, 29, 69, 74, 112) OR (item_type_code = 7 AND location_code = {_PLACE.format(3)})) THEN 'catalog' WHEN location_code = {_PLACE.format(1)} THEN 'finding_aid' END AS requestability FROM f_items")
 
 
 def _members(c):

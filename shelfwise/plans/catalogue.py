@@ -24,12 +24,12 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First 20 items of a location whose call number starts with a prefix, in shelf order, with label and row number."""
+    """First 20 items of the location with most items whose call number starts with a prefix, in shelf order, with label and row number."""
     c = Catalogue(spark, sf_dir)
     items = documents.call_number_fields(c.items)
     manifest = shelflist.shelflist(items)
     fields = {"location": predicates.Field("location_code"), "number": predicates.Field("call_number_search", prepare=K.search_key)}
-    found = predicates.apply_filters(items, [("location", "exact", False, "nat6"), ("number", "startswith", False, "promo")], fields)
+    found = predicates.apply_filters(items, [("location", "exact", False, c.busiest(1)[0]), ("number", "startswith", False, "promo")], fields)
     labelled = joins.with_labels(found, c.locations, "location_code", "location_code", "label", "location_label")
     numbered = labelled.join(manifest.select("item_id", "row_number"), "item_id")
     return numbered.orderBy("row_number").limit(20).select("item_id", "call_number", "location_code", "location_label", F.col("row_number"))

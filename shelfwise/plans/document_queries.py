@@ -12,6 +12,7 @@ from ..sources import tables as S
 from ..streaming.incremental import incremental_load, latest
 from .analysis_queries import _SHELF, sql_facet_key, sql_sort_key, sql_steps, sql_volume
 from .registry import Registry
+from .views import busiest_sql
 
 reg = Registry()
 add = reg.add
@@ -191,10 +192,10 @@ add("D27_bib_documents", _d27, "SELECT p_partkey AS record_num, CASE WHEN p_part
 
 def _e1(c):
     data = c.items.where("copy_number = 2").select("item_id", F.when(F.col("status_code") == "R", None).otherwise("v2").alias("volume"))
-    return E.set_item_fields(c.items.select("item_id", "location_code", "volume", "status_code"), ["nat6", "nat7", "nat8"], data, {"status_code": "Z"})
+    return E.set_item_fields(c.items.select("item_id", "location_code", "volume", "status_code"), c.busiest(3), data, {"status_code": "Z"})
 
 
-add("E1_set_item_fields", _e1, "SELECT item_id, location_code, CASE WHEN location_code IN ('nat6', 'nat7', 'nat8') AND copy_number = 2 THEN CASE WHEN status_code = 'R' THEN NULL ELSE 'v2' END ELSE volume END AS volume, CASE WHEN location_code IN ('nat6', 'nat7', 'nat8') THEN 'Z' ELSE status_code END AS status_code FROM f_items")
+add("E1_set_item_fields", _e1, f"SELECT item_id, location_code, CASE WHEN location_code IN {busiest_sql(3)} AND copy_number = 2 THEN CASE WHEN status_code = 'R' THEN NULL ELSE 'v2' END ELSE volume END AS volume, CASE WHEN location_code IN {busiest_sql(3)} THEN 'Z' ELSE status_code END AS status_code FROM f_items")
 
 
 def _e2(c):
@@ -205,7 +206,7 @@ def _e2(c):
 _N = "'2024-05-01T00:00:00Z|@SYSTEMLOG-{0}|BATCH-PROCESS {1}'"
 add("E2_auto_notes", _e2, f"""SELECT item_id, CASE WHEN copy_number = 5 THEN 'own' ELSE concat_ws(chr(10), CASE WHEN copy_number = 2 THEN {_N.format('STATUS', 'cleared status')} WHEN status_code <> 'N' THEN {_N.format('STATUS', 'set status to N')} END,
 CASE WHEN status_code NOT IN ('R', 'b') AND status_code < 'a' THEN {_N.format('FLAG', 'cleared flag ')} || status_code END, {_N.format('FLAG', 'cleared flag a')}, CASE WHEN status_code <> 'R' THEN {_N.format('FLAG', 'set flag R')} END, {_N.format('FLAG', 'set flag b')}) END AS notes FROM f_items""")
-add("E3_clear_inventory", lambda c: E.clear_inventory(c.items.select("item_id", "location_code", "volume", "status_code"), ["nat6", "nat10"], ["volume", "status_code"]), "SELECT item_id, location_code, CASE WHEN location_code NOT IN ('nat6', 'nat10') THEN volume END AS volume, CASE WHEN location_code NOT IN ('nat6', 'nat10') THEN status_code END AS status_code FROM f_items")
+add("E3_clear_inventory", lambda c: E.clear_inventory(c.items.select("item_id", "location_code", "volume", "status_code"), c.busiest(2), ["volume", "status_code"]), f"SELECT item_id, location_code, CASE WHEN location_code NOT IN {busiest_sql(2)} THEN volume END AS volume, CASE WHEN location_code NOT IN {busiest_sql(2)} THEN status_code END AS status_code FROM f_items")
 
 
 def _patches(c):
@@ -232,7 +233,7 @@ def _e5(c):
 
 
 add("E5_patch_upsert", _e5, "SELECT c_custkey, CASE WHEN c_custkey % 10 > 0 AND c_custkey % 2 = 0 THEN 'renamed' WHEN c_custkey % 3 > 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 10 > 0 UNION ALL SELECT c_custkey, 'bad row', NULL FROM customer WHERE c_custkey % 10 = 0")
-add("E6_rebuild_manifests", lambda c: E.rebuild_manifests(D.call_number_fields(c.items), ["nat6", "nat10", "nowhere"]), f"SELECT location_code, row_number, item_id FROM ({_SHELF}) WHERE location_code IN ('nat6', 'nat10')")
+add("E6_rebuild_manifests", lambda c: E.rebuild_manifests(D.call_number_fields(c.items), [*c.busiest(2), "nowhere"]), f"SELECT location_code, row_number, item_id FROM ({_SHELF}) WHERE location_code IN {busiest_sql(2)}")
 
 
 def _e7(c):

@@ -23,5 +23,11 @@ class Registry:
         if sql is not None:
             self.sql[name] = duckdb_sql(sql)
 
+    def also(self, name: str, known: str) -> None:
+        """The query ``known`` under a further name."""
+        self.builds[name] = self.builds[known]
+        if known in self.sql:
+            self.sql[name] = self.sql[known]
+
     def queries(self) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return {name: (lambda spark, sf_dir, build=build: build(Catalogue(spark, sf_dir))) for name, build in self.builds.items()}

@@ -13,6 +13,7 @@ from ..operators import predicates as P
 from ..operators import select as R
 from ..sources import tables as S
 from .registry import Registry
+from .views import busiest_sql
 
 reg = Registry()
 add = reg.add
@@ -62,18 +63,12 @@ add("R7_number_range", lambda c: R.select_number_range(c.bibs, "b100", "b900", n
 
 
 def _bib_locations(c):
-    return c.bibs.join(c.locations, F.col("bib_num") % 25 == F.col("location_num")).where(F.col("bib_num") % 4 == 0).select("bib_num", "location_code")
-
-
-_BIB_LOCATIONS = "SELECT bib_num, location_code FROM f_bibs JOIN f_locations ON bib_num % 25 = location_num WHERE bib_num % 4 = 0"
-add("R8_by_location", lambda c: R.select_by_location(c.bibs, _bib_locations(c), c.items, ["nat6", "nat7"]).select("bib_num"), f"SELECT bib_num FROM f_bibs WHERE bib_num IN (SELECT bib_num FROM f_items WHERE location_code IN ('nat6', 'nat7')) OR bib_num IN (SELECT bib_num FROM ({_BIB_LOCATIONS}) WHERE location_code IN ('nat6', 'nat7'))")
-
-
-def _all_bib_locations(c):
     return c.bibs.join(c.locations, F.col("bib_num") % 25 == F.col("location_num")).select("bib_num", "location_code")
 
 
-add("R8_by_location_whole", lambda c: R.select_by_location(c.bibs, _all_bib_locations(c), c.items, ["nat6", "nat7"]).select("bib_num"))
+_BIB_LOCATIONS = "SELECT bib_num, location_code FROM f_bibs JOIN f_locations ON bib_num % 25 = location_num"
+add("R8_by_location", lambda c: R.select_by_location(c.bibs, _bib_locations(c), c.items, c.busiest(2)).select("bib_num"), f"SELECT bib_num FROM f_bibs WHERE bib_num IN (SELECT bib_num FROM f_items WHERE location_code IN {busiest_sql(2)}) OR bib_num IN (SELECT bib_num FROM ({_BIB_LOCATIONS}) WHERE location_code IN {busiest_sql(2)})")
+reg.also("R8_by_location_whole", "R8_by_location")
 add("R9_deletions", lambda c: R.deletions(c.bibs, "b").select("bib_num", F.col("deleted_date").cast("string").alias("deleted_on")), "SELECT bib_num, CAST(deleted_date AS VARCHAR) AS deleted_on FROM f_bibs WHERE deleted_date IS NOT NULL")
 add("R10_dnf_filter", lambda c: R.dnf_filter(c.lineitem, [[F.col("l_quantity") > 45, F.col("l_returnflag") == "R"], [F.col("l_discount") == 0.1, F.col("l_linenumber") == 1]]).groupBy("l_returnflag").agg(F.count("*").alias("n")), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE (l_quantity > 45 AND l_returnflag = 'R') OR (l_discount = 0.1 AND l_linenumber = 1) GROUP BY 1")
 add("R11_added_filters", lambda c: R.select_with_filters(c.lineitem, [F.col("l_quantity") < 10, F.col("l_linestatus") == "O", F.col("l_tax") > 0.02]).groupBy("l_linenumber").agg(F.count("*").alias("n")), "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity < 10 AND l_linestatus = 'O' AND l_tax > 0.02 GROUP BY 1")
@@ -90,25 +85,27 @@ add("R13_load_codes", _r13, "SELECT 'n' || n_nationkey AS id, 'Country' AS type,
 add("R15_key_ranges", lambda c: R.key_ranges(c.orders, "o_orderkey", 300), "SELECT CAST((rn - 1) // 300 AS BIGINT) AS range_no, min(k) AS first_key, max(k) AS last_key, count(*) AS n FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1")
 
 
-def _r16(c, condition="o_orderkey < 60"):
+def _r16(c):
     t = {"orders": c.orders, "customer": c.customer, "nation": c.nation, "lineitem": c.lineitem, "part": c.part}
-    roots = {"orders": c.orders.where(condition)}
+    roots = {"orders": c.orders.where("o_orderstatus = 'P'")}
     chains = [[("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey")], [("orders", "o_orderkey", "lineitem", "l_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey")]]
     found = R.harvest(roots, chains, t, {"orders": ["o_orderkey"], "customer": ["c_custkey"], "nation": ["n_nationkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "part": ["p_partkey"]})
     out = None
-    for name in ("orders", "customer", "nation", "part"):
-        part = found[name].select(F.lit(name).alias("table_name"), F.col(t[name].columns[0]).cast("long").alias("id"))
+    for name, id_col in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("nation", "n_nationkey"), ("lineitem", "l_orderkey"), ("part", "p_partkey")):
+        number = F.col("l_linenumber") if name == "lineitem" else F.lit(0)
+        part = found[name].select(F.lit(name).alias("table_name"), F.col(id_col).cast("long").alias("id"), number.cast("int").alias("number"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 add("R16_harvest", _r16, """
-WITH o AS (SELECT * FROM orders WHERE o_orderkey < 60), cu AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o))
-SELECT 'orders' AS table_name, o_orderkey AS id FROM o UNION ALL SELECT 'customer', c_custkey FROM cu
-UNION ALL SELECT 'nation', n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM cu)
-UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))""")
-# R16 starts from a fixed range of ids, as its SQL does; this one from a status, whose hits grow with the table.
-add("R16_harvest_whole", lambda c: _r16(c, "o_orderstatus = 'P'"))
+WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'P'), cu AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)),
+li AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
+SELECT 'orders' AS table_name, o_orderkey AS id, 0 AS number FROM o UNION ALL SELECT 'customer', c_custkey, 0 FROM cu
+UNION ALL SELECT 'nation', n_nationkey, 0 FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM cu)
+UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber FROM li
+UNION ALL SELECT 'part', p_partkey, 0 FROM part WHERE p_partkey IN (SELECT l_partkey FROM li)""")
+reg.also("R16_harvest_whole", "R16_harvest")
 
 # --- conditions -----------------------------------------------------------------
 
@@ -171,7 +168,7 @@ add("P13_keywords", lambda c: P.apply_filters(c.documents, [("text", "keywords",
 add("P14_negation", _items(("volume", "endswith", True, "1"), ("volume", "isnull", True, True)), _items_sql("NOT coalesce(suffix(volume, '1'), false) AND volume IS NOT NULL"))
 add("P15_any_match", _items(("flags", "exact", False, "x"), ("flags", "in", True, ["R"])), _items_sql("coalesce(list_contains(flags, 'x'), false) AND NOT coalesce(list_contains(flags, 'R'), false)"))
 add("P16_call_number", _items(("search", "startswith", False, "promo 1.")), _items_sql("coalesce(starts_with(call_number_search, 'PROMO1'), false)"))
-add("P17_base_filter", _items(("type", "exact", False, "Item"), ("place", "exact", False, "nat6")), _items_sql("location_code = 'nat6'"))
+add("P17_base_filter", lambda c: _items(("type", "exact", False, "Item"), ("place", "exact", False, c.busiest(1)[0]))(c), _items_sql(f"location_code IN {busiest_sql(1)}"))
 add("P18_exclude", lambda c: P.exclude(c.lineitem, [("flag", "exact", False, "R"), ("quantity", "gt", False, 10)], LINES).groupBy("l_linenumber").agg(F.count("*").alias("n")), "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity <= 10 GROUP BY 1")
 
 # --- projections ------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import load_table
 
@@ -51,12 +52,22 @@ UNION ALL
 SELECT p_partkey, 'd', '650', 1, '|a' || p_name || '|z' || p_type FROM {part} WHERE p_partkey % 2 = 0
 UNION ALL
 SELECT p_partkey, 'x', CAST(NULL AS VARCHAR(3)), 0, p_brand FROM {part} WHERE p_partkey % 4 = 0""",
+    "f_busy": """
+SELECT location_code, row_number() OVER (ORDER BY n DESC, location_code) AS place
+FROM (SELECT f.location_code, count(*) AS n
+      FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN f_locations f ON s.s_nationkey = f.location_num
+      GROUP BY f.location_code) b""",
     "f_events": "SELECT event_id, user_id AS record_num, ts AS updated_ts, event_type AS status_code, value, props FROM {events}",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages")
 
 
+def busiest_sql(n: int) -> str:
+    """SQL of the codes that ``Catalogue.busiest`` gives."""
+    return f"(SELECT location_code FROM f_busy WHERE place <= {n})"
+
+
 def prelude(sql: str) -> str:
     """WITH clauses of the views that ``sql`` names, and of those that these name."""
     names: list[str] = []
@@ -86,6 +97,10 @@ class Catalogue:
     def __init__(self, spark: SparkSession, directory: str):
         self._spark, self._directory = spark, directory
 
+    def busiest(self, n: int) -> list[str]:
+        """Codes of the ``n`` locations with most items."""
+        return [r["location_code"] for r in self.busy.where(F.col("place") <= n).orderBy("place").collect()]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return load_table(self._spark, self._directory, name)

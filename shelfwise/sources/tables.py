@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 SCHEMAS: dict[str, str] = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
     "pages": "page_id bigint, url string, html string",
@@ -20,9 +29,8 @@ SCHEMAS: dict[str, str] = {
 
 
 def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One source table; with its declared schema where there is one, so that no file is opened to infer it."""
-    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
-    return reader.parquet(f"{directory}/{name}.parquet")
+    """One source table with its declared schema, so that no file is opened to infer it."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def load_tables(spark: SparkSession, directory: str, names: Iterable[str]) -> dict[str, DataFrame]:
@@ -58,6 +66,15 @@ def rows_to_batch(df: DataFrame, flags: Mapping[str, str], map_col: str = "permi
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; in a local session without that setting, a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse; a temporary folder only where all run in one process."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = tempfile.gettempdir() if spark.sparkContext.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named.rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch path and read back, so that what follows reads what was written whatever executors are lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

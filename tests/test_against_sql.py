@@ -14,6 +14,10 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
+#: Queries whose answer on the smallest tables is empty by their conditions.
+EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -36,6 +40,7 @@ def test_query(spark, duck, name):
     answer = duck.sql(catalogue.oracle_sql()[name])
     assert sorted(answer.columns) == columns
     order = [answer.columns.index(c) for c in columns]
+    assert got or name in EMPTY
     assert got == sorted(tuple(plain(r[i]) for i in order) for r in answer.fetchall())
 
 
