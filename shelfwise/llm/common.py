@@ -16,12 +16,14 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse.
 
-    Only where that setting is absent (a local test session) a temporary
-    folder of this process stands in for it.
+    Only where all run in one process (a local session without that setting)
+    a temporary folder stands in for it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        named = spark.conf.get("spark.sql.warehouse.dir")
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -37,7 +39,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/shelfwise-llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shelfwise_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "shelfwise_path", None)
+        if path is not None:
+            context = t.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def hot_keys(rows: DataFrame, key: str, most: int = 1_000) -> DataFrame:
+    """Keys that hold more than one ``most``-th of all rows each, so at most ``most`` of them."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    return counts.where((F.col("n") * most > total) & (F.col("n") > 1)).select(key)
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Rows joined to ``table``, one row per binary ``key``, without all rows of one key meeting in one task.
+
+    What the table holds of the hot keys (``hot_keys``, a bounded number) is
+    broadcast; the rows it serves go to the shuffle of the others under keys
+    of their own.
+    """
+    others = [c for c in table.columns if c != key]
+    small = F.broadcast(table.join(F.broadcast(hot), key).select(F.col(key).alias("_hot"), F.struct(*others).alias("_found")))
+    own_way = F.unhex(F.sha2(F.monotonically_increasing_id().cast("string"), 256))
+    marked = rows.join(small, F.col(key) == F.col("_hot"), "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(own_way))
+    rest = table.select(F.col(key).alias("_key"), F.struct(*others).alias("_rest"))
+    both = marked.join(rest, "_key", "left").withColumn("_found", F.coalesce("_found", "_rest")).where("_found IS NOT NULL")
+    return both.select(*rows.columns, "_found.*")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

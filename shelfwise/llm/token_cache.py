@@ -1,9 +1,11 @@
 """Token counts behind a digest cache.
 
-The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens) in a
-folder that all executors share.  A run digests the normalised contents, joins
-them to the counts stored for this tokenizer version, encodes each distinct
-miss once, appends the new counts and joins all documents to the table.
+The cache is a Parquet table (content_digest, n_tokens), partitioned by
+tokenizer_digest, in a folder that all executors share.  A run digests the
+normalised contents, joins them to the counts stored for this tokenizer
+version, encodes each distinct miss once, appends the new counts and joins all
+documents to the table.  Any part of an append is a valid cache, and rows that
+two runs both append are read as one.
 """
 
 from __future__ import annotations
@@ -13,16 +15,15 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import as_bytes, coder, slices
-from .common import shared_dir
+from .common import hot_keys, join_spread, shared_dir
 
-CACHE_SCHEMA = T.StructType(
-    [T.StructField("content_digest", T.BinaryType()), T.StructField("tokenizer_digest", T.StringType()), T.StructField("n_tokens", T.LongType())]
-)
+CACHE_SCHEMA = T.StructType([T.StructField("content_digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
 
 def normalised(text: Column) -> Column:
@@ -40,17 +41,22 @@ def tokenizer_digest(vocabulary: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def read_cache(docs: DataFrame, cache_path: str, version: str) -> DataFrame | None:
+def _version_path(cache_path: str, version: str) -> str:
+    return f"{cache_path}/tokenizer_digest={version}"
+
+
+def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame | None:
     """Stored counts of one tokenizer version, one row per content; None before the first run."""
-    spark = docs.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    try:
+        rows = spark.read.schema(CACHE_SCHEMA).parquet(_version_path(cache_path, version))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version)
     return rows.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def encode_misses(misses: DataFrame, vocabulary: str, version: str) -> DataFrame:
+def encode_misses(misses: DataFrame, vocabulary: str) -> DataFrame:
     """(content_digest, text) to rows of the cache."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,11 +64,27 @@ def encode_misses(misses: DataFrame, vocabulary: str, version: str) -> DataFrame
         for batch in batches:
             for part in slices(batch):
                 _, counts = c.encode_batch(as_bytes(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("content_digest"), pa.array([version] * part.num_rows), pa.array(counts, pa.int64())], CACHE_SCHEMA.names)
+                yield pa.RecordBatch.from_arrays([part.column("content_digest"), pa.array(counts, pa.int64())], CACHE_SCHEMA.names)
 
     return misses.mapInArrow(run, CACHE_SCHEMA)
 
 
+def new_cache(spark: SparkSession) -> str:
+    """Path of a cache that nothing has been stored in."""
+    return f"{shared_dir(spark)}/shelfwise-llm/token-cache-{uuid.uuid4().hex}"
+
+
+def store_counts(docs: DataFrame, vocabulary: str, cache_path: str, text_col: str = "text") -> None:
+    """Encode each distinct content that the cache lacks for this tokenizer once, and append its count."""
+    version, text = tokenizer_digest(vocabulary), F.col(text_col)
+    contents = docs.select(content_digest(text).alias("content_digest"), normalised(text).alias("text"))
+    stored = read_cache(docs.sparkSession, cache_path, version)
+    if stored is not None:
+        contents = contents.join(stored, "content_digest", "left_anti")
+    misses = contents.groupBy("content_digest").agg(F.first("text").alias("text"))
+    encode_misses(misses, vocabulary).write.mode("append").parquet(_version_path(cache_path, version))
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, cache_path: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; appends what was missing to the cache.
 
@@ -70,15 +92,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache_path: str | None = None
     Null counts as empty: 0 bytes, 0 tokens.  Equal texts are encoded once,
     repeated rows all come back, an empty table gives an empty result.
     """
-    cache_path = cache_path or f"{shared_dir(docs.sparkSession)}/shelfwise-llm/token-cache-{uuid.uuid4().hex}"
-    version = tokenizer_digest(vocabulary)
-    text = F.col(text_col)
-    contents = docs.select(content_digest(text).alias("content_digest"), normalised(text).alias("text"))
-    stored = read_cache(docs, cache_path, version)
-    if stored is not None:
-        contents = contents.join(stored, "content_digest", "left_anti")
-    misses = contents.groupBy("content_digest").agg(F.first("text").alias("text"))
-    encode_misses(misses, vocabulary, version).write.mode("append").parquet(cache_path)
-    counts = read_cache(docs, cache_path, version)
+    spark, text = docs.sparkSession, F.col(text_col)
+    cache_path = cache_path or new_cache(spark)
+    store_counts(docs, vocabulary, cache_path, text_col)
+    counts = read_cache(spark, cache_path, tokenizer_digest(vocabulary))
     own = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(normalised(text)).cast("long").alias("n_bytes"), content_digest(text).alias("content_digest"))
-    return own.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    joined = join_spread(own, counts, "content_digest", hot_keys(own, "content_digest"))
+    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -14,6 +14,8 @@ from tokenizers import Tokenizer
 
 from shelfwise.llm import bigru_lang, bpe, decision_list, deleted_interpolation, license_scan, license_texts, media_chunks, semicrf_pii, setsketch, source_mix, token_cache
 
+from shelfwise.llm.common import hot_keys, join_spread
+
 from .fixtures import empty, frame, hard_rows, prose
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -288,6 +290,26 @@ def test_token_cache(spark, docs, none, tmp_path, monkeypatch):
     assert token_cache.count_tokens(more, VOCABULARY, cache).count() == len(hard_rows()) + 1
     assert spark.read.parquet(cache).count() == stored + 1
     assert token_cache.count_tokens(none, VOCABULARY).count() == 0
+    # What is stored is believed: no content that the cache holds is encoded again.
+    version = token_cache.tokenizer_digest(VOCABULARY)
+    false = spark.createDataFrame([(hashlib.sha256(b"something old").digest(), 777)], token_cache.CACHE_SCHEMA)
+    false.write.mode("append").parquet(f"{cache}/tokenizer_digest={version}")
+    old = frame(spark, [(60, "something old", None, None, 0), (61, "something old", None, None, 0), (62, "something else", None, None, 0)])
+    assert [r["n_tokens"] for r in token_cache.count_tokens(old, VOCABULARY, cache).orderBy("doc_id").collect()] == [777, 777, 2]
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_cache.read_cache(spark, cache, "another version") is None and token_cache.read_cache(spark, cache, token_cache.tokenizer_digest(other)) is not None
+
+
+def test_spread_join_loses_and_adds_nothing(spark):
+    keys = [None if k % 50 == 7 else (b"hot" if k % 3 == 0 else f"k{k % 400}".encode()) for k in range(3000)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(keys)], "id int, key binary").repartition(5)
+    table = spark.createDataFrame([(x, i) for i, x in enumerate(sorted({x for x in keys if x and x != b"k11"}))], "key binary, v int")
+    value = {bytes(r["key"]): r["v"] for r in table.collect()}
+    hot = hot_keys(rows, "key", most=100)
+    assert [bytes(r["key"]) for r in hot.collect() if r["key"]] == [b"hot"]
+    got = sorted((r["id"], r["v"]) for r in join_spread(rows, table, "key", hot).collect())
+    assert got == [(k, value[x]) for k, x in enumerate(keys) if x in value]
+    assert join_spread(rows.where("false"), table, "key", hot_keys(rows.where("false"), "key")).count() == 0
 
 
 # 5 -------------------------------------------------------------------------------
@@ -514,6 +536,17 @@ def test_media_read_back(spark, none):
     assert media_chunks.read_media(*media_chunks.store_media(none)).count() == 0
 
 
+def test_a_full_filter_only_moves_chunks(spark):
+    docs = frame(spark, hard_rows() + prose(20))
+    texts = media_chunks.waves(docs)
+    key = lambda rows: sorted((r["payload_sha256"], r["media_sha256"], r["n_bytes"]) for r in rows)
+    want = key(media_chunks.read_media(*media_chunks.store_media(docs)).collect())
+    packs = media_chunks.packed_media(texts, np.full(16, 2**64 - 1, np.uint64)).cache()
+    chunks = packs.select(F.explode("shared").alias("c")).select("c.digest", "c.bytes").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    assert packs.where("whole").count() == 0 and key(media_chunks.read_media(packs, chunks).collect()) == want
+    assert [media_chunks.filter_bits(n) for n in (0, 100, 10**6, 10**12)] == [10, 11, 24, 27]
+
+
 def test_damaged_media_are_noticed(spark):
     packs, chunks = media_chunks.store_media(frame(spark, prose(3)))
     bad = packs.withColumn("media_sha256", F.lit("0" * 64))
