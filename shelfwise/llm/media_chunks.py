@@ -5,8 +5,9 @@ a rolling gear hash meets a mask, so that equal stretches give equal chunks
 wherever they stand.  Chunks are named by digest.  Digests that occur more than
 once are found by a Spark aggregation over digests alone; their bytes go once
 into a shared chunk table, while all other chunks stay packed in the row of
-their medium.  What a map task needs to know of the shared digests is a Bloom
-filter of fixed size; a false positive only moves a chunk to the shared table.
+their medium.  What a map task knows of the shared digests is a Bloom filter,
+sized by their number up to ``MOST_FILTER_BITS``; a false positive only moves a
+chunk to the shared table, which all are in the end when the filter is full.
 Reading back joins the ordered chunk lists to that table, concatenates, and
 verifies the digest of the whole medium.
 """
@@ -25,13 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import as_bytes
-from .common import materialize
+from .common import discard, hot_keys, join_spread, materialize
 
 UNIT = 192  # bytes that a payload is a multiple of
 HEADER = 44
 LEAST, MOST, MASK_BITS = 256, 8192, 10
-FILTER_BITS = 24  # the filter has 2 ** FILTER_BITS bits, whatever the number of digests
+#: The filter has a power of two of bits, BITS_PER_DIGEST for each digest or little more, and never more than 2 ** MOST_FILTER_BITS (16 MB).
+BITS_PER_DIGEST, MOST_FILTER_BITS = 12, 27
+_PLACES = 3
 _ROWS = 400
+#: Digests that a task remembers to have handed over; one that it forgot is handed over again.
+_MOST_GIVEN = 200_000
 
 
 def payload_of(text: bytes) -> bytes:
@@ -88,6 +93,11 @@ def _key(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True)
 
 
+def filter_bits(n: int) -> int:
+    """log2 of the bits of a filter for ``n`` digests."""
+    return min(MOST_FILTER_BITS, max(10, (BITS_PER_DIGEST * n - 1).bit_length()))
+
+
 def describe(wave: bytes) -> tuple[int, str, int, int, str, str]:
     """(payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored bytes."""
     p = samples_of(wave)
@@ -108,37 +118,40 @@ def waves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 
-def shared_filter(texts: DataFrame) -> list[tuple[int, int]]:
-    """Bloom filter of the chunk digests that occur more than once, as (number, bits) of its 64-bit words."""
+def shared_filter(texts: DataFrame) -> np.ndarray:
+    """Bloom filter of the chunk digests that occur more than once, as 64-bit words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [digest(c) for t in as_bytes(batch.column("text")) for c in chunked(as_wave(payload_of(t)))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(map(_key, found), pa.int64())], ["digest", "key"])
+            for at in range(0, batch.num_rows, _ROWS):
+                found = [digest(c) for t in as_bytes(batch.column("text").slice(at, _ROWS)) for c in chunked(as_wave(payload_of(t)))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(map(_key, found), pa.int64())], ["digest", "key"])
 
     again = texts.select("text").mapInArrow(run, "digest binary, key bigint").groupBy("digest").agg(F.count("*").alias("n"), F.first("key").alias("key")).where("n > 1")
-    bits = (1 << FILTER_BITS) - 1
-    place = F.explode(F.array(*[F.shiftrightunsigned("key", 20 * i).bitwiseAND(F.lit(bits)) for i in range(3)])).alias("at")
-    words = again.select(place).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    return [(r["word"], r["bits"]) for r in words.collect()]
+    again = materialize(again.select("key"), "media-repeated")
+    bits = filter_bits(again.count())
+    places = [F.shiftrightunsigned("key", 18 * i).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(_PLACES)]
+    words = again.select(F.explode(F.array(*places)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    found = words.toArrow()  # at most 2 ** (MOST_FILTER_BITS - 6) rows of 16 bytes
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    discard(again)
+    return out
 
 
-def packed_media(texts: DataFrame, words: list[tuple[int, int]]) -> DataFrame:
+def packed_media(texts: DataFrame, words: np.ndarray) -> DataFrame:
     """One row per document: its chunk list, its own chunks' bytes, and the shared chunks that its task meets first."""
-    spread = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    if words:
-        w = np.array(words, dtype=np.int64)
-        spread[w[:, 0]] = w[:, 1].view(np.uint64)
-    sent = texts.sparkSession.sparkContext.broadcast(spread)  # 2 ** (FILTER_BITS - 3) bytes
+    sent = texts.sparkSession.sparkContext.broadcast(words)  # 2 ** (MOST_FILTER_BITS - 3) bytes at most
+    last = 64 * len(words) - 1
     chunk = pa.struct([("digest", pa.binary()), ("bytes", pa.binary())])
     item = pa.struct([("digest", pa.binary()), ("size", pa.int64()), ("shared", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, bits, given = sent.value, (1 << FILTER_BITS) - 1, set()
+        filled, given = sent.value, set()
 
         def met(d: bytes) -> bool:
             k = _key(d) & 0xFFFFFFFFFFFFFFFF
-            return all(int(filled[(p := k >> 20 * i & bits) >> 6]) >> (p & 63) & 1 for i in range(3))
+            return all(int(filled[(p := k >> 18 * i & last) >> 6]) >> (p & 63) & 1 for i in range(_PLACES))
 
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
@@ -155,8 +168,9 @@ def packed_media(texts: DataFrame, words: list[tuple[int, int]]) -> DataFrame:
                             own.append(c)
                         elif d not in given:
                             shared.append({"digest": d, "bytes": c})
-                            if len(given) < 1_000_000:
-                                given.add(d)
+                            if len(given) >= _MOST_GIVEN:
+                                given.clear()
+                            given.add(d)
                     for column, value in zip(rows, (len(t), hashlib.sha256(media).hexdigest(), listed, b"".join(own), shared), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
@@ -228,7 +242,7 @@ def read_media(packs: DataFrame, chunks: DataFrame) -> DataFrame:
     some = packs.where("NOT whole")
     once = some.groupBy("media_sha256").agg(F.min("row").alias("row"), F.min_by("chunks", "row").alias("chunks"))
     wanted = once.select("row", F.explode("chunks").alias("c")).where("c.shared").select("row", "c.digest").distinct()
-    fetched = wanted.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "bytes")).alias("shared"))
+    fetched = join_spread(wanted, chunks, "digest", hot_keys(wanted, "digest")).groupBy("row").agg(F.collect_list(F.struct("digest", "bytes")).alias("shared"))
     joined = some.drop("shared").join(fetched, "row")
     described = read_back(joined, "row").drop("row")
     return direct.unionByName(some.select("doc_id", "n_bytes", "media_sha256").join(described, "media_sha256").select("doc_id", "n_bytes", *columns))
