@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -214,11 +214,11 @@ def coder(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def slices(batch: pa.RecordBatch, text_col: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each (one text alone where it is longer), so that what Python holds does not follow the batch."""
+def slices(batch: pa.RecordBatch, columns: Sequence[str] = ("text",), most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes in some columns each (one row alone where it has more), so that what Python holds does not follow the batch."""
     if not batch.num_rows:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     ends = np.cumsum(sizes)
     start = 0
     while start < len(ends):

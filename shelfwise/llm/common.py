@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters outside the six ASCII blanks (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,27 +55,29 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def hot_keys(rows: DataFrame, key: str, most: int = 1_000) -> DataFrame:
-    """Keys that hold more than one ``most``-th of all rows each, so at most ``most`` of them."""
+def hot_keys(rows: DataFrame, key: str, most: int = 1_000) -> list[tuple]:
+    """(key, parts): into how many parts the rows of a key are split that holds more than one ``most``-th of all rows; at most ``most`` keys and twice as many parts."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     total = rows.count()
-    return counts.where((F.col("n") * most > total) & (F.col("n") > 1)).select(key)
+    large = counts.where((F.col("n") * most > total) & (F.col("n") > 100) & F.col(key).isNotNull())
+    return [(r[0], r[1]) for r in large.select(key, F.ceil(F.col("n") * most / total).cast("int").alias("parts")).collect()]
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Rows joined to ``table``, one row per binary ``key``, without all rows of one key meeting in one task.
+def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: list[tuple], how: str = "inner") -> DataFrame:
+    """Rows joined to ``table`` by ``key`` without all rows of a hot key (``hot_keys``) meeting in one task.
 
-    What the table holds of the hot keys (``hot_keys``, a bounded number) is
-    broadcast; the rows it serves go to the shuffle of the others under keys
-    of their own.
+    The rows of a hot key are dealt over its parts, and what the table holds
+    of it is repeated once for each part.
     """
-    others = [c for c in table.columns if c != key]
-    small = F.broadcast(table.join(F.broadcast(hot), key).select(F.col(key).alias("_hot"), F.struct(*others).alias("_found")))
-    own_way = F.unhex(F.sha2(F.monotonically_increasing_id().cast("string"), 256))
-    marked = rows.join(small, F.col(key) == F.col("_hot"), "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(own_way))
-    rest = table.select(F.col(key).alias("_key"), F.struct(*others).alias("_rest"))
-    both = marked.join(rest, "_key", "left").withColumn("_found", F.coalesce("_found", "_rest")).where("_found IS NOT NULL")
-    return both.select(*rows.columns, "_found.*")
+    if not hot:
+        return rows.join(table, key, how)
+    spark, kind = rows.sparkSession, rows.schema[key].dataType
+    schema = T.StructType([T.StructField("_hot", kind), T.StructField("_parts", T.IntegerType())])
+    parts = F.broadcast(spark.createDataFrame(hot, schema))  # a bounded number of keys
+    n = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), n).cast("int")).drop("_hot", "_parts")
+    repeated = table.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_hot", "_parts")
+    return dealt.join(repeated, [key, "_part"], how).drop("_part")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

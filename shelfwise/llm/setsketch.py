@@ -8,8 +8,9 @@ with equal sets form a class at once.  Runs of register values are bands; the
 members of a bucket of equal bands are tried against its most central member only, a
 likelihood of both sketches and sizes drops the hopeless, and the others are
 confirmed on the full sets.  Members of one pivot that are then still in
-several components are paired by the items in which they differ from the pivot;
-pairs inside a component cannot change the result and are left out.
+several components are paired by the rarest items in which they differ from the
+pivot; pairs inside a component cannot change the result and are left out.
+Rows of a pivot or band that holds many are split wherever they are joined.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import as_bytes
-from .common import materialize
+from .bpe import as_bytes, slices
+from .common import discard, hot_keys, join_spread, materialize
 
 #: Registers: BANDS bands of ROWS; scale after the published recommendation for 16-bit registers.
 BANDS, ROWS = 32, 5
@@ -109,6 +110,11 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
     return _GRID[value.argmax(1)]
 
 
+def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """Sets of a binary column, where they lie."""
+    return (np.frombuffer(x.as_buffer(), np.uint64) for x in column)
+
+
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, digest, sketch, bands) of every row; without words n is 0 and the rest null."""
     wanted = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -119,8 +125,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch):
                 n, digests, drawn, bands = [], [], [], []
                 for t in as_bytes(part.column("text")):
                     s = shingler.set_of(t)
@@ -137,7 +142,8 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 def plausible(pairs: DataFrame, drawn: DataFrame, least: float, slack: float = 0.15) -> DataFrame:
     """Pairs (a, b) whose most likely similarity is at least ``least - slack`` (over four standard errors)."""
     side = lambda s: drawn.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
+    pairs = pairs.select("a", "b")
+    met = join_spread(join_spread(pairs, side("a"), "a", hot_keys(pairs, "a")), side("b"), "b", hot_keys(pairs, "b")).where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +167,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, width: int, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch):
                 rows = [(i, s.tobytes()) for i, t, want in zip(part.column("rep").to_pylist(), as_bytes(part.column("text")), part.column("want").to_pylist(), strict=True) if xxhash.xxh3_128_digest((s := shingler.set_of(t)).tobytes()) == want]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["rep", "items"])
 
@@ -171,15 +176,15 @@ def full_sets(docs: DataFrame, reps: DataFrame, width: int, id_col: str = "doc_i
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * common >= percent * union on the full sets."""
-    met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("ib")), "b")
+    pairs = pairs.select("a", "b")
+    met = join_spread(pairs, sets.select(F.col("rep").alias("a"), F.col("items").alias("ia")), "a", hot_keys(pairs, "a"))
+    met = join_spread(met, sets.select(F.col("rep").alias("b"), F.col("items").alias("ib")), "b", hot_keys(pairs, "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, ("ia", "ib")):
                 keep = []
-                for x, y in zip(part.column("ia").to_pylist(), part.column("ib").to_pylist(), strict=True):
-                    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                for u, v in zip(_sets(part.column("ia")), _sets(part.column("ib")), strict=True):
                     both = len(np.intersect1d(u, v, assume_unique=True))
                     keep.append(100 * both >= percent * (len(u) + len(v) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -187,18 +192,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def differences(group: DataFrame, sets: DataFrame) -> DataFrame:
+def differences(group: DataFrame, sets: DataFrame, hot: list[tuple]) -> DataFrame:
     """``group`` (pivot, rep, root, apart, top) with n, the size of the set, common, what it shares with the pivot's, and added, its items that the pivot lacks."""
-    met = group.join(sets.select(F.col("rep").alias("pivot"), F.col("items").alias("ip")), "pivot").join(sets.select("rep", "items"), "rep")
+    met = join_spread(group, sets.select(F.col("rep").alias("pivot"), F.col("items").alias("ip")), "pivot", hot)
+    met = join_spread(met, sets.select("rep", "items"), "rep", hot_keys(group, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, ("ip", "items")):
                 n, common, added = [], [], []
-                for x, y in zip(part.column("ip").to_pylist(), part.column("items").to_pylist(), strict=True):
-                    own = np.frombuffer(y, np.uint64)
-                    rest = np.setdiff1d(own, np.frombuffer(x, np.uint64), assume_unique=True)
+                for x, own in zip(_sets(part.column("ip")), _sets(part.column("items")), strict=True):
+                    rest = np.setdiff1d(own, x, assume_unique=True)
                     n.append(len(own))
                     common.append(len(own) - len(rest))
                     added.append(rest.view(np.int64))
@@ -208,14 +212,22 @@ def differences(group: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "pivot bigint, rep bigint, root bigint, apart boolean, top bigint, n bigint, common bigint, added array<bigint>")
 
 
-def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
+def crossing_pairs(members: DataFrame, percent: int, hot: list[tuple]) -> DataFrame:
     """Pairs (a, b) of one pivot's members in two components that can still be linked; none that can is left out.
 
-    Two linked sets x, y share at least percent / (100 + percent) of |x| + |y|
-    items.  Either one of these is no item of the pivot, so both have it among
-    their added ones, or all are, so |y| is bounded by what x shares with the
-    pivot and |x| by what y does.  x is not in the pivot's component and so
-    shares little with it: the second case leaves a narrow range of sizes.
+    Two linked sets x, y share at least percent / 100 of the larger one's
+    items.  Either some of these are no items of the pivot, or all are.
+
+    In the first case both have such an item among the rarest ones that they
+    add to the pivot: with k items to be shared and at most ``common`` of them
+    the pivot's, the others being ordered alike, it stands among the first
+    n - k + 1 (prefix filtering).  Items that all their holders of one pivot
+    have in one component lead to no pair.
+
+    In the second case what each shares with the pivot bounds what they can
+    share, so both are all but contained in the pivot and about as large:
+    these meet by pivot and step of size, large groups of them in parts.
+
     Two members whose most central pivot (top) is the same meet there and
     nowhere else; a member and its top have met already.
     """
@@ -224,11 +236,25 @@ def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
     apart = (F.col("rx") != F.col("ry")) & here & (F.col("x") != F.col("ty")) & (F.col("y") != F.col("tx"))
     once = F.col("whole") | (F.col("x") < F.col("y"))
     sizes = (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
-    x, y = members.where("apart"), members.withColumn("whole", ~F.col("apart"))
-    item = F.explode("added").alias("item")
-    by_item = x.select("pivot", item, *side("x")).join(y.select("pivot", item, "whole", *side("y")), ["pivot", "item"]).where(apart & once & sizes)
+    least = F.ceil(percent * F.col("n") / 100).cast("long")
+
+    added = members.select("pivot", "rep", "root", "apart", "n", "common", "top", F.explode("added").alias("item"))
+    holders = added.groupBy("pivot", "item").agg(F.count("*").alias("held"), (F.min("root") != F.max("root")).alias("_two"), F.bool_or("apart").alias("_any"))
+    # Rare items first; a set's items that none can share take their places in that order too.
+    by_rarity = Window.partitionBy("pivot", "rep").orderBy("held", "item")
+    ranked = added.join(holders, ["pivot", "item"]).withColumn("_nth", F.row_number().over(by_rarity)).where(F.col("_nth") <= F.col("n") - least + 1)
+    first = materialize(ranked.where("_two AND _any").drop("held", "_two", "_any", "_nth"), "near-rarest")
+    y = first.select("pivot", "item", (~F.col("apart")).alias("whole"), *side("y"))
+    by_item = first.where("apart").select("pivot", "item", *side("x")).join(y, ["pivot", "item"]).where(apart & once & sizes)
+
     enough = lambda c: percent * (F.col("nx") + F.col("ny")) <= (100 + percent) * F.col(c)
-    by_size = x.select("pivot", *side("x")).join(y.select("pivot", "whole", *side("y")), "pivot").where(apart & once & sizes & enough("cx") & enough("cy"))
+    inside = members.where(F.col("common") >= least).withColumn("step", F.floor(F.log(F.greatest("n", F.lit(1))) / (max(math.log(100 / percent), 1e-9) * (1 + 1e-7))).cast("int"))
+    many = F.broadcast(members.sparkSession.createDataFrame(hot or [(-1, 1)], "pivot bigint, parts int"))  # a bounded number of pivots
+    inside = inside.drop("added").join(many, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    steps = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
+    x = inside.where("apart").select("pivot", "parts", steps, *side("x")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    y = inside.select("pivot", "step", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), (~F.col("apart")).alias("whole"), *side("y"))
+    by_size = x.drop("parts").join(y, ["pivot", "step", "part"]).where(apart & once & sizes & enough("cx") & enough("cy"))
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     return by_item.select(*pair).unionByName(by_size.select(*pair)).distinct()
 
@@ -246,22 +272,32 @@ def components(edges: DataFrame, name: str = "near") -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy("a").agg(F.min(order("b")).alias("best")).select(F.col("a").alias("node"), F.least(F.col("best"), order("a"))["v"].alias("root"))
-        step = materialize(step, f"{name}-step")
+        step, old = materialize(step, f"{name}-step"), (edges, roots)
         if roots is None:
             roots = step
         else:  # a node that this round leaves alone keeps its root
-            roots = materialize(
-                roots.alias("r").join(step.alias("s"), F.col("r.root") == F.col("s.node"), "left").select("r.node", F.coalesce("s.root", "r.root").alias("root")), f"{name}-roots"
-            )
+            at = step.select(F.col("node").alias("root"), F.col("root").alias("new"))
+            moved = join_spread(roots, at, "root", hot_keys(roots, "root"), "left")
+            roots = materialize(moved.select("node", F.coalesce("new", "root").alias("root")), f"{name}-roots")
         to = lambda s: step.select(F.col("node").alias(s), F.col("root").alias(f"r{s}"))  # noqa: E731, B023
-        edges = materialize(edges.join(to("a"), "a").join(to("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-edges")
+        drawn = join_spread(join_spread(edges, to("a"), "a", hot_keys(edges, "a")), to("b"), "b", hot_keys(edges, "b"))
+        edges = materialize(drawn.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-edges")
+        discard(*old, *([] if step is roots else [step]))
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots
 
 
-def _with_roots(rows: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:
-    return rows.join(roots.select(F.col("node").alias(column), F.col("root").alias(out)), column, "left").withColumn(out, F.coalesce(out, column))
+def _with_roots(rows: DataFrame, roots: DataFrame, column: str, out: str, hot: list[tuple] | None = None) -> DataFrame:
+    known = roots.select(F.col("node").alias(column), F.col("root").alias(out))
+    return join_spread(rows, known, column, hot_keys(rows, column) if hot is None else hot, "left").withColumn(out, F.coalesce(out, column))
+
+
+def _large(sizes: DataFrame, most: int = 1_000) -> list[tuple]:
+    """``hot_keys`` of bands from their sizes."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    large = sizes.where((F.col("size") * most > total) & (F.col("size") > 100)).select("band", F.ceil(F.col("size") * most / F.greatest(F.lit(total), F.lit(1))).cast("int"))
+    return [(r[0], r[1]) for r in large.collect()]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,39 +319,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # An id that stands on several texts ties their classes together.
     first_rep = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same_id = first_rep.join(member, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    # Bands that several classes have, and of each its pivot: the class that stands in the fullest bands is the likeliest to be near all others.
     places = reps.select("rep", F.explode("bands").alias("band"))
     sizes = materialize(places.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "near-buckets")
-    placed = materialize(places.join(sizes, "band"), "near-placed")
-    # The member that stands in the fullest buckets is the likeliest to be near all others: it is the bucket's pivot.
+    placed = materialize(join_spread(places, sizes, "band", large_bands := _large(sizes)), "near-placed")
     central = placed.groupBy("rep").agg(F.sum("size").alias("central"))
-    pivots = placed.select("band", "rep").join(central, "rep").groupBy("band").agg(F.max(F.struct("central", (-F.col("rep")).alias("m"), "rep")).alias("p"))
-    placed = materialize(placed.join(pivots.select("band", F.col("p.rep").alias("pivot"), F.col("p.central").alias("central")), "band"), "near-pivots")
-    stars = placed.where("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.max("central").alias("central"))
+    by_band = placed.select("band", "rep").join(central, "rep")
+    pivots = by_band.groupBy("band").agg(F.max(F.struct("central", (-F.col("rep")).alias("m"), "rep")).alias("p")).select("band", F.col("p.rep").alias("pivot"), F.col("p.central").alias("central"))
+    # One row per pivot and member, whatever number of bands they share.
+    under = join_spread(placed.select("band", "rep"), pivots, "band", large_bands).where("rep <> pivot").groupBy("pivot", "rep").agg(F.max("central").alias("central"))
+    under = materialize(under, "near-pivots")
+    discard(sizes, placed)
+    hot = hot_keys(under, "pivot")
+    stars = under.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "central")
     stars = materialize(plausible(stars, reps, least).join(stars, ["a", "b"]), "near-stars")
     # Each document first against the most central of its pivots, then what still joins two components.
-    first_try = stars.groupBy("b").agg(F.max_by("a", F.struct("central", "a")).alias("a")).select("a", "b")
+    first_try = materialize(stars.groupBy("b").agg(F.max_by("a", F.struct("central", "a")).alias("a")).select("a", "b"), "near-first")
     wanted = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
     sets = materialize(full_sets(docs, wanted.join(reps.select("rep", "digest"), "rep"), width, id_col, text_col), "near-sets")
     links = materialize(confirmed(first_try, sets, percent), "near-links")
     roots = components(links)
-    rest = _with_roots(_with_roots(stars.join(first_try, ["a", "b"], "left_anti"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+    rest = _with_roots(_with_roots(stars.join(first_try, ["a", "b"], "left_anti"), roots, "a", "ra", hot), roots, "b", "rb", []).where("ra <> rb").select("a", "b")
+    rest = materialize(rest, "near-rest")
     more = materialize(confirmed(rest, sets, percent), "near-links")
     links = links.unionByName(more)
+    discard(roots, rest, first_try)
     roots = components(links)
     # Members of one pivot that are still apart: candidates by what they differ in from the pivot.
-    group = _with_roots(_with_roots(placed.where("rep <> pivot").select("pivot", "rep").distinct(), roots, "rep", "root"), roots, "pivot", "own").withColumn("apart", F.col("root") != F.col("own"))
-    top = placed.where("rep <> pivot").groupBy("rep").agg(F.max_by("pivot", F.struct("central", "pivot")).alias("top"))
-    group = group.join(top, "rep")
+    top = under.groupBy("rep").agg(F.max_by("pivot", F.struct("central", "pivot")).alias("top"))
+    group = _with_roots(_with_roots(under.select("pivot", "rep").join(top, "rep"), roots, "rep", "root", []), roots, "pivot", "own", hot)
+    group = materialize(group.withColumn("apart", F.col("root") != F.col("own")), "near-members-of-pivots")
     mixed = group.groupBy("pivot").agg(F.count("*").alias("members"), F.bool_or("apart").alias("any"), (F.bool_or(F.col("top") == F.col("pivot")) | (F.min("top") != F.max("top"))).alias("own_pairs"))
-    group = materialize(group.join(mixed.where("members > 1 AND any AND own_pairs").select("pivot"), "pivot").select("pivot", "rep", "root", "apart", "top"), "near-mixed")
-    missing = group.select(F.col("pivot").alias("rep")).union(group.select("rep")).distinct().join(sets.select("rep"), "rep", "left_anti")
+    mixed = mixed.where("members > 1 AND any AND own_pairs").select("pivot", F.lit(True).alias("mixed"))
+    mixed = materialize(join_spread(group, mixed, "pivot", hot).select("pivot", "rep", "root", "apart", "top"), "near-mixed")
+    hot = hot_keys(mixed, "pivot")
+    missing = mixed.select(F.col("pivot").alias("rep")).union(mixed.select("rep")).distinct().join(sets.select("rep"), "rep", "left_anti")
     sets = sets.unionByName(materialize(full_sets(docs, missing.join(reps.select("rep", "digest"), "rep"), width, id_col, text_col), "near-sets"))
-    crossing = crossing_pairs(materialize(differences(group, sets), "near-differences"), percent)
+    crossing = materialize(crossing_pairs(materialize(differences(mixed, sets, hot), "near-differences"), percent, hot), "near-crossing")
     late = materialize(plausible(crossing, reps, least), "near-late")
     links = links.unionByName(confirmed(late, sets, percent)).unionByName(same_id)
+    discard(roots, group, mixed, under, stars)
     roots = components(links)
-    rooted = materialize(_with_roots(reps.select("rep"), roots, "rep", "root"), "near-roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("rep", "component_id")
+    rooted = materialize(_with_roots(reps.select("rep"), roots, "rep", "root", []), "near-roots")
+    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = join_spread(rooted, named, "root", hot_keys(rooted, "root")).select("rep", "component_id")
     found = member.join(named, "rep").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     own = drawn.select("doc_id", F.col("n").alias("n_shingles"), (F.col("n") > 0).alias("_has"))
     out = own.join(found, (own["doc_id"] == found["doc_id"]) & F.col("_has"), "left").select(own["doc_id"], "n_shingles", F.when(F.col("_has"), F.col("component_id")).otherwise(own["doc_id"]).alias("component_id"))

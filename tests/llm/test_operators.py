@@ -306,10 +306,12 @@ def test_spread_join_loses_and_adds_nothing(spark):
     table = spark.createDataFrame([(x, i) for i, x in enumerate(sorted({x for x in keys if x and x != b"k11"}))], "key binary, v int")
     value = {bytes(r["key"]): r["v"] for r in table.collect()}
     hot = hot_keys(rows, "key", most=100)
-    assert [bytes(r["key"]) for r in hot.collect() if r["key"]] == [b"hot"]
+    assert [bytes(k) for k, _ in hot] == [b"hot"] and hot[0][1] > 30
     got = sorted((r["id"], r["v"]) for r in join_spread(rows, table, "key", hot).collect())
     assert got == [(k, value[x]) for k, x in enumerate(keys) if x in value]
-    assert join_spread(rows.where("false"), table, "key", hot_keys(rows.where("false"), "key")).count() == 0
+    got = sorted((r["id"], r["v"]) for r in join_spread(rows, table, "key", hot, "left").collect())
+    assert got == [(k, value.get(x)) for k, x in enumerate(keys)]
+    assert hot_keys(rows.where("false"), "key") == [] and join_spread(rows.where("false"), table, "key", hot).count() == 0
 
 
 # 5 -------------------------------------------------------------------------------
