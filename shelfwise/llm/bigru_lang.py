@@ -1,12 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of one segment (a word, cut after ``SEGMENT``
-bytes) in both directions and gives every position a distribution over
-languages; a document's distribution is the mean over all its positions.
-Because segments are read for themselves, a worker keeps the summed
-distributions of segments it has met, and whole texts of any length cost one
-look-up per word.  Training is backpropagation through time in numpy on the
-driver, on a bounded sample of labelled documents.
+The network reads a document's bytes, blanks included, in both directions and
+gives every position a distribution over languages; a document's distribution
+is the mean over all its positions.  So that a task reads thousands of
+documents in step and a long one is no long chain, documents are read in
+windows of ``WINDOW`` bytes; the state enters a window after reading the
+``CONTEXT`` bytes before it (from behind: after it), or all there are.  A text
+of one window is read in one piece.  Training is backpropagation through time in numpy on the driver, on a
+bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -17,19 +18,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, crc_class
+from .bpe import slices
+from .common import crc_class
 
-SEGMENT = 24
+WINDOW, CONTEXT = 256, 48
 _LETTER = regex.compile(r"\p{L}")
-_MOST_SEGMENTS = 400_000
+#: The symbol that stands where a text has no byte; it leaves the state as it is.
+_NOTHING = 256
+_LANES = 1024
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _bent(x):
+    """The network's bounded function, between -1 and 1; its slope is (1 - |y|) ** 2."""
+    return x / (1 + np.abs(x))
+
+
+def _gate(x):
+    return 0.5 + 0.5 * _bent(x)
 
 
 def _softmax(x):
@@ -45,7 +54,7 @@ class BiGRU:
     languages: list[str]
 
     @classmethod
-    def new(cls, languages: list[str], embed: int = 8, hidden: int = 16, seed: int = 5) -> BiGRU:
+    def new(cls, languages: list[str], embed: int = 8, hidden: int = 12, seed: int = 5) -> BiGRU:
         r = np.random.default_rng(seed)
         w = {"E": r.normal(0, 0.5, (256, embed)), "Wo": r.normal(0, 0.2, (2 * hidden, len(languages))), "bo": np.zeros(len(languages))}
         for d in "fb":
@@ -61,9 +70,9 @@ class BiGRU:
         for t in range(T_) if d == "f" else range(T_ - 1, -1, -1):
             a = wx[x[t]]
             g = h @ w[f"Wh{d}"]
-            zr = _sigmoid(a[:, : 2 * H] + g[:, : 2 * H])
+            zr = _gate(a[:, : 2 * H] + g[:, : 2 * H])
             z, r = zr[:, :H], zr[:, H:]
-            c = np.tanh(a[:, 2 * H :] + r * g[:, 2 * H :])
+            c = _bent(a[:, 2 * H :] + r * g[:, 2 * H :])
             m = mask[t][:, None]
             new = h + m * (1 - z) * (c - h)
             if keep:
@@ -101,9 +110,9 @@ class BiGRU:
                 m = mask[t][:, None]
                 dh = dh + dh_out[t]
                 d_new = dh * m
-                dc = d_new * (1 - z) * (1 - c * c)
-                dz = d_new * (h - c) * z * (1 - z)
-                dr = dc * gc * r * (1 - r)
+                dc = d_new * (1 - z) * (1 - np.abs(c)) ** 2
+                dz = d_new * (h - c) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+                dr = dc * gc * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
                 da = np.concatenate([dz, dr, dc], 1)
                 dg = np.concatenate([dz, dr, dc * r], 1)
                 e = w["E"][x[t]]
@@ -125,14 +134,10 @@ def packed(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, m
 
 
-def cut_segments(words: list[bytes]) -> list[bytes]:
-    return [w[i : i + SEGMENT] for w in words for i in range(0, len(w), SEGMENT)]
-
-
-def train(pairs: list[tuple[str, str]], epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 5, hidden: int = 16) -> BiGRU | None:
-    """Network from (language, word) pairs; None without any."""
+def train(pairs: list[tuple[str, str]], epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 5, hidden: int = 12) -> BiGRU | None:
+    """Network from (language, stretch of text) pairs; None without any."""
     languages = sorted({p[0] for p in pairs})
-    data = [(s, languages.index(lang)) for lang, w in sorted(pairs) for s in cut_segments([w.lower().encode()])]
+    data = [(s, languages.index(lang)) for lang, w in sorted(pairs) if (s := w.lower().encode())]
     if not data:
         return None
     net, r = BiGRU.new(languages, hidden=hidden, seed=seed), np.random.default_rng(seed)
@@ -140,7 +145,7 @@ def train(pairs: list[tuple[str, str]], epochs: int = 6, batch: int = 256, rate:
     lengths = np.array([len(s) for s, _ in data])
     for epoch in range(epochs):
         order = r.permutation(len(data))
-        order = order[np.argsort(lengths[order] // 3, kind="stable")]  # like lengths together
+        order = order[np.argsort(lengths[order] // 8, kind="stable")]  # like lengths together
         groups = [order[i : i + batch] for i in range(0, len(order), batch)]
         for k in r.permutation(len(groups)):
             chosen = [data[i] for i in groups[k]]
@@ -155,63 +160,124 @@ def train(pairs: list[tuple[str, str]], epochs: int = 6, batch: int = 256, rate:
     return net
 
 
-def training_words(docs: DataFrame, docs_per_language: int = 300, words_per_language: int = 5_000, most: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """A bounded sample of (language, word): of each language at most so many documents and words, by hash; at most ``most`` words in all."""
+def training_stretches(docs: DataFrame, docs_per_language: int = 400, per_language: int = 800, characters: int = 80, most_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """A bounded sample of (language, stretch of text) from the ``most_languages`` most frequent languages.
+
+    Of each language about ``docs_per_language`` documents by hash (all of a
+    rarer one) and at most ``per_language`` stretches of so many characters at
+    places by hash.  Shares, not ranks, choose the documents, so a language
+    that most documents are in is no task of its own.
+    """
     known = docs.where((crc_class(F.col(id_col)) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = known.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language)
-    chosen = chosen.orderBy("n", "lang").limit(most // 10).select("id", "lang").distinct()
-    words = known.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "id", F.posexplode(F.split("body", BLANKS)).alias("at", "word")).where("word <> ''")
-    some = Window.partitionBy("lang").orderBy(F.xxhash64("id", "at"), "id", "at", "word")
-    picked = words.withColumn("n", F.row_number().over(some)).where(F.col("n") <= words_per_language).orderBy("n", "lang").limit(most)
-    return [(r["lang"], r["word"]) for r in picked.select("lang", "word").collect()]
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not counts:
+        return []
+    least = 1 << 20
+    shares = [(r["lang"], min(least, -(-docs_per_language * least // r["n"])), -(-per_language // min(r["n"], docs_per_language))) for r in counts]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(shares, T.StructType([T.StructField("lang", docs.schema[lang_col].dataType), T.StructField("share", T.LongType()), T.StructField("k", T.LongType())])))
+    chosen = known.join(wanted, "lang").where(F.pmod(F.xxhash64("id", "lang"), F.lit(least)) < F.col("share"))
+    room = F.greatest(F.length("body") - characters, F.lit(0)) + 1
+    at = lambda i: F.pmod(F.xxhash64("id", "lang", i), room).cast("int") + 1
+    cut = chosen.select("lang", "id", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.struct(F.xxhash64("id", i, "body").alias("h"), F.substring("body", at(i), F.lit(characters)).alias("text")))).alias("s"))
+    found: dict[str, list] = {}
+    for r in cut.select("lang", "s.h", "s.text").where("text <> ''").collect():
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    return [(lang, x) for lang in sorted(found) for _, x in sorted(set(found[lang]))[:per_language]]
 
 
 class Reader:
-    """Pooled distributions of texts, with a bounded table of segments met before."""
-
-    def __init__(self, net: BiGRU):
-        self.net = net
-        self.forget()
-
-    def forget(self) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.sums = np.zeros((0, 2 * len(self.net.languages)), np.float32)
-
-    def _meet(self, new: list[bytes]) -> None:
-        L = len(self.net.languages)
-        sums = np.zeros((len(new), 2 * L), np.float32)
-        order = sorted(range(len(new)), key=lambda i: len(new[i]))
-        for a in range(0, len(order), 2048):
-            part = order[a : a + 2048]
-            x, m = packed([new[i] for i in part])
-            p = self.net.positions(x, m) * m[..., None]
-            sums[part, :L] = p.sum(0)
-            sums[part, L:] = ((p == p.max(-1, keepdims=True)) * m[..., None]).sum(0)  # label of every position
-        start = len(self.seen)
-        self.seen.update((s, start + i) for i, s in enumerate(new))
-        self.sums = np.concatenate([self.sums, sums])
+    """Pooled distributions of texts."""
+
+    def __init__(self, net: BiGRU, window: int = WINDOW, context: int = CONTEXT):
+        self.window, self.context, self.languages = window, context, len(net.languages)
+        w, self.gates = net.w, {}
+        H = self.H = w["Whf"].shape[0]
+        for k, d in enumerate("fb"):
+            x = np.concatenate([w["E"] @ w[f"Wx{d}"] + w[f"bx{d}"], np.zeros((1, 3 * H), np.float32)])
+            x[_NOTHING, :H] = 1e30  # the gate that keeps the state is open
+            wh = w[f"Wh{d}"]
+            self.gates[d] = [np.ascontiguousarray(m, np.float32) for m in (x[:, :H], x[:, H : 2 * H], x[:, 2 * H :], wh[:, :H], wh[:, H : 2 * H], 0.5 * wh[:, 2 * H :], w["Wo"][k * H : (k + 1) * H])]
+        self.bias = w["bo"].astype(np.float32)
+
+    def _scan(self, x: np.ndarray, d: str, logits: np.ndarray) -> None:
+        """Read the rows of x (steps, lanes) one after another; what the last len(logits) states say is added to logits."""
+        of_z, of_r, of_c, z_by, r_by, c_by, out_by = self.gates[d]
+        (steps, lanes), H = x.shape, self.H
+        silent, part = steps - len(logits), np.empty((lanes, self.languages), np.float32)
+        h = np.zeros((lanes, H), np.float32)
+        z, r, c, g, size = (np.empty((lanes, H), np.float32) for _ in range(5))
+
+        def bent(a: np.ndarray) -> None:
+            np.abs(a, out=size)
+            np.add(size, 1, out=size)
+            np.divide(a, size, out=a)
+
+        def reach(a: np.ndarray, by: np.ndarray, of: np.ndarray) -> None:
+            np.matmul(h, by, out=a)
+            np.take(of, x[t], axis=0, out=size, mode="clip")
+            np.add(a, size, out=a)
+
+        for t in range(steps):
+            reach(z, z_by, of_z)
+            bent(z)
+            reach(r, r_by, of_r)
+            bent(r)
+            np.matmul(h, c_by, out=g)  # half of it: gates are half of 1 + r, of 1 - z
+            np.multiply(r, g, out=c)
+            np.add(c, g, out=c)
+            np.take(of_c, x[t], axis=0, out=size, mode="clip")
+            np.add(c, size, out=c)
+            bent(c)
+            np.subtract(c, h, out=c)
+            np.subtract(1, z, out=z)
+            np.multiply(c, z, out=c)
+            np.multiply(c, 0.5, out=c)
+            np.add(h, c, out=h)
+            if t >= silent:
+                np.matmul(h, out_by, out=part)
+                logits[t - silent] += part
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(mean distribution, positions by label, positions) of each text."""
-        L = len(self.net.languages)
-        if len(self.seen) > _MOST_SEGMENTS:
-            self.forget()
-        words = [t.lower().encode().split() for t in texts]
-        words = [w if max(map(len, w), default=0) <= SEGMENT else cut_segments(w) for w in words]
-        new = list({s for w in words for s in w}.difference(self.seen))
-        if new:
-            self._meet(sorted(new))
-        counts = np.array([len(w) for w in words])
-        get = self.seen.__getitem__
-        n = np.fromiter((get(s) for w in words for s in w), np.int64, int(counts.sum()))
-        total = np.zeros((len(texts), 2 * L))
-        full = np.flatnonzero(counts)
-        if len(full):
-            starts = (np.cumsum(counts) - counts)[full]
-            total[full] = np.add.reduceat(self.sums[n].astype(np.float64), starts, axis=0)
-        size = total[:, :L].sum(1)
-        return total[:, :L] / np.maximum(size, 1e-9)[:, None], total[:, L:], np.rint(size)
+        L, W, C = self.languages, self.window, self.context
+        raw = [t.lower().encode() for t in texts]
+        size = np.array([len(b) for b in raw], np.int64)
+        text = np.concatenate([np.frombuffer(b"".join(raw), np.uint8).astype(np.int16), np.array([_NOTHING], np.int16)])
+        begin = np.cumsum(size) - size
+        n_windows = -(-size // W)
+        doc = np.repeat(np.arange(len(raw)), n_windows)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * W
+        length = np.minimum(size[doc] - start, W)
+        order = np.argsort(length, kind="stable")
+        sums, labels = np.zeros((len(raw), L)), np.zeros((len(raw), L))
+        lanes = max(16, min(_LANES, 4 * _LANES // L))
+        for k in range(0, len(order), lanes):
+            part = order[k : k + lanes]
+            d, s, n = doc[part], start[part], length[part]
+            steps = int(n.max())
+
+            def bytes_at(offsets: np.ndarray, d=d, s=s) -> np.ndarray:
+                """Symbols at the offsets from each lane's window start, (offsets, lanes)."""
+                at = s[None, :] + offsets[:, None]
+                inside = (at >= 0) & (at < size[d])
+                return text[np.where(inside, begin[d] + at, len(text) - 1)].astype(np.intp)
+
+            logits = np.tile(self.bias, (steps, len(part), 1))
+            before, after = min(C, int(s.max())), min(C, int((size[d] - s - n).max()))
+            self._scan(bytes_at(np.arange(-before, steps)), "f", logits)
+            self._scan(bytes_at(np.arange(steps + after - 1, -1, -1)), "b", logits[::-1])
+            np.exp(np.clip(logits, -80, 80, out=logits), out=logits)
+            inside = np.arange(steps)[:, None] < n[None, :]
+            share = inside / (logits @ np.ones(L, np.float32))
+            np.add.at(sums, d, np.einsum("tbl,tb->bl", logits, share.astype(np.float32)))
+            most, best = logits[..., 0].copy(), np.where(inside, 0, -1)
+            for y in range(1, L):
+                higher = inside & (logits[..., y] > most)
+                best[higher] = y
+                np.maximum(most, logits[..., y], out=most)
+            for y in range(L):
+                np.add.at(labels[:, y], d, (best == y).sum(0))
+        return sums / np.maximum(size, 1)[:, None], labels, size
 
 
 _readers: dict[bytes, Reader] = {}
@@ -229,7 +295,7 @@ def reader(net: BiGRU) -> Reader:
 def predict(docs: DataFrame, net: BiGRU | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, n_positions, n_agreeing) of every row.
 
-    n_agreeing: positions whose own label is the document's.  Null, empty and
+    n_positions: bytes read; n_agreeing: those whose own label is the document's.  Null, empty and
     letterless texts are ``und`` with score 0, as all are without a network;
     equal texts get equal predictions, ties go to the language first in order.
     """
@@ -240,20 +306,16 @@ def predict(docs: DataFrame, net: BiGRU | None, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a in range(0, len(texts), 500):
-                part = texts[a : a + 500]
-                lettered = [bool(_LETTER.search(t)) for t in part]
-                if net is None:
-                    lang, score, n, agree = ["und"] * len(part), np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part))
-                else:
-                    p, labels, n = reader(net).read([t if ok else "" for t, ok in zip(part, lettered, strict=True)])
+            for part in slices(batch):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                lettered = np.array([bool(_LETTER.search(t)) for t in texts], bool)
+                lang, score, n, agree = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+                if net is not None:
+                    p, labels, n = reader(net).read([t if ok else "" for t, ok in zip(texts, lettered, strict=True)])
                     best = p.argmax(1)
                     lang = [net.languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)]
                     score = np.clip(np.where(lettered, p.max(1), 0.0), 0, 1)
                     agree = np.where(lettered, np.take_along_axis(labels, best[:, None], 1)[:, 0], 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, len(part)), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n.astype(np.int64)), pa.array(agree.astype(np.int64))], schema.names
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n.astype(np.int64)), pa.array(agree.astype(np.int64))], schema.names)
 
     return wanted.mapInArrow(run, schema)

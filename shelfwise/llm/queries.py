@@ -87,7 +87,7 @@ def op9_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    net = bigru_lang.train(bigru_lang.training_words(docs))
+    net = bigru_lang.train(bigru_lang.training_stretches(docs))
     return bigru_lang.predict(docs, net).withColumn("held_out", crc_class(F.col("doc_id")) == 0).select("doc_id", "held_out", "lang_pred", "score", "n_positions", "n_agreeing")
 
 

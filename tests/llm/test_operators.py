@@ -647,12 +647,50 @@ def speech(n, seed=2):
 def test_language_of_held_out_documents(spark):
     rows = speech(240)
     docs = frame(spark, rows)
-    net = bigru_lang.train(bigru_lang.training_words(docs), epochs=3)
+    net = bigru_lang.train(bigru_lang.training_stretches(docs))
     got = {r["doc_id"]: r for r in bigru_lang.predict(docs, net).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     assert sum(got[r[0]]["lang_pred"] == r[2] for r in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 and r["n_agreeing"] <= r["n_positions"] for r in got.values())
-    assert not {w for _, w in bigru_lang.training_words(docs)} - {w for r in rows if r not in held for w in r[1].split()}
+    learned = [r[1] for r in rows if r not in held]
+    sample = bigru_lang.training_stretches(docs, per_language=50)
+    assert all(any(x in t for t in learned) for _, x in sample) and Counter(lang for lang, _ in sample) == {"de": 50, "en": 50, "fr": 50}
+    assert sample == bigru_lang.training_stretches(docs.repartition(5), per_language=50)
+
+
+def naive_distribution(net, text):
+    """Mean of the distributions at all positions, one position after another; and how many positions each language is first at."""
+    w, x = {k: v.astype(float) for k, v in net.w.items()}, text.lower().encode()
+    H = w["Whf"].shape[0]
+    bent = lambda v: v / (1 + abs(v))
+    states = {}
+    for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h = np.zeros(H)
+        for t in order:
+            a, g = w["E"][x[t]] @ w[f"Wx{d}"] + w[f"bx{d}"], h @ w[f"Wh{d}"]
+            z, r = (0.5 + 0.5 * bent(a[k * H : (k + 1) * H] + g[k * H : (k + 1) * H]) for k in (0, 1))
+            h = z * h + (1 - z) * bent(a[2 * H :] + r * g[2 * H :])
+            states[d, t] = h
+    p = [bigru_lang._softmax(np.concatenate([states["f", t], states["b", t]]) @ w["Wo"] + w["bo"]) for t in range(len(x))]
+    return np.mean(p, axis=0), Counter(int(v.argmax()) for v in p)
+
+
+def test_predictions_equal_reading_byte_by_byte(spark):
+    rows = speech(90)
+    net = bigru_lang.train([(r[2], r[1][:80]) for r in rows], epochs=3)
+    texts = [r[1][: 7 * i + 1] for i, r in enumerate(rows[:30])] + ["é", "a" * 255, "b" * 256, "ab" * 128 + "c"]
+    wide = bigru_lang.Reader(net, window=1 << 20)
+    p, labels, n = wide.read(texts)
+    for i, t in enumerate(texts):
+        want, firsts = naive_distribution(net, t)
+        assert np.allclose(p[i], want, atol=1e-5) and n[i] == len(t.lower().encode()) and dict(enumerate(labels[i])) == {y: firsts[y] for y in range(3)}
+    # Windows: as in one piece up to a window, very nearly so beyond.
+    long = [" ".join(r[1] for r in rows[k::3]) for k in range(3)] + texts
+    a, b = bigru_lang.Reader(net).read(long)[0], wide.read(long)[0]
+    assert np.abs(a - b).max() < 0.01 and (a.argmax(1) == b.argmax(1)).all()
+    assert np.allclose(a[3:], b[3:], atol=1e-5) or max(map(len, texts)) > bigru_lang.WINDOW
+    got = {r["doc_id"]: r for r in bigru_lang.predict(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), net).collect()}
+    assert all(got[i]["score"] == pytest.approx(p[i].max(), abs=0.01) and got[i]["lang_pred"] == net.languages[p[i].argmax()] for i in range(len(texts)))
 
 
 def test_gradients_of_the_network():
@@ -674,5 +712,5 @@ def test_language_tables(spark, docs, none):
     net = bigru_lang.train([("en", "the"), ("en", "that"), ("de", "über"), ("de", "größe")] * 5, epochs=2)
     rows = {(r["doc_id"], r["lang_pred"]) for r in bigru_lang.predict(docs, net).collect()}
     assert {i for i, p in rows if p == "und"} == {1, 2, 3, 9}
-    assert bigru_lang.train(bigru_lang.training_words(none)) is None
+    assert bigru_lang.train(bigru_lang.training_stretches(none)) is None
     assert {r["lang_pred"] for r in bigru_lang.predict(docs, None).collect()} == {"und"} and bigru_lang.predict(none, net).count() == 0
