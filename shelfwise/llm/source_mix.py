@@ -5,9 +5,12 @@ into equal ranges (the leading hexadecimal digits of the key), range totals are
 summed in key order, the one range that holds the source's budget is sorted by
 key, and the key at which the running word count meets the budget becomes the
 source's cut.  A document is taken once for every whole epoch of its source
-and once more if its key is not beyond the cut.  Only one row per (source,
-range) and the rows of one range per source are ever ordered, so a source that
-holds a third of all rows is no heavier for a task than any other.
+and once more if its key stands before the cut; of the rows that share the cut
+key (one, or repeats of one) as many as come nearest to the budget.  Only one
+row per (source, range), the keys of one range per source and the rows of one
+key per source are ever ordered, so a source that holds a third of all rows is
+no heavier for a task than any other.  Sources themselves are ordered in one
+task, a row each.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.shelflist import ranked
 from .common import materialize, word_count
 
 
@@ -70,7 +74,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epo
 
 
 def mix_plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, digits: int = 3) -> DataFrame:
-    """One row per source: source_size, target, whole epochs and the cut key.
+    """One row per source: source_size, target, whole epochs, the cut key and how many rows of that key are taken once more (null where whole epochs meet the target).
 
     ``digits``: leading hexadecimal digits of the key that name a range, so
     that a source has 16 ** digits ranges at most.
@@ -83,62 +87,61 @@ def mix_plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: i
     placed = (
         ranges.alias("r")
         .join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+        .where("rest > 0")
         .select("r.source", "key_range", "rest", "range_size", F.sum("range_size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
         .where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("range_size") <= F.col("rest")))
-        .groupBy("source")
-        .agg(F.min(F.struct("key_range", (F.col("rest") - (F.col("upto") - F.col("range_size"))).alias("room"))).alias("at"))
-        .select("source", "at.key_range", "at.room")
+        .select("source", "key_range", (F.col("rest") - (F.col("upto") - F.col("range_size"))).alias("room"))
     )
-    by_key = Window.partitionBy("s.source").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, 0)
+    by_key = Window.partitionBy("source").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("room") - (F.col("upto") - F.col("key_size"))
     cuts = (
         sizes.withColumn("own_range", F.substring("mix_key", 1, digits))
         .alias("s")
         .join(placed.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.own_range") == F.col("c.key_range")))
-        .groupBy("s.source", "c.key_range", "c.room", "s.mix_key")
-        .agg(F.sum("s.size").alias("key_size"))
-        .alias("s")
+        .groupBy("s.source", "c.room", "s.mix_key")
+        .agg(F.sum("s.size").alias("key_size"), F.max("s.size").alias("row_size"))
         .withColumn("upto", F.sum("key_size").over(by_key))
-        .groupBy("source", "key_range")
-        .agg(F.max(F.when(2 * (F.col("room") - (F.col("upto") - F.col("key_size"))) >= F.col("key_size"), F.col("mix_key"))).alias("last_key"))
-        .select("source", F.coalesce("last_key", "key_range").alias("cut_key"))
+        .where((F.col("upto") > F.col("room")) & (left >= 0))
+        .select("source", F.col("mix_key").alias("cut_key"), F.floor(left / F.col("row_size") + 0.5).cast("long").alias("cut_rows"))
     )
     return (
         plan.alias("p")
         .join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left")
-        .select("p.source", "source_size", "target", "epochs", "cut_key")
+        .select("p.source", "source_size", "target", "epochs", "cut_key", "cut_rows")
     )
 
 
-def copies(epochs: Column, cut_key: Column, key: Column) -> Column:
-    """How often a document is taken."""
-    return epochs + F.coalesce((key <= cut_key).cast("long"), F.lit(0))
+def _taken(rows: DataFrame) -> DataFrame:
+    """Rows with source, mix_key and their source's epochs, cut_key and cut_rows: the same with ``copies``, how often each is taken."""
+    key, cut = F.col("mix_key"), F.col("cut_key")
+    at_cut = F.coalesce(key == cut, F.lit(False))
+    sure = rows.where(~at_cut).withColumn("copies", F.col("epochs") + F.coalesce((key < cut).cast("long"), F.lit(0)))
+    counted = ranked(rows.where(at_cut).withColumn("_any", F.monotonically_increasing_id()), [F.col("_any")], ["source"], "_nth").drop("_any")
+    return sure.unionByName(counted.withColumn("copies", F.col("epochs") + (F.col("_nth") < F.col("cut_rows")).cast("long")).drop("_nth"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row.
 
     A null text has size 0, a null source is a source of its own, rows that are
-    equal share one decision, an empty table gives an empty result.
+    equal are taken one by one, an empty table gives an empty result.
     """
     sizes = materialize(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
     plan = materialize(mix_plan(sizes, weights, max_epochs), "mix-cuts")
-    return (
-        sizes.alias("s")
-        .join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
-        .select("doc_id", "s.source", "size", "source_size", "target", copies(F.col("epochs"), F.col("cut_key"), F.col("mix_key")).alias("copies"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-    )
+    planned = sizes.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "source_size", "target", "epochs", "cut_key", "cut_rows")
+    return _taken(planned).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, its columns unchanged."""
+    """The mix itself: every row of ``docs`` as often as it is taken, its columns unchanged; rows without words as often as their source's epochs, and once more before the cut."""
     sizes = materialize(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
-    plan = materialize(mix_plan(sizes, weights, max_epochs).select("source", "epochs", "cut_key"), "mix-cuts")
+    plan = materialize(mix_plan(sizes, weights, max_epochs).select("source", "epochs", "cut_key", "cut_rows"), "mix-cuts")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).alias("_source"), mix_key(F.col(id_col), F.col(text_col), seed).alias("_key")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).alias("source"), mix_key(F.col(id_col), F.col(text_col), seed).alias("mix_key")
     )
-    taken = rows.join(plan, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_copies", copies(F.col("epochs"), F.col("cut_key"), F.col("_key")))
-    return taken.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("_row.*")
+    planned = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("_row", "r.source", "mix_key", "epochs", "cut_key", "cut_rows")
+    taken = _taken(planned).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
 
 
 ORACLE = """
@@ -161,15 +164,15 @@ targets AS (
               ELSE CAST(weight * (SELECT min(left_over) FROM opened WHERE nth = first_open) AS DOUBLE)
                    / (SELECT min(weight_left) FROM opened WHERE nth = first_open) END AS target FROM opened),
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
-per_key AS (SELECT source, mix_key, sum(size) AS key_size FROM sized GROUP BY ALL),
+each AS (
+  SELECT *, row_number() OVER (PARTITION BY source, mix_key) AS nth, sum(size) OVER (PARTITION BY source, mix_key) AS key_size FROM sized),
 running AS (
-  SELECT *, sum(key_size) OVER (PARTITION BY source ORDER BY mix_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - key_size AS before FROM per_key),
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY mix_key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - key_size AS before FROM each),
 decided AS (
-  SELECT r.source, r.mix_key, p.source_size, p.target,
-         p.epochs + CASE WHEN r.before <= p.target - p.epochs * p.source_size
-                          AND 2 * (p.target - p.epochs * p.source_size - r.before) >= r.key_size
-                          AND (r.key_size > 0 OR r.before < p.target - p.epochs * p.source_size) THEN 1 ELSE 0 END AS copies
+  SELECT r.doc_id, r.size, p.source_size, p.target,
+         p.epochs + CASE WHEN p.target - p.epochs * p.source_size <= 0 OR r.before > p.target - p.epochs * p.source_size THEN 0
+                         WHEN r.before + r.key_size <= p.target - p.epochs * p.source_size THEN 1
+                         WHEN r.nth <= floor((p.target - p.epochs * p.source_size - r.before) / r.size + 0.5) THEN 1 ELSE 0 END AS copies
   FROM running r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source)
-SELECT s.doc_id, s.size, CAST(d.source_size AS BIGINT) AS source_size, d.target, CAST(d.copies * s.size AS BIGINT) AS taken
-FROM sized s JOIN decided d ON s.source IS NOT DISTINCT FROM d.source AND s.mix_key = d.mix_key
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(copies * size AS BIGINT) AS taken FROM decided
 """

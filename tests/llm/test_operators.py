@@ -5,7 +5,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -128,12 +130,36 @@ def test_mix_meets_targets(spark):
 
 
 def test_mixed_rows_repeat_what_the_mix_takes(spark, docs):
-    taken = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in source_mix.mix_sources(docs).collect()}
+    taken = Counter()
+    for r in source_mix.mix_sources(docs).collect():
+        taken[r["doc_id"], r["source"], r["size"]] += r["copies"]
     rows = source_mix.mixed_rows(docs)
     assert rows.columns == docs.columns
     found = Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in rows.collect())
-    stands = Counter((r[0], r[3], len(WORD.findall(r[1] or ""))) for r in hard_rows())
-    assert found == Counter({k: c * stands[k] for k, c in taken.items() if c})
+    assert found == +taken
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    same = " ".join(["word"] * 100)
+    rows = [(1, same, "en", "a", 0)] * 40 + [(2, "some few words", "en", "a", 0), (3, "", "en", "a", 0), (3, None, "en", "a", 0)] + [(10 + i, same, "en", "b", 0) for i in range(60)]
+    got = source_mix.mix_sources(frame(spark, rows)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["copies"] <= 3
+    assert all(abs(taken[s] - target[s]) <= 50 for s in "ab") and len({r["copies"] for r in got if r["doc_id"] == 1}) == 2
+    again = Counter((r["doc_id"], r["taken"]) for r in source_mix.mix_sources(frame(spark, rows[::-1]).repartition(3)).collect())
+    assert again == Counter((r["doc_id"], r["taken"]) for r in got)
+    # A source at its cap, with rows that hold no word: nothing goes beyond its epochs.
+    full = [(i, "one two three", "en", "a", 0) for i in range(3)] + [(10 + i, None, "en", "a", 0) for i in range(9)] + [(100 + i, same, "en", "b", 0) for i in range(9)]
+    assert max(Counter(r["doc_id"] for r in source_mix.mixed_rows(frame(spark, full)).collect()).values()) <= 3
+    duck = duckdb.connect()
+    for table in (rows, full):
+        documents = pd.DataFrame(table, columns=["doc_id", "text", "lang", "source", "n_chars"])  # noqa: F841
+        want = Counter(duck.sql(source_mix.ORACLE).fetchall())
+        found = source_mix.mix_sources(frame(spark, table, extra=False)).select("doc_id", "size", "source_size", "target", "taken")
+        assert Counter(tuple(r) for r in found.collect()) == want
 
 
 def test_mix_of_an_empty_table(none):
