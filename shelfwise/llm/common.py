@@ -55,12 +55,18 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def hot_keys(rows: DataFrame, key: str, most: int = 1_000) -> list[tuple]:
-    """(key, parts): into how many parts the rows of a key are split that holds more than one ``most``-th of all rows; at most ``most`` keys and twice as many parts."""
+def hot_keys(rows: DataFrame, key: str, most: int = 1_000, part: int | None = None) -> list[tuple]:
+    """(key, parts): into how many parts the rows of a key are split that holds more than one ``most``-th of all rows; at most ``most`` keys.
+
+    A part has one ``most``-th of all rows, so there are at most twice as many
+    parts as ``most``; or it has ``part`` rows.
+    """
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     total = rows.count()
+    if not total:
+        return []
     large = counts.where((F.col("n") * most > total) & (F.col("n") > 100) & F.col(key).isNotNull())
-    return [(r[0], r[1]) for r in large.select(key, F.ceil(F.col("n") * most / total).cast("int").alias("parts")).collect()]
+    return [(r[0], r[1]) for r in large.select(key, F.ceil(F.col("n") / (part or total / most)).cast("int").alias("parts")).collect()]
 
 
 def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: list[tuple], how: str = "inner") -> DataFrame:

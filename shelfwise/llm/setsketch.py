@@ -225,8 +225,9 @@ def crossing_pairs(members: DataFrame, percent: int, hot: list[tuple]) -> DataFr
     have in one component lead to no pair.
 
     In the second case what each shares with the pivot bounds what they can
-    share, so both are all but contained in the pivot and about as large:
-    these meet by pivot and step of size, large groups of them in parts.
+    share, so both are all but contained in the pivot, and each bounds the size
+    of the other: these meet by pivot and step of size, in parts where a pivot
+    has more members than a task should hold.
 
     Two members whose most central pivot (top) is the same meet there and
     nowhere else; a member and its top have met already.
@@ -248,12 +249,14 @@ def crossing_pairs(members: DataFrame, percent: int, hot: list[tuple]) -> DataFr
     by_item = first.where("apart").select("pivot", "item", *side("x")).join(y, ["pivot", "item"]).where(apart & once & sizes)
 
     enough = lambda c: percent * (F.col("nx") + F.col("ny")) <= (100 + percent) * F.col(c)
-    inside = members.where(F.col("common") >= least).withColumn("step", F.floor(F.log(F.greatest("n", F.lit(1))) / (max(math.log(100 / percent), 1e-9) * (1 + 1e-7))).cast("int"))
+    step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(1.05)).cast("int")
+    inside = members.drop("added").where(F.col("common") >= least).withColumn("most", F.floor((100 + percent) * F.col("common") / percent - F.col("n")))
     many = F.broadcast(members.sparkSession.createDataFrame(hot or [(-1, 1)], "pivot bigint, parts int"))  # a bounded number of pivots
-    inside = inside.drop("added").join(many, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    steps = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
-    x = inside.where("apart").select("pivot", "parts", steps, *side("x")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    y = inside.select("pivot", "step", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), (~F.col("apart")).alias("whole"), *side("y"))
+    inside = inside.join(many, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # The steps of size that a partner of x can stand in; one more on both sides for rounding.
+    fitting = F.explode(F.sequence(step(least) - 1, F.greatest(step(F.col("most")), step(least)) + 1)).alias("step")
+    x = inside.where("apart").select("pivot", "parts", fitting, *side("x")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    y = inside.select("pivot", step(F.col("n")).alias("step"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), (~F.col("apart")).alias("whole"), *side("y"))
     by_size = x.drop("parts").join(y, ["pivot", "step", "part"]).where(apart & once & sizes & enough("cx") & enough("cy"))
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     return by_item.select(*pair).unionByName(by_size.select(*pair)).distinct()
@@ -355,7 +358,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     hot = hot_keys(mixed, "pivot")
     missing = mixed.select(F.col("pivot").alias("rep")).union(mixed.select("rep")).distinct().join(sets.select("rep"), "rep", "left_anti")
     sets = sets.unionByName(materialize(full_sets(docs, missing.join(reps.select("rep", "digest"), "rep"), width, id_col, text_col), "near-sets"))
-    crossing = materialize(crossing_pairs(materialize(differences(mixed, sets, hot), "near-differences"), percent, hot), "near-crossing")
+    crossing = materialize(crossing_pairs(materialize(differences(mixed, sets, hot), "near-differences"), percent, hot_keys(mixed, "pivot", part=100_000)), "near-crossing")
     late = materialize(plausible(crossing, reps, least), "near-late")
     links = links.unionByName(confirmed(late, sets, percent)).unionByName(same_id)
     discard(roots, group, mixed, under, stars)
