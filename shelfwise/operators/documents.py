@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.arrays import subfields
-from ..functions.project import cat_fields
+from ..functions.project import cat_fields, clean_url, strip_uris, suppressed
 from .search import prefixes
 from .shelflist import order_varfields
 
@@ -69,18 +69,87 @@ def call_number_fields(items: DataFrame) -> DataFrame:
     return keyed.join(volumes, v == F.col("_v"), "left").drop("_n", "_kind", "_v")
 
 
-def item_documents(items: DataFrame, bibs: DataFrame, checkouts: DataFrame) -> DataFrame:
-    """Items with call-number fields, parent bib, checkout and full text."""
-    parents = bibs.select("bib_num", F.col("status_code").alias("parent_status"), F.col("date1").alias("parent_date"), F.concat(F.lit("b"), F.col("bib_num")).alias("parent_id"))
-    out = call_number_fields(items).join(parents, "bib_num", "left").join(checkouts, "item_id", "left")
-    return cat_fields(out, include=["call_number", "volume", "location_code", "status_code", "parent_id", "parent_date"])
+#: What an item document's full text is made of, in this order (fixed values).
+ITEM_TEXT = ("id", "parent_bib_id", "call_number", "volume", "barcode", "long_messages", "internal_notes", "public_notes", "location_code", "parent_bib_title", "parent_bib_main_author", "parent_bib_publication_year")
+#: Item fields by type code of their variable fields (fixed values); notes of several codes stand in that order.
+ITEM_FIELD, ITEM_FIELDS = {"v": "volume", "b": "barcode"}, {"long_messages": ("m",), "internal_notes": ("x", "n"), "public_notes": ("p",)}
 
 
-def resource_documents(resources: DataFrame, holdings: DataFrame, key: str, title: str, position: str, holding: str, suppressed: Column) -> DataFrame:
-    """E-resources with ordered holdings, suppression and full text."""
+def item_fields(varfields: DataFrame, key: str) -> DataFrame:
+    """Barcode, volume (the first of each) and lists of messages and notes of every item that has any."""
+    wanted = [*ITEM_FIELD, *[c for codes in ITEM_FIELDS.values() for c in codes]]
+    some = varfields.where(F.col("type_code").isin(wanted))
+    one = [F.min_by(F.when(F.col("type_code") == code, F.col("content")), F.when(F.col("type_code") == code, F.struct("occ_num", "content"))).alias(name) for code, name in ITEM_FIELD.items()]
+    place = lambda codes: F.array_position(F.array(*map(F.lit, codes)), F.col("type_code"))
+    many = [ordered_list([place(codes), F.col("occ_num")], F.when(F.col("type_code").isin(*codes), F.col("content"))).alias(name) for name, codes in ITEM_FIELDS.items()]
+    return some.groupBy(key).agg(*one, *many)
+
+
+def item_documents(items: DataFrame, fields: DataFrame, bibs: DataFrame, checkouts: DataFrame, key: str = "item_id", parent: str = "bib_num") -> DataFrame:
+    """Items with their notes, call-number keys, what their bib tells, their checkout, suppression and full text.
+
+    ``items`` has call_number, call_number_type, item_code and item_type_code;
+    ``fields`` is ``item_fields``; ``bibs`` has bib_id, call_number,
+    call_number_type, title, author, year and suppressed; ``checkouts`` (key,
+    due_date, checkout_date, overdue_date, recall_date) at most one an item.
+    An item without a call number takes its bib's.
+    """
+    of_bib = {"bib_id": "parent_bib_id", "title": "parent_bib_title", "author": "parent_bib_main_author", "year": "parent_bib_publication_year"}
+    parents = bibs.select(parent, *[F.col(c).alias(n) for c, n in of_bib.items()], F.col("call_number").alias("_bib_number"), F.col("call_number_type").alias("_bib_kind"), F.col("suppressed").alias("_bib_suppressed"))
+    out = items.join(fields, key, "left").join(parents, parent, "left").join(checkouts, key, "left")
+    none = F.array().cast(_EMPTY)
+    out = out.withColumns(
+        {
+            "id": F.col(key).cast("string"),
+            "type": F.lit("Item"),
+            "parent_bib_main_author": strip_uris(F.col("parent_bib_main_author")),
+            "call_number_type": F.when(F.col("call_number").isNotNull(), F.col("call_number_type")).otherwise(F.col("_bib_kind")),
+            "call_number": F.coalesce("call_number", "_bib_number"),
+            "item_type_code": F.col("item_type_code").cast("string"),
+            "suppressed": suppressed(F.col("item_code"), F.col("_bib_suppressed")),
+            **{name: F.coalesce(name, none) for name in ITEM_FIELDS},
+        }
+    ).drop("_bib_number", "_bib_kind", "_bib_suppressed")
+    return cat_fields(call_number_fields(out), include=list(ITEM_TEXT))
+
+
+#: E-resource columns by type code: the first field of a code, or all of them (fixed values).
+RESOURCE_FIELD = {"v": "eresource_type", "t": "title", "e": "summary", "k": "alert"}
+RESOURCE_FIELDS = {"d": "subjects", "n": "internal_notes", "f": "public_notes"}
+RESOURCE_TEXT = ("id", "eresource_type", "publisher", "title", "alternate_titles", "subjects", "summary", "holdings")
+
+
+def resource_documents(resources: DataFrame, varfields: DataFrame, holdings: DataFrame, providers: DataFrame, key: str, position: str, holding: str) -> DataFrame:
+    """E-resources with the fields of their record, their provider's title, ordered holdings, URL, suppression and full text.
+
+    ``resources`` has the key, provider, url and resource_code (not suppressed:
+    ``-``), ``varfields`` (key, type_code, occ_num, content), ``holdings`` (key,
+    position, holding), ``providers`` (provider, title).  Alternate titles are
+    the distinct ``x`` fields and the first ``p``, without the title.
+    """
+    of = lambda code: F.when(F.col("type_code") == code, F.col("content"))
+    first = lambda code: F.min_by(of(code), F.when(F.col("type_code") == code, F.struct("occ_num", "content")))
+    told = varfields.groupBy(key).agg(
+        *[first(code).alias(name) for code, name in RESOURCE_FIELD.items()],
+        *[ordered_list(F.col("occ_num"), of(code)).alias(name) for code, name in RESOURCE_FIELDS.items()],
+        F.collect_set(of("x")).alias("_x"),
+        first("p").alias("_p"),
+    )
+    none = F.array().cast(_EMPTY)
     listed = holdings.groupBy(key).agg(ordered_list(F.col(position), holding).alias("holdings"))
-    out = resources.join(listed, key, "left").withColumn("holdings", F.coalesce("holdings", F.array().cast(_EMPTY))).withColumn("suppressed", suppressed)
-    return cat_fields(out, include=[title, "holdings"])
+    out = resources.join(told, key, "left").join(listed, key, "left").join(providers.select("provider", F.col("title").alias("publisher")), "provider", "left")
+    others = F.array_sort(F.filter(F.array_union(F.coalesce("_x", none), F.array("_p")), lambda t: t.isNotNull() & ~t.eqNullSafe(F.col("title"))))
+    out = out.withColumns(
+        {
+            "id": F.col(key).cast("string"),
+            "type": F.lit("eResource"),
+            "alternate_titles": others,
+            "external_url": clean_url(F.col("url")),
+            "suppressed": ~F.col("resource_code").eqNullSafe(F.lit("-")),
+            **{name: F.coalesce(name, none) for name in (*RESOURCE_FIELDS.values(), "holdings")},
+        }
+    )
+    return cat_fields(out.drop("_x", "_p", "url"), include=list(RESOURCE_TEXT))
 
 
 def code_documents(codes: DataFrame, code: str, label: str, type_name: str) -> DataFrame:
@@ -112,45 +181,92 @@ IMAGE_ENDINGS = ("apng", "bmp", "gif", "ico", "cur", "jpg", "jpeg", "jfif", "pjp
 FULLTEXT_NOTE = r"(^|\s)([Ee]lectronic|[Ee].?[Rr]esource|[Oo]nline.?|[Ff]ull.?[Tt]ext.?)(\s|$)"
 
 
-def url_list(urls: DataFrame, key: str, url: str, note: str, kind: str, booking_host: str, online: DataFrame | None = None) -> DataFrame:
-    """URLs with their reviewed type and whether they are images.
+#: Hosts of digital-library pictures, whose thumbnails stand under ``/small/`` (fixed values).
+PICTURE_HOSTS = ("digital.library.unt.edu/ark:", "texashistory.unt.edu/ark:")
+
+
+def is_image(url: Column) -> Column:
+    return F.lower(F.element_at(F.split(url, r"\."), -1)).isin(*IMAGE_ENDINGS)
+
 
-    Booking host before full-text note before the only URL of a record with an
-    online item (``online``: their keys); else the given type stays.
+def url_list(urls: DataFrame, key: str, booking_host: str, reserve_url: Column, online: DataFrame | None = None) -> DataFrame:
+    """(key, position, url, note, label, url_type) of a record's links.
+
+    ``urls`` has key, position, tag, ind2, url, notes (their ``3`` and ``z``),
+    labels (``y``) and title.  Links of 856 without a URL are left out; they
+    are full text if the second indicator is 0 or 1.  Those of 962 are media,
+    or with no URL full text at ``reserve_url``; pictures among them are left
+    out, 856 come first.  Then: booking host before full-text note before the
+    only link of a record with an online item (``online``: their keys).
     """
-    n = urls.groupBy(key).agg(F.count("*").alias("_n"))
-    out = urls.join(n, key)
+    media = F.col("tag") == "962"
+    shown = urls.where(media | F.col("url").isNotNull()).select(
+        key,
+        media.cast("int").alias("_media"),
+        "position",
+        F.when(media, F.coalesce("url", reserve_url)).otherwise(clean_url(F.col("url"))).alias("url"),
+        F.when(media, F.col("title")).otherwise(F.nullif(F.array_join("notes", " "), F.lit(""))).alias("note"),
+        F.when(~media, F.nullif(F.array_join("labels", " "), F.lit(""))).alias("label"),
+        F.when(media, F.when(F.col("url").isNull(), "fulltext").otherwise("media")).when(F.col("ind2").isin("0", "1"), "fulltext").otherwise("link").alias("_kind"),
+    ).where((F.col("_media") == 0) | ~is_image(F.col("url")))
+    n = shown.groupBy(key).agg(F.count("*").alias("_n"))
+    out = shown.join(n, key)
     if online is None:
         out = out.withColumn("_online", F.lit(False))
     else:
         out = out.join(online.select(key).distinct().withColumn("_online", F.lit(True)), key, "left")
     only_online = (F.col("_n") == 1) & F.coalesce("_online", F.lit(False))
-    kind_now = F.when(F.col(url).contains(booking_host), "booking").when(F.coalesce(F.col(note), F.lit("")).rlike(FULLTEXT_NOTE), "fulltext").when(only_online, "fulltext").otherwise(F.col(kind))
-    ending = F.lower(F.element_at(F.split(url, r"\."), -1))
-    return out.withColumn("url_type", kind_now).withColumn("is_image", ending.isin(*IMAGE_ENDINGS)).drop("_n", "_online")
+    kind = F.when(F.col("url").contains(booking_host), "booking").when(F.coalesce(F.col("note"), F.lit("")).rlike(FULLTEXT_NOTE), "fulltext").when(only_online, "fulltext").otherwise(F.col("_kind"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_media", "position", "url")) - 1
+    return out.select(key, place.alias("position"), "url", "note", "label", kind.alias("url_type"))
+
+
+def thumbnails(urls: DataFrame, key: str, local_host: str = "library.unt.edu") -> DataFrame:
+    """(key, thumbnail_url): the first picture of 962, else the small form of the first 856 of a picture host."""
+    url = clean_url(F.col("url"))
+    cover = F.when((F.col("tag") == "962") & is_image(url), F.regexp_replace(url, rf"^https?://(www\.(?={local_host.replace('.', chr(92) + '.')}))?", "https://"))
+    page = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"\?.*$", ""), "/+$", ""), "^http:", "https:")
+    hosted = F.lit(False)
+    for host in PICTURE_HOSTS:
+        hosted = hosted | url.contains(host)
+    small = F.when((F.col("tag") == "856") & hosted, F.concat(page, F.lit("/small/")))
+    rows = urls.select(key, "position", cover.alias("_cover"), small.alias("_small"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("position", c)))
+    return rows.groupBy(key).agg(F.coalesce(first("_cover"), first("_small")).alias("thumbnail_url")).where("thumbnail_url IS NOT NULL")
 
 
-#: A year, decade or century, perhaps with the end of a range; group 1 and 2.
-YEARS = r"(?:^|[^0-9])([0-9]{1,2}(?:st|nd|rd|th)(?:[^0-9]{1,20}centur)|[0-9]{2,3}0s|[1-9][0-9]{3}|[1-9][0-9]{2}[u?]|[1-9][0-9](?:--|uu))(-(?:[1-9][0-9]{3})?)?"
+#: Dates in statements (fixed patterns): a year with unknown digits; then a century, decade or year, perhaps doubted; then perhaps the end of a range.
+_YEAR = r"(?:[1-9](?:---|\?\?\?|uuu)|[1-9][0-9](?:--|\?\?|uu)|[1-9][0-9][0-9][-?u](?![0-9])|[1-9][0-9]{2,3}(?![0-9s]))"
+_DATE = rf"(?i)(?<![0-9])([0-9]{{1,2}}(?:st|nd|rd|th)(?=.+centur)|[0-9]{{2,3}}0s|{_YEAR})\?*(?:(-)(?:\s*({_YEAR})|\s|$))?"
 
 
-def extract_years(c: Column) -> Column:
-    """Array of (first, last) as coded: ``193u``, ``19uu``, ``9999`` for an open end, null without a range."""
+def extract_years(c: Column, limit: int) -> Column:
+    """Array of (first, last) as coded: ``193u``, ``19uu``, ``9999`` for an open end, null without a range.
+
+    ``limit`` is the last year taken for likely: three digits before an
+    unknown one are a year of their own where they would lead beyond it.
+    """
     plain = F.regexp_replace(c, r"[\[\]]", "")
-    first, rest = F.regexp_extract_all(plain, F.lit(YEARS), F.lit(1)), F.regexp_extract_all(plain, F.lit(YEARS), F.lit(2))
+    first, dash, second = (F.regexp_extract_all(plain, F.lit(_DATE), F.lit(k)) for k in (1, 2, 3))
+
+    def year(y: Column) -> Column:
+        known = F.regexp_extract(y, "^([0-9]+)[?uU]$", 1)
+        kept = F.when(F.coalesce(known.try_cast("int") > limit / 10, F.lit(False)), known).otherwise(y)
+        return F.lpad(F.regexp_replace(kept, "[?-]", "u"), 4, "0")
 
     def coded(y: Column) -> Column:
-        century = F.lpad((F.regexp_extract(y, "^([0-9]{1,2})", 1).cast("int") - 1).cast("string"), 2, "0")
         return (
-            F.when(y.endswith("centur"), F.concat(century, F.lit("uu")))
-            .when(y.endswith("0s"), F.lpad(F.concat(F.expr("''"), F.regexp_replace(y, "0s$", "u")), 4, "0"))
-            .otherwise(F.regexp_replace(y, r"[?-]", "u"))
+            F.when(F.lower(y).endswith("0s"), F.regexp_replace(y, "(?i)0s$", "u"))
+            .when(y.rlike("(?i)(st|nd|rd|th)$"), F.concat((F.regexp_extract(y, "^([0-9]+)", 1).cast("int") - 1).cast("string"), F.lit("uu")))
+            .otherwise(year(y))
         )
 
-    def last(r: Column) -> Column:
-        return F.when(r == "-", "9999").when(r != "", F.regexp_replace(r, "^-", ""))
+    def one(x: Column) -> Column:
+        last = F.when(x["2"] != "", year(x["2"])).when(x["1"] != "", "9999")
+        return F.struct(coded(x["0"]).alias("first"), last.alias("last"))
 
-    return F.transform(F.arrays_zip(first.alias("a"), rest.alias("b")), lambda x: F.struct(coded(x["a"]).alias("first"), last(x["b"]).alias("last")))
+    zipped = F.arrays_zip(first.alias("0"), dash.alias("1"), second.alias("2"))
+    return F.transform(zipped, one)
 
 
 def coded_bounds(date: Column, limit: int) -> tuple[Column, Column]:
@@ -228,6 +344,36 @@ def publication_lists(varfields: DataFrame, tag: str, place: str, publisher: str
     return parts.groupBy("record_num").agg(of(place).alias("places"), of(publisher).alias("publishers"))
 
 
+#: What the second indicator of a statement says it is (fixed values).
+STATEMENT_KINDS = {"0": "creation", "1": "publication", "2": "distribution", "3": "manufacture", "4": "copyright"}
+
+
+def publication_statements(varfields: DataFrame, ind2: str = "ind2") -> DataFrame:
+    """(record_num, kind, statements): statements of place, name and date by kind, in order.
+
+    A statement ends with its date (``c``); one of 260 also tells a copyright
+    date behind a comma; ``e f g`` are a manufacture statement.
+    """
+    fields = varfields.where(F.col("marc_tag").isin("260", "264"))
+    parts = subfields(fields).withColumn("value", F.trim("value")).where("value <> '' AND code IN ('a', 'b', 'c', 'e', 'f', 'g')")
+    field = ["record_num", "marc_tag", "occ_num"]
+    before = Window.partitionBy(*field).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    made = F.col("code").isin("e", "f", "g")
+    parts = parts.withColumn("_made", made).withColumn("_n", F.coalesce(F.sum((F.col("code") == "c").cast("int")).over(before), F.lit(0)))
+    own_kind = F.coalesce(F.create_map(*[F.lit(x) for kv in STATEMENT_KINDS.items() for x in kv])[F.col(ind2)], F.lit("publication"))
+    old = F.col("marc_tag") == "260"
+    date = r",? *(?:©|\(c\)|c|copyright ) *([0-9]{4})$"
+    told = F.when(old & (F.col("code") == "c"), F.regexp_replace("value", date, "")).otherwise(F.col("value"))
+    right = F.when(old & (F.col("code") == "c") & F.col("value").rlike(date), F.concat(F.lit("©"), F.regexp_extract("value", date, 1)))
+    lines = parts.groupBy(*field, ind2, "_made", F.when(F.col("_made"), 0).otherwise(F.col("_n")).alias("_n")).agg(
+        F.array_join(F.filter(ordered_list(F.col("position"), told), lambda v: v != ""), " ").alias("_told"), F.max(right).alias("_right"), F.min("position").alias("_at")
+    )
+    kind = F.when(F.col("_made"), "manufacture").otherwise(own_kind)
+    shown = lines.select("record_num", "occ_num", "_at", F.explode(F.array(F.struct(kind.alias("kind"), F.col("_told").alias("s")), F.struct(F.lit("copyright").alias("kind"), F.col("_right").alias("s")))).alias("x"))
+    tidy = K.tidy(F.col("x.s"))
+    return shown.where("x.s <> ''").groupBy("record_num", F.col("x.kind").alias("kind")).agg(ordered_list([F.col("occ_num"), F.col("_at")], tidy).alias("statements"))
+
+
 def languages(coded: DataFrame, names: DataFrame, key: str, code: str, position: str) -> DataFrame:
     """Names of a record's languages in the order in which they are first seen; unknown codes are left out."""
     first = coded.groupBy(key, code).agg(F.min(position).alias("_p"))
@@ -235,6 +381,22 @@ def languages(coded: DataFrame, names: DataFrame, key: str, code: str, position:
     return named.groupBy(key).agg(ordered_list(F.col("_p"), "name").alias("languages"))
 
 
+#: What a language of a category (subfield code) is said of, in this order (fixed values).
+LANGUAGE_NOTES = (("a", "Item language(s)"), ("b", "Summaries or abstracts"), ("d", "Sung or spoken text"), ("e", "Librettos"), ("f", "Tables of contents"), ("g", "Accompanying materials"), ("h", "Original language"), ("j", "Subtitles"))
+
+
+def language_notes(coded: DataFrame, names: DataFrame, key: str, code: str, category: str, position: str) -> DataFrame:
+    """(key, language_notes): one note per category, its languages in the order in which they are first seen."""
+    first = coded.join(names, code).groupBy(key, category, "name").agg(F.min(position).alias("_p"))
+    listed = first.groupBy(key, category).agg(F.array_join(ordered_list(F.col("_p"), "name"), ", ").alias("_names"))
+    label = rank = None
+    for i, (c, text) in enumerate(LANGUAGE_NOTES):
+        hit = F.col(category) == c
+        label, rank = (F.when(hit, text), F.when(hit, i)) if label is None else (label.when(hit, text), rank.when(hit, i))
+    known = listed.withColumn("_rank", rank).where("_rank IS NOT NULL")
+    return known.groupBy(key).agg(ordered_list(F.col("_rank"), F.concat(label, F.lit(": "), F.col("_names"))).alias("language_notes"))
+
+
 def standard_numbers(varfields: DataFrame, kinds: Mapping[str, str], valid: str = "a", invalid: str = "z") -> DataFrame:
     """Numbers by tag with kind, validity by subfield, qualifier in brackets and typed search value."""
     kind = None
@@ -253,18 +415,51 @@ def control_numbers(numbers: DataFrame, key: str, order: Sequence[str]) -> DataF
     return numbers.withColumn("number", clean).withColumn("valid", F.when(F.col("tag") == "001", ~before).otherwise(F.col("claimed")))
 
 
-#: A token of the games note: facet letter, lowest, and highest number (fixed pattern).
-GAME_TOKEN = r"(?:^|;)([apd])([0-9]+)(?:t([0-9]+))?"
+#: A token of the games note (fixed pattern): facet letter, lowest and highest number.
+GAME_TOKEN = r"([adp])([0-9]+)(?:to|t)?([0-9]+)?(?:;+|\s|$)"
+
 
+def game_facets(df: DataFrame, key: str, note: str, locations: str = "locations", family: str = "czm") -> DataFrame:
+    """(key, facet, low, high, label) from notes such as ``a13t100;d30t59;p2t4`` of records at a location of one family.
 
-def game_facets(df: DataFrame, key: str, note: str) -> DataFrame:
-    """(facet, low, high, label) from notes such as ``a13;d30t59;p2t4``."""
-    tokens = F.filter(F.split(note, ";"), lambda t: t.rlike("^[apd][0-9]+(t[0-9]+)?$"))
-    out = df.select(key, F.explode(tokens).alias("_t"))
-    low, high = F.regexp_extract("_t", "^.([0-9]+)", 1).cast("long"), F.regexp_extract("_t", "t([0-9]+)$", 1).try_cast("long")
-    out = out.select(key, F.substring("_t", 1, 1).alias("facet"), low.alias("low"), F.coalesce(high, low).alias("high"))
-    unit = F.when(F.col("facet") == "p", "players").when(F.col("facet") == "d", "minutes").otherwise("years and up")
-    return out.where("high >= low").withColumn("label", F.when(F.col("low") == F.col("high"), F.concat_ws(" ", "low", unit)).otherwise(F.concat_ws(" ", "low", F.lit("to"), "high", unit)))
+    A label has a sort key before ``!``: both numbers, padded to the length of
+    the facet's upper bound.  Minutes from 59 on are hours; from 500 minutes, 99
+    players or 100 years on a range is open above, one from a single minute on
+    is open below.  A token without a second number has high 0.
+    """
+    at = F.exists(locations, lambda l: l.startswith(family))
+    low_note = F.lower(note)
+    one, two, three = (F.regexp_extract_all(low_note, F.lit(GAME_TOKEN), F.lit(k)) for k in (1, 2, 3))
+    tokens = F.arrays_zip(one.alias("0"), two.alias("1"), three.alias("2"))
+    rows = df.where(F.coalesce(at, F.lit(False))).select(key, F.posexplode(tokens).alias("position", "_t"))
+    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
+    rows = rows.select(key, "position", F.col("_t.0").alias("facet"), number(F.col("_t.1")).alias("low"), number(F.col("_t.2")).alias("high"))
+    facet = F.col("facet")
+
+    def said(n: Column) -> tuple[Column, Column]:
+        """(number, unit) as shown."""
+        hours = (facet == "d") & (n >= 59)
+        shown = F.when(hours, F.bround(n / 60).cast("int")).otherwise(n)
+        unit = F.when(hours, "hour").when(facet == "d", "minute").when(facet == "p", "player").otherwise("year")
+        return shown.cast("string"), F.concat(unit, F.when(shown == 1, "").otherwise("s"))
+
+    low, high = F.col("low"), F.col("high")
+    (a, a_unit), (b, b_unit) = said(low), said(high)
+    above = F.when(facet == "d", 500).when(facet == "p", 99).otherwise(100)
+    less, less_unit = said(high + 1)
+    more, more_unit = said(low - 1)
+    same = F.regexp_replace(a_unit, "s$", "") == F.regexp_replace(b_unit, "s$", "")
+    shown = (
+        F.when(high == 0, F.concat_ws(" ", a, a_unit))
+        .when((facet == "d") & (low <= 1), F.concat_ws(" ", F.lit("less than"), less, less_unit))
+        .when((high >= above) & (facet == "a"), F.concat_ws(" ", a, a_unit, F.lit("and up")))
+        .when(high >= above, F.concat_ws(" ", F.lit("more than"), more, more_unit))
+        .otherwise(F.concat_ws(" ", a, F.when(~same, a_unit), F.lit("to"), b, b_unit))
+    )
+    width = F.length(above.cast("string"))
+    padded = lambda n: F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), "0")
+    sort = F.concat(padded(low), F.lit("-"), padded(F.when(high == 0, low).otherwise(high)))
+    return rows.withColumn("label", F.concat(sort, F.lit("!"), shown))
 
 
 def subject_headings(varfields: DataFrame, tags: Sequence[str], main: str = "a") -> DataFrame:
@@ -276,20 +471,44 @@ def subject_headings(varfields: DataFrame, tags: Sequence[str], main: str = "a")
     return built.select("record_num", "heading", "kind", F.col("value").alias("term")).dropDuplicates(["record_num", "heading"])
 
 
-def map_subdivisions(terms: DataFrame, mapping: DataFrame, patterns: Sequence[tuple[str, str]] = (), key_col: str = "term") -> DataFrame:
-    """Facet terms of a subdivision: by its folded key, else by the first pattern, else itself."""
-    keyed = terms.withColumn("_key", K.facet_key(F.col(key_col)))
+def map_subdivisions(terms: DataFrame, mapping: DataFrame, patterns: Sequence[tuple[str, Sequence[tuple[str, str]]]] = (), term: str = "term", kind: str = "kind", parents: str = "parents") -> DataFrame:
+    """One row per (facet_kind, facet_term) of a subdivision.
+
+    ``mapping`` is (key, parent, facets): keys and parents in lower case, of
+    letters, digits and blanks alone.  The entry of the first of the term's
+    ``parents`` that has one goes before the entry without a parent; mapped
+    terms are of the term's own kind, those of an era are topics and the era
+    stays.  Without an entry the first pattern that is found (in any case)
+    gives its (kind, term) pairs; ``{}`` stands for its group, whose leading
+    small letters go, or which is capitalised if it has small ones alone.
+    Without any the term stands for itself.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N} ]", ""))
+    rows = terms.withColumn("_id", F.monotonically_increasing_id())
+    keys = rows.select("_id", plain(F.col(term)).alias("key"), F.posexplode(F.array_append(F.transform(F.coalesce(F.col(parents), F.array().cast(_EMPTY)), plain), F.lit(""))).alias("_rank", "parent"))
+    found = keys.join(mapping.withColumn("parent", F.coalesce("parent", F.lit(""))), ["key", "parent"]).groupBy("_id").agg(F.min_by("facets", "_rank").alias("_facets"))
+    pair = lambda k, t: F.struct(k.alias("kind"), t.alias("term"))
+    own, era = F.col(kind), F.col(kind) == "era"
+    mapped = F.concat(F.transform("_facets", lambda t: pair(F.when(era, "topic").otherwise(own), t)), F.when(era, F.array(pair(own, F.col(term)))).otherwise(F.array().cast("array<struct<kind:string,term:string>>")))
+    capital = lambda t: F.when(t.rlike("[A-Z]"), F.regexp_replace(t, "^[^A-Z]+", "")).otherwise(F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1 << 30))))
     by_pattern = None
-    for p, t in patterns:
-        hit = F.col(key_col).rlike(p)
-        by_pattern = F.when(hit, t) if by_pattern is None else by_pattern.when(hit, t)
-    choices = [F.col("_facet"), *([by_pattern] if by_pattern is not None else []), F.col(key_col)]
-    return keyed.join(mapping.select(F.col("key").alias("_key"), F.col("facet").alias("_facet")), "_key", "left").withColumn("facet_term", F.coalesce(*choices)).drop("_key", "_facet")
+    for pattern, new in patterns:
+        hit = F.col(term).rlike(f"(?i){pattern}")
+        group = F.regexp_extract(term, f"(?i){pattern}", 1) if any("{}" in t for _, t in new) else F.lit("")
+        filled = lambda t, g=group: F.lit(t) if "{}" not in t else K.let(F.concat(*[x for i, w in enumerate(t.split("{}")) for x in ([g] if i else []) + [F.lit(w)]]), capital)
+        made = F.array(*[pair(F.lit(k), filled(t)) for k, t in new])
+        by_pattern = F.when(hit, made) if by_pattern is None else by_pattern.when(hit, made)
+    choices = [mapped, *([by_pattern] if by_pattern is not None else []), F.array(pair(own, F.col(term)))]
+    out = rows.join(found, "_id", "left").withColumn("_f", F.explode(F.coalesce(*choices)))
+    return out.withColumns({"facet_kind": F.col("_f.kind"), "facet_term": F.col("_f.term")}).drop("_id", "_facets", "_f")
+
 
+def author_facets(names: DataFrame, key: str, heading: str, tag: str, position: str, combined: str = "combined") -> DataFrame:
+    """Per record its author (the 1XX), distinct contributors in order, meetings apart, and the author sort key.
 
-def author_facets(names: DataFrame, key: str, heading: str, tag: str, position: str) -> DataFrame:
-    """Per record its author (the 1XX), distinct contributors in order, meetings apart, and the author sort key."""
-    distinct = names.groupBy(key, heading).agg(F.min(position).alias("_p"), F.min_by(tag, position).alias("_tag"))
+    Names that are both organisation and event (``combined``) are left out.
+    """
+    distinct = names.where(~F.coalesce(F.col(combined), F.lit(False))).groupBy(key, heading).agg(F.min(position).alias("_p"), F.min_by(tag, position).alias("_tag"))
     event = F.col("_tag").substr(2, 2) == "11"
     first = F.col("_tag").substr(1, 1) == "1"
     return (
@@ -343,3 +562,44 @@ def bib_documents(records: DataFrame, parts: Sequence[DataFrame], required: str,
     for p in parts:
         out = out.join(p, key, "left")
     return out.where(F.col(required).isNotNull()), out.where(F.col(required).isNull()).select(key)
+
+
+#: Columns of tagged lists, notes by tag and by type code, and number kinds of a bib document (fixed values).
+LIST_COLUMNS = {"250": "editions_display", "866": "library_has_display"}
+NOTE_TAGS = {"502": "dissertation_notes", "505": "toc_notes", "520": "summary_notes", "546": "language_notes"}
+NOTE_TYPES = {"n": "notes"}
+NUMBER_KINDS = {"020": "isbn", "022": "issn", "024": "upc", "028": "publisher_number"}
+
+
+def bib_parts(varfields: DataFrame, call_number_spec: Sequence[tuple[str, str | None, str]], subject_tags: Sequence[str], mapping: DataFrame, patterns: Sequence[tuple[str, Sequence[tuple[str, str]]]], names: DataFrame, titles: DataFrame, languages_of: DataFrame, urls: DataFrame, limit: int) -> list[DataFrame]:
+    """The parts of bib documents that come from their own fields, one row per record_num each.
+
+    Call numbers (D2), publication (D15, D11), numbers (D17, D18), subjects
+    (D20, D21), names (D22), titles (D23), notes (D24), lists (D26), languages
+    (D16) and links (D10); jobs of one operator each over the exploded fields.
+    ``names`` (record_num, heading, tag, position, combined), ``titles``
+    (record_num, title, kind, position), ``languages_of`` (record_num,
+    languages), ``urls`` as for ``url_list``.
+    """
+    numbers = call_numbers(varfields, call_number_spec).groupBy("record_num").agg(F.min("kind").alias("call_number_type"), F.flatten(F.collect_list("call_numbers")).alias("call_numbers_display"))
+    statements = publication_statements(varfields)
+    kinds = sorted(set(STATEMENT_KINDS.values()))
+    published = statements.groupBy("record_num").agg(*[F.first(F.when(F.col("kind") == k, F.col("statements")), ignorenulls=True).alias(f"{k}_display") for k in kinds])
+    dated = statements.select("record_num", F.explode("statements").alias("_s")).select("record_num", F.explode(extract_years(F.col("_s"), limit)).alias("_y"))
+    years = dated.select("record_num", *[c.alias(n) for c, n in zip(coded_bounds(F.col("_y.first"), limit), ("_low", "_high"), strict=True)])
+    years = years.where("_low IS NOT NULL").groupBy("record_num").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("_low", "_high"))))).alias("publication_year_range_facet"))
+    standard = standard_numbers(varfields, NUMBER_KINDS)
+    order = [F.col("kind"), F.col("occ_num"), F.col("position")]
+    standard = standard.groupBy("record_num").agg(ordered_list(order, F.when(F.col("valid"), F.col("search_value"))).alias("standard_numbers_search"), ordered_list(order, F.when(~F.col("valid"), F.col("search_value"))).alias("invalid_numbers_search"))
+    control = varfields.where(F.col("marc_tag").isin("001", "035")).select("record_num", F.col("marc_tag").alias("tag"), F.col("occ_num").alias("position"), F.regexp_replace("content", r"^\|.", "").alias("value"), F.lit(True).alias("claimed"))
+    control = control_numbers(control, "record_num", ["position", "tag", "value"]).where("valid").groupBy("record_num").agg(F.array_sort(F.collect_set("number")).alias("oclc_numbers_search"))
+    headings = subject_headings(varfields, subject_tags)
+    subjects = headings.groupBy("record_num").agg(F.array_sort(F.collect_set("heading")).alias("subjects_search"))
+    faceted = map_subdivisions(headings.withColumn("parents", F.array().cast(_EMPTY)), mapping, patterns)
+    facets = faceted.groupBy("record_num").agg(*[F.array_sort(F.collect_set(F.when(F.col("facet_kind") == k, K.keyed_facet(F.col("facet_term"))))).alias(f"{k}_facet") for k in ("topic", "region", "era", "genre")])
+    people = author_facets(names, "record_num", "heading", "tag", "position")
+    works = title_facets(titles, "record_num", "title", "kind", "position", "related").groupBy("record_num").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.concat_ws("!", "work_key", "title")))).alias(f"{k}_titles_facet") for k in ("included", "series", "related")])
+    told = notes(varfields, NOTE_TAGS, NOTE_TYPES, tuple(NOTE_TAGS)).groupBy("record_num").agg(*[F.first(F.when(F.col("target") == t, F.col("notes")), ignorenulls=True).alias(t) for t in (*NOTE_TAGS.values(), *NOTE_TYPES.values())])
+    lists = tagged_lists(varfields, LIST_COLUMNS)
+    links = url_list(urls, "record_num", "mediabook.library.unt.edu", F.lit(None).cast("string")).groupBy("record_num").agg(ordered_list(F.col("position"), F.to_json(F.struct(F.col("url").alias("u"), F.col("note").alias("n"), F.col("label").alias("l"), F.col("url_type").alias("t")))).alias("urls_json"))
+    return [numbers, published, years, standard, control, subjects, facets, people, works, told, lists, languages_of, links, thumbnails(urls, "record_num")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def facet(df: DataFrame, column: str, least: int = 1, by: str = "count", multi: bool = False) -> DataFrame:
@@ -42,6 +43,26 @@ def merge_results(parts: DataFrame, run: str, part: str, lists: str, scalars: st
     return listed.join(last, [run, "path"], "full")
 
 
+def merge_nested(parts: DataFrame, run: str, part: str, column: str) -> DataFrame:
+    """A5 for maps of any depth: (run, column), the maps of all parts merged level by level.
+
+    Lists of equal paths stand one after another by part, of single values the
+    last part's stays.  A run without any value is left out.
+    """
+
+    def merged(df: DataFrame, keys: list[str], kind: T.DataType) -> DataFrame:
+        if isinstance(kind, T.MapType):
+            name = f"_key{len(keys)}"
+            inner = merged(df.select(*keys, part, F.explode(column).alias(name, column)), [*keys, name], kind.valueType)
+            return inner.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, column))).alias(column))
+        if isinstance(kind, T.ArrayType):
+            lists = F.transform(F.array_sort(F.collect_list(F.struct(part, column))), lambda x: x[column])
+            return df.groupBy(*keys).agg(F.flatten(lists).alias(column))
+        return df.groupBy(*keys).agg(F.max_by(column, part).alias(column))
+
+    return merged(parts.select(run, part, column), [run], parts.schema[column].dataType)
+
+
 def run_totals(parts: DataFrame, operation: str, record_set: str, amount: str) -> DataFrame:
     """Counts and sums by operation and record set, by operation, and of all."""
     return parts.rollup(operation, record_set).agg(F.sum(amount).alias("amount"), F.count("*").alias("parts"))

@@ -62,16 +62,41 @@ def collections(items: DataFrame, members: DataFrame, key: str = "item_id") -> D
     return items.join(named, "location_code", "left").withColumn("collections", F.coalesce("collections", F.array().cast("array<string>")))
 
 
-def access_facets(bibs: DataFrame, items: DataFrame, bib_locations: DataFrame, places: DataFrame, key: str = "bib_num") -> DataFrame:
-    """U4: sorted buildings and shelves of a bib's unsuppressed items; bibs without such items take their own locations.
+#: Locations that are online or public, and the buildings of others by the start of their code, but for some codes (fixed patterns).
+ONLINE_LOCATION, PUBLIC_LOCATION = "www$", "^(czm|f|jlf|k|r|s|w)"
+BUILDINGS = (("^w", "w"), ("^czm", "czm"), ("^frsco", "frsco"), ("^fip", "fip"), ("^fl", "fl"), ("^s", "s"), ("^r", "r"), ("(^x|^jlf$)", "x"))
+NO_BUILDING = ("spec", "xprsv", "xts")
+ONLINE, PHYSICAL = "Online", "At the Library"
 
-    ``places`` is (location_code, building, shelf).
+
+def location_places(locations: DataFrame, online: str = ONLINE_LOCATION, public: str = PUBLIC_LOCATION, buildings: Sequence[tuple[str, str]] = BUILDINGS, no_building: Sequence[str] = NO_BUILDING) -> DataFrame:
+    """U4: (location_code, online, public, shelf, building) of locations (location_code, label): what their codes say, with labels."""
+    code = F.col("location_code")
+    own = locations.select(code, F.col("label").alias("shelf"), code.rlike(online).alias("online"), code.rlike(public).alias("public"), F.when(~code.isin(*no_building), first_match(code, buildings, F.lit(None))).alias("_building"))
+    labels = locations.select(code.alias("_building"), F.col("label").alias("building"))
+    return own.join(labels, "_building", "left").drop("_building")
+
+
+def access_facets(bibs: DataFrame, items: DataFrame, bib_locations: DataFrame, places: DataFrame, members: DataFrame, key: str = "bib_num") -> DataFrame:
+    """U4: sorted access, building, shelf and collection facets of a bib's unsuppressed items; bibs without such items take their own locations.
+
+    ``places`` is (location_code, online, public, shelf, building), one row a
+    location, ``members`` (collection, location_code).  An online location
+    gives no building or shelf; a shelf is shown if it is public and not named
+    like its building.  Locations count once, however many items stand there.
     """
     own = items.where(~F.coalesce("suppressed", F.lit(False))).select(key, "location_code").distinct()
     stand_in = bib_locations.select(key, "location_code").distinct().join(own.select(key).distinct(), key, "left_anti")
-    sets = own.unionByName(stand_in).join(places, "location_code", "left").groupBy(key).agg(F.array_sort(F.collect_set("building")).alias("buildings"), F.array_sort(F.collect_set("shelf")).alias("shelves"))
+    named = members.groupBy("location_code").agg(F.collect_set("collection").alias("_collections"))
+    at = own.unionByName(stand_in).join(places, "location_code", "left").join(named, "location_code", "left")
+    online = F.coalesce("online", F.lit(False))
+    building = F.when(~online, F.col("building"))
+    shelf = F.when(~online & F.coalesce("public", F.lit(False)) & ~F.col("shelf").eqNullSafe(F.col("building")), F.col("shelf"))
+    access = F.when(online, ONLINE).when(building.isNotNull(), PHYSICAL)
+    sets = {"access": access, "buildings": building, "shelves": shelf}
+    found = at.groupBy(key).agg(*[F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()], F.array_sort(F.array_distinct(F.flatten(F.collect_set("_collections")))).alias("collections"))
     empty = F.array().cast("array<string>")
-    return bibs.join(sets, key, "left").withColumn("buildings", F.coalesce("buildings", empty)).withColumn("shelves", F.coalesce("shelves", empty))
+    return bibs.join(found, key, "left").withColumns({n: F.coalesce(n, empty) for n in (*sets, "collections")})
 
 
 def resource_types(bibs: DataFrame, coded: DataFrame, base_types: DataFrame, formats: DataFrame, combined: DataFrame, overrides: Sequence[tuple[str, str]] = (), key: str = "record_num", call_number: str = "call_number") -> DataFrame:

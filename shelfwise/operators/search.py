@@ -2,28 +2,70 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import fold
+from ..functions.keys import fold, let
 
 #: Field weights of the ranked search (fixed values).
 WEIGHTS = {"title": 10.0, "alternate_titles": 10.0, "subjects": 5.0, "summary": 2.0, "holdings": 2.0}
 
 
+def _apart(c: Column) -> Column:
+    """A text with a blank where letters and digits, or lower and upper case, change; possessive endings go."""
+    c = F.regexp_replace(c, r"(?i)(\p{L})'s(?![\p{L}\p{N}])", "$1")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(\p{Ll})(\p{Lu})", "$1 $2"), r"(\p{L})(?=\p{N})", "$1 "), r"(\p{N})(?=\p{L})", "$1 ")
+
+
 def tokens(c: Column) -> Column:
     """Words of a text: split at blanks, at changes of letters and digits and of lower and upper case, folded."""
-    apart = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(\p{Ll})(\p{Lu})", "$1 $2"), r"(\p{L})(\p{N})", "$1 $2"), r"(\p{N})(\p{L})", "$1 $2")
-    return F.filter(F.split(fold(apart), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(fold(_apart(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+#: Words of one part.
+_PLAIN_WORD = r"^(\p{Lu}*\p{Ll}*|\p{N}+)$"
+
+
+def indexed_tokens(c: Column) -> Column:
+    """Array of arrays: the distinct tokens that stand at each position of a text.
+
+    Every part of a word between blanks has a position.  Where the word
+    begins, the word itself and all its parts in one stand too; where a run of
+    letter parts begins, the run in one.  All are folded.
+    """
+    none = F.array().cast("array<string>")
+    letters = lambda p: p.rlike(r"^\p{L}")
+
+    def at_places(parts: Column, folded: Column) -> Column:
+        def here(part: Column, i: Column) -> Column:
+            begins = letters(part) & ((i == 0) | ~letters(F.get(parts, i - 1)))
+            rest = F.slice(parts, i + 1, F.size(parts))
+            numbers = F.filter(F.transform(rest, lambda p, k: F.when(~letters(p), k)), lambda k: k.isNotNull())
+            run = F.array_join(F.slice(rest, 1, F.coalesce(F.get(numbers, 0), F.size(rest))), "")
+            whole = F.when(i == 0, F.array(folded, F.array_join(parts, ""))).otherwise(none)
+            return F.array_distinct(F.concat(F.array(part), whole, F.when(begins, F.array(run)).otherwise(none)))
+
+        return F.transform(parts, here)
+
+    def of_words(s: Column) -> Column:
+        def of_word(w: Column, i: Column) -> Column:
+            folded = F.get(s["folded"], i)
+            return F.when(w.rlike(_PLAIN_WORD), F.array(F.array(folded))).otherwise(let(tokens(w), lambda parts: at_places(parts, folded)))
+
+        return F.flatten(F.transform(s["raw"], of_word))
+
+    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return let(F.struct(words(c).alias("raw"), words(fold(c)).alias("folded")), of_words)
 
 
 def token_index(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Q1: (key, field, token, position)."""
-    parts = [df.select(key, F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("position", "token")) for f in fields]
-    return reduce(DataFrame.unionByName, parts)
+    """Q1: (key, field, position, token): at each position the part of a word and the catenations that begin there, each once."""
+    parts = [df.select(key, F.lit(f).alias("field"), F.posexplode(indexed_tokens(F.col(f))).alias("position", "_tokens")) for f in fields]
+    return reduce(DataFrame.unionByName, parts).select(key, "field", "position", F.explode("_tokens").alias("token"))
 
 
 def keyword_filter(index: DataFrame, key: str, anyof: Sequence[str] = (), allof: Sequence[str] = (), noneof: Sequence[str] = ()) -> DataFrame:
@@ -43,12 +85,19 @@ def keyword_filter(index: DataFrame, key: str, anyof: Sequence[str] = (), allof:
     return out.select(key)
 
 
-def phrase_filter(index: DataFrame, key: str, phrase: Sequence[str], slop: int = 0) -> DataFrame:
-    """Q3: keys of documents with the words one after another in one field; with slop up to that many places off."""
-    place = reduce(lambda c, iw: c.when(F.col("token") == iw[1], F.array(*[F.lit(i) for i, w in enumerate(phrase) if w == iw[1]])), list(enumerate(phrase))[1:], F.when(F.col("token") == phrase[0], F.array(*[F.lit(i) for i, w in enumerate(phrase) if w == phrase[0]])))
-    found = index.where(F.col("token").isin(*set(phrase))).select(key, "field", "position", F.explode(place).alias("nth"))
+def phrase_places(index: DataFrame, key: str, phrase: Sequence[str], slop: int = 0) -> DataFrame:
+    """(key, field) where the words of a phrase stand one after another, each up to ``slop`` places late."""
+    of = {w: [i for i, x in enumerate(phrase) if x == w] for w in phrase}
+    nths = F.create_map(*[x for w, at in of.items() for x in (F.lit(w), F.array(*map(F.lit, at)))])[F.col("token")]
+    found = index.where(F.col("token").isin(*of)).select(key, "field", "position", F.explode(nths).alias("nth"))
     start = F.explode(F.sequence(F.col("position") - F.col("nth") - slop, F.col("position") - F.col("nth"))) if slop else F.col("position") - F.col("nth")
-    return found.select(key, "field", "nth", start.alias("start")).groupBy(key, "field", "start").agg(F.count_distinct("nth").alias("n")).where(F.col("n") == len(phrase)).select(key).distinct()
+    starts = found.select(key, "field", "nth", start.alias("start")).groupBy(key, "field", "start").agg(F.count_distinct("nth").alias("n"))
+    return starts.where(F.col("n") == len(phrase)).select(key, "field").distinct()
+
+
+def phrase_filter(index: DataFrame, key: str, phrase: Sequence[str], slop: int = 0) -> DataFrame:
+    """Q3: keys of documents with the words one after another in one field; with slop up to that many places late."""
+    return phrase_places(index, key, phrase, slop).select(key).distinct()
 
 
 def least_matches(n: int) -> int:
@@ -56,17 +105,41 @@ def least_matches(n: int) -> int:
     return n if n <= 2 else int(0.8 * n)
 
 
-def ranked_search(index: DataFrame, key: str, query: Sequence[str], n_documents: int, weights: Mapping[str, float] = WEIGHTS, least: int | None = None) -> DataFrame:
-    """Q4: (key, matched, score): per word the best field's weight x frequency x ln(1 + N / df), summed over words."""
-    query = sorted(set(query))
-    hits = index.where(F.col("token").isin(*query) & F.col("field").isin(*weights))
-    weight = reduce(lambda c, kv: c.when(F.col("field") == kv[0], F.lit(kv[1])), list(weights.items())[1:], F.when(F.col("field") == next(iter(weights)), F.lit(next(iter(weights.values())))))
-    tf = hits.groupBy(key, "field", "token").agg(F.count("*").alias("tf")).withColumn("gain", weight * F.col("tf"))
+#: Field weights of phrases, and how far from each other the words of the whole query and of a pair of it may stand (fixed values).
+PHRASE_WEIGHTS = {"title": 10.0, "alternate_titles": 10.0, "subjects": 5.0, "summary": 5.0, "holdings": 5.0}
+PHRASE_SLOP, PAIR_SLOP = 2, 1
+
+
+def _weight(weights: Mapping[str, float]) -> Column:
+    (first, w), *rest = weights.items()
+    return reduce(lambda c, kv: c.when(F.col("field") == kv[0], F.lit(kv[1])), rest, F.when(F.col("field") == first, F.lit(w)))
+
+
+def ranked_search(index: DataFrame, key: str, query: Sequence[str], n_documents: int, weights: Mapping[str, float] = WEIGHTS, least: int | None = None, phrase_weights: Mapping[str, float] = PHRASE_WEIGHTS) -> DataFrame:
+    """Q4: (key, matched, score) of documents with enough of the query's words.
+
+    Score: per word the best field's weight x frequency x ln(1 + N / df),
+    summed over words; then for the whole query and for each pair of words
+    that follow each other in it, where they stand as a phrase, the best
+    field's phrase weight x the sum of their words' ln(1 + N / df).
+    """
+    words = sorted(set(query))
+    hits = index.where(F.col("token").isin(*words) & F.col("field").isin(*weights))
+    tf = hits.groupBy(key, "field", "token").agg(F.count("*").alias("tf")).withColumn("gain", _weight(weights) * F.col("tf"))
     best = tf.groupBy(key, "token").agg(F.max("gain").alias("gain"))
     df = best.groupBy("token").agg(F.count("*").alias("df"))  # as many rows as the query has words
-    scored = best.join(F.broadcast(df), "token").withColumn("gain", F.col("gain") * F.log(1 + n_documents / F.col("df")))
-    out = scored.groupBy(key).agg(F.count("*").alias("matched"), F.round(F.sum("gain"), 6).alias("score"))
-    return out.where(F.col("matched") >= (least_matches(len(query)) if least is None else least))
+    rarity = {r["token"]: math.log(1 + n_documents / r["df"]) for r in df.collect()}
+    idf = F.create_map(*[F.lit(x) for kv in rarity.items() for x in kv]) if rarity else F.lit(None).cast("map<string,double>")
+    out = best.groupBy(key).agg(F.count("*").alias("matched"), F.sum(F.col("gain") * idf[F.col("token")]).alias("score"))
+    phrases = [(tuple(query), PHRASE_SLOP)] if len(query) > 1 else []
+    phrases += [((a, b), PAIR_SLOP) for a, b in zip(query, query[1:], strict=False)]
+    in_field = index.where(F.col("field").isin(*phrase_weights))
+    gains = [phrase_places(in_field, key, p, slop).groupBy(key).agg((F.max(_weight(phrase_weights)) * F.lit(sum(rarity.get(w, 0.0) for w in p))).alias("more")) for p, slop in phrases]
+    if gains:
+        more = reduce(DataFrame.unionByName, gains).groupBy(key).agg(F.sum("more").alias("more"))
+        out = out.join(more, key, "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    enough = least_matches(len(words)) if least is None else least
+    return out.where(F.col("matched") >= enough).select(key, "matched", F.round("score", 6).alias("score"))
 
 
 def search(df: DataFrame, key: str, *found: DataFrame) -> DataFrame:

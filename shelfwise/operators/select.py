@@ -6,13 +6,15 @@ from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shelflist import ranked
+
 
 def select_full(records: DataFrame, body: DataFrame, key: str) -> DataFrame:
-    """Headers joined to bodies, with the position by record number."""
-    return records.join(body, key)
+    """Headers joined to bodies, with the ``position`` (from 0) by record number."""
+    return ranked(records.join(body, key), [F.col(key)], out="position")
 
 
 def select_since(df: DataFrame, stamp: str, mark: datetime) -> DataFrame:
@@ -98,18 +100,9 @@ def load_codes(docs: DataFrame, new: Mapping[str, DataFrame], type_col: str = "t
 
 
 def key_ranges(df: DataFrame, key: str, size: int) -> DataFrame:
-    """First key, last key and count of consecutive stretches of ``size`` keys.
-
-    Positions come from counts per key range, so no task holds all keys: keys
-    are spread over ``_part`` by approximate quantiles first.
-    """
-    keys = df.select(key)
-    cuts = sorted(set(keys.approxQuantile(key, [i / 32 for i in range(1, 32)], 0.001)))
-    part = reduce(lambda c, e: c + (F.col(key) > e).cast("int"), cuts, F.lit(0))
-    parted = keys.withColumn("_part", part)
-    before = parted.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    nth = parted.join(F.broadcast(before), "_part").withColumn("_nth", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    return nth.groupBy(F.floor((F.col("_nth") - 1) / size).alias("range_no")).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("n"))
+    """First key, last key and count of consecutive stretches of ``size`` keys; no task holds more than a range of the sort."""
+    placed = ranked(df.select(key), [F.col(key)], out="_nth")
+    return placed.groupBy(F.floor(F.col("_nth") / size).alias("range_no")).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("n"))
 
 
 def harvest(roots: Mapping[str, DataFrame], chains: Sequence[Sequence[tuple[str, str, str, str]]], tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as T
@@ -20,54 +22,13 @@ reg = Registry()
 add = reg.add
 
 
-def sql_steps(expr: str, steps: K.Steps) -> str:
-    """The same replacements for the other engine."""
-    for pattern, new in steps:
-        expr = "regexp_replace({}, '{}', '{}', 'g')".format(expr, pattern.replace("'", "''"), new.replace("'", "''"))
-    return expr
-
-
-def sql_padded(expr: str, decimals: bool = True) -> str:
-    pattern = r"^[0-9]*\.?[0-9]+$" if decimals else r"^[0-9]+$"
-    whole = "regexp_replace(regexp_extract(w, '^([0-9]*)', 1), '^0+', '')"
-    fraction = r"regexp_replace(regexp_extract(w, '(\.[0-9]+)$', 1), '^\.0+$', '')"
-    return f"array_to_string(list_transform(string_split({expr}, ' '), lambda w: CASE WHEN regexp_matches(w, '{pattern}') THEN lpad({whole}, CAST(greatest(length({whole}), 10) AS INT), '0') || {fraction} ELSE w END), ' ')"
-
-
-def sql_lc(c: str) -> str:
-    return f"replace({sql_padded(sql_steps(f'upper({sql_steps(c, K.LC_BEFORE_UPPER)})', K.LC_AFTER_UPPER))}, ' ', '!')"
-
-
-def sql_dewey(c: str) -> str:
-    return f"replace({sql_padded(sql_steps(f'upper({c})', [*K.SPACES, *K.SEPARATE]))}, ' ', '!')"
-
-
-def sql_other(c: str) -> str:
-    return f"replace(upper({sql_padded(sql_steps(c, [*K.SPACES, *K.THOUSANDS_AND_RANGES, *K.SEPARATE]))}), ' ', '!')"
-
-
-def sql_volume(c: str) -> str:
-    return f"replace(upper({sql_padded(sql_steps(c, [*K.SPACES, *K.LABELS, *K.THOUSANDS_AND_RANGES, *K.DECIMALS, *K.SEPARATE]))}), ' ', '!')"
-
-
-def sql_sudoc(c: str) -> str:
-    up = sql_steps(f"upper({c})", K.SPACES)
-    two = f"len(string_split({up}, ':')) = 2"
-    stem = f"replace(CASE WHEN {two} THEN string_split({up}, ':')[1] ELSE {up} END, '.', ' ')"
-    stem = f"({stem} || CASE WHEN contains({stem}, '/') THEN '' ELSE '/0' END)"
-    stem = f"({stem} || CASE WHEN contains({stem}, '-') THEN '' ELSE '-0' END)"
-    suffix = sql_steps(f"CASE WHEN {two} THEN string_split({up}, ':')[2] ELSE '' END", K.SUDOC_SUFFIX)
-    whole = sql_steps(f"({stem} || ':' || {suffix})", K.SEPARATE)
-    return f"replace({sql_steps(sql_padded(whole, False), K.SUDOC_LETTERS)}, ' ', '!')"
-
-
-def sql_sort_key(c: str, kind: str) -> str:
-    return f"CASE {kind} WHEN 'lc' THEN {sql_lc(c)} WHEN 'dewey' THEN {sql_dewey(c)} WHEN 'sudoc' THEN {sql_sudoc(c)} ELSE {sql_other(c)} END"
+def sql_padded(n: str) -> str:
+    return f"lpad(CAST({n} AS VARCHAR), 10, '0')"
 
 
 def sql_fold(c: str) -> str:
-    out = f"translate(lower({c}), '{K.MARKED}', '{K.PLAIN}')"
-    for a, b in K.SEVERAL:
+    out = f"strip_accents(lower({c}))"
+    for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("đ", "d")):
         out = f"replace({out}, '{a}', '{b}')"
     return out
 
@@ -78,22 +39,67 @@ def sql_facet_key(c: str) -> str:
 
 # --- keys -------------------------------------------------------------------------
 
-#: Call numbers of many shapes, made from the parts' own columns.
-_NUMBERS = "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'M' || p_size || '.B' || p_size || ' B' || p_partkey % 9 || ' 1921' WHEN 1 THEN ' QA' || p_partkey || ' .' || upper(substr(p_name, 1, 1)) || p_size WHEN 2 THEN 'LPCD ' || p_size || ',' || (100 + p_partkey % 800) WHEN 3 THEN p_size || '.' || (100 + p_partkey % 900) || ' ' || substr(p_brand, 7) || 'a' WHEN 4 THEN 'Y ' || p_size || '.2:' || substr(p_name, 1, 2) || ' ' || (900 + p_partkey % 100) || '-' || p_size WHEN 5 THEN 'Vol. ' || p_size || '-' || (p_size + 1) || ' no.' || p_partkey WHEN 6 THEN 'A' || p_size || 'b' || p_size || 'C12345678901 ' ELSE 'xm. pk 003.50' || p_size END AS cn FROM {part}"
+#: Call numbers by kind, each with the sort key that it has by its own form; s, k, u are a part's size, key and initial.
+_FORMS = {
+    "lc": (
+        ("'M' || s || '.B' || s || ' B' || k % 9 || ' 1921'", f"'M!' || {sql_padded('s')} || '!B' || s || '!B' || k % 9 || '!0000001921'"),
+        ("' QA' || k || ' .' || u || s", f"'QA!' || {sql_padded('k')} || '!' || u || s"),
+        ("'LPCD ' || s || ',' || (100 + k % 800)", f"'LPCD!' || {sql_padded('(s || (100 + k % 800))')}"),
+        ("'xm. pk  003.50' || s", "'XM!PK!0000000003.50' || s"),
+        ("'PZ12345678901 .' || u || '5'", "'PZ!12345678901!' || u || '5'"),
+    ),
+    "dewey": (
+        ("(100 + k % 900) || '.' || s || ' abc'", f"{sql_padded('100 + k % 900')} || '.' || s || '!ABC'"),
+        ("(100 + k % 900) || '.0 ' || u || s", f"{sql_padded('100 + k % 900')} || '!' || u || '!' || {sql_padded('s')}"),
+        ("'  ' || s || '   x' || k", f"{sql_padded('s')} || '!X!' || {sql_padded('k')}"),
+    ),
+    "sudoc": (
+        ("'Y 4.P ' || s || '/1:' || (10 + k % 800)", f"'Y!0000000004!P!' || {sql_padded('s')} || '!0000000001!0000000000!' || {sql_padded('10 + k % 800')}"),
+        ("'A ' || s || '.2/3-' || (1 + k % 9) || ':7'", f"'A!' || {sql_padded('s')} || '!0000000002!0000000003!' || {sql_padded('1 + k % 9')} || '!0000000007'"),
+        ("'HE ' || s || '.1:' || (1 + k % 8)", f"'HE!' || {sql_padded('s')} || '!0000000001!0000000000!0000000000!' || {sql_padded('1 + k % 8')}"),
+    ),
+    "other": (
+        ("'LPCD ' || s || ',' || (100 + k % 800)", f"'LPCD!' || {sql_padded('(s || (100 + k % 800))')}"),
+        ("'Lpcd' || k", f"'LPCD!' || {sql_padded('k')}"),
+        ("s || '-' || (s + 1) || ' x'", f"{sql_padded('s')} || '!X'"),
+    ),
+    "volume": (
+        ("'Vol. ' || s || '-' || (s + 1) || ' no.' || k", f"{sql_padded('s')} || '!' || {sql_padded('k')}"),
+        ("'v' || k", sql_padded("k")),
+        ("'Bd. ' || s || ',' || (100 + k % 800)", sql_padded("(s || (100 + k % 800))")),
+    ),
+}
+_PART = "(SELECT p_partkey, p_partkey AS k, p_size AS s, upper(substr(p_name, 1, 1)) AS u FROM {part})"
+
+
+def _chosen(kind: str, which: int) -> str:
+    return f"CASE k % {len(_FORMS[kind])} {' '.join(f'WHEN {i} THEN {f[which]}' for i, f in enumerate(_FORMS[kind]))} END"
+
+
+def _numbers(c, kind="lc"):
+    return c._spark.sql(f"SELECT p_partkey, {_chosen(kind, 0)} AS cn FROM {_PART}", part=c.part)
+
+
+def _numbers_sql(kind: str, *columns: str) -> str:
+    return f"SELECT p_partkey{''.join(', ' + x for x in columns)} FROM (SELECT p_partkey, {_chosen(kind, 0)} AS cn, {_chosen(kind, 1)} AS key FROM {_PART.replace('{part}', 'part')})"
+
+
+for _name, _kind, _key in (("N1_lc_key", "lc", K.lc_key), ("N2_dewey_key", "dewey", K.dewey_key), ("N3_sudoc_key", "sudoc", K.sudoc_key), ("N4_other_key", "other", K.other_key), ("N4_volume_key", "volume", K.volume_key)):
+    add(_name, lambda c, kind=_kind, k=_key: _numbers(c, kind).select("p_partkey", k(F.col("cn")).alias("key")), _numbers_sql(_kind, "key"))
+add("N5_facet_key", lambda c: c.documents.select("doc_id", K.facet_key(F.col("text")).alias("key")), f"SELECT doc_id, {sql_facet_key('text')} AS key FROM documents")
+add("N6_search_key", lambda c: _numbers(c).select("p_partkey", K.search_key(F.col("cn")).alias("key")), _numbers_sql("lc", r"translate(upper(cn), ' ./,?-', '') AS key"))
 
 
-def _numbers(c):
-    return c._spark.sql(_NUMBERS, part=c.part)
+def _n7(c):
+    kinds = ("lc", "dewey", "sudoc", "other")
+    rows = [_numbers(c, k).where(F.col("p_partkey") % 4 == i).withColumn("kind", F.lit(k if k != "other" else "unknown")) for i, k in enumerate(kinds)]
+    return reduce(DataFrame.unionByName, rows).select("p_partkey", K.sort_key(F.col("cn"), F.col("kind")).alias("key"))
 
 
-_NUM_SQL = f"({_NUMBERS.replace('{part}', 'part')})"
-for _name, _key, _sql in (("N1_lc_key", K.lc_key, sql_lc), ("N2_dewey_key", K.dewey_key, sql_dewey), ("N3_sudoc_key", K.sudoc_key, sql_sudoc), ("N4_other_key", K.other_key, sql_other), ("N4_volume_key", K.volume_key, sql_volume)):
-    add(_name, lambda c, k=_key: _numbers(c).select("p_partkey", k(F.col("cn")).alias("key")), f"SELECT p_partkey, {_sql('cn')} AS key FROM {_NUM_SQL}")
-add("N5_facet_key", lambda c: c.documents.select("doc_id", K.facet_key(F.col("text")).alias("key")), f"SELECT doc_id, {sql_facet_key('text')} AS key FROM documents")
-add("N6_search_key", lambda c: _numbers(c).select("p_partkey", K.search_key(F.col("cn")).alias("key")), f"SELECT p_partkey, {sql_steps('upper(cn)', K.SEARCH)} AS key FROM {_NUM_SQL}")
-add("N7_sort_key", lambda c: _numbers(c).select("p_partkey", K.sort_key(F.col("cn"), F.element_at(F.array(F.lit("lc"), F.lit("dewey"), F.lit("sudoc"), F.lit("unknown")), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("key")), f"SELECT p_partkey, {sql_sort_key('cn', 'kind')} AS key FROM (SELECT *, ['lc', 'dewey', 'sudoc', 'unknown'][p_partkey % 4 + 1] AS kind FROM {_NUM_SQL})")
+add("N7_sort_key", _n7, " UNION ALL ".join(f"({_numbers_sql(k, 'key')} WHERE p_partkey % 4 = {i})" for i, k in enumerate(("lc", "dewey", "sudoc", "other"))))
 add("N8_keyed_facet", lambda c: c.documents.select("doc_id", K.keyed_facet(F.col("text")).alias("facet")), f"SELECT doc_id, {sql_facet_key('text')} || '!' || text AS facet FROM documents")
-add("N9_tidy", lambda c: c.documents.select("doc_id", K.tidy(F.col("text")).alias("tidy")), f"SELECT doc_id, {sql_steps('text', K.PUNCTUATION)} AS tidy FROM documents")
+_MARKS = "regexp_replace(regexp_replace(text, '[ \\t\\n\\f\\r\\x0B]+([,;:.!?])', '\\1', 'g'), '([,;:])[,;:]+', '\\1', 'g')"
+add("N9_tidy", lambda c: c.documents.select("doc_id", K.tidy(F.col("text")).alias("tidy")), f"SELECT doc_id, rtrim(ltrim(regexp_replace({_MARKS}, '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g'), ' ,;:/'), ' ,;:/') AS tidy FROM documents")
 for _name in ("N5_facet_key", "N8_keyed_facet", "N9_tidy"):
     reg.also(f"{_name}_whole", _name)
 add("N10_truncated", lambda c: c.documents.select("doc_id", K.truncated(F.regexp_replace("text", r"\s+", " "), 40, 120).alias("short")), r"SELECT doc_id, CASE WHEN length(t) <= 120 THEN t WHEN regexp_matches(p, '[^0-9A-Za-z_\s]\s') AND regexp_matches(p, '[^\p{L}\p{N}_\s]\s') THEN substr(t, 1, 39) || regexp_extract(p, '(?s)^(.*)[^0-9A-Za-z_\s]\s', 1) WHEN regexp_matches(p, '[^0-9A-Za-z_\s]\s') THEN substr(t, 1, 39) || regexp_extract(p, '(?s)^(.*)[^0-9A-Za-z_\s]\s', 1) WHEN regexp_matches(p, '\s') THEN substr(t, 1, 39) || regexp_extract(p, '(?s)^(.*\S|)\s', 1) ELSE substr(t, 1, 40) END AS short FROM (SELECT doc_id, t, substr(t, 40, 81) AS p FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents))")
@@ -158,6 +164,16 @@ def _a5(c):
 
 
 add("A5_merge_results", _a5, "SELECT user_id, event_type AS path, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY event_id) AS merged, arg_max(round(value, 2), event_id) AS last_value FROM events GROUP BY 1, 2")
+
+
+def _a5_nested(c):
+    at = F.create_map(F.lit("hour"), F.create_map(F.date_format("ts", "HH"), F.array("event_id")), F.col("event_type"), F.create_map(F.lit("ids"), F.array("event_id")))
+    merged = A.merge_nested(c.events.select("user_id", "event_id", at.alias("found")), "user_id", "event_id", "found")
+    rows = merged.select("user_id", F.explode("found").alias("outer", "inner")).select("user_id", "outer", F.explode("inner").alias("key", "ids"))
+    return rows.select("user_id", "outer", "key", F.array_join(F.transform("ids", lambda x: x.cast("string")), "|").alias("ids"))
+
+
+add("A5_merge_nested", _a5_nested, "SELECT user_id, 'hour' AS \"outer\", strftime(ts, '%H') AS key, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY event_id) AS ids FROM events GROUP BY 1, 3 UNION ALL SELECT user_id, event_type, 'ids', string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY event_id) FROM events GROUP BY 1, 2")
 add("A6_run_totals", lambda c: A.run_totals(c.lineitem.withColumn("amount", F.col("l_quantity").cast("long")), "l_returnflag", "l_linestatus", "amount"), "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS amount, count(*) AS parts FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 add("A7_reverse_mapping", lambda c: A.reverse_mapping(c.documents, "source", "lang").select("lang", F.array_join("keys", "|").alias("keys")), "SELECT lang, string_agg(DISTINCT source, '|' ORDER BY source) AS keys FROM documents GROUP BY 1")
 add("A8_ordered_distinct", lambda c: A.ordered_distinct(c.documents.select("doc_id", F.concat("lang", "source").alias("v")), "v", "doc_id"), "SELECT lang || source AS v, min(doc_id) AS first_seen FROM documents GROUP BY 1")
@@ -169,7 +185,15 @@ def _keyed(c):
     return call_number_fields(c.items)
 
 
-_KEYED = f"SELECT *, {sql_sort_key('call_number', 'call_number_type')} AS call_number_sort, {sql_volume('volume')} AS volume_sort FROM f_items"
+_P10 = {c: sql_padded(c) for c in ("p_size", "p_partkey", "substr(p_brand, 7)")}
+#: Sort keys of the items' call numbers, put together from the columns that these are made of.
+ITEM_SORT = (
+    f"CASE WHEN call_number IS NULL THEN NULL ELSE replace(p_type, ' ', '!') || '!' || {_P10['p_size']} || CASE call_number_type WHEN 'sudoc' THEN '!' || {_P10['substr(p_brand, 7)']} || '!' ELSE '.' || substr(p_brand, 7) || '!' END || "
+    f"CASE call_number_type WHEN 'lc' THEN upper(substr(p_name, 1, 1)) || p_partkey WHEN 'sudoc' THEN upper(substr(p_name, 1, 1)) || '!' || {_P10['p_partkey']} || '!0000000000!0000000000!' ELSE '.' || upper(substr(p_name, 1, 1)) || '!' || {_P10['p_partkey']} END END"
+)
+WITH_PART = "JOIN part ON p_partkey = CAST(split_part(item_id, '-', 2) AS BIGINT)"
+VOLUME_SORT = "lpad(regexp_extract(volume, '[0-9]+'), 10, '0')"
+_KEYED = f"SELECT f_items.*, {ITEM_SORT} AS call_number_sort, {VOLUME_SORT} AS volume_sort FROM f_items {WITH_PART}"
 _SHELF = f"SELECT location_code, row_number() OVER (PARTITION BY location_code ORDER BY call_number_type NULLS LAST, call_number_sort NULLS LAST, volume_sort NULLS LAST, copy_number NULLS LAST, item_id) - 1 AS row_number, item_id, status_code FROM ({_KEYED})"
 add("W1_shelflist", lambda c: W.shelflist(_keyed(c)), f"SELECT location_code, row_number, item_id FROM ({_SHELF})")
 add("W1_shelflist_in_pieces", lambda c: W.shelflist(_keyed(c).repartition(64)), f"SELECT location_code, row_number, item_id FROM ({_SHELF})")
@@ -246,32 +270,67 @@ add("T7_explode_subfields", lambda c: T.explode_subfields(c.varfields, ["a", "x"
 
 # --- search ---------------------------------------------------------------------------
 
-_TOK = f"list_filter(regexp_split_to_array({sql_fold(chr(0))}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')".replace("\0", "regexp_replace(regexp_replace(regexp_replace(text, '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g'), '(\\p{L})(\\p{N})', '\\1 \\2', 'g'), '(\\p{N})(\\p{L})', '\\1 \\2', 'g')")
-_INDEX = f"SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS position FROM (SELECT doc_id, {_TOK} AS t FROM documents)"
+def sql_index(text: str) -> str:
+    """SQL of a text's positions: a list of lists of tokens."""
+    raw = f"list_filter(regexp_split_to_array({text}, '[\\s\\x0B]+'), lambda w: w <> '')"
+    apart = "regexp_replace(w, '(?i)(\\p{L})''s([^\\p{L}\\p{N}]|$)', '\\1\\2', 'g')"
+    for pattern in ("(\\p{Ll})(\\p{Lu})", "(\\p{L})(\\p{N})", "(\\p{N})(\\p{L})"):
+        apart = f"regexp_replace({apart}, '{pattern}', '\\1 \\2', 'g')"
+    parts = f"list_filter(regexp_split_to_array({sql_fold(apart)}, '[^\\p{{L}}\\p{{N}}]+'), lambda p: p <> '')"
+    letters = "regexp_matches({}, '^\\p{{L}}')"
+    after = f"list_transform(list_slice(x.ps, i, len(x.ps)), lambda q: NOT {letters.format('q')})"
+    run = f"array_to_string(list_slice(x.ps, i, i - 1 + CASE WHEN list_contains({after}, true) THEN list_position({after}, true) - 1 ELSE len(x.ps) - i + 1 END), '')"
+    begins = f"{letters.format('x.ps[i]')} AND (i = 1 OR NOT {letters.format('x.ps[i - 1]')})"
+    here = f"list_distinct(list_concat([x.ps[i]], CASE WHEN i = 1 THEN [x.w, array_to_string(x.ps, '')] ELSE [] END, CASE WHEN {begins} THEN [{run}] ELSE [] END))"
+    words = f"list_transform({raw}, lambda w: {{'w': {sql_fold('w')}, 'ps': {parts}}})"
+    return f"flatten(list_transform({words}, lambda x: list_transform(range(1, len(x.ps) + 1), lambda i: {here})))"
+
+
+def sql_tokens(text: str, source: str) -> str:
+    """SQL of (doc_id, position, token) of a text column's index."""
+    return f"SELECT doc_id, position, unnest(ts) AS token FROM (SELECT doc_id, unnest(t) AS ts, generate_subscripts(t, 1) - 1 AS position FROM (SELECT doc_id, {sql_index(text)} AS t FROM {source}))"
+
+
+_INDEX = sql_tokens("text", "documents")
 
 
 def _index(c):
     return Q.token_index(c.documents, "doc_id", ["text"])
 
 
-add("Q1_token_index", lambda c: _index(c).groupBy("token").agg(F.count("*").alias("n"), F.sum("position").alias("places"), F.count_distinct("doc_id").alias("df")), f"SELECT token, count(*) AS n, CAST(sum(position) AS BIGINT) AS places, count(DISTINCT doc_id) AS df FROM ({_INDEX}) GROUP BY 1")
+add("Q1_token_index", lambda c: _index(c).select("doc_id", "position", "token"), f"SELECT doc_id, CAST(position AS INT) AS position, token FROM ({_INDEX})")
 add("Q2_keyword_filter", lambda c: Q.keyword_filter(_index(c), "doc_id", anyof=["idiot", "loser"], allof=["the"], noneof=["worthless"]), f"SELECT doc_id FROM ({_INDEX}) GROUP BY 1 HAVING bool_or(token IN ('idiot', 'loser')) AND bool_or(token = 'the') AND NOT bool_or(token = 'worthless')")
 add("Q3_phrase_filter", lambda c: Q.phrase_filter(_index(c), "doc_id", ["of", "the", "in"]), f"WITH ix AS ({_INDEX}) SELECT DISTINCT a.doc_id FROM ix a JOIN ix b ON a.doc_id = b.doc_id AND b.position = a.position + 1 JOIN ix d ON a.doc_id = d.doc_id AND d.position = a.position + 2 WHERE a.token = 'of' AND b.token = 'the' AND d.token = 'in'")
 
 
+_QUERY = ["of", "the", "idiot", "the", "disgusting"]
+
+
 def _q4(c):
     ix = _index(c).unionByName(Q.token_index(c.documents.select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title")), "doc_id", ["title"]))
-    return Q.ranked_search(ix, "doc_id", ["the", "of", "idiot", "disgusting"], c.documents.count(), {"title": 10.0, "text": 2.0})
+    return Q.ranked_search(ix, "doc_id", _QUERY, c.documents.count(), {"title": 10.0, "text": 2.0}, phrase_weights={"title": 10.0, "text": 5.0})
+
 
+def _phrase_sql(words, slop):
+    at = " AND ".join(f"EXISTS (FROM hit h{i} WHERE h{i}.doc_id = s.doc_id AND h{i}.field = s.field AND h{i}.token = '{w}' AND h{i}.position BETWEEN s.start + {i} AND s.start + {i + slop})" for i, w in enumerate(words))
+    starts = f"SELECT DISTINCT doc_id, field, position - d AS start FROM hit, (SELECT unnest(range(0, {slop + 1})) AS d) WHERE token = '{words[0]}'"
+    gain = " + ".join(f"coalesce((SELECT ln(1 + (SELECT count(*) FROM documents) / CAST(df AS DOUBLE)) FROM df WHERE token = '{w}'), 0)" for w in words)
+    return f"SELECT doc_id, max(CASE field WHEN 'title' THEN 10.0 ELSE 5.0 END) * ({gain}) AS more FROM (SELECT DISTINCT doc_id, field FROM ({starts}) s WHERE {at}) GROUP BY 1"
 
+
+_PHRASES = [(_QUERY, 2)] + [(list(p), 1) for p in zip(_QUERY, _QUERY[1:], strict=False)]
+_TITLE = "array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')"
 add("Q4_ranked_search", _q4, f"""
-WITH ix AS (SELECT doc_id, 'text' AS field, token FROM ({_INDEX}) UNION ALL SELECT doc_id, 'title', unnest(t) FROM (SELECT doc_id, {_TOK.replace("replace(text,", "replace(array_to_string(list_slice(string_split(text, ' '), 1, 8), ' '),")} AS t FROM documents)),
-tf AS (SELECT doc_id, field, token, count(*) * CASE field WHEN 'title' THEN 10.0 ELSE 2.0 END AS gain FROM ix WHERE token IN ('the', 'of', 'idiot', 'disgusting') GROUP BY 1, 2, 3),
-best AS (SELECT doc_id, token, max(gain) AS gain FROM tf GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM best GROUP BY 1)
-SELECT doc_id, count(*) AS matched, round(sum(CAST(gain AS DOUBLE) * ln(1 + (SELECT count(*) FROM documents) / CAST(df AS DOUBLE))), 6) AS score FROM best JOIN df USING (token) GROUP BY 1 HAVING count(*) >= 3""")
+WITH hit AS (SELECT doc_id, 'text' AS field, position, token FROM ({_INDEX}) WHERE token IN ('the', 'of', 'idiot', 'disgusting')
+  UNION ALL SELECT doc_id, 'title', position, token FROM ({sql_tokens(_TITLE, 'documents')}) WHERE token IN ('the', 'of', 'idiot', 'disgusting')),
+tf AS (SELECT doc_id, field, token, count(*) * CASE field WHEN 'title' THEN 10.0 ELSE 2.0 END AS gain FROM hit GROUP BY 1, 2, 3),
+best AS (SELECT doc_id, token, max(gain) AS gain FROM tf GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM best GROUP BY 1),
+own AS (SELECT doc_id, count(*) AS matched, sum(CAST(gain AS DOUBLE) * ln(1 + (SELECT count(*) FROM documents) / CAST(df AS DOUBLE))) AS score FROM best JOIN df USING (token) GROUP BY 1),
+more AS (SELECT doc_id, sum(CAST(more AS DOUBLE)) AS more FROM ({' UNION ALL '.join(_phrase_sql(w, n) for w, n in _PHRASES)}) GROUP BY 1)
+SELECT doc_id, matched, round(score + coalesce(more, 0), 6) AS score FROM own LEFT JOIN more USING (doc_id) WHERE matched >= 3""")
 add("Q5_search", lambda c: Q.search(c.documents.where("lang = 'en'").select("doc_id", "source"), "doc_id", Q.keyword_filter(_index(c), "doc_id", anyof=["idiot"]), Q.keyword_filter(_index(c), "doc_id", allof=["the"])), f"SELECT doc_id, source FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM ({_INDEX}) WHERE token = 'idiot') AND doc_id IN (SELECT doc_id FROM ({_INDEX}) WHERE token = 'the')")
 _KIND = "CASE WHEN regexp_matches(substr(cn, {0}, 1), '\\p{{L}}') THEN 'a' WHEN regexp_matches(substr(cn, {0}, 1), '\\p{{N}}') THEN 'n' ELSE 'o' END"
-add("Q6_callnumber_index", lambda c: Q.callnumber_index(_numbers(c), "p_partkey", "cn"), f"SELECT p_partkey, unnest(list_transform(list_filter(range(1, length(cn) + 1), lambda i: i = length(cn) OR ({_KIND.format('CAST(i AS INT)')} <> 'o' AND {_KIND.format('CAST(i AS INT)')} <> {_KIND.format('CAST(i + 1 AS INT)')})), lambda i: substr(cn, 1, CAST(i AS INT)))) AS prefix FROM {_NUM_SQL}")
+add("Q6_callnumber_index", lambda c: Q.callnumber_index(_numbers(c), "p_partkey", "cn"), f"SELECT p_partkey, unnest(list_transform(list_filter(range(1, length(cn) + 1), lambda i: i = length(cn) OR ({_KIND.format('CAST(i AS INT)')} <> 'o' AND {_KIND.format('CAST(i AS INT)')} <> {_KIND.format('CAST(i + 1 AS INT)')})), lambda i: substr(cn, 1, CAST(i AS INT)))) AS prefix FROM ({_numbers_sql('lc', 'cn')})")
 add("Q7_copy_fields", lambda c: Q.copy_fields(c.items.withColumn("tags", F.array("status_code", "location_code")), {"all": ["call_number", "tags", "volume"]}).select("item_id", F.array_join("all", "|").alias("all")), "SELECT item_id, concat_ws('|', call_number, status_code, location_code, volume) AS \"all\" FROM f_items")
 
 # --- rules ------------------------------------------------------------------------------
@@ -295,18 +354,29 @@ _MEMBERS = "SELECT 'region ' || region_num AS collection, location_code FROM f_l
 add("U3_collections", lambda c: U.collections(c.items.select("item_id", "location_code"), _members(c)).select("item_id", F.array_join("collections", "|").alias("collections")), f"SELECT item_id, coalesce(cs, '') AS collections FROM f_items LEFT JOIN (SELECT location_code, string_agg(collection, '|' ORDER BY collection) AS cs FROM ({_MEMBERS}) GROUP BY 1) USING (location_code)")
 
 
-def _u4(c):
-    places = c.locations.select("location_code", F.concat(F.lit("B"), "region_num").alias("building"), F.concat(F.lit("S"), F.col("location_num") % 4).alias("shelf"))
-    own = c.bibs.join(c.locations, F.col("bib_num") % 25 == F.col("location_num")).select("bib_num", "location_code")
-    out = U.access_facets(c.bibs.select("bib_num"), c.items.withColumn("suppressed", F.col("status_code") == "R"), own, places)
-    return out.select("bib_num", F.array_join("buildings", "|").alias("buildings"), F.array_join("shelves", "|").alias("shelves"))
+_CODES = "SELECT location_num, location_code AS old_code, CASE location_num % 6 WHEN 0 THEN 'w' WHEN 1 THEN 'w' || location_num WHEN 2 THEN location_num || 'www' WHEN 3 THEN 'x' || location_num WHEN 4 THEN 'spec' ELSE 'frsco' END AS location_code, label FROM {f}"
 
 
-add("U4_access_facets", _u4, """
-WITH own AS (SELECT DISTINCT bib_num, location_code FROM f_items WHERE status_code <> 'R'),
-al AS (SELECT * FROM own UNION ALL SELECT bib_num, location_code FROM f_bibs JOIN f_locations ON bib_num % 25 = location_num WHERE bib_num NOT IN (SELECT bib_num FROM own))
-SELECT b.bib_num, coalesce(string_agg(DISTINCT 'B' || region_num, '|' ORDER BY 'B' || region_num), '') AS buildings, coalesce(string_agg(DISTINCT 'S' || location_num % 4, '|' ORDER BY 'S' || location_num % 4), '') AS shelves
-FROM f_bibs b LEFT JOIN al USING (bib_num) LEFT JOIN f_locations USING (location_code) GROUP BY 1""")
+def _u4(c):
+    codes = c._spark.sql(_CODES, f=c.locations)
+    labelled = codes.groupBy("location_code").agg(F.min("label").alias("label")).unionByName(c._spark.createDataFrame([("x", "Storage")], "location_code string, label string"))
+    members = labelled.where("location_code LIKE 'w%' OR location_code LIKE '%www'").select(F.when(F.col("location_code").endswith("www"), "Files").otherwise("Books").alias("collection"), "location_code")
+    items = c.items.join(codes.select(F.col("old_code").alias("location_code"), F.col("location_code").alias("code")), "location_code").select("bib_num", F.col("code").alias("location_code"), (F.col("status_code") == "R").alias("suppressed"))
+    own = c.bibs.join(codes, F.col("bib_num") % 25 == F.col("location_num")).select("bib_num", "location_code")
+    out = U.access_facets(c.bibs.select("bib_num"), items, own, U.location_places(labelled), members)
+    return out.select("bib_num", *[F.array_join(n, "|").alias(n) for n in ("access", "buildings", "shelves", "collections")])
+
+
+add("U4_access_facets", _u4, f"""
+WITH codes AS ({_CODES.replace('{f}', 'f_locations')}), names AS (SELECT location_code, min(label) AS label FROM codes GROUP BY 1 UNION ALL SELECT 'x', 'Storage'),
+it AS (SELECT bib_num, c.location_code, status_code = 'R' AS hidden FROM f_items i JOIN codes c ON i.location_code = c.old_code),
+own AS (SELECT DISTINCT bib_num, location_code FROM it WHERE NOT hidden),
+al AS (SELECT * FROM own UNION ALL SELECT bib_num, location_code FROM f_bibs JOIN codes ON bib_num % 25 = location_num WHERE bib_num NOT IN (SELECT bib_num FROM own)),
+said AS (SELECT bib_num, location_code, suffix(location_code, 'www') AS online, label AS shelf,
+  CASE WHEN suffix(location_code, 'www') OR location_code = 'spec' THEN NULL WHEN location_code[1] = 'w' THEN (SELECT label FROM names WHERE location_code = 'w') WHEN location_code = 'frsco' THEN label WHEN location_code[1] = 'x' THEN 'Storage' END AS building FROM al JOIN names USING (location_code)),
+f AS (SELECT bib_num, CASE WHEN online THEN 'Online' WHEN building IS NOT NULL THEN 'At the Library' END AS a, building AS b,
+  CASE WHEN NOT online AND location_code[1] IN ('w', 's', 'f') AND shelf IS DISTINCT FROM building THEN shelf END AS s, CASE WHEN online THEN 'Files' WHEN location_code[1] = 'w' THEN 'Books' END AS c FROM said)
+SELECT b.bib_num, {', '.join(f"coalesce(string_agg(DISTINCT f.{x}, '|' ORDER BY f.{x}), '') AS {n}" for x, n in (('a', 'access'), ('b', 'buildings'), ('s', 'shelves'), ('c', 'collections')))} FROM f_bibs b LEFT JOIN f USING (bib_num) GROUP BY 1""")
 
 
 def _u5(c):

@@ -10,7 +10,7 @@ from ..operators import edits as E
 from ..operators import shelflist as W
 from ..sources import tables as S
 from ..streaming.incremental import incremental_load, latest
-from .analysis_queries import _SHELF, sql_facet_key, sql_sort_key, sql_steps, sql_volume
+from .analysis_queries import _SHELF, ITEM_SORT, VOLUME_SORT, WITH_PART, sql_facet_key
 from .registry import Registry
 from .views import busiest_sql
 
@@ -40,23 +40,54 @@ def _d3(c):
 
 
 add("D3_shelving_call_number", _d3, "SELECT item_id, CASE WHEN regexp_matches(lower(n), '^shelved by title') THEN concat_ws(' ', n, priority) ELSE n END AS shelving_number, CASE WHEN regexp_matches(n, '^[A-Z]{1,4} ?[0-9.]+:') THEN 'sudoc' WHEN call_number IS NOT NULL THEN call_number_type WHEN priority IS NOT NULL THEN 'lc' END AS shelving_kind FROM (SELECT i.*, b.priority, coalesce(call_number, CASE WHEN i.bib_num % 7 = 0 THEN 'Shelved by title' WHEN i.bib_num % 3 = 0 THEN 'Y 4.2: a' END) AS n FROM f_items i LEFT JOIN f_bibs b USING (bib_num))")
-add("D4_call_number_fields", lambda c: D.call_number_fields(c.items).select("item_id", "call_number_sort", "call_number_search", "volume_sort"), f"SELECT item_id, {sql_sort_key('call_number', 'call_number_type')} AS call_number_sort, {sql_steps('upper(call_number)', K.SEARCH)} AS call_number_search, {sql_volume('volume')} AS volume_sort FROM f_items")
+add("D4_call_number_fields", lambda c: D.call_number_fields(c.items).select("item_id", "call_number_sort", "call_number_search", "volume_sort"), f"SELECT item_id, {ITEM_SORT} AS call_number_sort, translate(upper(call_number), ' ./,?-', '') AS call_number_search, {VOLUME_SORT} AS volume_sort FROM f_items {WITH_PART}")
 
 
 def _d5(c):
-    checkouts = c.items.where("copy_number = 2").select("item_id", F.date_format("updated_ts", "yyyy-MM-dd").alias("due"))
-    return D.item_documents(c.items, c.bibs, checkouts).select("item_id", "call_number_sort", "parent_id", "parent_date", "due", "text")
-
-
-add("D5_item_documents", _d5, f"SELECT item_id, {sql_sort_key('call_number', 'call_number_type')} AS call_number_sort, 'b' || b.bib_num AS parent_id, b.date1 AS parent_date, CASE WHEN copy_number = 2 THEN strftime(i.updated_ts, '%Y-%m-%d') END AS due, concat_ws(' ', call_number, volume, location_code, i.status_code, 'b' || b.bib_num, b.date1) AS text FROM f_items i LEFT JOIN f_bibs b USING (bib_num)")
+    items = c.items.drop("volume").withColumn("item_code", F.when(F.col("copy_number") == 3, "n").otherwise("-"))
+    field = lambda code, n, text, where: c.items.where(where).select("item_id", F.lit(code).alias("type_code"), F.lit(n).alias("occ_num"), text.alias("content"))
+    fields = field("b", 0, F.concat(F.lit("1000"), "copy_number"), "true")
+    for code, n, text in (("n", 0, "note n"), ("x", 0, "note x"), ("p", 1, "pub one"), ("p", 0, "pub zero"), ("m", 0, "message")):
+        fields = fields.unionByName(field(code, n, F.lit(text), "copy_number = 1"))
+    fields = D.item_fields(fields.unionByName(field("v", 0, F.col("volume"), "volume IS NOT NULL")), "item_id")
+    third = F.col("bib_num") % 3 == 0
+    bibs = c.bibs.select("bib_num", F.concat(F.lit("b"), "bib_num").alias("bib_id"), F.when(third, F.concat(F.lit("QA"), "bib_num")).alias("call_number"), F.when(third, "lc").alias("call_number_type"), F.col("priority").alias("title"), F.concat(F.lit("Doe "), "resource_num", F.lit(" http://id.org/a?b and more")).alias("author"), F.year("created_ts").alias("year"), F.col("deleted_date").isNotNull().alias("suppressed"))
+    due = F.date_format("updated_ts", "yyyy-MM-dd")
+    checkouts = c.items.where("copy_number = 2").select("item_id", due.alias("due_date"), due.alias("checkout_date"), F.lit(None).cast("string").alias("overdue_date"), F.lit(None).cast("string").alias("recall_date"))
+    out = D.item_documents(items, fields, bibs, checkouts)
+    return out.select("id", "call_number", "call_number_type", "call_number_sort", "volume", "barcode", F.array_join("internal_notes", "|").alias("internal_notes"), F.array_join("public_notes", "|").alias("public_notes"), "item_type_code", "suppressed", "parent_bib_id", "parent_bib_title", "parent_bib_main_author", "parent_bib_publication_year", "due_date", "overdue_date", "text")
+
+
+add("D5_item_documents", _d5, f"""
+WITH i AS (SELECT i.*, b.created_ts, b.priority, b.resource_num, b.bib_num IS NOT NULL AND b.deleted_date IS NOT NULL AS hidden, b.bib_num % 3 = 0 AS third,
+  coalesce(call_number, CASE WHEN b.bib_num % 3 = 0 THEN 'QA' || b.bib_num END) AS cn, CASE WHEN call_number IS NOT NULL THEN call_number_type WHEN b.bib_num % 3 = 0 THEN 'lc' END AS kind FROM f_items i LEFT JOIN f_bibs b USING (bib_num))
+SELECT item_id AS id, cn AS call_number, kind AS call_number_type, coalesce({ITEM_SORT}, CASE WHEN third THEN 'QA!' || lpad(CAST(bib_num AS VARCHAR), 10, '0') END) AS call_number_sort, volume, '1000' || copy_number AS barcode,
+  CASE WHEN copy_number = 1 THEN 'note x|note n' ELSE '' END AS internal_notes, CASE WHEN copy_number = 1 THEN 'pub zero|pub one' ELSE '' END AS public_notes, CAST(item_type_code AS VARCHAR) AS item_type_code,
+  copy_number = 3 OR hidden AS suppressed, 'b' || bib_num AS parent_bib_id, priority AS parent_bib_title, 'Doe ' || resource_num || ' and more' AS parent_bib_main_author, CAST(year(created_ts) AS INT) AS parent_bib_publication_year,
+  CASE WHEN copy_number = 2 THEN strftime(updated_ts, '%Y-%m-%d') END AS due_date, CAST(NULL AS VARCHAR) AS overdue_date,
+  concat_ws(' ', item_id, 'b' || bib_num, cn, volume, '1000' || copy_number, CASE WHEN copy_number = 1 THEN 'message note x note n pub zero pub one' ELSE '  ' END, location_code, priority, 'Doe ' || resource_num || ' and more', CAST(year(created_ts) AS VARCHAR)) AS text FROM i {WITH_PART}""")
 
 
 def _d6(c):
+    resources = c.customer.select("c_custkey", F.col("c_nationkey").alias("provider"), F.concat(F.lit("https://db.example/"), "c_custkey", F.lit('" target="x')).alias("url"), F.when(F.col("c_acctbal") < 0, "n").otherwise("-").alias("resource_code"))
+    field = lambda code, n, text, where="true": c.customer.where(where).select("c_custkey", F.lit(code).alias("type_code"), F.lit(n).alias("occ_num"), text.alias("content"))
+    fields = field("t", 0, F.col("c_name"))
+    for more in (
+        field("v", 0, F.col("c_mktsegment")), field("e", 0, F.concat(F.lit("About "), "c_name"), "c_custkey % 2 = 1"), field("x", 0, F.col("c_name")), field("x", 1, F.concat(F.lit("Alt "), "c_custkey")),
+        field("p", 1, F.lit("second")), field("p", 0, F.concat(F.lit("Aka "), F.col("c_custkey") % 5)), field("d", 1, F.lit("Two")), field("d", 0, F.lit("One")), field("f", 0, F.lit("public"), "c_custkey % 3 = 0"),
+    ):
+        fields = fields.unionByName(more)
     holdings = c.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("holding"))
-    return D.resource_documents(c.customer, holdings, "c_custkey", "c_name", "pos", "holding", F.col("c_acctbal") < 0).select("c_custkey", F.size("holdings").cast("long").alias("n_holdings"), "suppressed", "text")
+    out = D.resource_documents(resources, fields, holdings, c.nation.select(F.col("n_nationkey").alias("provider"), F.col("n_name").alias("title")), "c_custkey", "pos", "holding")
+    return out.select("id", "eresource_type", "publisher", "title", "summary", "alert", F.array_join("alternate_titles", "|").alias("alternate_titles"), F.array_join("subjects", "|").alias("subjects"), F.array_join("public_notes", "|").alias("public_notes"), "external_url", F.size("holdings").cast("long").alias("n_holdings"), "suppressed", "text")
 
 
-add("D6_resource_documents", _d6, "SELECT c_custkey, count(o_orderkey) AS n_holdings, c_acctbal < 0 AS suppressed, concat_ws(' ', c_name, coalesce(string_agg(o_orderpriority, ' ' ORDER BY o_orderkey), '')) AS text FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name, c_acctbal")
+add("D6_resource_documents", _d6, """
+WITH h AS (SELECT o_custkey AS c_custkey, count(*) AS n, string_agg(o_orderpriority, ' ' ORDER BY o_orderkey) AS hs FROM orders GROUP BY 1)
+SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS eresource_type, n_name AS publisher, c_name AS title, CASE WHEN c_custkey % 2 = 1 THEN 'About ' || c_name END AS summary, CAST(NULL AS VARCHAR) AS alert,
+  'Aka ' || c_custkey % 5 || '|Alt ' || c_custkey AS alternate_titles, 'One|Two' AS subjects, CASE WHEN c_custkey % 3 = 0 THEN 'public' ELSE '' END AS public_notes, 'https://db.example/' || c_custkey AS external_url,
+  coalesce(n, 0) AS n_holdings, c_acctbal < 0 AS suppressed, concat_ws(' ', c_custkey, c_mktsegment, n_name, c_name, 'Aka ' || c_custkey % 5, 'Alt ' || c_custkey, 'One Two', CASE WHEN c_custkey % 2 = 1 THEN 'About ' || c_name END, coalesce(hs, '')) AS text
+FROM customer LEFT JOIN h USING (c_custkey) JOIN nation ON c_nationkey = n_nationkey""")
 add("D7_code_documents", lambda c: D.code_documents(c.nation, "n_nationkey", "n_name", "Location"), "SELECT 'Location.' || n_nationkey AS id, 'Location' AS type, CAST(n_nationkey AS VARCHAR) AS code, n_name AS label, n_nationkey || ' ' || n_name AS text FROM nation")
 add("D8_item_json", lambda c: D.item_json(c.items, "bib_num").select("bib_num", F.array_join("items_json", "\n").alias("items_json"), "has_more_items", F.size("more_items_json").cast("long").alias("n_more")), """
 WITH j AS (SELECT bib_num, item_id, display_order, concat('{"i":"', item_id, '"', CASE WHEN volume IS NULL AND call_number IS NOT NULL THEN ',"c":"' || replace(call_number, '"', '\\"') || CASE WHEN copy_number > 1 THEN ' c.' || copy_number ELSE '' END || '"' WHEN call_number IS NOT NULL THEN ',"c":"' || call_number || '"' ELSE '' END,
@@ -68,28 +99,65 @@ SELECT bib_num, array_to_string(list_slice(a, 1, 3), chr(10)) AS items_json, len
 def _d9(c):
     own = c.bibs.where("bib_num % 2 = 0").select("bib_num", F.concat(F.lit("QA"), F.col("bib_num") % 100, F.lit(" a1")).alias("call_number"), F.lit("lc").alias("kind"))
     out = D.bib_call_numbers(own, c.items.select("bib_num", "call_number", F.col("call_number_type").alias("kind")), "bib_num")
-    return out.select("bib_num", F.array_join("call_numbers", "|").alias("call_numbers"), F.array_join("sudocs", "|").alias("sudocs"), (F.size("shingles") > 0).alias("has_shingles"))
+    return out.select("bib_num", F.array_join("call_numbers", "|").alias("call_numbers"), F.array_join("sudocs", "|").alias("sudocs"), F.array_join("shingles", "|").alias("shingles"))
 
 
-add("D9_bib_call_numbers", _d9, "WITH a AS (SELECT bib_num, call_number AS cn, call_number_type AS kind FROM f_items WHERE call_number IS NOT NULL UNION ALL SELECT bib_num, 'QA' || bib_num % 100 || ' a1', 'lc' FROM f_bibs WHERE bib_num % 2 = 0) SELECT bib_num, coalesce(string_agg(DISTINCT cn, '|' ORDER BY cn) FILTER (WHERE kind <> 'sudoc'), '') AS call_numbers, coalesce(string_agg(DISTINCT cn, '|' ORDER BY cn) FILTER (WHERE kind = 'sudoc'), '') AS sudocs, true AS has_shingles FROM a GROUP BY 1")
+_AT = "CASE WHEN regexp_matches(substr(cn, {0}, 1), '\\p{{L}}') THEN 'a' WHEN regexp_matches(substr(cn, {0}, 1), '\\p{{N}}') THEN 'n' ELSE 'o' END"
+_SHINGLES = f"list_transform(list_filter(range(1, length(cn) + 1), lambda i: i = length(cn) OR ({_AT.format('CAST(i AS INT)')} <> 'o' AND {_AT.format('CAST(i AS INT)')} <> {_AT.format('CAST(i + 1 AS INT)')})), lambda i: substr(cn, 1, CAST(i AS INT)))"
+add("D9_bib_call_numbers", _d9, f"WITH a AS (SELECT bib_num, call_number AS cn, call_number_type AS kind FROM f_items WHERE call_number IS NOT NULL UNION ALL SELECT bib_num, 'QA' || bib_num % 100 || ' a1', 'lc' FROM f_bibs WHERE bib_num % 2 = 0) SELECT bib_num, coalesce(string_agg(DISTINCT cn, '|' ORDER BY cn) FILTER (WHERE kind <> 'sudoc'), '') AS call_numbers, coalesce(string_agg(DISTINCT cn, '|' ORDER BY cn) FILTER (WHERE kind = 'sudoc'), '') AS sudocs, array_to_string(list_sort(list_distinct(flatten(list({_SHINGLES})))), '|') AS shingles FROM a GROUP BY 1")
 
 
-def _d10(c):
-    urls = c.pages.select("page_id", (F.col("page_id") % 400).alias("rec"), F.concat("url", F.when(F.col("page_id") % 9 == 0, "/x.PNG").otherwise("")).alias("url"), F.when(F.col("page_id") % 5 == 0, "Full text here").alias("note"), F.lit("link").alias("kind"))
-    return D.url_list(urls, "rec", "url", "note", "kind", "://m.", c.pages.where("page_id % 3 = 0").select((F.col("page_id") % 400).alias("rec"))).select("page_id", "url_type", "is_image")
+_LINKS = """SELECT page_id, page_id % 400 AS rec, page_id AS position, CASE WHEN page_id % 7 = 0 THEN '962' ELSE '856' END AS tag, CAST(page_id % 3 AS VARCHAR(1)) AS ind2,
+  CASE WHEN page_id % 14 = 0 THEN NULL WHEN page_id % 21 = 0 THEN 'http://www.library.unt.edu/media/' || page_id || '.PNG' WHEN page_id % 7 = 0 THEN url WHEN page_id % 10 = 3 THEN 'http://texashistory.unt.edu/ark:/6/' || page_id || '/?q=1' ELSE url || '"junk' END AS url,
+  CASE WHEN page_id % 5 = 0 THEN 'Full text' ELSE '' END AS note, CASE WHEN page_id % 4 = 0 THEN 'Label' ELSE '' END AS label, 'Clip ' || page_id AS title FROM {pages}"""
+
 
+def _links(c):
+    some = lambda n: F.filter(F.array(n, F.when(F.col(n) != "", "here")), lambda x: x != "")
+    return c._spark.sql(_LINKS, pages=c.pages).withColumn("notes", some("note")).withColumn("labels", some("label"))
 
-add("D10_url_list", _d10, "WITH u AS (SELECT page_id, page_id % 400 AS rec, url, count(*) OVER (PARTITION BY page_id % 400) AS n FROM pages) SELECT page_id, CASE WHEN contains(url, '://m.') THEN 'booking' WHEN page_id % 5 = 0 THEN 'fulltext' WHEN n = 1 AND rec IN (SELECT page_id % 400 FROM pages WHERE page_id % 3 = 0) THEN 'fulltext' ELSE 'link' END AS url_type, page_id % 9 = 0 OR lower(string_split(url, '.')[-1]) IN ('apng','bmp','gif','ico','cur','jpg','jpeg','jfif','pjpeg','pjp','png','svg','tif','tiff','webp') AS is_image FROM u")
-_YEARS = "CASE o_orderkey % 7 WHEN 0 THEN '[c' || year(o_orderdate) || ']' WHEN 1 THEN 'about ' || (year(o_orderdate) // 10) || '0s, ' || year(o_orderdate) || '-' WHEN 2 THEN '19th or 20th century' WHEN 3 THEN year(o_orderdate) || '-' || (year(o_orderdate) + 3) || '; repr. 2001' WHEN 4 THEN (year(o_orderdate) // 10) || '? and ' || (year(o_orderdate) // 10) || 'u' WHEN 5 THEN (year(o_orderdate) // 100) || '--' ELSE 'no date' END"
+
+def _d10(c):
+    online = c.pages.where("page_id % 3 = 0").select((F.col("page_id") % 400).alias("rec"))
+    reserve = F.concat(F.lit("https://catalogue.example/"), "rec")
+    return D.url_list(_links(c), "rec", "://m.", reserve, online)
+
+
+_IMAGE = "lower(string_split(u, '.')[-1]) IN ('apng','bmp','gif','ico','cur','jpg','jpeg','jfif','pjpeg','pjp','png','svg','tif','tiff','webp')"
+add("D10_url_list", _d10, f"""
+WITH l AS (SELECT *, CASE WHEN tag = '962' THEN coalesce(url, 'https://catalogue.example/' || rec) ELSE string_split(url, '"')[1] END AS u FROM ({_LINKS.replace('{pages}', 'pages')})),
+k AS (SELECT *, count(*) OVER (PARTITION BY rec) AS n FROM l WHERE tag = '856' OR NOT {_IMAGE}),
+on_ AS (SELECT DISTINCT page_id % 400 AS rec FROM pages WHERE page_id % 3 = 0)
+SELECT rec, CAST(row_number() OVER (PARTITION BY rec ORDER BY tag, position, u) - 1 AS INT) AS position, u AS url, CASE WHEN tag = '962' THEN title WHEN note <> '' THEN note || ' here' END AS note, CASE WHEN tag = '856' AND label <> '' THEN label || ' here' END AS label,
+  CASE WHEN contains(u, '://m.') THEN 'booking' WHEN tag = '856' AND note <> '' THEN 'fulltext' WHEN n = 1 AND rec IN (FROM on_) THEN 'fulltext' WHEN tag = '962' THEN CASE WHEN url IS NULL THEN 'fulltext' ELSE 'media' END WHEN ind2 IN ('0', '1') THEN 'fulltext' ELSE 'link' END AS url_type FROM k""")
+add("D10_thumbnails", lambda c: D.thumbnails(_links(c), "rec"), f"""
+WITH l AS ({_LINKS.replace('{pages}', 'pages')}), t AS (SELECT rec, position, CASE WHEN page_id % 21 = 0 AND page_id % 14 <> 0 THEN 'https://library.unt.edu/media/' || page_id || '.PNG' END AS cover, CASE WHEN tag = '856' AND page_id % 10 = 3 THEN 'https://texashistory.unt.edu/ark:/6/' || page_id || '/small/' END AS small FROM l)
+SELECT rec, coalesce(arg_min(cover, position) FILTER (WHERE cover IS NOT NULL), arg_min(small, position) FILTER (WHERE small IS NOT NULL)) AS thumbnail_url FROM t GROUP BY 1 HAVING count(cover) + count(small) > 0""")
+#: Statements of many forms, and what each says by its own form.
+_Y, _DECADE = "year(o_orderdate)", "year(o_orderdate) // 10"
+_FORMS = (
+    (f"'[c' || {_Y} || ']'", f"CAST({_Y} AS VARCHAR(4))"),
+    (f"'about ' || {_DECADE} || '0s, ' || {_Y} || '-'", f"{_DECADE} || 'u|' || {_Y} || '/9999'"),
+    ("'19th or 20th century'", "'18uu|19uu'"),
+    (f"{_Y} || '-' || ({_Y} + 3) || '; repr. 2001'", f"{_Y} || '/' || ({_Y} + 3) || '|2001'"),
+    (f"{_DECADE} || '? and ' || {_DECADE} || 'u'", f"{_DECADE} || 'u|' || {_DECADE} || 'u'"),
+    (f"({_Y} // 100) || '--'", f"({_Y} // 100) || 'uu'"),
+    ("'no date'", "''"),
+    ("'A.D. 930.'", "'0930'"),
+    ("'203? or 202?'", "'0203|202u'"),
+    ("'1???, then 18uu'", "'1uuu|18uu'"),
+    ("'202-203 or ' || o_orderkey % 10", "'0202/0203'"),
+    (f"{_Y} || ' - ' || ({_Y} + 1) || ' 1st century'", f"{_Y} || '|' || ({_Y} + 1) || '|0uu'"),
+    (f"'12345 and ' || {_DECADE} || '3s'", "''"),
+)
+_IMPRINT, _SAID = (" ".join(["CASE o_orderkey % 13", *(f"WHEN {i} THEN {f[k]}" for i, f in enumerate(_FORMS)), "END"]) for k in (0, 1))
 
 
 def _imprints(c):
-    return c._spark.sql(f"SELECT o_orderkey, {_YEARS.replace('//', 'DIV')} AS imprint FROM {{o}}", o=c.orders)
+    return c._spark.sql(f"SELECT o_orderkey, {_IMPRINT.replace('//', 'DIV')} AS imprint FROM {{o}}", o=c.orders)
 
 
-_P = D.YEARS.replace("'", "''")
-_CODED = "CASE WHEN suffix(y, 'centur') THEN lpad(CAST(CAST(regexp_extract(y, '^([0-9]{1,2})', 1) AS INT) - 1 AS VARCHAR), 2, '0') || 'uu' WHEN suffix(y, '0s') THEN lpad(regexp_replace(y, '0s$', 'u'), 4, '0') ELSE regexp_replace(y, '[?-]', 'u', 'g') END"
-add("D11_extract_years", lambda c: _imprints(c).select("o_orderkey", F.array_join(F.transform(D.extract_years(F.col("imprint")), lambda x: F.concat_ws("/", x["first"], x["last"])), "|").alias("years")), f"SELECT o_orderkey, array_to_string(list_transform(list_zip(a, b), lambda z: concat_ws('/', {_CODED.replace('y,', 'z[1],')}, CASE WHEN z[2] = '-' THEN '9999' WHEN z[2] <> '' THEN regexp_replace(z[2], '^-', '') END)), '|') AS years FROM (SELECT o_orderkey, regexp_extract_all(regexp_replace(i, '[\\[\\]]', '', 'g'), '{_P}', 1) AS a, regexp_extract_all(regexp_replace(i, '[\\[\\]]', '', 'g'), '{_P}', 2) AS b FROM (SELECT o_orderkey, {_YEARS} AS i FROM orders))")
+add("D11_extract_years", lambda c: _imprints(c).select("o_orderkey", F.array_join(F.transform(D.extract_years(F.col("imprint"), 2029), lambda x: F.concat_ws("/", x["first"], x["last"])), "|").alias("years")), f"SELECT o_orderkey, {_SAID} AS years FROM orders")
 _KINDS = ["s", "m", "d", "r", "q", "i"]
 
 
@@ -115,8 +183,22 @@ add("D13_year_labels", lambda c: _labels_in(c).select("bib_num", D.range_label(F
 WITH l AS (SELECT bib_num, date1, CASE bib_num % 4 WHEN 0 THEN '9999' WHEN 1 THEN '20uu' WHEN 2 THEN '1996' END AS date2, CASE WHEN date1 = '19uu' THEN '20th century' WHEN date1 = '199u' THEN '1990s' ELSE date1 END AS a FROM f_bibs)
 SELECT bib_num, CASE WHEN date2 IS NULL THEN a WHEN date2 = '9999' THEN a || ' to present' WHEN date2 = '20uu' AND date1 = '19uu' THEN '20th to 21st century' WHEN date2 = '20uu' THEN a || ' to 21st century' WHEN CAST(replace(date1, 'u', '9') AS INT) >= 1996 THEN a || ' (to 1996)' ELSE a || ' to 1996' END AS label FROM l""")
 add("D14_expand_years", lambda c: D.expand_years(c.bibs.withColumn("lo", D.coded_bounds(F.col("date1"), 2029)[0]).withColumn("hi", D.coded_bounds(F.col("date1"), 2029)[1]), "lo", "hi").groupBy("year").agg(F.count("*").alias("n")), "SELECT year, count(*) AS n FROM (SELECT CAST(unnest(range(CAST(replace(date1, 'u', '0') AS INT), CAST(replace(date1, 'u', '9') AS INT) + 1)) AS INT) AS year FROM f_bibs) GROUP BY 1")
-_TIDY = sql_steps("value", K.PUNCTUATION)
+_TIDY = "rtrim(ltrim(regexp_replace(regexp_replace(regexp_replace(value, ' +([,;:.!?])', '\\1', 'g'), '([,;:])[,;:]+', '\\1', 'g'), ' +', ' ', 'g'), ' ,;:/'), ' ,;:/')"
 add("D15_publication_lists", lambda c: D.publication_lists(c.varfields, "650", "a", "x").select("record_num", F.array_join("places", "|").alias("places"), F.array_join("publishers", "|").alias("publishers")), f"SELECT record_num, coalesce(string_agg(DISTINCT v, '|' ORDER BY v) FILTER (WHERE code = 'a'), '') AS places, coalesce(string_agg(DISTINCT v, '|' ORDER BY v) FILTER (WHERE code = 'x'), '') AS publishers FROM (SELECT record_num, code, {_TIDY} AS v FROM ({_SUBS}) WHERE marc_tag = '650') WHERE v <> '' GROUP BY 1")
+_STATEMENTS = """SELECT p_partkey AS record_num, CASE WHEN p_partkey % 2 = 0 THEN '260' ELSE '264' END AS marc_tag, CAST(p_partkey % 6 AS VARCHAR(1)) AS ind2, 0 AS occ_num,
+  '|aCity ' || p_size || ' :|b' || p_brand || ',|c' || (1950 + p_size) || CASE WHEN p_partkey % 2 = 0 THEN ', c' || (1949 + p_size) ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' |eTown :|fMaker' ELSE '' END AS content FROM {part}"""
+
+
+def _d15s(c):
+    out = D.publication_statements(c._spark.sql(_STATEMENTS, part=c.part))
+    return out.select("record_num", "kind", F.array_join("statements", "|").alias("statements"))
+
+
+_OWN = "'City ' || p_size || ': ' || p_brand || ', ' || (1950 + p_size)"
+add("D15_publication_statements", _d15s, f"""
+WITH s AS (SELECT p_partkey AS record_num, CASE p_partkey % 6 WHEN 0 THEN 'creation' WHEN 2 THEN 'distribution' WHEN 3 THEN 'manufacture' WHEN 4 THEN 'copyright' ELSE 'publication' END AS kind, 0 AS n, {_OWN} AS st FROM part
+  UNION ALL SELECT p_partkey, 'copyright', 1, '©' || (1949 + p_size) FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'manufacture', 2, 'Town: Maker' FROM part WHERE p_partkey % 3 = 0)
+SELECT record_num, kind, string_agg(st, '|' ORDER BY n) AS statements FROM s GROUP BY 1, 2""")
 
 
 def _d16(c):
@@ -127,6 +209,16 @@ def _d16(c):
 add("D16_languages", _d16, "SELECT source, string_agg(name, '|' ORDER BY p) AS languages FROM (SELECT source, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' END AS name, min(doc_id) AS p FROM documents GROUP BY 1, 2) WHERE name IS NOT NULL GROUP BY 1")
 
 
+def _d16n(c):
+    names = c._spark.createDataFrame([("en", "English"), ("fr", "French"), ("de", "German")], "lang string, name string")
+    coded = c.documents.select("source", "lang", "doc_id", F.element_at(F.array(F.lit("h"), F.lit("a"), F.lit("b"), F.lit("z")), (F.col("doc_id") % 4 + 1).cast("int")).alias("category"))
+    return D.language_notes(coded, names, "source", "lang", "category", "doc_id").select("source", F.array_join("language_notes", "|").alias("language_notes"))
+
+
+add("D16_language_notes", _d16n, """
+WITH f AS (SELECT source, doc_id % 4 AS c, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' END AS name, min(doc_id) AS p FROM documents WHERE doc_id % 4 < 3 GROUP BY 1, 2, 3),
+n AS (SELECT source, c, string_agg(name, ', ' ORDER BY p) AS names FROM f WHERE name IS NOT NULL GROUP BY 1, 2)
+SELECT source, string_agg(CASE c WHEN 1 THEN 'Item language(s): ' WHEN 2 THEN 'Summaries or abstracts: ' ELSE 'Original language: ' END || names, '|' ORDER BY CASE c WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS language_notes FROM n GROUP BY 1""")
 _ISBN = "SELECT p_partkey AS record_num, 'i' AS type_code, CASE WHEN p_partkey % 2 = 0 THEN '020' ELSE '022' END AS marc_tag, 0 AS occ_num, '|a' || (1000 + p_partkey) || '-' || p_size || 'x (' || p_type || ')|z' || p_brand AS content FROM {part}"
 
 
@@ -137,20 +229,37 @@ def _isbn(c):
 add("D17_standard_numbers", lambda c: D.standard_numbers(_isbn(c), {"020": "isbn", "022": "issn"}).select("record_num", "kind", "number", "valid", "qualifier", "search_value"), "SELECT record_num, kind, number, valid, qualifier, kind || ':' || number AS search_value FROM (SELECT p_partkey AS record_num, CASE WHEN p_partkey % 2 = 0 THEN 'isbn' ELSE 'issn' END AS kind, (1000 + p_partkey) || '' || p_size || 'x' AS number, true AS valid, p_type AS qualifier FROM part UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'isbn' ELSE 'issn' END, regexp_extract(p_brand, '([0-9][0-9Xx-]*)', 1), false, '' FROM part)")
 _CONTROL = "SELECT l_orderkey AS rec, l_linenumber AS pos, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN '001' ELSE '035' END AS tag, l_returnflag = 'R' AS claimed, '(OCoLC)00' || l_partkey AS value, l_suppkey, l_shipdate FROM {lineitem}"
 add("D18_control_numbers", lambda c: D.control_numbers(c._spark.sql(_CONTROL, lineitem=c.lineitem), "rec", ["pos", "l_partkey", "l_suppkey", "l_shipdate"]).select("rec", "pos", "l_suppkey", "number", "valid"), f"WITH n AS ({_CONTROL.replace('{lineitem}', 'lineitem')}) SELECT rec, pos, l_suppkey, regexp_replace(CAST(l_partkey AS VARCHAR), '^0+', '') AS number, CASE WHEN tag = '001' THEN NOT coalesce(max(CASE WHEN tag <> '001' AND claimed THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY pos, l_partkey, l_suppkey, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 ELSE claimed END AS valid FROM n")
-_GAMES = "SELECT p_partkey, 'p' || (1 + p_size % 3) || 't' || (2 + p_size % 5) || ';d' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ';a' || (5 + p_size % 10) ELSE ';zz' END AS note FROM {part}"
-add("D19_game_facets", lambda c: D.game_facets(c._spark.sql(_GAMES, part=c.part), "p_partkey", "note"), "WITH g AS (SELECT p_partkey, 'p' AS facet, CAST(1 + p_size % 3 AS BIGINT) AS low, CAST(2 + p_size % 5 AS BIGINT) AS high, 'players' AS unit FROM part UNION ALL SELECT p_partkey, 'd', p_size, p_size, 'minutes' FROM part UNION ALL SELECT p_partkey, 'a', 5 + p_size % 10, 5 + p_size % 10, 'years and up' FROM part WHERE p_partkey % 2 = 0) SELECT p_partkey, facet, low, high, CASE WHEN low = high THEN low || ' ' || unit ELSE low || ' to ' || high || ' ' || unit END AS label FROM g WHERE high >= low")
+#: Game notes, and the labels that each says by its own form: (facet, low, high, label).
+_GAME_NOTES = (
+    ("'P2t4; d30t59;a13t100'", (("p", 2, 4, "'02-04!2 to 4 players'"), ("d", 30, 59, "'030-059!30 minutes to 1 hour'"), ("a", 13, 100, "'013-100!13 years and up'"))),
+    ("'p1;d1t45'", (("p", 1, 0, "'01-01!1 player'"), ("d", 1, 45, "'001-045!less than 46 minutes'"))),
+    ("'d90to500;;p5t99'", (("d", 90, 500, "'090-500!more than 1 hour'"), ("p", 5, 99, "'05-99!more than 4 players'"))),
+    ("'d120t240;a' || (5 + p_size % 5)", (("d", 120, 240, "'120-240!2 to 4 hours'"), ("a", "5 + p_size % 5", 0, "'00' || (5 + p_size % 5) || '-00' || (5 + p_size % 5) || '!' || (5 + p_size % 5) || ' years'"))),
+    ("'x5;zz;p-1'", ()),
+)
+_GAMES = f"SELECT p_partkey, CASE p_partkey % 5 {' '.join(f'WHEN {i} THEN {n}' for i, (n, _) in enumerate(_GAME_NOTES))} END AS note, array(CASE WHEN p_partkey % 7 = 0 THEN 'w3' ELSE 'czmgame' END, 'x') AS locations FROM {{part}}"
+_GAMES_SAID = " UNION ALL ".join(f"SELECT p_partkey, '{f}' AS facet, {low} AS low, {high} AS high, {label} AS label FROM part WHERE p_partkey % 5 = {i} AND p_partkey % 7 > 0" for i, (_, said) in enumerate(_GAME_NOTES) for f, low, high, label in said)
+add("D19_game_facets", lambda c: D.game_facets(c._spark.sql(_GAMES, part=c.part), "p_partkey", "note").select("p_partkey", "facet", "low", "high", "label"), _GAMES_SAID)
 _HEADINGS = f"SELECT record_num, heading, min(kind) AS kind FROM (SELECT record_num, string_agg(value, ' > ') OVER (PARTITION BY record_num, marc_tag, occ_num ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading, CASE code WHEN 'y' THEN 'era' WHEN 'z' THEN 'region' WHEN 'v' THEN 'genre' ELSE 'topic' END AS kind FROM ({_SUBS}) WHERE marc_tag = '650') GROUP BY 1, 2"
 add("D20_subject_headings", lambda c: D.subject_headings(c.varfields, ["650"]).select("record_num", "heading", "kind"), _HEADINGS)
 
 
 def _d21(c):
-    terms = D.subject_headings(c.varfields, ["650"]).select("record_num", "heading", "term")
-    mapping = c._spark.createDataFrame([("economy", "Cheap things"), ("large-bolt", "Bolts")], "key string, facet string")
-    return D.map_subdivisions(terms, mapping, [("^199", "1990s"), ("^Brand", "Brands")]).select("record_num", "heading", "facet_term")
+    terms = D.subject_headings(c.varfields, ["650"]).select("record_num", "heading", "kind", "term", F.slice(F.split("heading", " > "), 2, F.greatest(F.size(F.split("heading", " > ")) - 2, F.lit(0))).alias("parents"))
+    mapping = c._spark.createDataFrame([("economy", None, ["Cheap things", "Goods"]), ("1993", "brand13", ["Nineties of 13"]), ("1993", None, ["Year 93"]), ("1994", "no such", ["Wrong"])], "key string, parent string, facets array<string>")
+    out = D.map_subdivisions(terms, mapping, [("^199([0-4])$", [("era", "199{} early")]), ("^(br?and)#", [("topic", "Brands"), ("form", "{}")])])
+    return out.select("record_num", "heading", "facet_kind", "facet_term")
 
 
-add("D21_map_subdivisions", _d21, f"SELECT record_num, heading, CASE WHEN term = 'ECONOMY' THEN 'Cheap things' WHEN term = 'large bolt' THEN 'Bolts' WHEN term LIKE '199%' THEN '1990s' WHEN term LIKE 'Brand%' THEN 'Brands' ELSE term END AS facet_term FROM (SELECT *, string_split(heading, ' > ')[-1] AS term FROM ({_HEADINGS}))")
-_NAMES = "SELECT c_nationkey AS rec, c_custkey AS pos, CASE WHEN c_custkey % 11 = 0 THEN '111' WHEN c_custkey % 11 = 1 THEN '711' WHEN c_custkey % 13 = 0 THEN '100' ELSE '700' END AS tag, c_mktsegment || ' ' || c_custkey % 4 AS heading FROM {customer}"
+add("D21_map_subdivisions", _d21, f"""
+WITH h AS (SELECT *, string_split(heading, ' > ') AS p FROM ({_HEADINGS})), t AS (SELECT *, p[-1] AS term FROM h)
+SELECT record_num, heading, f.k AS facet_kind, f.t AS facet_term FROM (SELECT record_num, heading, unnest(CASE
+  WHEN lower(term) = 'economy' THEN [{{'k': kind, 't': 'Cheap things'}}, {{'k': kind, 't': 'Goods'}}]
+  WHEN term = '1993' THEN [{{'k': 'topic', 't': CASE WHEN len(p) = 3 AND p[2] = 'Brand#13' THEN 'Nineties of 13' ELSE 'Year 93' END}}, {{'k': 'era', 't': term}}]
+  WHEN term IN ('1990', '1991', '1992', '1994') THEN [{{'k': 'era', 't': term || ' early'}}]
+  WHEN term LIKE 'Brand#%' THEN [{{'k': 'topic', 't': 'Brands'}}, {{'k': 'form', 't': 'Brand'}}]
+  ELSE [{{'k': kind, 't': term}}] END) AS f FROM t)""")
+_NAMES = "SELECT c_nationkey AS rec, c_custkey AS pos, CASE WHEN c_custkey % 11 = 0 THEN '111' WHEN c_custkey % 11 = 1 THEN '711' WHEN c_custkey % 13 = 0 THEN '100' ELSE '700' END AS tag, c_mktsegment || ' ' || c_custkey % 4 AS heading, CASE WHEN c_custkey % 17 = 0 THEN true WHEN c_custkey % 5 = 0 THEN NULL ELSE false END AS combined FROM {customer}"
 
 
 def _d22(c):
@@ -159,11 +268,11 @@ def _d22(c):
 
 
 add("D22_author_facets", _d22, f"""
-WITH n AS ({_NAMES.replace('{customer}', 'customer')}), d AS (SELECT rec, heading, min(pos) AS p, arg_min(tag, pos) AS tag FROM n GROUP BY 1, 2),
+WITH n AS ({_NAMES.replace('{customer}', 'customer')}), d AS (SELECT rec, heading, min(pos) AS p, arg_min(tag, pos) AS tag FROM n WHERE combined IS NOT TRUE GROUP BY 1, 2),
 k AS (SELECT *, {sql_facet_key('heading')} AS key, substr(tag, 2, 2) = '11' AS event, substr(tag, 1, 1) = '1' AS lead FROM d)
 SELECT rec, arg_min(heading, p) FILTER (WHERE lead AND NOT event) AS author, coalesce(string_agg(key || '!' || heading, '|' ORDER BY p) FILTER (WHERE NOT lead AND NOT event), '') AS contributors, coalesce(string_agg(key || '!' || heading, '|' ORDER BY p) FILTER (WHERE event), '') AS meetings, arg_min(key, p) FILTER (WHERE NOT event) AS author_sort FROM k GROUP BY 1""")
-_TITLES = "SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'late' WHEN doc_id % 2 = 0 THEN 'included' ELSE 'series' END AS kind, array_join(slice(split(replace(text, '\\n', ' '), ' '), 1, 2), ' ') AS title FROM {documents}"
-_TITLES_SQL = "SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'late' WHEN doc_id % 2 = 0 THEN 'included' ELSE 'series' END AS kind, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 2), ' ') AS title FROM documents"
+_TITLES = "SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'late' WHEN doc_id % 2 = 0 THEN 'included' ELSE 'series' END AS kind, text AS title FROM {documents}"
+_TITLES_SQL = "SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'late' WHEN doc_id % 2 = 0 THEN 'included' ELSE 'series' END AS kind, text AS title FROM documents"
 add("D23_title_facets", lambda c: D.title_facets(c._spark.sql(_TITLES, documents=c.documents), "source", "title", "kind", "doc_id", "late").select("source", "kind", "work_key", "title"), f"WITH t AS (SELECT *, {sql_facet_key('title')} AS work_key FROM ({_TITLES_SQL})), f AS (SELECT source, kind, work_key, arg_min(title, doc_id) AS title FROM t GROUP BY 1, 2, 3) SELECT * FROM f WHERE kind <> 'late' UNION ALL SELECT * FROM f WHERE kind = 'late' AND (source, work_key) NOT IN (SELECT (source, work_key) FROM f WHERE kind <> 'late')")
 add("D24_notes", lambda c: D.notes(c.varfields, {"245": "title_note"}, {"d": "subject_note", "c": "number_note", "x": "local_note"}, ["099"]).select("record_num", "target", F.array_join("notes", "|").alias("notes")), f"SELECT record_num, target, string_agg({_PLAIN}, '|' ORDER BY coalesce(marc_tag, ''), occ_num) AS notes FROM (SELECT *, CASE WHEN marc_tag = '245' THEN 'title_note' WHEN coalesce(marc_tag, '') = '099' THEN NULL ELSE CASE type_code WHEN 'd' THEN 'subject_note' WHEN 'c' THEN 'number_note' WHEN 'x' THEN 'local_note' END END AS target FROM f_varfields) WHERE target IS NOT NULL GROUP BY 1, 2")
 
@@ -178,14 +287,46 @@ add("D25_linked_works", _d25, f"WITH l AS (SELECT DISTINCT p_partkey % 50 AS rec
 add("D26_tagged_lists", lambda c: D.tagged_lists(c.varfields, {"245": "editions", "650": "holdings"}).select("record_num", F.array_join("editions", "|").alias("editions"), F.array_join("holdings", "|").alias("holdings")), f"SELECT record_num, string_agg({_PLAIN}, '|' ORDER BY occ_num) FILTER (WHERE marc_tag = '245') AS editions, string_agg({_PLAIN}, '|' ORDER BY occ_num) FILTER (WHERE marc_tag = '650') AS holdings FROM f_varfields WHERE marc_tag IN ('245', '650') GROUP BY 1")
 
 
-def _d27(c):
-    records = c.part.select(F.col("p_partkey").alias("record_num"))
-    first = W.fields_of(c.varfields, "x", True).withColumnRenamed("content", "local")
-    good, bad = D.bib_documents(records, [D.tagged_lists(c.varfields, {"245": "titles"}), first], "local")
-    return good.select("record_num", F.array_join("titles", "|").alias("titles"), "local").unionByName(bad.select("record_num", F.lit("failed").alias("titles"), F.lit(None).cast("string").alias("local")))
+_BIB_FIELDS = """
+SELECT k AS record_num, 'c' AS type_code, '050' AS marc_tag, '' AS ind2, 0 AS occ_num, '|aQA' || k || '|b.A1' AS content FROM p
+UNION ALL SELECT k, 'o', '001', '', 0, 'ocm000' || (1000 + k) FROM p UNION ALL SELECT k, 'o', '035', '', 1, '|a(OCoLC)' || (1000 + k) FROM p WHERE k % 2 = 0
+UNION ALL SELECT k, 'i', '020', '', 0, '|a' || (9000000 + k) || ' (pbk.)|z' || (8000000 + k) FROM p WHERE k % 3 > 0
+UNION ALL SELECT k, 'p', '264', '1', 0, '|aCity :|b' || brand || ',|c' || (1900 + k % 100) || '.' FROM p
+UNION ALL SELECT k, 'd', '650', '0', 0, '|a' || kind || '|y' || (1900 + k % 100) FROM p
+UNION ALL SELECT k, 'n', '505', '', 0, '|aContents ' || k FROM p UNION ALL SELECT k, 'n', '500', '', 1, '|aNote ' || k FROM p
+UNION ALL SELECT k, 'e', '250', '', 0, '|a2nd ed.' FROM p WHERE k % 4 = 0"""
 
 
-add("D27_bib_documents", _d27, "SELECT p_partkey AS record_num, CASE WHEN p_partkey % 4 = 0 THEN p_name || ' ' || p_type ELSE 'failed' END AS titles, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS local FROM part")
+def _d27(c):
+    p = c.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
+    fields = c._spark.sql(_BIB_FIELDS.replace(" FROM p", " FROM {p}"), p=p)
+    k = F.col("k").alias("record_num")
+    name = lambda heading, tag, position, combined=False: p.where("k % 10 < 9").select(k, heading.alias("heading"), F.lit(tag).alias("tag"), F.lit(position).alias("position"), F.lit(combined).alias("combined"))
+    names = name(F.concat(F.lit("Doe "), F.col("k") % 7), "100", 0).unionByName(name(F.lit("Roe"), "700", 1)).unionByName(name(F.lit("Comb"), "710", 2, True)).unionByName(name(F.lit("Meeting"), "711", 3))
+    titles = p.select(k, F.concat(F.lit("Title "), "k").alias("title"), F.lit("included").alias("kind"), F.lit(0).alias("position")).unionByName(p.select(k, F.concat(F.lit("Series "), F.col("k") % 5), F.lit("series"), F.lit(1)).toDF("record_num", "title", "kind", "position"))
+    codes = p.select(k, F.lit("en").alias("lang"), F.lit(1).alias("position")).unionByName(p.where("k % 2 = 0").select(k, F.lit("fr"), F.lit(0)).toDF("record_num", "lang", "position"))
+    spoken = D.languages(codes, c._spark.createDataFrame([("en", "English"), ("fr", "French")], "lang string, name string"), "record_num", "lang", "position")
+    none = F.array().cast("array<string>")
+    urls = p.where("k % 6 = 0").select(k, F.lit(0).alias("position"), F.lit("856").alias("tag"), F.lit("0").alias("ind2"), F.concat(F.lit("http://texashistory.unt.edu/ark:/6/"), "k", F.lit("/?q=1")).alias("url"), none.alias("notes"), none.alias("labels"), F.lit(None).cast("string").alias("title"))
+    mapping = c._spark.createDataFrame([("economy", None, ["Cheap things"])], "key string, parent string, facets array<string>")
+    parts = D.bib_parts(fields, [("c", "050", "lc")], ["650"], mapping, [], names, titles, spoken, urls, 2029)
+    good, bad = D.bib_documents(p.select(k), parts, "author")
+    lists = ("call_numbers_display", "publication_display", "publication_year_range_facet", "standard_numbers_search", "invalid_numbers_search", "oclc_numbers_search", "subjects_search", "topic_facet", "era_facet", "contributors", "meetings", "included_titles_facet", "series_titles_facet", "toc_notes", "notes", "editions_display", "languages", "urls_json")
+    one = ("call_number_type", "author", "author_sort", "thumbnail_url")
+    shown = good.select("record_num", *one, *[F.coalesce(F.array_join(F.transform(x, lambda v: v.cast("string")), "^"), F.lit("")).alias(x) for x in lists])
+    return shown.unionByName(bad.withColumn("author", F.lit("failed")), allowMissingColumns=True)
+
+
+_TYPE_KEY = "trim(regexp_replace(lower(t), '[^a-z0-9_]+', '-', 'g'), '-')"
+add("D27_bib_documents", _d27, f"""
+WITH p AS (SELECT *, p_partkey AS k, CASE WHEN p_type = 'ECONOMY' THEN 'Cheap things' ELSE p_type END AS t, 1900 + p_partkey % 100 AS y FROM part WHERE p_partkey % 10 < 9)
+SELECT k AS record_num, 'lc' AS call_number_type, 'QA' || k || ' .A1' AS call_numbers_display, 'City: ' || p_brand || ', ' || y || '.' AS publication_display, CAST(y AS VARCHAR) AS publication_year_range_facet,
+  CASE WHEN k % 3 > 0 THEN 'isbn:' || (9000000 + k) ELSE '' END AS standard_numbers_search, CASE WHEN k % 3 > 0 THEN 'isbn:' || (8000000 + k) ELSE '' END AS invalid_numbers_search, CAST(1000 + k AS VARCHAR) AS oclc_numbers_search,
+  p_type || '^' || p_type || ' > ' || y AS subjects_search, {_TYPE_KEY} || '!' || t AS topic_facet, y || '!' || y AS era_facet, 'Doe ' || k % 7 AS author, 'doe-' || k % 7 AS author_sort, 'roe!Roe' AS contributors, 'meeting!Meeting' AS meetings,
+  'title-' || k || '!Title ' || k AS included_titles_facet, 'series-' || k % 5 || '!Series ' || k % 5 AS series_titles_facet, 'Contents ' || k AS toc_notes, 'Note ' || k AS notes, CASE WHEN k % 4 = 0 THEN '2nd ed.' ELSE '' END AS editions_display,
+  CASE WHEN k % 2 = 0 THEN 'French^English' ELSE 'English' END AS languages, CASE WHEN k % 6 = 0 THEN '{{"u":"http://texashistory.unt.edu/ark:/6/' || k || '/?q=1","t":"fulltext"}}' ELSE '' END AS urls_json,
+  CASE WHEN k % 6 = 0 THEN 'https://texashistory.unt.edu/ark:/6/' || k || '/small/' END AS thumbnail_url FROM p
+UNION ALL BY NAME SELECT p_partkey AS record_num, 'failed' AS author FROM part WHERE p_partkey % 10 = 9""")
 
 # --- edits ----------------------------------------------------------------------------------
 

@@ -53,7 +53,7 @@ add("S10_rows_to_batch", lambda c: S.rows_to_batch(c.customer.select("c_custkey"
 
 # --- selection ------------------------------------------------------------------
 
-add("R1_select_full", lambda c: R.select_full(c.bibs.select("bib_num", "record_type"), c.orders.select(F.col("o_orderkey").alias("bib_num"), "o_totalprice"), "bib_num"), "SELECT o_orderkey AS bib_num, 'b' AS record_type, o_totalprice FROM orders")
+add("R1_select_full", lambda c: R.select_full(c.bibs.select("bib_num", "record_type"), c.orders.select(F.col("o_orderkey").alias("bib_num"), "o_totalprice"), "bib_num"), "SELECT o_orderkey AS bib_num, 'b' AS record_type, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders")
 add("R2_select_since", lambda c: R.select_since(c.events.select("event_id", "ts"), "ts", datetime(2024, 1, 15)).select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
 add("R3_high_water_mark", lambda c: R.newest_runs(c.events, "user_id", "event_type", "ts", ("purchase", "signup")).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("mark")), "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS mark FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id")
 add("R4_updated_between", lambda c: R.select_updated_between(c.bibs, "updated_ts", date(1995, 3, 1), date(1996, 3, 1), "America/Chicago").select("bib_num"), "SELECT bib_num FROM f_bibs WHERE updated_ts BETWEEN TIMESTAMP '1995-03-01 06:00:00' AND TIMESTAMP '1996-03-02 05:59:59.000099'")

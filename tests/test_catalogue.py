@@ -246,12 +246,34 @@ def test_display(spark):
     assert one(spark, lambda c: J.display_content(c), "plain") == "plain"
 
 
+YEARS = [
+    ("2", ""), ("002", ""), ("0002", ""), ("2c002.", ""), ("05", ""), ("1980.", "1980"), ("c1980.", "1980"), ("[198-]", "198u"), ("[199u]-", "199u/9999"), ("[322-]", "322u"), ("198?", "198u"), ("19??", "19uu"), ("19--?", "19uu"),
+    ("322?", "0322"), ("322-344", "0322/0344"), ("197?-1972", "197u/1972"), ("1979 printing, c1975.", "1979 1975"), ("1968 [i.e. 1971] 1973 printing.", "1968 1971 1973"), ("1898-1945", "1898/1945"), ("1898-", "1898/9999"),
+    ("1898-.", "1898"), ("1898th-.", "1898"), ("April 15, 1977.", "1977"), ("1878-[1927?]", "1878/1927"), ("18--?-1890", "18uu/1890"), ("[197-]-1987", "197u/1987"), ("19th and early 20th century", "18uu 19uu"), ("[1980s?]", "198u"),
+    ("1975, [1980s?], 1996, 21st century", "1975 198u 1996 20uu"), ("1 in 1975, 15 in the 18th Century, and 23 in the 1810s", "1975 17uu 181u"), ("300 A.D.", "0300"), ("201[4]", "2014"), ("1st semester 1976.", "1976"), ("none", ""), ("", ""),
+]
+
+
 def test_years(spark):
-    got = lambda s: [(x["first"], x["last"]) for x in one(spark, D.extract_years, s)]
-    assert got("[1985]-1986") == [("1985", "1986")]
-    assert got("1930s and 19th century") == [("193u", None), ("18uu", None)]
-    assert got("1985-") == [("1985", "9999")]
-    assert got("none") == []
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(YEARS)] + [(-1, None)], "id int, s string").withColumn("y", D.extract_years(F.col("s"), 2025))
+    got = {r["id"]: " ".join("/".join(filter(None, x)) for x in r["y"] or []) for r in df.collect()}
+    assert got == {i: want for i, (_, want) in enumerate(YEARS)} | {-1: ""}
+
+
+def test_tokens_at_positions(spark):
+    got = lambda s: [set(x) for x in one(spark, Q.indexed_tokens, s)]
+    assert got("Wi-Fi500 the") == [{"wi", "wi-fi500", "wifi500", "wifi"}, {"fi"}, {"500"}, {"the"}]
+    assert got("O'Neil's  McDonald") == [{"o", "o'neil's", "oneil"}, {"neil"}, {"mc", "mcdonald"}, {"donald"}]
+    assert got("--- a1b2-c Ünïted!") == [{"a", "a1b2-c", "a1b2c"}, {"1"}, {"b"}, {"2"}, {"c"}, {"united", "united!"}]
+    assert got("") == [] and one(spark, lambda c: Q.indexed_tokens(F.when(c == "", c)), "x") is None
+
+
+def test_phrase_gains(spark):
+    rows = [(1, "red green blue"), (2, "green red blue"), (3, "red then green blue"), (4, "blue and green and red and more"), (5, None), (6, "")]
+    ix = Q.token_index(spark.createDataFrame(rows, "id int, title string"), "id", ["title"])
+    score = {r["id"]: r["score"] for r in Q.ranked_search(ix, "id", ["red", "green", "blue"], 6).collect()}
+    assert score[1] == score[3] > score[2] > score[4]
+    assert {r["id"] for r in Q.phrase_places(ix, "id", ["red", "green"], 1).collect()} == {1, 3}
 
 
 def test_year_labels(spark):
