@@ -15,6 +15,7 @@ from ..operators import rules as U
 from ..operators import search as Q
 from ..operators import shelflist as W
 from ..operators.documents import call_number_fields
+from ..operators.resource_types import resource_type_info
 from .registry import Registry
 from .views import busiest_sql
 
@@ -394,3 +395,45 @@ add("U5_resource_types", _u5, """
 SELECT p_partkey AS record_num, concat_ws('|', CASE WHEN f = 'l' THEN 'large' END, CASE WHEN f = 's' THEN 'sound' END, CASE WHEN v THEN 'video' END) AS formats,
   CASE WHEN suffix(p_brand, '#13') THEN 'kit' WHEN b = 'book' AND f = 'l' AND NOT v THEN 'large-print book' WHEN b = 'disc' AND f = 's' AND v THEN 'film' WHEN b = 'disc' AND f NOT IN ('s', 'l') AND v THEN 'dvd' ELSE b END AS resource_type
 FROM (SELECT *, substr(p_name, 1, 1) AS f, p_size % 3 = 1 AS v, CASE substr(p_type, 1, 1) WHEN 'E' THEN 'book' WHEN 'P' THEN 'disc' WHEN 'S' THEN 'map' END AS b FROM part)""")
+
+#: Bibs of many kinds, and the types that each has by its own form: bcode2, 007s, byte (place, value) of 008, call numbers, location; resource type, categories, media.
+_BIB_FORMS = (
+    ("a", ("ta ",), None, (), "w", "book!Print/Paper", "books", "Paper"),
+    ("a", (), (21, "n"), (), "w", "newspaper!Print/Paper", "journals_periodicals|newspapers", "Paper"),
+    ("n", (), (21, "n"), (), "w", "newspaper!Online", "journals_periodicals|newspapers", "Digital Files"),
+    ("a", ("cr ", "cz "), None, (), "w", "ebook", "books", "Digital Files"),
+    ("q", (), (23, "b"), (), "w", "journal!Microfiche", "journals_periodicals", "Microfiche|Microforms"),
+    ("g", ("vdvx",), None, ("MDVD 12",), "w", "video_music_dvd", "music_recordings|video_film", "DVDs"),
+    ("g", ("vdvx", "vf x"), None, ("MDVD 12",), "w", "video_film!DVD, VHS", "video_film", "DVDs|VHS Tapes"),
+    ("j", ("sd x?me",), None, (), "w", "audio_music_record!12-inch Vinyl", "audio|music_recordings", "12-inch Vinyl Records|Audio Records (LPs/EPs)"),
+    ("i", ("sd f",), None, (), "w", "audio_spoken_cd", "audio|spoken_recordings", "Audio CDs"),
+    ("m", ("cbr",), None, ("Game 12 PsVita", "ABC GAME SWITCH", "X"), "w", "game_console!PSVita, Switch", "games|software", "Console Games|PSVita Games|Switch Games"),
+    ("m", (), (26, "h"), (), "w", "audio_computer", "audio|software", "Digital Files"),
+    ("m", ("cot",), None, (), "w", "game_computer!CD-ROM", "games|software", "CD-ROMs|Computer Games"),
+    ("r", ("ta ",), None, ("Cards TAROT",), "w", "game_tabletop!Tarot Cards", "games|objects_artifacts", "Tabletop Games|Tarot Cards"),
+    ("r", (), None, ("QA1",), "w4spe", "object", "objects_artifacts", ""),
+    ("r", (), None, (), "w", "equipment", "equipment|objects_artifacts", ""),
+    ("t", (), None, (), "w", "manuscript!Paper", "archives_manuscripts|books", "Manuscripts|Paper"),
+    ("?", ("he ",), None, (), "w", "unknown!Microfiche", "", "Microfiche|Microforms"),
+    (None, None, None, None, None, "unknown", "", ""),
+)
+
+
+def _u5_full(c):
+    n = len(_BIB_FORMS)
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>") if values is not None else F.lit(None).cast("array<string>")
+    control = lambda at: F.array(F.lit("." * at[0] + at[1])) if at else F.array().cast("array<string>")
+
+    def column(of):
+        out = None
+        for i, form in enumerate(_BIB_FORMS):
+            hit = F.col("p_partkey") % n == i
+            out = F.when(hit, of(form)) if out is None else out.when(hit, of(form))
+        return out
+
+    bibs = c.part.select("p_partkey", column(lambda f: F.lit(f[0]).cast("string")).alias("bcode2"), column(lambda f: texts(f[1])).alias("f007s"), column(lambda f: control(f[2])).alias("f008s"), column(lambda f: texts(f[3])).alias("call_numbers"), column(lambda f: texts(f[4] and [f[4]])).alias("locations"))
+    return resource_type_info(bibs).select("p_partkey", "resource_type", F.array_join("resource_type_categories", "|").alias("categories"), F.array_join("media_type_categories", "|").alias("media"))
+
+
+_BIB_SAID = (" ".join(f"WHEN {i} THEN '{f[k]}'" for i, f in enumerate(_BIB_FORMS)) for k in (5, 6, 7))
+add("U5_resource_type_info", _u5_full, "SELECT p_partkey, {} FROM part".format(", ".join(f"CASE p_partkey % {len(_BIB_FORMS)} {said} END AS {name}" for name, said in zip(("resource_type", "categories", "media"), _BIB_SAID, strict=True))))
