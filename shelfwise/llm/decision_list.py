@@ -242,3 +242,17 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_body"))
     return materialize(_judged(rows, rules, "_body").select("_row", "kept"), "quality-judged").where("kept").select("_row.*")
+
+
+#: The base columns in SQL; the learned verdict has none.
+BASE_ORACLE = """
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS three FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS n FROM windows),
+covered AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1 GROUP BY 1),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
+counted AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+FROM counted JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+"""

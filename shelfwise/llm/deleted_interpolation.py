@@ -32,6 +32,8 @@ from .common import crc_class, materialize
 
 CHUNK_BYTES = 12_000_000  # text in one chunk, unless a single document is longer
 BUCKETS = 16  # contexts seen 0, 1-2, 3-6, 7-14, ... times
+#: Hash ranges per order are at most 2 ** this, so that what chunks send grows with their number alone.
+MOST_RANGE_BITS = 12
 HELD_OUT_SHARE = 10  # one training document in so many is left out for the weights
 _CELLS = 48  # steps of a factor of 2 ** 0.5 in which held-out events are gathered
 _END, _START = 0, 1  # numbers of the text end and of the context before the first word
@@ -266,7 +268,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     chunks = materialize(packed_chunks(docs, id_col, text_col), "lm-chunks")
     n_chunks = chunks.count()
-    bits = max(0, math.ceil(math.log2(max(1, n_chunks) * 2)))
+    bits = min(MOST_RANGE_BITS, math.ceil(math.log2(max(1, n_chunks) * 2)))
     back = materialize(summed_counts(sent_counts(chunks, bits)), "lm-counts")
     total = back.where("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept")]).first()
     n, v, n_kept, v_kept = total["n"], total["v"], total["n_kept"], total["v_kept"]

@@ -43,6 +43,11 @@ def op5_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op5, which SQL can express."""
+    return decision_list.judge_quality(documents(spark, sf_dir), []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op6_token_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A cache of this run's own, so that equal runs do equal work: stored in a first pass, asked in a second.
     docs, cache = documents(spark, sf_dir), token_cache.new_cache(spark)
@@ -105,9 +110,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_media_chunks,
             op9_setsketch_near_duplicates,
             op10_bigru_language,
+            quality_base_statistics,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": source_mix.ORACLE}
+    return {"op2_source_mix": source_mix.ORACLE, "quality_base_statistics": decision_list.BASE_ORACLE}

@@ -361,6 +361,14 @@ def test_text_statistics(spark):
         assert x["base_failed"] == (x["n_words"] < 50 or 100 * x["n_repeat_words"] > 50 * x["n_words"]) and x["kept"] == (not x["base_failed"])
 
 
+def test_base_columns_equal_sql(spark):
+    rows = [r for r in hard_rows() if r[0] not in (None, 6)] + [(100 + i, *x) for i, *x in prose(40, vocabulary=12)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])  # noqa: F841
+    want = sorted(duckdb.sql(decision_list.BASE_ORACLE).fetchall())
+    got = decision_list.judge_quality(frame(spark, rows), []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_false_neighbours_fall_back_to_words(spark, monkeypatch):
     monkeypatch.setattr(decision_list, "_PLACE_BITS", 24)
     texts = ["a b c a b c d", "a b c d e f g"]
