@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import as_bytes, coder, slices
-from .common import hot_keys, join_spread, shared_dir
+from .common import discard, hot_keys, join_spread, materialize, shared_dir
 
 CACHE_SCHEMA = T.StructType([T.StructField("content_digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
@@ -78,11 +78,18 @@ def store_counts(docs: DataFrame, vocabulary: str, cache_path: str, text_col: st
     """Encode each distinct content that the cache lacks for this tokenizer once, and append its count."""
     version, text = tokenizer_digest(vocabulary), F.col(text_col)
     contents = docs.select(content_digest(text).alias("content_digest"), normalised(text).alias("text"))
-    stored = read_cache(docs.sparkSession, cache_path, version)
+    # Copies fall together in the tasks that read them, before anything is moved.
+    contents = contents.groupBy("content_digest").agg(F.first("text").alias("text"))
+    stored, missing = read_cache(docs.sparkSession, cache_path, version), None
     if stored is not None:
-        contents = contents.join(stored, "content_digest", "left_anti")
-    misses = contents.groupBy("content_digest").agg(F.first("text").alias("text"))
-    encode_misses(misses, vocabulary).write.mode("append").parquet(_version_path(cache_path, version))
+        digests = docs.select(content_digest(text).alias("content_digest")).distinct()
+        missing = materialize(digests.join(stored, "content_digest", "left_anti"), "token-misses")
+        if missing.isEmpty():
+            discard(missing)
+            return
+        contents = contents.join(missing, "content_digest", "left_semi")
+    encode_misses(contents, vocabulary).write.mode("append").parquet(_version_path(cache_path, version))
+    discard(missing)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, cache_path: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
