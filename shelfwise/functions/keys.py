@@ -6,6 +6,9 @@ written out for another SQL engine.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,16 +101,26 @@ def sort_key(c: Column, kind: Column) -> Column:
     return F.coalesce(by_kind, other_key(c))
 
 
-#: Letters with marks and their plain forms, one for one (fixed values).
-MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďēęěğīłńňōőřśşšťūůűźżž"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccdeeegilnnoorssstuuuzzz"
+#: Letters that no decomposition parts from their marks, and their plain forms, one for one (fixed values).
+_STROKES, _STRUCK = "øłđħŧıƀɨɍɏ", "oldhtibiry"
 #: Letters that stand for several (fixed values).
-SEVERAL = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ð", "d"), ("þ", "th"), ("ﬁ", "fi"), ("ﬂ", "fl"))
+SEVERAL = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ð", "d"), ("þ", "th"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ĳ", "ij"))
+
+
+@lru_cache(1)
+def _plain_forms() -> tuple[str, str]:
+    """Small letters and digits of all kinds, and the one ASCII letter or digit that their compatibility decomposition leaves without marks."""
+    found = []
+    for c in map(chr, range(0xA0, 0xFFF0)):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if c == c.lower() and len(bare) == 1 and bare.isascii() and bare.isalnum():
+            found.append((c, bare))
+    return "".join(c for c, _ in found) + _STROKES, "".join(x for _, x in found) + _STRUCK
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks."""
-    c = F.translate(F.lower(c), MARKED, PLAIN)
+    """Lower case without marks; marks of their own go too."""
+    c = F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), *_plain_forms())
     for a, b in SEVERAL:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
@@ -131,12 +144,8 @@ def keyed_facet(c: Column, nonfiling: Column | int = 0) -> Column:
     return F.concat_ws("!", facet_key(c, nonfiling), c)
 
 
-#: Spaces before closing marks, doubled marks, doubled spaces.
-PUNCTUATION: Steps = [(r"\s+([,;:.!?])", r"\1"), (r"([,;:])[,;:]+", r"\1"), (r"\s+", " "), (r"^[ ,;:/]+", ""), (r"[ ,;:/]+$", "")]
-
-
-#: The same replacements, in linear time on long runs of blanks and marks.
-_TIDY: Steps = [(r"(?<!\s)\s++([,;:.!?])", "$1"), PUNCTUATION[1], *PUNCTUATION[2:4], (r"(?<![ ,;:/])[ ,;:/]++$", "")]
+#: Spaces before closing marks, doubled marks, doubled spaces, blanks and marks at both ends; in linear time on long runs of these.
+_TIDY: Steps = [(r"(?<!\s)\s++([,;:.!?])", r"\1"), (r"([,;:])[,;:]+", r"\1"), (r"\s+", " "), (r"^[ ,;:/]+", ""), (r"(?<![ ,;:/])[ ,;:/]++$", "")]
 
 
 def tidy(c: Column) -> Column:

@@ -58,15 +58,14 @@ def shelving_call_number(items: DataFrame, bibs: DataFrame, key: str, item_numbe
 def call_number_fields(items: DataFrame) -> DataFrame:
     """Sort and search keys of call number and volume.
 
-    Keys are computed once for every distinct call number and volume, then
-    joined: items share them by the copy.
+    The long chain of a call number's sort key is computed once for every
+    distinct one, then joined: items share them by the copy.
     """
-    n, kind, v = F.col("call_number"), F.col("call_number_type"), F.col("volume")
+    n, kind = F.col("call_number"), F.col("call_number_type")
     numbers = items.where(n.isNotNull()).select(n.alias("_n"), kind.alias("_kind")).distinct()
     numbers = numbers.select("_n", "_kind", K.sort_key(F.col("_n"), F.col("_kind")).alias("call_number_sort"), K.search_key(F.col("_n")).alias("call_number_search"))
-    volumes = items.where(v.isNotNull()).select(v.alias("_v")).distinct().select("_v", K.volume_key(F.col("_v")).alias("volume_sort"))
     keyed = items.join(numbers, (n == F.col("_n")) & kind.eqNullSafe(F.col("_kind")), "left")
-    return keyed.join(volumes, v == F.col("_v"), "left").drop("_n", "_kind", "_v")
+    return keyed.withColumn("volume_sort", K.volume_key(F.col("volume"))).drop("_n", "_kind")
 
 
 #: What an item document's full text is made of, in this order (fixed values).

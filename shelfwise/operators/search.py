@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import fold, let
+from ..sources.tables import stored
 
 #: Field weights of the ranked search (fixed values).
 WEIGHTS = {"title": 10.0, "alternate_titles": 10.0, "subjects": 5.0, "summary": 2.0, "holdings": 2.0}
@@ -51,15 +52,13 @@ def indexed_tokens(c: Column) -> Column:
 
         return F.transform(parts, here)
 
-    def of_words(s: Column) -> Column:
-        def of_word(w: Column, i: Column) -> Column:
-            folded = F.get(s["folded"], i)
-            return F.when(w.rlike(_PLAIN_WORD), F.array(F.array(folded))).otherwise(let(tokens(w), lambda parts: at_places(parts, folded)))
+    def of_word(w: Column) -> Column:
+        folded = w["folded"]
+        return F.when(w["raw"].rlike(_PLAIN_WORD), F.array(F.array(folded))).otherwise(let(tokens(w["raw"]), lambda parts: at_places(parts, folded)))
 
-        return F.flatten(F.transform(s["raw"], of_word))
-
-    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    return let(F.struct(words(c).alias("raw"), words(fold(c)).alias("folded")), of_words)
+    # The text is folded as a whole; blanks stay where they are.
+    words = F.arrays_zip(F.split(c, r"\s").alias("raw"), F.split(fold(c), r"\s").alias("folded"))
+    return F.flatten(F.transform(F.filter(words, lambda w: w["raw"] != ""), of_word))
 
 
 def token_index(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -124,8 +123,9 @@ def ranked_search(index: DataFrame, key: str, query: Sequence[str], n_documents:
     field's phrase weight x the sum of their words' ln(1 + N / df).
     """
     words = sorted(set(query))
-    hits = index.where(F.col("token").isin(*words) & F.col("field").isin(*weights))
-    tf = hits.groupBy(key, "field", "token").agg(F.count("*").alias("tf")).withColumn("gain", _weight(weights) * F.col("tf"))
+    # The query's words alone, stored: the index is read once.
+    hits = stored(index.where(F.col("token").isin(*words) & F.col("field").isin(*{**weights, **phrase_weights})).select(key, "field", "position", "token"), "search-hits")
+    tf = hits.where(F.col("field").isin(*weights)).groupBy(key, "field", "token").agg(F.count("*").alias("tf")).withColumn("gain", _weight(weights) * F.col("tf"))
     best = tf.groupBy(key, "token").agg(F.max("gain").alias("gain"))
     df = best.groupBy("token").agg(F.count("*").alias("df"))  # as many rows as the query has words
     rarity = {r["token"]: math.log(1 + n_documents / r["df"]) for r in df.collect()}
@@ -133,7 +133,7 @@ def ranked_search(index: DataFrame, key: str, query: Sequence[str], n_documents:
     out = best.groupBy(key).agg(F.count("*").alias("matched"), F.sum(F.col("gain") * idf[F.col("token")]).alias("score"))
     phrases = [(tuple(query), PHRASE_SLOP)] if len(query) > 1 else []
     phrases += [((a, b), PAIR_SLOP) for a, b in zip(query, query[1:], strict=False)]
-    in_field = index.where(F.col("field").isin(*phrase_weights))
+    in_field = hits.where(F.col("field").isin(*phrase_weights))
     gains = [phrase_places(in_field, key, p, slop).groupBy(key).agg((F.max(_weight(phrase_weights)) * F.lit(sum(rarity.get(w, 0.0) for w in p))).alias("more")) for p, slop in phrases]
     if gains:
         more = reduce(DataFrame.unionByName, gains).groupBy(key).agg(F.sum("more").alias("more"))

@@ -42,6 +42,8 @@ def one(spark, expr, *values):
         (K.other_key, "12345678901", "12345678901"),
         (K.facet_key, "Ünïcode & Größe", "unicode-grosse"),
         (K.facet_key, "!!!", "~"),
+        (K.facet_key, "Ệ Øre Łódź Đak", "e-ore-lodz-dak"),
+        (K.facet_key, "x² e\u0301te\u0301 Ａ１ ﬁn", "x2-ete-a1-fin"),
     ],
 )
 def test_keys(spark, key, given, want):
@@ -265,6 +267,7 @@ def test_tokens_at_positions(spark):
     assert got("Wi-Fi500 the") == [{"wi", "wi-fi500", "wifi500", "wifi"}, {"fi"}, {"500"}, {"the"}]
     assert got("O'Neil's  McDonald") == [{"o", "o'neil's", "oneil"}, {"neil"}, {"mc", "mcdonald"}, {"donald"}]
     assert got("--- a1b2-c Ünïted!") == [{"a", "a1b2-c", "a1b2c"}, {"1"}, {"b"}, {"2"}, {"c"}, {"united", "united!"}]
+    assert got("a \u0301 b-c") == [{"a"}, {"b", "b-c", "bc"}, {"c"}]
     assert got("") == [] and one(spark, lambda c: Q.indexed_tokens(F.when(c == "", c)), "x") is None
 
 
