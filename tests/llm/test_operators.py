@@ -246,6 +246,51 @@ def test_every_wording_is_named_by_its_license():
         assert [m.license for m in license_scan.scan(f"Above.\n{template}\nbelow")[1]] == [name], template
 
 
+def brute_scan(text, most_changed=0.1):
+    """Every template tried at every word; of places that touch, those whose template compresses all their words best, one after another."""
+    have = license_scan.words(text)
+    places = set()
+    for k, (_, template) in enumerate(license_scan.TEMPLATES):
+        want = tuple(license_scan.words(template))
+        most = int(most_changed * len(want) + 1e-9)
+        if not set(want) & set(have) or len(set(want) - set(have)) > most:
+            continue
+        for start in range(len(have)):
+            first, end, missing, added = license_scan.differences(have[start : start + len(want) + 2 * most], want)
+            if end and len(missing) + len(added) <= most and not any(re.search("[0-9]", w) for w in missing):
+                places.add((start + first, start + end, k, len(missing) + len(added)))
+    chosen, left = [], sorted(places)
+    while left:
+        group, end = [left[0]], left[0][1]
+        for x in left[1:]:
+            if x[0] < end:
+                group.append(x)
+                end = max(end, x[1])
+        together = have[group[0][0] : end]
+        left = [x for x in left if x not in group]
+        gain = {k: license_scan.saved(together, k)[0] for k in {x[2] for x in group}}
+        while group:
+            best = min(group, key=lambda x: (-gain[x[2]], x[3], x[0], x[2]))
+            chosen.append((best[0], license_scan.TEMPLATES[best[2]][0]))
+            group = [x for x in group if x[1] <= best[0] or x[0] >= best[1]]
+    return [name for _, name in sorted(chosen)]
+
+
+def test_scan_equals_every_template_at_every_word():
+    r = random.Random(9)
+    short = [t for _, t in license_scan.TEMPLATES if 3 <= len(license_scan.words(t)) <= 30]
+    for _ in range(12):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            parts.append(" ".join(r.choice(["the", "license", "of", "copyright", "plain", "words", "version", "is"]) for _ in range(r.randint(0, 6))))
+            w = r.choice(short).split(" ")
+            if r.random() < 0.5 and len(w) > 9:
+                w[r.randrange(len(w))] = "zzz"
+            parts.append(r.choice([" ", "\n// "]).join(w))
+        text = "\n".join(parts)
+        assert [m.license for m in license_scan.scan(text)[1]] == brute_scan(text), text
+
+
 def test_license_words_take_linear_time():
     for t in ("-" * 300_000, "a." * 150_000, "license " * 50_000):
         license_scan.scan(t)
