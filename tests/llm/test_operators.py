@@ -70,6 +70,41 @@ def test_interpolation_equals_row_by_row_model(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(own)
 
 
+def test_weights_equal_expectation_maximisation_event_by_event(spark, monkeypatch):
+    learned = {}
+    fit = deleted_interpolation.mixture_weights
+    monkeypatch.setattr(deleted_interpolation, "mixture_weights", lambda e, v: learned.setdefault("w", fit(e, v)))
+    rows = prose(150, seed=3, vocabulary=60)
+    docs = frame(spark, rows)
+    deleted_interpolation.score_documents(docs)
+    left_out = {r[0] for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(deleted_interpolation.HELD_OUT_SHARE)) == 0).select("doc_id").collect()}
+    texts = {r[0]: WORD.findall(lowered(r[1])) + ["\n"] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1}
+    kept, held = [t for i, t in texts.items() if i not in left_out], [t for i, t in texts.items() if i in left_out]
+    assert kept and held
+    one, two = Counter(w for t in kept for w in t), Counter(p for t in kept for p in zip(["<s>", *t], t, strict=False))
+    n, v, seen = sum(one.values()), len(one), {**one, "<s>": len(kept)}
+    events = defaultdict(list)
+    for t in held:
+        for h, x in zip(["<s>", *t], t, strict=False):
+            c = seen.get(h, 0)
+            events[min(int(math.log2(c + 1)), deleted_interpolation.BUCKETS - 1)].append((two[h, x] / max(c, 1), one[x] / n, 1 / (v + 1)))
+
+    def em(rows, w):
+        for _ in range(60):
+            total = np.full(3, 1e-3)
+            for p in rows:
+                share = np.array(p) * w
+                total += share / share.sum()
+            w = total / total.sum()
+        return w
+
+    pooled = em([p for b in sorted(events) for p in events[b]], np.array([0.3, 0.6, 0.1]))
+    for b, found in events.items():
+        want = em(found, pooled)
+        if b:
+            assert np.abs(learned["w"][b] - want).max() < 0.02, b
+
+
 def test_interpolation_beats_the_base_on_unseen_documents(spark):
     r = random.Random(4)
     chain = {w: [r.choice("abcdefgh") * 3 for _ in range(2)] for w in [c * 3 for c in "abcdefgh"]}
