@@ -72,8 +72,9 @@ def hot_keys(rows: DataFrame, key: str, most: int = 1_000, part: int | None = No
 def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: list[tuple], how: str = "inner") -> DataFrame:
     """Rows joined to ``table`` by ``key`` without all rows of a hot key (``hot_keys``) meeting in one task.
 
-    The rows of a hot key are dealt over its parts, and what the table holds
-    of it is repeated once for each part.
+    The rows of a hot key are dealt over its parts by a hash of their other
+    columns, which a task that runs again repeats, and what the table holds of
+    the key is repeated once for each part.
     """
     if not hot:
         return rows.join(table, key, how)
@@ -81,7 +82,8 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: list[tuple], h
     schema = T.StructType([T.StructField("_hot", kind), T.StructField("_parts", T.IntegerType())])
     parts = F.broadcast(spark.createDataFrame(hot, schema))  # a bounded number of keys
     n = F.coalesce("_parts", F.lit(1))
-    dealt = rows.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), n).cast("int")).drop("_hot", "_parts")
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != key] or [F.col(key)])
+    dealt = rows.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(own, n).cast("int")).drop("_hot", "_parts")
     repeated = table.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_hot", "_parts")
     return dealt.join(repeated, [key, "_part"], how).drop("_part")
 

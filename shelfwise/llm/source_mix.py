@@ -112,11 +112,14 @@ def mix_plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: i
 
 
 def _taken(rows: DataFrame) -> DataFrame:
-    """Rows with source, mix_key and their source's epochs, cut_key and cut_rows: the same with ``copies``, how often each is taken."""
+    """Rows with source, mix_key, nth_row and their source's epochs, cut_key and cut_rows: the same with ``copies``, how often each is taken.
+
+    ``nth_row``, given where the rows are read, tells repeats of the cut key apart.
+    """
     key, cut = F.col("mix_key"), F.col("cut_key")
     at_cut = F.coalesce(key == cut, F.lit(False))
     sure = rows.where(~at_cut).withColumn("copies", F.col("epochs") + F.coalesce((key < cut).cast("long"), F.lit(0)))
-    counted = ranked(rows.where(at_cut).withColumn("_any", F.monotonically_increasing_id()), [F.col("_any")], ["source"], "_nth").drop("_any")
+    counted = ranked(rows.where(at_cut), [F.col("nth_row")], ["source"], "_nth")
     return sure.unionByName(counted.withColumn("copies", F.col("epochs") + (F.col("_nth") < F.col("cut_rows")).cast("long")).drop("_nth"))
 
 
@@ -126,7 +129,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs:
     A null text has size 0, a null source is a source of its own, rows that are
     equal are taken one by one, an empty table gives an empty result.
     """
-    sizes = materialize(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    sizes = materialize(sized(docs, id_col, text_col, source_col, seed).withColumn("nth_row", F.monotonically_increasing_id()), "mix-sizes")
     plan = materialize(mix_plan(sizes, weights, max_epochs), "mix-cuts")
     planned = sizes.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "source_size", "target", "epochs", "cut_key", "cut_rows")
     return _taken(planned).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -137,9 +140,9 @@ def mixed_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs:
     sizes = materialize(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
     plan = materialize(mix_plan(sizes, weights, max_epochs).select("source", "epochs", "cut_key", "cut_rows"), "mix-cuts")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).alias("source"), mix_key(F.col(id_col), F.col(text_col), seed).alias("mix_key")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).alias("source"), mix_key(F.col(id_col), F.col(text_col), seed).alias("mix_key"), F.monotonically_increasing_id().alias("nth_row")
     )
-    planned = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("_row", "r.source", "mix_key", "epochs", "cut_key", "cut_rows")
+    planned = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("_row", "r.source", "mix_key", "nth_row", "epochs", "cut_key", "cut_rows")
     taken = _taken(planned).where("copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
 
