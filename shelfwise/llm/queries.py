@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bigru_lang, bpe, decision_list, deleted_interpolation, license_scan, media_chunks, semicrf_pii, setsketch, source_mix, token_cache
+from . import bigru_lang, bpe, decision_list, deleted_interpolation, license_scan, media_chunks, prefix_table, semicrf_pii, setsketch, source_mix, token_cache
 from .common import crc_class, documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def sha256_hex(column) -> F.Column:
@@ -26,8 +27,8 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op4_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.code_documents(documents(spark, sf_dir), BYTE_BPE).select(
+def _coding_digests(coded: DataFrame) -> DataFrame:
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256_hex(F.array_join("ids", ",")).alias("ids_sha256"),
@@ -35,6 +36,10 @@ def op4_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coding_digests(bpe.code_documents(documents(spark, sf_dir), BYTE_BPE))
+
+
 def op5_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rules = decision_list.learn(*decision_list.labelled_cells(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -96,6 +101,10 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bigru_lang.predict(docs, net).withColumn("held_out", crc_class(F.col("doc_id")) == 0).select("doc_id", "held_out", "lang_pred", "score", "n_positions", "n_agreeing")
 
 
+def op13_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coding_digests(prefix_table.code_documents(documents(spark, sf_dir), PIECE_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -110,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_media_chunks,
             op9_setsketch_near_duplicates,
             op10_bigru_language,
+            op13_prefix_table_pieces,
             quality_base_statistics,
         )
     }
