@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bigru_lang, bpe, decision_list, deleted_interpolation, license_scan, media_chunks, prefix_table, semicrf_pii, setsketch, source_mix, token_cache
+from . import bigru_lang, bpe, decision_list, deleted_interpolation, license_scan, media_chunks, prefix_table, semicrf_pii, setsketch, source_mix, token_alignment, token_cache
 from .common import crc_class, documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,6 +101,10 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bigru_lang.predict(docs, net).withColumn("held_out", crc_class(F.col("doc_id")) == 0).select("doc_id", "held_out", "lang_pred", "score", "n_positions", "n_agreeing")
 
 
+def op11_spill_counted_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
+
+
 def op13_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coding_digests(prefix_table.code_documents(documents(spark, sf_dir), PIECE_BPE))
 
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_media_chunks,
             op9_setsketch_near_duplicates,
             op10_bigru_language,
+            op11_spill_counted_alignment,
             op13_prefix_table_pieces,
             quality_base_statistics,
         )
