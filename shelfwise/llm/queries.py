@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bigru_lang, bpe, decision_list, deleted_interpolation, license_scan, media_chunks, prefix_table, semicrf_pii, setsketch, source_mix, token_alignment, token_cache
+from . import bigru_lang, bpe, decision_list, deleted_interpolation, license_scan, media_chunks, prefix_table, ranked_search, semicrf_pii, setsketch, source_mix, token_alignment, token_cache
 from .common import crc_class, documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -105,6 +105,10 @@ def op11_spill_counted_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
 
 
+def op12_hybrid_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coding_digests(prefix_table.code_documents(documents(spark, sf_dir), PIECE_BPE))
 
@@ -124,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_setsketch_near_duplicates,
             op10_bigru_language,
             op11_spill_counted_alignment,
+            op12_hybrid_ranked_search,
             op13_prefix_table_pieces,
             quality_base_statistics,
         )
@@ -131,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": source_mix.ORACLE, "quality_base_statistics": decision_list.BASE_ORACLE}
+    return {"op2_source_mix": source_mix.ORACLE, "op12_hybrid_ranked_search": ranked_search.ORACLE, "quality_base_statistics": decision_list.BASE_ORACLE}
