@@ -101,9 +101,9 @@ class PrefixTable(ForcedBoundaryBPE):
         self.letters = sorted({c for t in text for c in t}.difference(text))
         self.tokens_of = {**text, **{c: len(self.pieces.bytes) + k for k, c in enumerate(self.letters)}}
         self.spelling = {i: t for t, i in self.tokens_of.items()}
-        self.matches = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.matches = ahocorasick.Automaton()
         for t, i in self.tokens_of.items():
-            self.matches.add_word(t, i)
+            self.matches.add_word(t, (i, len(t)))
         self.matches.make_automaton()
         self.size = {i: len(t) for i, t in self.spelling.items()}
         joined = np.zeros(65536, bool)
@@ -112,7 +112,8 @@ class PrefixTable(ForcedBoundaryBPE):
                 joined[a << 8 | b] = True
         left, right = np.arange(65536) >> 8, np.arange(65536) & 255
         self.forced = (~joined & ((right & 0xC0) != 0x80)) | (left == _TEXT_END) | (right == _TEXT_END)
-        self.verdicts: dict[tuple[int, int], bool] = {}
+        self.verdicts: dict[int, bool] = {}
+        self.edges: dict[int, tuple | None] = {}
         self.forget()
 
     def _cut(self, text: bytes) -> tuple[list[bytes], list[int]]:
@@ -124,9 +125,11 @@ class PrefixTable(ForcedBoundaryBPE):
         pairs |= b[1:]
         return np.insert(b, np.flatnonzero(self.forced[pairs]) + 1, _SEPARATOR).tobytes().split(b"\xff"), []
 
-    def _stays_apart(self, left: str, right: str) -> bool:
-        """Whether merging the characters of ``left`` and ``right`` ends in these two tokens (in ``right`` alone where ``left`` is empty)."""
-        parts, edge, rank = [*left, *right], len(left), self.rank
+    def _edges(self, token: str) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
+        """How the first and the last part of a token grow while its characters are merged: (what rank the merges up to this one have at most, part); None if merging ends elsewhere."""
+        parts, rank = list(token), self.rank
+        first, last = [(-np.inf, parts[0])], [(-np.inf, parts[-1])]
+        since_first = since_last = -np.inf
         while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -134,33 +137,69 @@ class PrefixTable(ForcedBoundaryBPE):
                 if r is not None and (best is None or r < best):
                     best, at = r, k
             if best is None:
-                break
-            before = sum(map(len, parts[: at + 1]))
-            if before == edge:
-                return False
+                return None
+            since_first, since_last = max(since_first, best), max(since_last, best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts == ([left, right] if left else [right])
+            if at == 0:
+                first.append((since_first, parts[0]))
+                since_first = -np.inf
+            if at == len(parts) - 1:
+                last.append((since_last, parts[-1]))
+                since_last = -np.inf
+        return first, last
+
+    def _known_edges(self, t: int) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
+        if t not in self.edges:
+            self.edges[t] = self._edges(self.spelling[t])
+        return self.edges[t]
+
+    def _stays_apart(self, left: int, right: int) -> bool:
+        """Whether no merge joins two tokens while both come about.
+
+        The parts on both sides of their border grow in turns, the one whose
+        merges have the lower rank first, the left one of equals; their own
+        merge would come in between where its rank is lower still.
+        """
+        own, other = self._known_edges(right), None
+        if own is None or left < 0:
+            return own is not None
+        other = self._known_edges(left)
+        a, b, i, j, rank = other[1], own[0], 1, 1, self.rank
+        while True:
+            joined = rank.get(a[i - 1][1] + b[j - 1][1])
+            next_a = a[i][0] if i < len(a) else np.inf
+            next_b = b[j][0] if j < len(b) else np.inf
+            if joined is not None and joined < next_a and joined <= next_b:
+                return False
+            if next_a == next_b == np.inf:
+                return True
+            if next_a <= next_b:
+                i += 1
+            else:
+                j += 1
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``right`` can follow ``left`` in an encoding; after the start or a character of no piece: whether it is an encoding itself."""
-        known = self.verdicts.get((left, right))
+        pair = left << 32 | right
+        known = self.verdicts.get(pair)
         if known is None:
             if len(self.verdicts) > MOST_PAIRS:
                 self.verdicts.clear()
-            known = self.verdicts[left, right] = self._stays_apart(self.spelling.get(left, ""), self.spelling[right])
+            known = self.verdicts[pair] = self._stays_apart(left, right)
         return known
 
     def last_tokens(self, text: str) -> list[int]:
         """The last token of every prefix of a text; the empty prefix has none."""
         last = [_UNKNOWN] * (len(text) + 1)
         last[0] = _START
-        size, verdicts = self.size, self.verdicts
-        for end, t in self.matches.iter(text):
-            if last[end + 1] == _UNKNOWN:
-                before = last[end + 1 - size[t]]
-                known = verdicts.get((before, t))
-                if known or (known is None and self.compatible(before, t)):
-                    last[end + 1] = t
+        get, compatible = self.verdicts.get, self.compatible
+        for end, (t, size) in self.matches.iter(text):
+            end += 1
+            if last[end] == _UNKNOWN:
+                before = last[end - size]
+                known = get(before << 32 | t)
+                if known or (known is None and compatible(before, t)):
+                    last[end] = t
         return last
 
     def _encode_fragment(self, fragment: bytes) -> list[int]:
