@@ -42,7 +42,7 @@ from .common import materialize
 
 #: Radix partitions; bytes of text and documents of a run; runs that one task merges; pairs of a frame.
 PARTITIONS, RUN_BYTES, RUN_DOCS, RUNS_A_TASK, FRAME = 32, 8_000_000, 60_000, 64, 65_536
-_CACHE_BYTES = 24_000_000
+_CACHE_BYTES = 40_000_000
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -60,22 +60,27 @@ class Sides:
         self.spelt = np.array([b"%d%b" % (i, end) for n, end in ends for i in range(n)], object)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, counts) of both sides; a text whose tokens on a side are not a blank and the text has none."""
-        texts = list(texts)
+        """(ids, counts) of both sides; a text whose tokens on a side are not a blank and the text has none.
+
+        Tokens spell what was encoded, but for a sign that side b takes for a
+        blank; where one was left out the lengths tell.
+        """
+        sign = prefix_table.BLANK_SIGN.encode()
+        texts = [b"" if sign in t else t for t in texts]
         while True:
-            wanted = [b" " + t if t else t for t in texts]
-            a, n_a = self.a.encode_batch(wanted)
+            a, n_a = self.a.encode_batch([b" " + t if t else t for t in texts])
             b, n_b = self.b.encode_batch(texts)
-            if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == b"".join(map(self.bytes_b.__getitem__, b.tolist())) == b"".join(wanted):
+            want = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+            wrong = np.flatnonzero((self.spelt_bytes(self.length_a[a], n_a) != want) | (self.spelt_bytes(self.length_b[b], n_b) != want))
+            if not len(wrong):
                 return a, n_a, b, n_b
-            at_a, at_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
-            for k, t in enumerate(wanted):
-                if t and not self.joined(self.bytes_a, a[at_a[k] : at_a[k + 1]]) == self.joined(self.bytes_b, b[at_b[k] : at_b[k + 1]]) == t:
-                    texts[k] = b""
+            for k in wrong.tolist():
+                texts[k] = b""
 
     @staticmethod
-    def joined(table: list[bytes], ids: np.ndarray) -> bytes:
-        return b"".join(map(table.__getitem__, ids.tolist()))
+    def spelt_bytes(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Bytes of each text's tokens."""
+        return np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)], prepend=0)
 
 
 @lru_cache(1)
