@@ -56,6 +56,13 @@ def subfields(varfields: DataFrame, content: str = "content") -> DataFrame:
     return varfields.select("*", F.posexplode(parts).alias("position", "_part")).withColumn("code", F.substring("_part", 1, 1)).withColumn("value", F.expr("substring(_part, 2)")).drop("_part")
 
 
+def subfield_array(content: Column) -> Column:
+    """Array of (code, value) of a field's content; content without a mark is subfield ``a``."""
+    marked = F.when(content.startswith("|"), content).otherwise(F.concat(F.lit("|a"), content))
+    parts = F.filter(F.split(marked, r"\|"), lambda p: p != "")
+    return F.transform(parts, lambda p: F.struct(F.substring(p, 1, 1).alias("code"), F.substring(p, F.lit(2), F.length(p)).alias("value")))
+
+
 def explode_subfields(varfields: DataFrame, codes: Sequence[str]) -> DataFrame:
     """Per field one array of values for each code."""
     parts = subfields(varfields)

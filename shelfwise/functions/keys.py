@@ -7,6 +7,7 @@ written out for another SQL engine.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -119,15 +120,22 @@ def _plain_forms() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks; marks of their own go too."""
-    c = F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), *_plain_forms())
-    for a, b in SEVERAL:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    """Lower case without marks; marks of their own go too, letters of other scripts stay.
+
+    A text of ASCII alone is only lower-cased.
+    """
+
+    def folded(low: Column) -> Column:
+        out = F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), *_plain_forms())
+        for a, b in SEVERAL:
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return F.when(F.octet_length(low) == F.length(low), low).otherwise(out)
+
+    return let(F.lower(c), folded)
 
 
 def facet_key(c: Column, nonfiling: Column | int = 0) -> Column:
-    """Folded words joined by hyphens, ``~`` when nothing is left.
+    """Folded words of any script joined by hyphens, ``~`` when nothing is left.
 
     The first ``nonfiling`` characters go if the last of them is no letter or digit.
     """
@@ -135,8 +143,8 @@ def facet_key(c: Column, nonfiling: Column | int = 0) -> Column:
     low = F.lower(c)
     cut = (n > 0) & (F.length(low) > n) & ~F.substring(low, n, 1).rlike(r"[\p{L}\p{N}]")
     key = fold(F.when(cut, F.substring(low, n + 1, F.length(low))).otherwise(low))
-    key = F.regexp_replace(F.regexp_replace(key, "[^A-Za-z0-9_]+", "-"), "^-+|-+$", "")
-    return F.when(key == "", "~").otherwise(key)
+    key = F.regexp_replace(F.regexp_replace(key, r"[^\p{L}\p{N}_]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(key, F.lit("")), F.when(c.isNotNull(), F.lit("~")))
 
 
 def keyed_facet(c: Column, nonfiling: Column | int = 0) -> Column:
@@ -153,6 +161,17 @@ def tidy(c: Column) -> Column:
     return apply_steps(c, _TIDY)
 
 
+#: Words whose last period belongs to them (fixed values); callers with more of them pass their own.
+ABBREVIATIONS = ("ca", "cf", "ch", "Co", "comp", "Corp", "Dept", "Dr", "ed", "eds", "enl", "etc", "fl", "Inc", "introd", "Jr", "Ltd", "Mr", "Mrs", "No", "no", "op", "pbk", "pt", "pts", "repr", "rev", "ser", "Sr", "St", "suppl", "trans", "v", "vol", "vols")
+
+
+def strip_ends(c: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Column:
+    """A term without blanks and marks ``. / ; : ,`` around it; periods of initials, abbreviations and ellipses stay."""
+    own = rf"(?<!\b[A-Z])(?<!\b(?:{'|'.join(abbreviations)}))\.(?<!\.\.\.)" if abbreviations else r"(?<!\b[A-Z])\.(?<!\.\.\.)"
+    left = F.regexp_replace(c, r"^(?:[/;:,\s]|\.(?![\w.]))+", "")
+    return F.regexp_replace(left, rf"(?<![/;:,\s])(?:[/;:,\s]|{own})++$", "")
+
+
 def truncated(c: Column, least: int, most: int) -> Column:
     """Cut before the last punctuation (else space) between ``least`` and ``most`` characters; at ``least`` without either."""
     part = F.substring(c, least, most - least + 1)

@@ -168,10 +168,22 @@ def item_json(items: DataFrame, key: str, n: int = 3) -> DataFrame:
 
 
 def bib_call_numbers(own: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Distinct call numbers of bib and items, sudocs apart, with all their prefixes; both inputs (key, call_number, kind)."""
-    all_ = own.unionByName(items).where("call_number IS NOT NULL").dropDuplicates([key, "call_number", "kind"])
-    pick = lambda doc: F.array_sort(F.collect_set(F.when((F.col("kind") == "sudoc") == F.lit(doc), F.col("call_number"))))
-    return all_.groupBy(key).agg(pick(False).alias("call_numbers"), pick(True).alias("sudocs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(prefixes(F.col("call_number")))))).alias("shingles"))
+    """Distinct call numbers of bib and items in the order in which they are first seen, the bib's before those of its items; sudocs apart, each with its prefixes.
+
+    ``own`` is (key, position, call_number, kind), ``items`` the same with the
+    items' places in display order.
+    """
+    both = own.select(key, F.lit(0).alias("_of"), "position", "call_number", "kind").unionByName(items.select(key, F.lit(1).alias("_of"), "position", "call_number", "kind"))
+    rows = both.where("call_number IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_of", "position", "call_number", "kind"))).alias("_rows"))
+    numbers = call_number_columns(F.col("_rows"))
+    return rows.select(key, *[c.alias(n) for n, c in numbers.items()])
+
+
+def call_number_columns(rows: Column) -> dict[str, Column]:
+    """The columns that a record's call numbers fill, from rows in order with call_number and kind."""
+    of = lambda doc: F.array_distinct(F.transform(F.filter(rows, lambda r: r["kind"].eqNullSafe(F.lit("sudoc")) == F.lit(doc)), lambda r: r["call_number"]))
+    terms = lambda numbers: F.flatten(F.transform(numbers, prefixes))
+    return {"call_numbers": of(False), "call_numbers_search": terms(of(False)), "sudocs": of(True), "sudocs_search": terms(of(True))}
 
 
 #: File endings of images (fixed values).
@@ -180,58 +192,67 @@ IMAGE_ENDINGS = ("apng", "bmp", "gif", "ico", "cur", "jpg", "jpeg", "jfif", "pjp
 FULLTEXT_NOTE = r"(^|\s)([Ee]lectronic|[Ee].?[Rr]esource|[Oo]nline.?|[Ff]ull.?[Tt]ext.?)(\s|$)"
 
 
-#: Hosts of digital-library pictures, whose thumbnails stand under ``/small/`` (fixed values).
-PICTURE_HOSTS = ("digital.library.unt.edu/ark:", "texashistory.unt.edu/ark:")
-
-
 def is_image(url: Column) -> Column:
     return F.lower(F.element_at(F.split(url, r"\."), -1)).isin(*IMAGE_ENDINGS)
 
 
-def url_list(urls: DataFrame, key: str, booking_host: str, reserve_url: Column, online: DataFrame | None = None) -> DataFrame:
-    """(key, position, url, note, label, url_type) of a record's links.
-
-    ``urls`` has key, position, tag, ind2, url, notes (their ``3`` and ``z``),
-    labels (``y``) and title.  Links of 856 without a URL are left out; they
-    are full text if the second indicator is 0 or 1.  Those of 962 are media,
-    or with no URL full text at ``reserve_url``; pictures among them are left
-    out, 856 come first.  Then: booking host before full-text note before the
-    only link of a record with an online item (``online``: their keys).
+def record_links(urls: Column, booking_host: str, reserve_url: Column, online: Column) -> Column:
+    """(url, note, label, url_type) of a record's links, from its (tag, position, ind2, url, notes, labels, title) in order.
+
+    Links of 856 without a URL are left out; they are full text if the second
+    indicator is 0 or 1.  Those of 962 are media, or with no URL full text at
+    ``reserve_url``; pictures among them are left out, 856 come first.  Then:
+    booking host before full-text note before the only link of a record with
+    an online item (``online``).
     """
-    media = F.col("tag") == "962"
-    shown = urls.where(media | F.col("url").isNotNull()).select(
-        key,
-        media.cast("int").alias("_media"),
-        "position",
-        F.when(media, F.coalesce("url", reserve_url)).otherwise(clean_url(F.col("url"))).alias("url"),
-        F.when(media, F.col("title")).otherwise(F.nullif(F.array_join("notes", " "), F.lit(""))).alias("note"),
-        F.when(~media, F.nullif(F.array_join("labels", " "), F.lit(""))).alias("label"),
-        F.when(media, F.when(F.col("url").isNull(), "fulltext").otherwise("media")).when(F.col("ind2").isin("0", "1"), "fulltext").otherwise("link").alias("_kind"),
-    ).where((F.col("_media") == 0) | ~is_image(F.col("url")))
-    n = shown.groupBy(key).agg(F.count("*").alias("_n"))
-    out = shown.join(n, key)
-    if online is None:
-        out = out.withColumn("_online", F.lit(False))
-    else:
-        out = out.join(online.select(key).distinct().withColumn("_online", F.lit(True)), key, "left")
-    only_online = (F.col("_n") == 1) & F.coalesce("_online", F.lit(False))
-    kind = F.when(F.col("url").contains(booking_host), "booking").when(F.coalesce(F.col("note"), F.lit("")).rlike(FULLTEXT_NOTE), "fulltext").when(only_online, "fulltext").otherwise(F.col("_kind"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("_media", "position", "url")) - 1
-    return out.select(key, place.alias("position"), "url", "note", "label", kind.alias("url_type"))
-
-
-def thumbnails(urls: DataFrame, key: str, local_host: str = "library.unt.edu") -> DataFrame:
-    """(key, thumbnail_url): the first picture of 962, else the small form of the first 856 of a picture host."""
-    url = clean_url(F.col("url"))
-    cover = F.when((F.col("tag") == "962") & is_image(url), F.regexp_replace(url, rf"^https?://(www\.(?={local_host.replace('.', chr(92) + '.')}))?", "https://"))
-    page = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"\?.*$", ""), "/+$", ""), "^http:", "https:")
-    hosted = F.lit(False)
-    for host in PICTURE_HOSTS:
-        hosted = hosted | url.contains(host)
-    small = F.when((F.col("tag") == "856") & hosted, F.concat(page, F.lit("/small/")))
-    rows = urls.select(key, "position", cover.alias("_cover"), small.alias("_small"))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("position", c)))
-    return rows.groupBy(key).agg(F.coalesce(first("_cover"), first("_small")).alias("thumbnail_url")).where("thumbnail_url IS NOT NULL")
+    media = lambda u: u["tag"] == "962"
+
+    def one(u: Column) -> Column:
+        return F.struct(
+            media(u).cast("int").alias("media"),
+            u["position"].alias("position"),
+            F.when(media(u), F.coalesce(u["url"], reserve_url)).otherwise(clean_url(u["url"])).alias("url"),
+            F.when(media(u), u["title"]).otherwise(F.nullif(F.array_join(u["notes"], " "), F.lit(""))).alias("note"),
+            F.when(~media(u), F.nullif(F.array_join(u["labels"], " "), F.lit(""))).alias("label"),
+            F.when(media(u), F.when(u["url"].isNull(), "fulltext").otherwise("media")).when(u["ind2"].isin("0", "1"), "fulltext").otherwise("link").alias("kind"),
+        )
+
+    made = F.transform(F.filter(urls, lambda u: media(u) | u["url"].isNotNull()), one)
+    shown = F.array_sort(F.filter(made, lambda u: (u["media"] == 0) | ~F.coalesce(is_image(u["url"]), F.lit(False))))
+
+    def typed(all_: Column) -> Column:
+        only_online = (F.size(all_) == 1) & F.coalesce(online, F.lit(False))
+        kind = lambda u: F.when(u["url"].contains(booking_host), "booking").when(F.coalesce(u["note"], F.lit("")).rlike(FULLTEXT_NOTE), "fulltext").when(only_online, "fulltext").otherwise(u["kind"])
+        return F.transform(all_, lambda u: F.struct(u["url"].alias("url"), u["note"].alias("note"), u["label"].alias("label"), kind(u).alias("url_type")))
+
+    return K.let(shown, typed)
+
+
+def _links_of(urls: DataFrame, key: str) -> DataFrame:
+    return urls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tag", "position", "ind2", "url", "notes", "labels", "title"))).alias("_urls"))
+
+
+def url_list(urls: DataFrame, key: str, booking_host: str, reserve_url: Column, online: DataFrame | None = None) -> DataFrame:
+    """(key, position, url, note, label, url_type) of ``record_links``; ``urls`` has key, tag, position, ind2, url, notes (their ``3`` and ``z``), labels (``y``) and title, ``online`` the keys of records with an online item."""
+    rows = _links_of(urls, key)
+    known = rows.withColumn("_online", F.lit(False)) if online is None else rows.join(online.select(key).distinct().withColumn("_online", F.lit(True)), key, "left")
+    return known.select(key, F.posexplode(record_links(F.col("_urls"), booking_host, reserve_url, F.col("_online"))).alias("position", "_u")).select(key, "position", "_u.*")
+
+
+def record_thumbnail(urls: Column, picture_hosts: Sequence[str], local_host: str) -> Column:
+    """The first picture of 962, else the small form of the first 856 of a picture host (``picture_hosts``: what such URLs contain); a leading ``www.`` of ``local_host`` goes."""
+    url = lambda u: clean_url(u["url"])
+    hosted = lambda u: F.coalesce(F.array_max(F.transform(F.array(*map(F.lit, picture_hosts)), lambda h: url(u).contains(h))), F.lit(False))
+    page = lambda u: F.regexp_replace(F.regexp_replace(F.regexp_replace(url(u), r"\?.*$", ""), "/+$", ""), "^http:", "https:")
+    covers = F.filter(urls, lambda u: (u["tag"] == "962") & u["url"].isNotNull() & is_image(url(u)))
+    cover = F.regexp_replace(clean_url(F.get(covers, F.lit(0))["url"]), rf"^https?://(www\.(?={local_host.replace('.', chr(92) + '.')}))?", "https://")
+    small = F.get(F.transform(F.filter(urls, lambda u: (u["tag"] == "856") & u["url"].isNotNull() & hosted(u)), lambda u: F.concat(page(u), F.lit("/small/"))), F.lit(0))
+    return F.coalesce(cover, small)
+
+
+def thumbnails(urls: DataFrame, key: str, picture_hosts: Sequence[str], local_host: str) -> DataFrame:
+    """(key, thumbnail_url) of ``record_thumbnail`` where there is one."""
+    return _links_of(urls, key).select(key, record_thumbnail(F.col("_urls"), picture_hosts, local_host).alias("thumbnail_url")).where("thumbnail_url IS NOT NULL")
 
 
 #: Dates in statements (fixed patterns): a year with unknown digits; then a century, decade or year, perhaps doubted; then perhaps the end of a range.
@@ -396,45 +417,29 @@ def language_notes(coded: DataFrame, names: DataFrame, key: str, code: str, cate
     return known.groupBy(key).agg(ordered_list(F.col("_rank"), F.concat(label, F.lit(": "), F.col("_names"))).alias("language_notes"))
 
 
-def standard_numbers(varfields: DataFrame, kinds: Mapping[str, str], valid: str = "a", invalid: str = "z") -> DataFrame:
-    """Numbers by tag with kind, validity by subfield, qualifier in brackets and typed search value."""
-    kind = None
-    for tag, name in kinds.items():
-        kind = F.when(F.col("marc_tag") == tag, name) if kind is None else kind.when(F.col("marc_tag") == tag, name)
-    parts = subfields(varfields.where(F.col("marc_tag").isin(*kinds))).where(F.col("code").isin(valid, invalid))
-    out = parts.withColumn("kind", kind).withColumn("number", F.regexp_extract("value", r"([0-9][0-9Xx-]*)", 1))
-    return out.where("number <> ''").select("record_num", "kind", "occ_num", "position", F.replace("number", F.lit("-"), F.lit("")).alias("number"), (F.col("code") == valid).alias("valid"), F.regexp_extract("value", r"\(([^)]*)\)", 1).alias("qualifier")).withColumn("search_value", F.concat_ws(":", "kind", "number"))
-
-
-def control_numbers(numbers: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Normalised control numbers; one from field 001 is valid only if no valid one stands before it."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    clean = F.regexp_replace(F.regexp_replace(F.lower("value"), r"^\(?(ocolc|ocm|ocn|on)\)?", ""), r"^0+|\s+", "")
-    before = F.coalesce(F.max(((F.col("tag") != "001") & F.col("claimed")).cast("int")).over(w), F.lit(0)) == 1
-    return numbers.withColumn("number", clean).withColumn("valid", F.when(F.col("tag") == "001", ~before).otherwise(F.col("claimed")))
-
-
 #: A token of the games note (fixed pattern): facet letter, lowest and highest number.
 GAME_TOKEN = r"([adp])([0-9]+)(?:to|t)?([0-9]+)?(?:;+|\s|$)"
 
 
-def game_facets(df: DataFrame, key: str, note: str, locations: str = "locations", family: str = "czm") -> DataFrame:
-    """(key, facet, low, high, label) from notes such as ``a13t100;d30t59;p2t4`` of records at a location of one family.
+#: How codes of locations with games begin (fixed value).
+GAME_LOCATIONS = "czm"
+
+
+def game_labels(note: Column) -> Column:
+    """(facet, low, high, label) of the tokens of a note such as ``a13t100;d30t59;p2t4``.
 
     A label has a sort key before ``!``: both numbers, padded to the length of
     the facet's upper bound.  Minutes from 59 on are hours; from 500 minutes, 99
     players or 100 years on a range is open above, one from a single minute on
     is open below.  A token without a second number has high 0.
     """
-    at = F.exists(locations, lambda l: l.startswith(family))
-    low_note = F.lower(note)
-    one, two, three = (F.regexp_extract_all(low_note, F.lit(GAME_TOKEN), F.lit(k)) for k in (1, 2, 3))
-    tokens = F.arrays_zip(one.alias("0"), two.alias("1"), three.alias("2"))
-    rows = df.where(F.coalesce(at, F.lit(False))).select(key, F.posexplode(tokens).alias("position", "_t"))
+    one, two, three = (F.regexp_extract_all(F.lower(note), F.lit(GAME_TOKEN), F.lit(k)) for k in (1, 2, 3))
     number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
-    rows = rows.select(key, "position", F.col("_t.0").alias("facet"), number(F.col("_t.1")).alias("low"), number(F.col("_t.2")).alias("high"))
-    facet = F.col("facet")
+    tokens = F.transform(F.arrays_zip(one.alias("0"), two.alias("1"), three.alias("2")), lambda t: F.struct(t["0"].alias("facet"), number(t["1"]).alias("low"), number(t["2"]).alias("high")))
+    return F.transform(tokens, lambda t: t.withField("label", _game_label(t["facet"], t["low"], t["high"])))
+
 
+def _game_label(facet: Column, low: Column, high: Column) -> Column:
     def said(n: Column) -> tuple[Column, Column]:
         """(number, unit) as shown."""
         hours = (facet == "d") & (n >= 59)
@@ -442,7 +447,6 @@ def game_facets(df: DataFrame, key: str, note: str, locations: str = "locations"
         unit = F.when(hours, "hour").when(facet == "d", "minute").when(facet == "p", "player").otherwise("year")
         return shown.cast("string"), F.concat(unit, F.when(shown == 1, "").otherwise("s"))
 
-    low, high = F.col("low"), F.col("high")
     (a, a_unit), (b, b_unit) = said(low), said(high)
     above = F.when(facet == "d", 500).when(facet == "p", 99).otherwise(100)
     less, less_unit = said(high + 1)
@@ -457,49 +461,13 @@ def game_facets(df: DataFrame, key: str, note: str, locations: str = "locations"
     )
     width = F.length(above.cast("string"))
     padded = lambda n: F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), "0")
-    sort = F.concat(padded(low), F.lit("-"), padded(F.when(high == 0, low).otherwise(high)))
-    return rows.withColumn("label", F.concat(sort, F.lit("!"), shown))
-
-
-def subject_headings(varfields: DataFrame, tags: Sequence[str], main: str = "a") -> DataFrame:
-    """Every heading built up term by term (``A``, ``A > x``, ...) with the kind of its last term; each once per record."""
-    parts = subfields(varfields.where(F.col("marc_tag").isin(*tags)))
-    w = Window.partitionBy("record_num", "marc_tag", "occ_num").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    kind = F.when(F.col("code") == "y", "era").when(F.col("code") == "z", "region").when(F.col("code") == "v", "genre").otherwise("topic")
-    built = parts.withColumn("heading", F.array_join(F.collect_list("value").over(w), " > ")).withColumn("kind", kind)
-    return built.select("record_num", "heading", "kind", F.col("value").alias("term")).dropDuplicates(["record_num", "heading"])
-
-
-def map_subdivisions(terms: DataFrame, mapping: DataFrame, patterns: Sequence[tuple[str, Sequence[tuple[str, str]]]] = (), term: str = "term", kind: str = "kind", parents: str = "parents") -> DataFrame:
-    """One row per (facet_kind, facet_term) of a subdivision.
-
-    ``mapping`` is (key, parent, facets): keys and parents in lower case, of
-    letters, digits and blanks alone.  The entry of the first of the term's
-    ``parents`` that has one goes before the entry without a parent; mapped
-    terms are of the term's own kind, those of an era are topics and the era
-    stays.  Without an entry the first pattern that is found (in any case)
-    gives its (kind, term) pairs; ``{}`` stands for its group, whose leading
-    small letters go, or which is capitalised if it has small ones alone.
-    Without any the term stands for itself.
-    """
-    plain = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N} ]", ""))
-    rows = terms.withColumn("_id", F.monotonically_increasing_id())
-    keys = rows.select("_id", plain(F.col(term)).alias("key"), F.posexplode(F.array_append(F.transform(F.coalesce(F.col(parents), F.array().cast(_EMPTY)), plain), F.lit(""))).alias("_rank", "parent"))
-    found = keys.join(mapping.withColumn("parent", F.coalesce("parent", F.lit(""))), ["key", "parent"]).groupBy("_id").agg(F.min_by("facets", "_rank").alias("_facets"))
-    pair = lambda k, t: F.struct(k.alias("kind"), t.alias("term"))
-    own, era = F.col(kind), F.col(kind) == "era"
-    mapped = F.concat(F.transform("_facets", lambda t: pair(F.when(era, "topic").otherwise(own), t)), F.when(era, F.array(pair(own, F.col(term)))).otherwise(F.array().cast("array<struct<kind:string,term:string>>")))
-    capital = lambda t: F.when(t.rlike("[A-Z]"), F.regexp_replace(t, "^[^A-Z]+", "")).otherwise(F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1 << 30))))
-    by_pattern = None
-    for pattern, new in patterns:
-        hit = F.col(term).rlike(f"(?i){pattern}")
-        group = F.regexp_extract(term, f"(?i){pattern}", 1) if any("{}" in t for _, t in new) else F.lit("")
-        filled = lambda t, g=group: F.lit(t) if "{}" not in t else K.let(F.concat(*[x for i, w in enumerate(t.split("{}")) for x in ([g] if i else []) + [F.lit(w)]]), capital)
-        made = F.array(*[pair(F.lit(k), filled(t)) for k, t in new])
-        by_pattern = F.when(hit, made) if by_pattern is None else by_pattern.when(hit, made)
-    choices = [mapped, *([by_pattern] if by_pattern is not None else []), F.array(pair(own, F.col(term)))]
-    out = rows.join(found, "_id", "left").withColumn("_f", F.explode(F.coalesce(*choices)))
-    return out.withColumns({"facet_kind": F.col("_f.kind"), "facet_term": F.col("_f.term")}).drop("_id", "_facets", "_f")
+    return F.concat(padded(low), F.lit("-"), padded(F.when(high == 0, low).otherwise(high)), F.lit("!"), shown)
+
+
+def game_facets(df: DataFrame, key: str, note: str, locations: str = "locations", family: str = GAME_LOCATIONS) -> DataFrame:
+    """(key, position, facet, low, high, label) of ``game_labels``, of records at a location of one family."""
+    at = F.exists(locations, lambda l: l.startswith(family))
+    return df.where(F.coalesce(at, F.lit(False))).select(key, F.posexplode(game_labels(F.col(note))).alias("position", "_g")).select(key, "position", "_g.*")
 
 
 def author_facets(names: DataFrame, key: str, heading: str, tag: str, position: str, combined: str = "combined") -> DataFrame:
@@ -541,11 +509,15 @@ def notes(varfields: DataFrame, by_tag: Mapping[str, str], by_type: Mapping[str,
     return varfields.withColumn("target", target).where("target IS NOT NULL").groupBy("record_num", "target").agg(ordered_list(order, text).alias("notes"))
 
 
-def linked_works(links: DataFrame, known: DataFrame, key: str, title: str, group: str, series_group: str) -> DataFrame:
-    """Linked titles by group, each work once; of the series group only works not known already."""
-    keyed = links.withColumn("work_key", K.facet_key(F.col(title))).groupBy(key, group, "work_key").agg(F.min(title).alias(title))
-    series = keyed.where(F.col(group) == series_group).join(known.select(key, "work_key"), [key, "work_key"], "left_anti")
-    return keyed.where(F.col(group) != series_group).unionByName(series)
+def linked_works(links: DataFrame, known: DataFrame, key: str, title: str, group: str, position: str, held_groups: Sequence[str]) -> DataFrame:
+    """Linked titles by group, the first of each work; of ``held_groups`` only works that the record does not show already.
+
+    ``known`` is (key, group, work_key): what the record's own fields tell of
+    series and of included works, each held against links of its own group.
+    """
+    keyed = links.withColumn("work_key", K.facet_key(F.col(title))).groupBy(key, group, "work_key").agg(F.min_by(title, position).alias(title))
+    held = keyed.where(F.col(group).isin(*held_groups)).join(known.select(key, group, "work_key"), [key, group, "work_key"], "left_anti")
+    return keyed.where(~F.col(group).isin(*held_groups)).unionByName(held)
 
 
 def tagged_lists(varfields: DataFrame, targets: Mapping[str, str]) -> DataFrame:
@@ -555,50 +527,3 @@ def tagged_lists(varfields: DataFrame, targets: Mapping[str, str]) -> DataFrame:
     return some.groupBy("record_num").agg(*[F.nullif(ordered_list(F.col("occ_num"), F.when(F.col("marc_tag") == tag, text)), F.array().cast(_EMPTY)).alias(name) for tag, name in targets.items()])
 
 
-def bib_documents(records: DataFrame, parts: Sequence[DataFrame], required: str, key: str = "record_num") -> tuple[DataFrame, DataFrame]:
-    """(documents: records with all parts; records without the required column)."""
-    out = records
-    for p in parts:
-        out = out.join(p, key, "left")
-    return out.where(F.col(required).isNotNull()), out.where(F.col(required).isNull()).select(key)
-
-
-#: Columns of tagged lists, notes by tag and by type code, and number kinds of a bib document (fixed values).
-LIST_COLUMNS = {"250": "editions_display", "866": "library_has_display"}
-NOTE_TAGS = {"502": "dissertation_notes", "505": "toc_notes", "520": "summary_notes", "546": "language_notes"}
-NOTE_TYPES = {"n": "notes"}
-NUMBER_KINDS = {"020": "isbn", "022": "issn", "024": "upc", "028": "publisher_number"}
-
-
-def bib_parts(varfields: DataFrame, call_number_spec: Sequence[tuple[str, str | None, str]], subject_tags: Sequence[str], mapping: DataFrame, patterns: Sequence[tuple[str, Sequence[tuple[str, str]]]], names: DataFrame, titles: DataFrame, languages_of: DataFrame, urls: DataFrame, limit: int) -> list[DataFrame]:
-    """The parts of bib documents that come from their own fields, one row per record_num each.
-
-    Call numbers (D2), publication (D15, D11), numbers (D17, D18), subjects
-    (D20, D21), names (D22), titles (D23), notes (D24), lists (D26), languages
-    (D16) and links (D10); jobs of one operator each over the exploded fields.
-    ``names`` (record_num, heading, tag, position, combined), ``titles``
-    (record_num, title, kind, position), ``languages_of`` (record_num,
-    languages), ``urls`` as for ``url_list``.
-    """
-    numbers = call_numbers(varfields, call_number_spec).groupBy("record_num").agg(F.min("kind").alias("call_number_type"), F.flatten(F.collect_list("call_numbers")).alias("call_numbers_display"))
-    statements = publication_statements(varfields)
-    kinds = sorted(set(STATEMENT_KINDS.values()))
-    published = statements.groupBy("record_num").agg(*[F.first(F.when(F.col("kind") == k, F.col("statements")), ignorenulls=True).alias(f"{k}_display") for k in kinds])
-    dated = statements.select("record_num", F.explode("statements").alias("_s")).select("record_num", F.explode(extract_years(F.col("_s"), limit)).alias("_y"))
-    years = dated.select("record_num", *[c.alias(n) for c, n in zip(coded_bounds(F.col("_y.first"), limit), ("_low", "_high"), strict=True)])
-    years = years.where("_low IS NOT NULL").groupBy("record_num").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("_low", "_high"))))).alias("publication_year_range_facet"))
-    standard = standard_numbers(varfields, NUMBER_KINDS)
-    order = [F.col("kind"), F.col("occ_num"), F.col("position")]
-    standard = standard.groupBy("record_num").agg(ordered_list(order, F.when(F.col("valid"), F.col("search_value"))).alias("standard_numbers_search"), ordered_list(order, F.when(~F.col("valid"), F.col("search_value"))).alias("invalid_numbers_search"))
-    control = varfields.where(F.col("marc_tag").isin("001", "035")).select("record_num", F.col("marc_tag").alias("tag"), F.col("occ_num").alias("position"), F.regexp_replace("content", r"^\|.", "").alias("value"), F.lit(True).alias("claimed"))
-    control = control_numbers(control, "record_num", ["position", "tag", "value"]).where("valid").groupBy("record_num").agg(F.array_sort(F.collect_set("number")).alias("oclc_numbers_search"))
-    headings = subject_headings(varfields, subject_tags)
-    subjects = headings.groupBy("record_num").agg(F.array_sort(F.collect_set("heading")).alias("subjects_search"))
-    faceted = map_subdivisions(headings.withColumn("parents", F.array().cast(_EMPTY)), mapping, patterns)
-    facets = faceted.groupBy("record_num").agg(*[F.array_sort(F.collect_set(F.when(F.col("facet_kind") == k, K.keyed_facet(F.col("facet_term"))))).alias(f"{k}_facet") for k in ("topic", "region", "era", "genre")])
-    people = author_facets(names, "record_num", "heading", "tag", "position")
-    works = title_facets(titles, "record_num", "title", "kind", "position", "related").groupBy("record_num").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.concat_ws("!", "work_key", "title")))).alias(f"{k}_titles_facet") for k in ("included", "series", "related")])
-    told = notes(varfields, NOTE_TAGS, NOTE_TYPES, tuple(NOTE_TAGS)).groupBy("record_num").agg(*[F.first(F.when(F.col("target") == t, F.col("notes")), ignorenulls=True).alias(t) for t in (*NOTE_TAGS.values(), *NOTE_TYPES.values())])
-    lists = tagged_lists(varfields, LIST_COLUMNS)
-    links = url_list(urls, "record_num", "mediabook.library.unt.edu", F.lit(None).cast("string")).groupBy("record_num").agg(ordered_list(F.col("position"), F.to_json(F.struct(F.col("url").alias("u"), F.col("note").alias("n"), F.col("label").alias("l"), F.col("url_type").alias("t")))).alias("urls_json"))
-    return [numbers, published, years, standard, control, subjects, facets, people, works, told, lists, languages_of, links, thumbnails(urls, "record_num")]

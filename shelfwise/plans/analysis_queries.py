@@ -35,7 +35,7 @@ def sql_fold(c: str) -> str:
 
 
 def sql_facet_key(c: str) -> str:
-    return f"coalesce(nullif(regexp_replace(regexp_replace({sql_fold(c)}, '[^A-Za-z0-9_]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), '~')"
+    return f"coalesce(nullif(regexp_replace(regexp_replace({sql_fold(c)}, '[^\\p{{L}}\\p{{N}}_]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), '~')"
 
 
 # --- keys -------------------------------------------------------------------------

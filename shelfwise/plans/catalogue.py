@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import documents, joins, predicates, shelflist
-from . import analysis_queries, document_queries, selection_queries
+from . import analysis_queries, document_queries, record_queries, selection_queries
 from .views import Catalogue
 
-PARTS = (selection_queries, analysis_queries, document_queries)
+PARTS = (selection_queries, analysis_queries, document_queries, record_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

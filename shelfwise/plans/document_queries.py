@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -97,21 +98,31 @@ SELECT bib_num, array_to_string(list_slice(a, 1, 3), chr(10)) AS items_json, len
 
 
 def _d9(c):
-    own = c.bibs.where("bib_num % 2 = 0").select("bib_num", F.concat(F.lit("QA"), F.col("bib_num") % 100, F.lit(" a1")).alias("call_number"), F.lit("lc").alias("kind"))
-    out = D.bib_call_numbers(own, c.items.select("bib_num", "call_number", F.col("call_number_type").alias("kind")), "bib_num")
-    return out.select("bib_num", F.array_join("call_numbers", "|").alias("call_numbers"), F.array_join("sudocs", "|").alias("sudocs"), F.array_join("shingles", "|").alias("shingles"))
+    own = c.bibs.where("bib_num % 2 = 0").select("bib_num", F.lit(0).alias("position"), F.concat(F.lit("QA"), F.col("bib_num") % 100, F.lit(" a1")).alias("call_number"), F.lit("lc").alias("kind"))
+    place = F.row_number().over(Window.partitionBy("bib_num").orderBy(F.desc("item_id"))).alias("position")
+    out = D.bib_call_numbers(own, c.items.select("bib_num", place, "call_number", F.col("call_number_type").alias("kind")), "bib_num")
+    return out.select("bib_num", *[F.array_join(n, "|").alias(n) for n in ("call_numbers", "call_numbers_search", "sudocs", "sudocs_search")])
 
 
 _AT = "CASE WHEN regexp_matches(substr(cn, {0}, 1), '\\p{{L}}') THEN 'a' WHEN regexp_matches(substr(cn, {0}, 1), '\\p{{N}}') THEN 'n' ELSE 'o' END"
 _SHINGLES = f"list_transform(list_filter(range(1, length(cn) + 1), lambda i: i = length(cn) OR ({_AT.format('CAST(i AS INT)')} <> 'o' AND {_AT.format('CAST(i AS INT)')} <> {_AT.format('CAST(i + 1 AS INT)')})), lambda i: substr(cn, 1, CAST(i AS INT)))"
-add("D9_bib_call_numbers", _d9, f"WITH a AS (SELECT bib_num, call_number AS cn, call_number_type AS kind FROM f_items WHERE call_number IS NOT NULL UNION ALL SELECT bib_num, 'QA' || bib_num % 100 || ' a1', 'lc' FROM f_bibs WHERE bib_num % 2 = 0) SELECT bib_num, coalesce(string_agg(DISTINCT cn, '|' ORDER BY cn) FILTER (WHERE kind <> 'sudoc'), '') AS call_numbers, coalesce(string_agg(DISTINCT cn, '|' ORDER BY cn) FILTER (WHERE kind = 'sudoc'), '') AS sudocs, array_to_string(list_sort(list_distinct(flatten(list({_SHINGLES})))), '|') AS shingles FROM a GROUP BY 1")
+add("D9_bib_call_numbers", _d9, f"""
+WITH a AS (SELECT bib_num, item_id, 1 AS of, call_number AS cn, call_number_type AS kind FROM f_items WHERE call_number IS NOT NULL UNION ALL SELECT bib_num, '', 0, 'QA' || bib_num % 100 || ' a1', 'lc' FROM f_bibs WHERE bib_num % 2 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY bib_num ORDER BY of, item_id DESC) AS n FROM a),
+d AS (SELECT bib_num, kind = 'sudoc' AS doc, cn, min(n) AS n FROM r GROUP BY 1, 2, 3),
+s AS (SELECT *, array_to_string({_SHINGLES}, '|') AS sh FROM d)
+SELECT bib_num, {', '.join(f"coalesce(string_agg({v}, '|' ORDER BY n) FILTER (WHERE {t}), '') AS {n}" for v, t, n in (('cn', 'NOT doc', 'call_numbers'), ('sh', 'NOT doc', 'call_numbers_search'), ('cn', 'doc', 'sudocs'), ('sh', 'doc', 'sudocs_search')))} FROM s GROUP BY 1""")
 
 
 _LINKS = """SELECT page_id, page_id % 400 AS rec, page_id AS position, CASE WHEN page_id % 7 = 0 THEN '962' ELSE '856' END AS tag, CAST(page_id % 3 AS VARCHAR(1)) AS ind2,
-  CASE WHEN page_id % 14 = 0 THEN NULL WHEN page_id % 21 = 0 THEN 'http://www.library.unt.edu/media/' || page_id || '.PNG' WHEN page_id % 7 = 0 THEN url WHEN page_id % 10 = 3 THEN 'http://texashistory.unt.edu/ark:/6/' || page_id || '/?q=1' ELSE url || '"junk' END AS url,
+  CASE WHEN page_id % 14 = 0 THEN NULL WHEN page_id % 21 = 0 THEN 'http://www.library.example/media/' || page_id || '.PNG' WHEN page_id % 7 = 0 THEN url WHEN page_id % 10 = 3 THEN 'http://pictures.example/ark:/6/' || page_id || '/?q=1' ELSE url || '"junk' END AS url,
   CASE WHEN page_id % 5 = 0 THEN 'Full text' ELSE '' END AS note, CASE WHEN page_id % 4 = 0 THEN 'Label' ELSE '' END AS label, 'Clip ' || page_id AS title FROM {pages}"""
 
 
+#: Where the queries look for pictures of digital collections.
+PICTURES = ("digital.example/ark:", "pictures.example/ark:")
+
+
 def _links(c):
     some = lambda n: F.filter(F.array(n, F.when(F.col(n) != "", "here")), lambda x: x != "")
     return c._spark.sql(_LINKS, pages=c.pages).withColumn("notes", some("note")).withColumn("labels", some("label"))
@@ -130,8 +141,8 @@ k AS (SELECT *, count(*) OVER (PARTITION BY rec) AS n FROM l WHERE tag = '856' O
 on_ AS (SELECT DISTINCT page_id % 400 AS rec FROM pages WHERE page_id % 3 = 0)
 SELECT rec, CAST(row_number() OVER (PARTITION BY rec ORDER BY tag, position, u) - 1 AS INT) AS position, u AS url, CASE WHEN tag = '962' THEN title WHEN note <> '' THEN note || ' here' END AS note, CASE WHEN tag = '856' AND label <> '' THEN label || ' here' END AS label,
   CASE WHEN contains(u, '://m.') THEN 'booking' WHEN tag = '856' AND note <> '' THEN 'fulltext' WHEN n = 1 AND rec IN (FROM on_) THEN 'fulltext' WHEN tag = '962' THEN CASE WHEN url IS NULL THEN 'fulltext' ELSE 'media' END WHEN ind2 IN ('0', '1') THEN 'fulltext' ELSE 'link' END AS url_type FROM k""")
-add("D10_thumbnails", lambda c: D.thumbnails(_links(c), "rec"), f"""
-WITH l AS ({_LINKS.replace('{pages}', 'pages')}), t AS (SELECT rec, position, CASE WHEN page_id % 21 = 0 AND page_id % 14 <> 0 THEN 'https://library.unt.edu/media/' || page_id || '.PNG' END AS cover, CASE WHEN tag = '856' AND page_id % 10 = 3 THEN 'https://texashistory.unt.edu/ark:/6/' || page_id || '/small/' END AS small FROM l)
+add("D10_thumbnails", lambda c: D.thumbnails(_links(c), "rec", PICTURES, "library.example"), f"""
+WITH l AS ({_LINKS.replace('{pages}', 'pages')}), t AS (SELECT rec, position, CASE WHEN page_id % 21 = 0 AND page_id % 14 <> 0 THEN 'https://library.example/media/' || page_id || '.PNG' END AS cover, CASE WHEN tag = '856' AND page_id % 10 = 3 THEN 'https://pictures.example/ark:/6/' || page_id || '/small/' END AS small FROM l)
 SELECT rec, coalesce(arg_min(cover, position) FILTER (WHERE cover IS NOT NULL), arg_min(small, position) FILTER (WHERE small IS NOT NULL)) AS thumbnail_url FROM t GROUP BY 1 HAVING count(cover) + count(small) > 0""")
 #: Statements of many forms, and what each says by its own form.
 _Y, _DECADE = "year(o_orderdate)", "year(o_orderdate) // 10"
@@ -219,17 +230,6 @@ add("D16_language_notes", _d16n, """
 WITH f AS (SELECT source, doc_id % 4 AS c, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' END AS name, min(doc_id) AS p FROM documents WHERE doc_id % 4 < 3 GROUP BY 1, 2, 3),
 n AS (SELECT source, c, string_agg(name, ', ' ORDER BY p) AS names FROM f WHERE name IS NOT NULL GROUP BY 1, 2)
 SELECT source, string_agg(CASE c WHEN 1 THEN 'Item language(s): ' WHEN 2 THEN 'Summaries or abstracts: ' ELSE 'Original language: ' END || names, '|' ORDER BY CASE c WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS language_notes FROM n GROUP BY 1""")
-_ISBN = "SELECT p_partkey AS record_num, 'i' AS type_code, CASE WHEN p_partkey % 2 = 0 THEN '020' ELSE '022' END AS marc_tag, 0 AS occ_num, '|a' || (1000 + p_partkey) || '-' || p_size || 'x (' || p_type || ')|z' || p_brand AS content FROM {part}"
-
-
-def _isbn(c):
-    return c._spark.sql(_ISBN, part=c.part)
-
-
-add("D17_standard_numbers", lambda c: D.standard_numbers(_isbn(c), {"020": "isbn", "022": "issn"}).select("record_num", "kind", "number", "valid", "qualifier", "search_value"), "SELECT record_num, kind, number, valid, qualifier, kind || ':' || number AS search_value FROM (SELECT p_partkey AS record_num, CASE WHEN p_partkey % 2 = 0 THEN 'isbn' ELSE 'issn' END AS kind, (1000 + p_partkey) || '' || p_size || 'x' AS number, true AS valid, p_type AS qualifier FROM part UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'isbn' ELSE 'issn' END, regexp_extract(p_brand, '([0-9][0-9Xx-]*)', 1), false, '' FROM part)")
-_CONTROL = "SELECT l_orderkey AS rec, l_linenumber AS pos, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN '001' ELSE '035' END AS tag, l_returnflag = 'R' AS claimed, '(OCoLC)00' || l_partkey AS value, l_suppkey, l_shipdate FROM {lineitem}"
-add("D18_control_numbers", lambda c: D.control_numbers(c._spark.sql(_CONTROL, lineitem=c.lineitem), "rec", ["pos", "l_partkey", "l_suppkey", "l_shipdate"]).select("rec", "pos", "l_suppkey", "number", "valid"), f"WITH n AS ({_CONTROL.replace('{lineitem}', 'lineitem')}) SELECT rec, pos, l_suppkey, regexp_replace(CAST(l_partkey AS VARCHAR), '^0+', '') AS number, CASE WHEN tag = '001' THEN NOT coalesce(max(CASE WHEN tag <> '001' AND claimed THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY pos, l_partkey, l_suppkey, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 ELSE claimed END AS valid FROM n")
-#: Game notes, and the labels that each says by its own form: (facet, low, high, label).
 _GAME_NOTES = (
     ("'P2t4; d30t59;a13t100'", (("p", 2, 4, "'02-04!2 to 4 players'"), ("d", 30, 59, "'030-059!30 minutes to 1 hour'"), ("a", 13, 100, "'013-100!13 years and up'"))),
     ("'p1;d1t45'", (("p", 1, 0, "'01-01!1 player'"), ("d", 1, 45, "'001-045!less than 46 minutes'"))),
@@ -240,25 +240,6 @@ _GAME_NOTES = (
 _GAMES = f"SELECT p_partkey, CASE p_partkey % 5 {' '.join(f'WHEN {i} THEN {n}' for i, (n, _) in enumerate(_GAME_NOTES))} END AS note, array(CASE WHEN p_partkey % 7 = 0 THEN 'w3' ELSE 'czmgame' END, 'x') AS locations FROM {{part}}"
 _GAMES_SAID = " UNION ALL ".join(f"SELECT p_partkey, '{f}' AS facet, {low} AS low, {high} AS high, {label} AS label FROM part WHERE p_partkey % 5 = {i} AND p_partkey % 7 > 0" for i, (_, said) in enumerate(_GAME_NOTES) for f, low, high, label in said)
 add("D19_game_facets", lambda c: D.game_facets(c._spark.sql(_GAMES, part=c.part), "p_partkey", "note").select("p_partkey", "facet", "low", "high", "label"), _GAMES_SAID)
-_HEADINGS = f"SELECT record_num, heading, min(kind) AS kind FROM (SELECT record_num, string_agg(value, ' > ') OVER (PARTITION BY record_num, marc_tag, occ_num ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading, CASE code WHEN 'y' THEN 'era' WHEN 'z' THEN 'region' WHEN 'v' THEN 'genre' ELSE 'topic' END AS kind FROM ({_SUBS}) WHERE marc_tag = '650') GROUP BY 1, 2"
-add("D20_subject_headings", lambda c: D.subject_headings(c.varfields, ["650"]).select("record_num", "heading", "kind"), _HEADINGS)
-
-
-def _d21(c):
-    terms = D.subject_headings(c.varfields, ["650"]).select("record_num", "heading", "kind", "term", F.slice(F.split("heading", " > "), 2, F.greatest(F.size(F.split("heading", " > ")) - 2, F.lit(0))).alias("parents"))
-    mapping = c._spark.createDataFrame([("economy", None, ["Cheap things", "Goods"]), ("1993", "brand13", ["Nineties of 13"]), ("1993", None, ["Year 93"]), ("1994", "no such", ["Wrong"])], "key string, parent string, facets array<string>")
-    out = D.map_subdivisions(terms, mapping, [("^199([0-4])$", [("era", "199{} early")]), ("^(br?and)#", [("topic", "Brands"), ("form", "{}")])])
-    return out.select("record_num", "heading", "facet_kind", "facet_term")
-
-
-add("D21_map_subdivisions", _d21, f"""
-WITH h AS (SELECT *, string_split(heading, ' > ') AS p FROM ({_HEADINGS})), t AS (SELECT *, p[-1] AS term FROM h)
-SELECT record_num, heading, f.k AS facet_kind, f.t AS facet_term FROM (SELECT record_num, heading, unnest(CASE
-  WHEN lower(term) = 'economy' THEN [{{'k': kind, 't': 'Cheap things'}}, {{'k': kind, 't': 'Goods'}}]
-  WHEN term = '1993' THEN [{{'k': 'topic', 't': CASE WHEN len(p) = 3 AND p[2] = 'Brand#13' THEN 'Nineties of 13' ELSE 'Year 93' END}}, {{'k': 'era', 't': term}}]
-  WHEN term IN ('1990', '1991', '1992', '1994') THEN [{{'k': 'era', 't': term || ' early'}}]
-  WHEN term LIKE 'Brand#%' THEN [{{'k': 'topic', 't': 'Brands'}}, {{'k': 'form', 't': 'Brand'}}]
-  ELSE [{{'k': kind, 't': term}}] END) AS f FROM t)""")
 _NAMES = "SELECT c_nationkey AS rec, c_custkey AS pos, CASE WHEN c_custkey % 11 = 0 THEN '111' WHEN c_custkey % 11 = 1 THEN '711' WHEN c_custkey % 13 = 0 THEN '100' ELSE '700' END AS tag, c_mktsegment || ' ' || c_custkey % 4 AS heading, CASE WHEN c_custkey % 17 = 0 THEN true WHEN c_custkey % 5 = 0 THEN NULL ELSE false END AS combined FROM {customer}"
 
 
@@ -277,57 +258,24 @@ add("D23_title_facets", lambda c: D.title_facets(c._spark.sql(_TITLES, documents
 add("D24_notes", lambda c: D.notes(c.varfields, {"245": "title_note"}, {"d": "subject_note", "c": "number_note", "x": "local_note"}, ["099"]).select("record_num", "target", F.array_join("notes", "|").alias("notes")), f"SELECT record_num, target, string_agg({_PLAIN}, '|' ORDER BY coalesce(marc_tag, ''), occ_num) AS notes FROM (SELECT *, CASE WHEN marc_tag = '245' THEN 'title_note' WHEN coalesce(marc_tag, '') = '099' THEN NULL ELSE CASE type_code WHEN 'd' THEN 'subject_note' WHEN 'c' THEN 'number_note' WHEN 'x' THEN 'local_note' END END AS target FROM f_varfields) WHERE target IS NOT NULL GROUP BY 1, 2")
 
 
+#: Titles that share a work, and links of three groups: series and included works are held against what the record shows.
+_WORK = "CASE p_partkey % 3 WHEN 0 THEN 'Work ' || p_size WHEN 1 THEN 'WORK ' || p_size || '.' ELSE '-Work: ' || p_size END"
+_GROUP = "CASE p_partkey % 4 WHEN 0 THEN 'series' WHEN 1 THEN 'included' ELSE 'related' END"
+
+
 def _d25(c):
-    links = c.part.select((F.col("p_partkey") % 50).alias("rec"), "p_name", F.when(F.col("p_size") % 3 == 0, "series").otherwise("related").alias("grp"))
-    known = c.part.where("p_size % 5 = 0").select((F.col("p_partkey") % 50).alias("rec"), K.facet_key(F.col("p_name")).alias("work_key")).distinct()
-    return D.linked_works(links, known, "rec", "p_name", "grp", "series").select("rec", "grp", "work_key", "p_name")
+    links = c._spark.sql(f"SELECT p_partkey % 50 AS rec, {_WORK} AS title, {_GROUP} AS grp, p_partkey AS pos FROM {{part}}", part=c.part)
+    known = c.part.where("p_size % 5 = 0").select((F.col("p_partkey") % 50).alias("rec"), F.when(F.col("p_size") % 2 == 0, "series").otherwise("included").alias("grp"), F.concat(F.lit("work-"), "p_size").alias("work_key")).distinct()
+    return D.linked_works(links, known, "rec", "title", "grp", "pos", ("series", "included")).select("rec", "grp", "work_key", "title")
 
 
-add("D25_linked_works", _d25, f"WITH l AS (SELECT DISTINCT p_partkey % 50 AS rec, CASE WHEN p_size % 3 = 0 THEN 'series' ELSE 'related' END AS grp, {sql_facet_key('p_name')} AS work_key, p_name FROM part) SELECT * FROM l WHERE grp = 'related' OR (rec, work_key) NOT IN (SELECT (p_partkey % 50, {sql_facet_key('p_name')}) FROM part WHERE p_size % 5 = 0)")
+add("D25_linked_works", _d25, f"""
+WITH l AS (SELECT p_partkey % 50 AS rec, {_WORK} AS title, {_GROUP} AS grp, p_partkey AS pos, 'work-' || p_size AS work_key FROM part),
+k AS (SELECT DISTINCT p_partkey % 50 AS rec, CASE WHEN p_size % 2 = 0 THEN 'series' ELSE 'included' END AS grp, 'work-' || p_size AS work_key FROM part WHERE p_size % 5 = 0)
+SELECT rec, grp, work_key, arg_min(title, pos) AS title FROM l WHERE grp = 'related' OR (rec, grp, work_key) NOT IN (SELECT (rec, grp, work_key) FROM k) GROUP BY 1, 2, 3""")
 add("D26_tagged_lists", lambda c: D.tagged_lists(c.varfields, {"245": "editions", "650": "holdings"}).select("record_num", F.array_join("editions", "|").alias("editions"), F.array_join("holdings", "|").alias("holdings")), f"SELECT record_num, string_agg({_PLAIN}, '|' ORDER BY occ_num) FILTER (WHERE marc_tag = '245') AS editions, string_agg({_PLAIN}, '|' ORDER BY occ_num) FILTER (WHERE marc_tag = '650') AS holdings FROM f_varfields WHERE marc_tag IN ('245', '650') GROUP BY 1")
 
 
-_BIB_FIELDS = """
-SELECT k AS record_num, 'c' AS type_code, '050' AS marc_tag, '' AS ind2, 0 AS occ_num, '|aQA' || k || '|b.A1' AS content FROM p
-UNION ALL SELECT k, 'o', '001', '', 0, 'ocm000' || (1000 + k) FROM p UNION ALL SELECT k, 'o', '035', '', 1, '|a(OCoLC)' || (1000 + k) FROM p WHERE k % 2 = 0
-UNION ALL SELECT k, 'i', '020', '', 0, '|a' || (9000000 + k) || ' (pbk.)|z' || (8000000 + k) FROM p WHERE k % 3 > 0
-UNION ALL SELECT k, 'p', '264', '1', 0, '|aCity :|b' || brand || ',|c' || (1900 + k % 100) || '.' FROM p
-UNION ALL SELECT k, 'd', '650', '0', 0, '|a' || kind || '|y' || (1900 + k % 100) FROM p
-UNION ALL SELECT k, 'n', '505', '', 0, '|aContents ' || k FROM p UNION ALL SELECT k, 'n', '500', '', 1, '|aNote ' || k FROM p
-UNION ALL SELECT k, 'e', '250', '', 0, '|a2nd ed.' FROM p WHERE k % 4 = 0"""
-
-
-def _d27(c):
-    p = c.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
-    fields = c._spark.sql(_BIB_FIELDS.replace(" FROM p", " FROM {p}"), p=p)
-    k = F.col("k").alias("record_num")
-    name = lambda heading, tag, position, combined=False: p.where("k % 10 < 9").select(k, heading.alias("heading"), F.lit(tag).alias("tag"), F.lit(position).alias("position"), F.lit(combined).alias("combined"))
-    names = name(F.concat(F.lit("Doe "), F.col("k") % 7), "100", 0).unionByName(name(F.lit("Roe"), "700", 1)).unionByName(name(F.lit("Comb"), "710", 2, True)).unionByName(name(F.lit("Meeting"), "711", 3))
-    titles = p.select(k, F.concat(F.lit("Title "), "k").alias("title"), F.lit("included").alias("kind"), F.lit(0).alias("position")).unionByName(p.select(k, F.concat(F.lit("Series "), F.col("k") % 5), F.lit("series"), F.lit(1)).toDF("record_num", "title", "kind", "position"))
-    codes = p.select(k, F.lit("en").alias("lang"), F.lit(1).alias("position")).unionByName(p.where("k % 2 = 0").select(k, F.lit("fr"), F.lit(0)).toDF("record_num", "lang", "position"))
-    spoken = D.languages(codes, c._spark.createDataFrame([("en", "English"), ("fr", "French")], "lang string, name string"), "record_num", "lang", "position")
-    none = F.array().cast("array<string>")
-    urls = p.where("k % 6 = 0").select(k, F.lit(0).alias("position"), F.lit("856").alias("tag"), F.lit("0").alias("ind2"), F.concat(F.lit("http://texashistory.unt.edu/ark:/6/"), "k", F.lit("/?q=1")).alias("url"), none.alias("notes"), none.alias("labels"), F.lit(None).cast("string").alias("title"))
-    mapping = c._spark.createDataFrame([("economy", None, ["Cheap things"])], "key string, parent string, facets array<string>")
-    parts = D.bib_parts(fields, [("c", "050", "lc")], ["650"], mapping, [], names, titles, spoken, urls, 2029)
-    good, bad = D.bib_documents(p.select(k), parts, "author")
-    lists = ("call_numbers_display", "publication_display", "publication_year_range_facet", "standard_numbers_search", "invalid_numbers_search", "oclc_numbers_search", "subjects_search", "topic_facet", "era_facet", "contributors", "meetings", "included_titles_facet", "series_titles_facet", "toc_notes", "notes", "editions_display", "languages", "urls_json")
-    one = ("call_number_type", "author", "author_sort", "thumbnail_url")
-    shown = good.select("record_num", *one, *[F.coalesce(F.array_join(F.transform(x, lambda v: v.cast("string")), "^"), F.lit("")).alias(x) for x in lists])
-    return shown.unionByName(bad.withColumn("author", F.lit("failed")), allowMissingColumns=True)
-
-
-_TYPE_KEY = "trim(regexp_replace(lower(t), '[^a-z0-9_]+', '-', 'g'), '-')"
-add("D27_bib_documents", _d27, f"""
-WITH p AS (SELECT *, p_partkey AS k, CASE WHEN p_type = 'ECONOMY' THEN 'Cheap things' ELSE p_type END AS t, 1900 + p_partkey % 100 AS y FROM part WHERE p_partkey % 10 < 9)
-SELECT k AS record_num, 'lc' AS call_number_type, 'QA' || k || ' .A1' AS call_numbers_display, 'City: ' || p_brand || ', ' || y || '.' AS publication_display, CAST(y AS VARCHAR) AS publication_year_range_facet,
-  CASE WHEN k % 3 > 0 THEN 'isbn:' || (9000000 + k) ELSE '' END AS standard_numbers_search, CASE WHEN k % 3 > 0 THEN 'isbn:' || (8000000 + k) ELSE '' END AS invalid_numbers_search, CAST(1000 + k AS VARCHAR) AS oclc_numbers_search,
-  p_type || '^' || p_type || ' > ' || y AS subjects_search, {_TYPE_KEY} || '!' || t AS topic_facet, y || '!' || y AS era_facet, 'Doe ' || k % 7 AS author, 'doe-' || k % 7 AS author_sort, 'roe!Roe' AS contributors, 'meeting!Meeting' AS meetings,
-  'title-' || k || '!Title ' || k AS included_titles_facet, 'series-' || k % 5 || '!Series ' || k % 5 AS series_titles_facet, 'Contents ' || k AS toc_notes, 'Note ' || k AS notes, CASE WHEN k % 4 = 0 THEN '2nd ed.' ELSE '' END AS editions_display,
-  CASE WHEN k % 2 = 0 THEN 'French^English' ELSE 'English' END AS languages, CASE WHEN k % 6 = 0 THEN '{{"u":"http://texashistory.unt.edu/ark:/6/' || k || '/?q=1","t":"fulltext"}}' ELSE '' END AS urls_json,
-  CASE WHEN k % 6 = 0 THEN 'https://texashistory.unt.edu/ark:/6/' || k || '/small/' END AS thumbnail_url FROM p
-UNION ALL BY NAME SELECT p_partkey AS record_num, 'failed' AS author FROM part WHERE p_partkey % 10 = 9""")
-
 # --- edits ----------------------------------------------------------------------------------
 
 

@@ -42,6 +42,8 @@ def one(spark, expr, *values):
         (K.other_key, "12345678901", "12345678901"),
         (K.facet_key, "Ünïcode & Größe", "unicode-grosse"),
         (K.facet_key, "!!!", "~"),
+        (K.facet_key, "Война и мир.", "война-и-мир"),
+        (K.facet_key, "Λόγος & 中文", "λόγος-中文"),
         (K.facet_key, "Ệ Øre Łódź Đak", "e-ore-lodz-dak"),
         (K.facet_key, "x² e\u0301te\u0301 Ａ１ ﬁn", "x2-ete-a1-fin"),
     ],
