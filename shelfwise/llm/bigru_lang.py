@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,18 +160,21 @@ def train(pairs: list[tuple[str, str]], epochs: int = 4, batch: int = 128, rate:
     return net
 
 
-def training_stretches(docs: DataFrame, docs_per_language: int = 400, per_language: int = 800, characters: int = 80, most_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """A bounded sample of (language, stretch of text) from the ``most_languages`` most frequent languages.
+def training_stretches(docs: DataFrame, docs_per_language: int = 400, per_language: int = 800, characters: int = 80, most: int = 200_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """A bounded sample of (language, stretch of text) from every language.
 
     Of each language about ``docs_per_language`` documents by hash (all of a
-    rarer one) and at most ``per_language`` stretches of so many characters at
-    places by hash.  Shares, not ranks, choose the documents, so a language
-    that most documents are in is no task of its own.
+    rarer one) and at most ``per_language`` different stretches of so many
+    characters at places by hash, those with the lowest hashes; fewer of each
+    where all together would be more than ``most``, one at least.  Shares, not
+    ranks, choose the documents, so a language that most documents are in is no
+    task of its own.
     """
     known = docs.where((crc_class(F.col(id_col)) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     if not counts:
         return []
+    per_language = max(1, min(per_language, most // len(counts)))
     least = 1 << 20
     shares = [(r["lang"], min(least, -(-docs_per_language * least // r["n"])), -(-per_language // min(r["n"], docs_per_language))) for r in counts]
     wanted = F.broadcast(docs.sparkSession.createDataFrame(shares, T.StructType([T.StructField("lang", docs.schema[lang_col].dataType), T.StructField("share", T.LongType()), T.StructField("k", T.LongType())])))
@@ -179,10 +182,9 @@ def training_stretches(docs: DataFrame, docs_per_language: int = 400, per_langua
     room = F.greatest(F.length("body") - characters, F.lit(0)) + 1
     at = lambda i: F.pmod(F.xxhash64("id", "lang", i), room).cast("int") + 1
     cut = chosen.select("lang", "id", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.struct(F.xxhash64("id", i, "body").alias("h"), F.substring("body", at(i), F.lit(characters)).alias("text")))).alias("s"))
-    found: dict[str, list] = {}
-    for r in cut.select("lang", "s.h", "s.text").where("text <> ''").collect():
-        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return [(lang, x) for lang in sorted(found) for _, x in sorted(set(found[lang]))[:per_language]]
+    rows = cut.select("lang", "s.h", "s.text").where("text <> ''").distinct()
+    lowest = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("nth") <= per_language)
+    return [(r["lang"], r["text"]) for r in sorted(lowest.collect(), key=lambda r: (r["lang"], r["nth"]))]
 
 
 class Reader:
