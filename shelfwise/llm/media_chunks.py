@@ -245,4 +245,6 @@ def read_media(packs: DataFrame, chunks: DataFrame) -> DataFrame:
     fetched = join_spread(wanted, chunks, "digest", hot_keys(wanted, "digest")).groupBy("row").agg(F.collect_list(F.struct("digest", "bytes")).alias("shared"))
     joined = some.drop("shared").join(fetched, "row")
     described = read_back(joined, "row").drop("row")
-    return direct.unionByName(some.select("doc_id", "n_bytes", "media_sha256").join(described, "media_sha256").select("doc_id", "n_bytes", *columns))
+    copies = some.select("doc_id", "n_bytes", "row", "media_sha256")
+    met = join_spread(copies, described, "media_sha256", hot_keys(copies, "media_sha256"))
+    return direct.unionByName(met.select("doc_id", "n_bytes", *columns))
