@@ -303,6 +303,16 @@ def _large(sizes: DataFrame, most: int = 1_000) -> list[tuple]:
     return [(r[0], r[1]) for r in large.collect()]
 
 
+def _by_number(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` for ids of other types: numbers rise with the ids, so the smallest stays the smallest."""
+    ids = materialize(docs.select(docs[id_col].alias("id")).where("id IS NOT NULL").distinct().orderBy("id").withColumn("number", F.monotonically_increasing_id()), "near-ids")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(ids, "id", "left").select("number", "text")
+    out = near_duplicates(rows, width, percent, "number", "text")
+    named = lambda c: ids.select(F.col("number").alias(c), F.col("id").alias(f"{c}_name"))
+    out = join_spread(out, named("component_id"), "component_id", hot_keys(out, "component_id"), "left").join(named("doc_id"), "doc_id", "left")
+    return out.select(F.col("doc_id_name").alias("doc_id"), "n_shingles", F.col("component_id_name").alias("component_id"), "kept")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -310,8 +320,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     is the smallest id that links lead to.  Texts without words (null, empty)
     are linked with nothing; so is a row without an id, which is kept under a
     null component.  Rows that repeat an id and text come back once each; an
-    empty table gives an empty result.
+    empty table gives an empty result.  Ids that are no whole numbers are
+    numbered in their order and named again at the end.
     """
+    if not isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return _by_number(docs, width, percent, id_col, text_col)
     least = percent / 100
     drawn = materialize(sketches(docs, width, id_col, text_col), "near-sketches")
     linkable = drawn.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())

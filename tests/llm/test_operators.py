@@ -828,3 +828,20 @@ def test_language_tables(spark, docs, none):
     assert {i for i, p in rows if p == "und"} == {1, 2, 3, 9}
     assert bigru_lang.train(bigru_lang.training_stretches(none)) is None
     assert {r["lang_pred"] for r in bigru_lang.predict(docs, None).collect()} == {"und"} and bigru_lang.predict(none, net).count() == 0
+
+
+def test_near_duplicates_by_names(spark):
+    rows = prose(30) + [(100 + i, prose(3)[0][1] + " more", "en", "a", 0) for i in range(3)] + hard_rows()
+    docs = frame(spark, rows)
+    named = docs.withColumn("name", F.concat(F.lit("n"), F.lpad(F.col("doc_id").cast("string"), 6, "0")))
+    back = lambda x: None if x is None else int(x[1:])
+    got = [(back(r["doc_id"]), r["n_shingles"], back(r["component_id"]), r["kept"]) for r in setsketch.near_duplicates(named, 2, id_col="name").collect()]
+    assert sorted(got, key=repr) == sorted(map(tuple, setsketch.near_duplicates(docs, 2).collect()), key=repr)
+
+
+def test_language_sample_is_cut_in_spark(spark):
+    rows = [(7, f"stretch number {i} of many words", "en", "a", 0) for i in range(3000)] + [(8 + i, f"rare {i} language", f"l{i}", "a", 0) for i in range(300)]
+    sample = bigru_lang.training_stretches(frame(spark, rows), per_language=50)
+    langs = Counter(lang for lang, _ in sample)
+    assert max(langs.values()) <= 50 and {f"l{i}" for i in range(300) if zlib.crc32(str(8 + i).encode()) % 5} <= set(langs)
+    assert max(Counter(lang for lang, _ in bigru_lang.training_stretches(frame(spark, rows), most=300)).values()) == 1
