@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import fold, let
-from ..sources.tables import stored
+from ..sources.tables import scratch, stored
 
 #: Field weights of the ranked search (fixed values).
 WEIGHTS = {"title": 10.0, "alternate_titles": 10.0, "subjects": 5.0, "summary": 2.0, "holdings": 2.0}
@@ -67,6 +67,21 @@ def token_index(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(key, "field", "position", F.explode("_tokens").alias("token"))
 
 
+def store_index(index: DataFrame, name: str, key: str, buckets: int = 64, spread: int = 8) -> DataFrame:
+    """Q1: an index written as the table ``name``, bucketed and sorted by token; returned as it is read back.
+
+    Whoever asks for some words reads their buckets alone, and in these the row
+    groups that can hold them.  The rows of a token are dealt over ``spread``
+    tasks and files, so that a word that stands everywhere is no task of its
+    own.  The table is replaced where it exists.
+    """
+    spark = index.sparkSession
+    dealt = index.repartition(buckets * spread, F.col("token"), F.pmod(F.xxhash64(key, "field"), F.lit(spread)))
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    dealt.write.bucketBy(buckets, "token").sortBy("token", key).option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def keyword_filter(index: DataFrame, key: str, anyof: Sequence[str] = (), allof: Sequence[str] = (), noneof: Sequence[str] = ()) -> DataFrame:
     """Q2: keys of documents with any, all and none of given words.  With only excluded words: all documents of the index but theirs."""
     wanted = sorted({*anyof, *allof, *noneof})

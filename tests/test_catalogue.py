@@ -1,4 +1,5 @@
 import os
+import re
 from datetime import date, datetime
 
 import pytest
@@ -352,3 +353,18 @@ def test_harvest_and_locations_of_whole_tables(spark):
     of_items = {r["bib_num"] for r in c.items.where(F.col("location_code").isin(c.busiest(2))).select("bib_num").collect()}
     want = {r["bib_num"] for r in c.bibs.select("bib_num").collect() if r["bib_num"] % 25 in numbers or r["bib_num"] in of_items}
     assert sorted(r["bib_num"] for r in catalogue.queries()["R8_by_location"](spark, DATA).collect()) == sorted(want)
+
+
+def test_stored_index_reads_the_buckets_of_its_words(spark):
+    docs = spark.createDataFrame([(i, f"common word{i} and word{i % 7}") for i in range(200)], "doc_id int, text string")
+    index = Q.token_index(docs, "doc_id", ["text"])
+    stored = Q.store_index(index, "test_index", "doc_id", buckets=32)
+    try:
+        assert sorted(stored.collect()) == sorted(index.select(*stored.columns).collect())
+        for of in (index, stored):
+            assert {r["doc_id"] for r in Q.keyword_filter(of, "doc_id", allof=["common", "word3"]).collect()} == {i for i in range(200) if i == 3 or i % 7 == 3}
+        asked = stored.where(F.col("token").isin("common", "word3"))
+        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(asked._jdf.queryExecution(), "formatted")
+        assert re.search(r"SelectedBucketsCount: [12] out of 32", plan)
+    finally:
+        spark.sql("DROP TABLE IF EXISTS test_index")
