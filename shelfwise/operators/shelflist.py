@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.tables import scratch, stored
 
 #: Shelf order inside a location; missing values last, the id settles ties.
 SHELF_ORDER = ("call_number_type", "call_number_sort", "volume_sort", "copy_number", "item_id")
@@ -46,6 +46,34 @@ def refresh_manifests(old: DataFrame, items: DataFrame, locations: Sequence[str]
     return old.where(~touched).unionByName(shelflist(items.where(touched)))
 
 
+def write_manifests(manifest: DataFrame, path: str) -> None:
+    """Manifests as a table of one folder per location."""
+    manifest.write.partitionBy("location_code").mode("overwrite").parquet(path)
+
+
+def rewrite_manifests(items: DataFrame, locations: Sequence[str], path: str) -> None:
+    """The manifests of some locations anew in a table of ``write_manifests``; files of the others are not touched.
+
+    Only the folders of the given locations are replaced; that of a location
+    without items is deleted, and one that is new is added.
+    """
+    spark = items.sparkSession
+    fresh = shelflist(items.where(F.col("location_code").isin(*locations)))
+    fresh.write.partitionBy("location_code").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    left = {r[0] for r in items.where(F.col("location_code").isin(*locations)).select("location_code").distinct().collect()}  # some of the given
+    jvm = spark.sparkContext._jvm
+    names = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for code in sorted({*locations} - left):
+        folder = jvm.org.apache.hadoop.fs.Path(path, f"location_code={names.escapePathName(code)}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_manifests``."""
+    kinds = "row_number bigint, item_id string, location_code string"
+    return spark.read.schema(kinds).parquet(path).select("location_code", "row_number", "item_id")
+
+
 def manifest_lookup(manifest: DataFrame, ids: DataFrame, key: str = "item_id") -> DataFrame:
     """The row number of each id asked for; null if it stands nowhere."""
     return ids.join(manifest.select(key, "row_number"), key, "left")
@@ -137,18 +165,54 @@ def ordered_with_position(df: DataFrame, keys: Sequence[str], columns: Mapping[s
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 20, most: int = 500) -> tuple[DataFrame, dict]:
-    """Rows of one page, and (total, start_row, end_row, previous, next)."""
+    """Rows of one page, and (total, start_row, end_row, previous, next).
+
+    For the first pages of a result that is asked once; ``Pages`` finds deep
+    ones without sorting what stands before them.
+    """
     limit, offset = min(max(limit, 0), most), max(offset, 0)
-    total = df.count()
+    return df.orderBy(*order).offset(offset).limit(limit), around(df.count(), offset, limit)
+
+
+class Pages:
+    """An ordered result kept in ranges, so that any page is found by the rows before it and read from its own range.
+
+    One sort by ranges, written with a folder per range; how many rows each
+    holds is kept (a number per range).
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[Column]):
+        self.columns = df.columns
+        placed = df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+        self.path = scratch(df.sparkSession, "pages")
+        placed.write.partitionBy("_range").option("compression", "zstd").parquet(self.path)
+        self.rows = df.sparkSession.read.schema(placed.schema).parquet(self.path)
+        self.starts, self.total = [], 0
+        for r in self.rows.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+            self.starts.append((r["_range"], self.total, r["n"]))
+            self.total += r["n"]
+
+    def page(self, offset: int = 0, limit: int = 20, most: int = 500) -> tuple[DataFrame, dict]:
+        """What ``page`` gives; only the ranges that hold the page are read."""
+        limit, offset = min(max(limit, 0), most), max(offset, 0)
+        wanted = F.lit(False)
+        for number, start, n in self.starts:
+            if start < offset + limit and offset < start + n:
+                wanted = wanted | ((F.col("_range") == number) & F.col("_nth").between(offset - start, offset + limit - start - 1))
+        rows = self.rows.where(wanted).orderBy("_range", "_nth").select(*self.columns)
+        return rows, around(self.total, offset, limit)
+
+
+def around(total: int, offset: int, limit: int) -> dict:
+    """Where a page stands among all rows."""
     shown = max(0, min(limit, total - offset))
-    around = {
+    return {
         "total": total,
         "start_row": offset if shown else None,
         "end_row": offset + shown - 1 if shown else None,
         "previous": max(0, offset - limit) if offset > 0 and limit else None,
         "next": offset + limit if limit and offset + limit < total else None,
     }
-    return df.orderBy(*order).offset(offset).limit(limit), around
 
 
 def call_number_matches(items: DataFrame, n: int = 10) -> DataFrame:

@@ -1,5 +1,4 @@
 import os
-import re
 from datetime import date, datetime
 
 import pytest
@@ -364,7 +363,44 @@ def test_stored_index_reads_the_buckets_of_its_words(spark):
         for of in (index, stored):
             assert {r["doc_id"] for r in Q.keyword_filter(of, "doc_id", allof=["common", "word3"]).collect()} == {i for i in range(200) if i == 3 or i % 7 == 3}
         asked = stored.where(F.col("token").isin("common", "word3"))
-        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(asked._jdf.queryExecution(), "formatted")
-        assert re.search(r"SelectedBucketsCount: [12] out of 32", plan)
+        found = asked.count(), len(asked.collect())
+        scan = asked._jdf.queryExecution().executedPlan().collectLeaves().head()
+        # rows read: those of two buckets of 32
+        assert found[0] == found[1] <= scan.metrics().apply("numOutputRows").value() < stored.count() / 2
     finally:
         spark.sql("DROP TABLE IF EXISTS test_index")
+
+
+def test_deep_pages_read_their_own_range(spark):
+    df = spark.range(0, 5000, 1, 8).select(F.col("id"), (F.col("id") * 7919 % 5003).alias("k"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many ranges as partitions
+    try:
+        pages = W.Pages(df, [F.col("k").desc()])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(pages.starts) > 1
+    for offset, limit in ((0, 20), (2490, 30), (4990, 20), (4999, 1), (5000, 5), (0, 0), (1200, 500)):
+        rows, around = pages.page(offset, limit)
+        want, same = W.page(df, [F.col("k").desc()], offset, limit)
+        assert around == same and [r["id"] for r in rows.collect()] == [r["id"] for r in want.collect()]
+    deep = pages.page(4900, 20)[0].select("id")
+    read = deep._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in read and len(deep.collect()) == 20
+
+
+def test_untouched_manifests_keep_their_files(spark, tmp_path):
+    def stamps():
+        return {str(f.parent.name): f.stat().st_mtime_ns for f in path.glob("location_code=*/*.parquet")}
+
+    items = spark.createDataFrame([(f"i{i}", f"l{i % 4}", f"k{i}") for i in range(40)], "item_id string, location_code string, call_number_sort string")
+    items = items.withColumns({c: F.lit(None).cast("string") for c in W.SHELF_ORDER if c not in items.columns})
+    path = tmp_path / "manifests"
+    W.write_manifests(W.shelflist(items), str(path))
+    before = stamps()
+    changed = items.where("location_code <> 'l2'").withColumn("location_code", F.when(F.col("item_id") == "i0", "new/one").otherwise(F.col("location_code")))
+    W.rewrite_manifests(changed, ["l0", "l2", "new/one"], str(path))
+    after = stamps()
+    assert {k for k in before if after.get(k) == before[k]} == {"location_code=l1", "location_code=l3"}
+    got = sorted(map(tuple, W.read_manifests(spark, str(path)).collect()))
+    assert got == sorted(map(tuple, W.shelflist(changed).select("location_code", "row_number", "item_id").collect()))
+    assert not any(c == "l2" for c, _, _ in got)
