@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,20 +33,28 @@ NEWSPAPER_BYTE = "n"
 FORMATS_008 = {"a": "microfilm", "b": "microfiche", "c": "microopaque", "d": "largeprint", "f": "braille", "o": "online", "q": "digital", "r": "print", "s": "digital"}
 SOFTWARE_008 = {"b": "software", "g": "game", "h": "audio", "i": "software"}
 #: Several formats at once that stand for one (fixed values).
-TOGETHER = {"digital+online": "streaming", "digital+streaming": "streaming", "online+streaming": "streaming", "digital+online+streaming": "streaming"}
-#: Types and formats of a base type in one format (fixed values).
+TOGETHER = {
+    ("digital", "online"): "streaming", ("digital", "streaming"): "streaming", ("online", "streaming"): "streaming", ("digital", "online", "streaming"): "streaming",
+}
+#: Types, and formats that are left, of a base type in one format (fixed values).
 TYPE_FORMATS = {
-    "software|game_handheld_cartridge": ("game handheld", ""), "software|game_console_cartridge": ("game console", ""), "software|game_handheld_cdrom": ("game handheld", ""),
-    "software|game_console_cdrom": ("game console", ""), "software|game_computer_cdrom": ("game computer", "cdrom"), "software|cdrom": ("software computer", "cdrom"),
-    "video_film|16mmfilm": ("film", "16mmfilm"), "video_film|dvd": ("video dvd", ""), "video_film|bluray": ("video bluray", ""), "video_film|filmstrip": ("filmstrip", ""),
-    "video_film|laserdisc": ("video laserdisc", ""), "video_film|vhs": ("video vhs", ""), "video_film|slide": ("slide", ""), "video_film|streaming": ("video streaming", ""),
-    "audio_spoken|digital": ("audio spoken book", "digital_device"), "audio_spoken|streaming": ("audio spoken streaming", ""), "audio_spoken|record_7inch": ("audio spoken record", "record_7inch"),
-    "audio_spoken|record_10inch": ("audio spoken record", "record_10inch"), "audio_spoken|record_12inch": ("audio spoken record", "record_12inch"), "audio_spoken|record_78rpm": ("audio spoken record", "record_78rpm"),
-    "audio_spoken|record": ("audio spoken record", ""), "audio_spoken|cd": ("audio spoken cd", ""), "audio_spoken|cassette": ("audio spoken cassette", ""), "audio_music|streaming": ("audio music streaming", ""),
-    "audio_music|record_7inch": ("audio music record", "record_7inch"), "audio_music|record_10inch": ("audio music record", "record_10inch"), "audio_music|record_12inch": ("audio music record", "record_12inch"),
-    "audio_music|record_78rpm": ("audio music record", "record_78rpm"), "audio_music|record": ("audio music record", ""), "audio_music|cd": ("audio music cd", ""), "audio_music|cassette": ("audio music cassette", ""),
-    "book|online": ("ebook", ""), "book|streaming": ("ebook", ""), "book|digital": ("ebook", ""), "journal|online": ("ejournal", ""), "journal|streaming": ("ejournal", ""), "journal|digital": ("ejournal", ""),
-    "manuscript|print": ("manuscript", "paper"),
+    ("software", "game_handheld_cartridge"): (["game", "handheld"], []), ("software", "game_console_cartridge"): (["game", "console"], []),
+    ("software", "game_handheld_cdrom"): (["game", "handheld"], []), ("software", "game_console_cdrom"): (["game", "console"], []),
+    ("software", "game_computer_cdrom"): (["game", "computer"], ["cdrom"]), ("software", "cdrom"): (["software", "computer"], ["cdrom"]),
+    ("video_film", "16mmfilm"): (["film"], ["16mmfilm"]), ("video_film", "dvd"): (["video", "dvd"], []), ("video_film", "bluray"): (["video", "bluray"], []),
+    ("video_film", "filmstrip"): (["filmstrip"], []), ("video_film", "laserdisc"): (["video", "laserdisc"], []), ("video_film", "vhs"): (["video", "vhs"], []),
+    ("video_film", "slide"): (["slide"], []), ("video_film", "streaming"): (["video", "streaming"], []),
+    ("audio_spoken", "digital"): (["audio", "spoken", "book"], ["digital_device"]), ("audio_spoken", "streaming"): (["audio", "spoken", "streaming"], []),
+    ("audio_spoken", "record_7inch"): (["audio", "spoken", "record"], ["record_7inch"]), ("audio_spoken", "record_10inch"): (["audio", "spoken", "record"], ["record_10inch"]),
+    ("audio_spoken", "record_12inch"): (["audio", "spoken", "record"], ["record_12inch"]), ("audio_spoken", "record_78rpm"): (["audio", "spoken", "record"], ["record_78rpm"]),
+    ("audio_spoken", "record"): (["audio", "spoken", "record"], []), ("audio_spoken", "cd"): (["audio", "spoken", "cd"], []),
+    ("audio_spoken", "cassette"): (["audio", "spoken", "cassette"], []), ("audio_music", "streaming"): (["audio", "music", "streaming"], []),
+    ("audio_music", "record_7inch"): (["audio", "music", "record"], ["record_7inch"]), ("audio_music", "record_10inch"): (["audio", "music", "record"], ["record_10inch"]),
+    ("audio_music", "record_12inch"): (["audio", "music", "record"], ["record_12inch"]), ("audio_music", "record_78rpm"): (["audio", "music", "record"], ["record_78rpm"]),
+    ("audio_music", "record"): (["audio", "music", "record"], []), ("audio_music", "cd"): (["audio", "music", "cd"], []),
+    ("audio_music", "cassette"): (["audio", "music", "cassette"], []), ("book", "online"): (["ebook"], []), ("book", "streaming"): (["ebook"], []),
+    ("book", "digital"): (["ebook"], []), ("journal", "online"): (["ejournal"], []), ("journal", "streaming"): (["ejournal"], []), ("journal", "digital"): (["ejournal"], []),
+    ("manuscript", "print"): (["manuscript"], ["paper"]),
 }
 #: Names of game platforms that are not spelled like others (fixed values).
 PLATFORMS = {
@@ -61,23 +69,27 @@ FORMAT_LABELS = {
     "print": "Print/Paper", "paper": "Paper", "largeprint": "Large-Print/Paper", "braille": "Braille", "record": "Record", "record_78rpm": "78 RPM", "record_7inch": "7-inch Vinyl",
     "record_10inch": "10-inch Vinyl", "record_12inch": "12-inch Vinyl", "cd": "CD", "cassette": "Cassette",
 }
-#: Categories of a resource by its types (fixed values; several apart by a bar).
+#: Categories of a resource by its types (fixed values).
 TYPE_CATEGORIES = {
-    "book": "books", "database": "online_databases", "score": "music_scores", "map": "maps", "video": "video_film", "film": "video_film", "filmstrip": "video_film", "slide": "video_film", "audio": "audio",
-    "music": "music_recordings", "spoken": "spoken_recordings", "graphic": "images", "software": "software", "game": "games", "computer": "software", "console": "software", "handheld": "software",
-    "ebook": "books", "kit": "educational_kits", "archive": "archives_manuscripts", "journal": "journals_periodicals", "object": "objects_artifacts", "tabletop": "objects_artifacts",
-    "equipment": "equipment|objects_artifacts", "manuscript": "books|archives_manuscripts", "ejournal": "journals_periodicals", "newspaper": "journals_periodicals|newspapers", "thesis": "theses_dissertations",
+    "book": ["books"], "database": ["online_databases"], "score": ["music_scores"], "map": ["maps"], "video": ["video_film"], "film": ["video_film"], "filmstrip": ["video_film"],
+    "slide": ["video_film"], "audio": ["audio"], "music": ["music_recordings"], "spoken": ["spoken_recordings"], "graphic": ["images"], "software": ["software"],
+    "game": ["games"], "computer": ["software"], "console": ["software"], "handheld": ["software"], "ebook": ["books"], "kit": ["educational_kits"],
+    "archive": ["archives_manuscripts"], "journal": ["journals_periodicals"], "object": ["objects_artifacts"], "tabletop": ["objects_artifacts"],
+    "equipment": ["equipment", "objects_artifacts"], "manuscript": ["books", "archives_manuscripts"], "ejournal": ["journals_periodicals"],
+    "newspaper": ["journals_periodicals", "newspapers"], "thesis": ["theses_dissertations"],
 }
-#: Media of a resource by its types together, each type and each format (fixed values; several apart by a bar).
+#: Media of a resource by its types together, each type and each format (fixed values).
 MEDIA = {
-    "cassette": "Audio Cassette Tapes", "cd": "Audio CDs", "record": "Audio Records (LPs/EPs)", "streaming": "Digital Files", "audio_computer": "Digital Files", "document": "Digital Files",
-    "database": "Digital Files", "ebook": "Digital Files", "ejournal": "Digital Files", "software": "Computer Programs (not Games)", "game_computer": "Computer Games", "game_console": "Console Games",
-    "game_handheld": "Handheld Games", "game_computer_cdrom": "Computer Games", "game_console_cdrom": "Console Games", "game_handheld_cdrom": "Handheld Games", "game_console_cartridge": "Console Games",
-    "game_handheld_cartridge": "Handheld Games", "dvd": "DVDs", "bluray": "Blu-ray Discs", "filmstrip": "Filmstrips", "laserdisc": "Laserdiscs", "vhs": "VHS Tapes", "slide": "Slides",
-    "game_tabletop": "Tabletop Games", "tarot": "Tarot Cards", "manuscript": "Manuscripts", "archive": "Archival Collections", "record_78rpm": "78 RPM Records", "record_7inch": "7-inch Vinyl Records",
-    "record_10inch": "10-inch Vinyl Records", "record_12inch": "12-inch Vinyl Records", "digital_device": "Audiobook Devices|Digital Files", "cdrom": "CD-ROMs", "16mmfilm": "16mm Film", "print": "Paper",
-    "paper": "Paper", "digital": "Digital Files", "largeprint": "Paper|Large Print", "braille": "Paper|Braille", "microfiche": "Microforms|Microfiche", "microfilm": "Microforms|Microfilm",
-    "microopaque": "Microforms|Microopaques",
+    "cassette": ["Audio Cassette Tapes"], "cd": ["Audio CDs"], "record": ["Audio Records (LPs/EPs)"], "streaming": ["Digital Files"], "audio_computer": ["Digital Files"],
+    "document": ["Digital Files"], "database": ["Digital Files"], "ebook": ["Digital Files"], "ejournal": ["Digital Files"], "software": ["Computer Programs (not Games)"],
+    "game_computer": ["Computer Games"], "game_console": ["Console Games"], "game_handheld": ["Handheld Games"], "game_computer_cdrom": ["Computer Games"],
+    "game_console_cdrom": ["Console Games"], "game_handheld_cdrom": ["Handheld Games"], "game_console_cartridge": ["Console Games"], "game_handheld_cartridge": ["Handheld Games"],
+    "dvd": ["DVDs"], "bluray": ["Blu-ray Discs"], "filmstrip": ["Filmstrips"], "laserdisc": ["Laserdiscs"], "vhs": ["VHS Tapes"], "slide": ["Slides"],
+    "game_tabletop": ["Tabletop Games"], "tarot": ["Tarot Cards"], "manuscript": ["Manuscripts"], "archive": ["Archival Collections"], "record_78rpm": ["78 RPM Records"],
+    "record_7inch": ["7-inch Vinyl Records"], "record_10inch": ["10-inch Vinyl Records"], "record_12inch": ["12-inch Vinyl Records"],
+    "digital_device": ["Audiobook Devices", "Digital Files"], "cdrom": ["CD-ROMs"], "16mmfilm": ["16mm Film"], "print": ["Paper"], "paper": ["Paper"],
+    "digital": ["Digital Files"], "largeprint": ["Paper", "Large Print"], "braille": ["Paper", "Braille"], "microfiche": ["Microforms", "Microfiche"],
+    "microfilm": ["Microforms", "Microfilm"], "microopaque": ["Microforms", "Microopaques"],
 }
 _STRINGS = "array<string>"
 
@@ -98,9 +110,16 @@ def _among(a: Column, values: Iterable[str]) -> Column:
     return F.arrays_overlap(a, F.array(*map(F.lit, values)))
 
 
-def _in_all(table: Mapping[str, str], keys: Column) -> Column:
-    """What a table holds of any of the keys, as one array."""
-    return F.flatten(_known(F.transform(keys, lambda k: F.split(_looked_up(table, k), r"\|"))))
+def _in_all(table: Mapping[str, Sequence[str]], keys: Column) -> Column:
+    """What a table of lists holds of any of the keys, as one array."""
+    packed = {k: "|".join(v) for k, v in table.items()}
+    return F.flatten(_known(F.transform(keys, lambda k: F.split(_looked_up(packed, k), r"\|"))))
+
+
+def _title(text: Column) -> Column:
+    """Every run of letters with a capital in front."""
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def _format_007(x: Column) -> Column:
@@ -127,10 +146,10 @@ def resource_type_info(bibs: DataFrame) -> DataFrame:
     as_online = F.when(F.col("_news") & F.col("_own").isin(*ONLINE_TYPES), F.array(F.lit("online"))).otherwise(empty)
     d = d.withColumn("_found", F.array_sort(F.array_distinct(F.concat(as_online, of_008, of_007))))
     d = d.withColumn("_found", F.when(paper & (F.size("_found") == 0), F.array(F.lit("print"))).otherwise(F.col("_found")))
-    together = _looked_up(TOGETHER, F.array_join("_found", "+"))
+    together = _looked_up({"+".join(k): v for k, v in TOGETHER.items()}, F.array_join("_found", "+"))
     d = d.withColumn("_found", F.when(together.isNotNull(), F.array(together)).otherwise(F.col("_found")))
     pair = F.when(F.size("_found") <= 1, F.concat_ws("|", base, F.get("_found", 0)))
-    types, formats = (_looked_up({k: v[i] for k, v in TYPE_FORMATS.items()}, pair) for i in (0, 1))
+    types, formats = (_looked_up({"|".join(k): " ".join(v[i]) for k, v in TYPE_FORMATS.items()}, pair) for i in (0, 1))
     d = d.withColumns({"_types": F.when(types.isNotNull(), _words(types)).otherwise(empty), "_formats": F.when(types.isNotNull(), _words(formats)).otherwise(F.col("_found"))})
 
     # Films: music on disc or tape by the first such call number.
@@ -140,7 +159,7 @@ def resource_type_info(bibs: DataFrame) -> DataFrame:
     consoles, handhelds = ("game_console_cartridge", "game_console_cdrom"), ("game_handheld_cartridge", "game_handheld_cdrom")
     d = d.withColumns({"_console": (F.array_join("_types", "_") == "game_console") | _among(F.col("_formats"), consoles), "_handheld": (F.array_join("_types", "_") == "game_handheld") | _among(F.col("_formats"), handhelds)})
     name = lambda n: F.when(n.startswith("game"), F.nullif(F.regexp_extract(n, "^[^ ]* [^ ]* (.*)$", 1), F.lit(""))).when(n.contains(" game "), F.regexp_extract(n, "^.*? game (.*)$", 1))
-    platforms = F.array_distinct(F.transform(F.array_distinct(_known(F.transform("_cns", name))), lambda p: F.coalesce(_looked_up(PLATFORMS, p), F.initcap(p))))
+    platforms = F.array_distinct(F.transform(F.array_distinct(_known(F.transform("_cns", name))), lambda p: F.coalesce(_looked_up(PLATFORMS, p), _title(p))))
     d = d.withColumn("_platforms", F.filter(platforms, lambda p: p != ""))
     played = F.col("_console") | F.col("_handheld")
     media_left = F.when(F.size("_platforms") == 0, F.col("_formats")).otherwise(

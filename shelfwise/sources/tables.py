@@ -66,10 +66,14 @@ def rows_to_batch(df: DataFrame, flags: Mapping[str, str], map_col: str = "permi
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse; a temporary folder only where all run in one process."""
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, else a warehouse that is no local folder; a temporary folder only where all run in one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.gettempdir() if spark.sparkContext.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir")
+    if not named and spark.sparkContext.master.split("[")[0] == "local":
+        named = tempfile.gettempdir()
+    elif not named:
+        named = spark.conf.get("spark.sql.warehouse.dir")
+        if named.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir: the warehouse folder is on one machine's disk")
     return f"{named.rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
 
 
