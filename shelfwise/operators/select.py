@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .shelflist import ranked
 
 
@@ -119,3 +120,28 @@ def harvest(roots: Mapping[str, DataFrame], chains: Sequence[Sequence[tuple[str,
             at = tables[other].join(refs, other_column, "left_semi")
             found.setdefault(other, []).append(at)
     return {name: reduce(DataFrame.unionByName, parts).dropDuplicates(list(keys[name])) for name, parts in found.items()}
+
+
+def closed_sample(roots: Mapping[str, DataFrame], relations: Sequence[tuple[str, str, str, str]], tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """Rows of all tables that root rows lead to by relations (table, column, other table, other column), however often and in what circle these are followed.
+
+    Semi-naive: a round follows the relations from the keys that the last one
+    found, drops those known already, and stores the rest; it ends when no
+    table has new keys.  Only keys are kept on the way, rows come at the end.
+    """
+    new = {name: stored(df.select(*keys[name]).distinct(), "sample-new") for name, df in roots.items()}
+    known: dict[str, DataFrame] = {}
+    while new:
+        known = {**known, **{name: df if name not in known else known[name].unionByName(df) for name, df in new.items()}}
+        found: dict[str, list[DataFrame]] = {}
+        for table, column, other, other_column in relations:
+            if table in new:
+                refs = tables[table].join(new[table], list(keys[table]), "left_semi").select(F.col(column).alias(other_column)).distinct()
+                found.setdefault(other, []).append(tables[other].join(refs, other_column, "left_semi").select(*keys[other]))
+        new = {}
+        for name, parts in found.items():
+            rows = reduce(DataFrame.unionByName, parts).distinct()
+            fresh = stored(rows.join(known[name], list(keys[name]), "left_anti") if name in known else rows, "sample-new")
+            if not fresh.isEmpty():
+                new[name] = fresh
+    return {name: tables[name].join(df, list(keys[name]), "left_semi") for name, df in known.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -107,6 +109,23 @@ UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber FROM li
 UNION ALL SELECT 'part', p_partkey, 0 FROM part WHERE p_partkey IN (SELECT l_partkey FROM li)""")
 reg.also("R16_harvest_whole", "R16_harvest")
 
+
+#: Orders of an order's customer, parts that share a supplier's items: relations in a circle.
+_CIRCLE = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
+
+
+def _r16_closed(c):
+    t = {"orders": c.orders, "customer": c.customer, "nation": c.nation, "region": c.region}
+    keys = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"]}
+    found = R.closed_sample({"orders": c.orders.where("o_orderkey % 50 = 7")}, _CIRCLE, t, keys)
+    return reduce(lambda a, b: a.unionByName(b), [found[n].select(F.lit(n).alias("table_name"), F.col(k[0]).cast("long").alias("id")) for n, k in keys.items()])
+
+
+add("R16_closed_sample", _r16_closed, """
+WITH cu AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 7)), na AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM cu))
+SELECT 'orders' AS table_name, o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM cu) OR o_orderkey % 50 = 7 UNION ALL SELECT 'customer', c_custkey FROM cu UNION ALL SELECT 'nation', n_nationkey FROM na
+UNION ALL SELECT 'region', r_regionkey FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM na)""")
+
 # --- conditions -----------------------------------------------------------------
 
 LINES = {"flag": P.Field("l_returnflag"), "quantity": P.Field("l_quantity", "float"), "number": P.Field("l_linenumber", "int"), "order": P.Field("l_orderkey", "int")}

@@ -404,3 +404,10 @@ def test_untouched_manifests_keep_their_files(spark, tmp_path):
     got = sorted(map(tuple, W.read_manifests(spark, str(path)).collect()))
     assert got == sorted(map(tuple, W.shelflist(changed).select("location_code", "row_number", "item_id").collect()))
     assert not any(c == "l2" for c, _, _ in got)
+
+
+def test_closed_sample_of_a_circle(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 4), (3, 6), (6, None), (7, 1)], "id int, next int")
+    found = R.closed_sample({"t": edges.where("id = 1")}, [("t", "next", "t", "id")], {"t": edges}, {"t": ["id"]})
+    assert sorted(r["id"] for r in found["t"].collect()) == [1, 2, 3, 3, 6]  # both rows of key 3
+    assert R.closed_sample({"t": edges.where("id = 99")}, [("t", "next", "t", "id")], {"t": edges}, {"t": ["id"]})["t"].count() == 0
