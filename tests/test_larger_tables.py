@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfwise.operators import identifiers as I
+from shelfwise.operators import search as Q
 from shelfwise.plans import catalogue
 
 
@@ -20,3 +21,32 @@ def test_long_lccn_is_padded_but_never_cut(spark):
     """As zfill of the behaviour studied."""
     df = spark.createDataFrame([("85-1000007 /AC",), ("85-7",)], "n string")
     assert [r[0] for r in df.select(I.normalized_lccn(F.col("n"))).collect()] == ["851000007", "85000007"]
+
+
+TEXTS = [
+    "of the in-law", "o-f the in", "of th-e in", "of, the (in)", "The of THE iN", "ofThe In it", "of\tthe's in", "Of the i-n x", None, "", "idi-ot, and more", "IDIOT's the", "worthless idiot the!", "loser Theis", "the lösér", "the-loser", "an IdiοT (αΣ) ασλ 7th the2",
+    "the of idiot disgusting", "of the Idiot the disgusting", "disgusting of, the x idiot the", "αΣ the ΟΣ.x",
+]
+
+
+def test_questions_to_texts_answer_as_an_index_does(spark):
+    """Q2 to Q5: what is not taken apart holds no answer."""
+    docs = spark.createDataFrame([(i, t, (t or "")[:9]) for i, t in enumerate(TEXTS)], "id int, text string, title string")
+    fields, ids = ["text"], lambda df: sorted(r["id"] for r in df.collect())
+    index = Q.token_index(docs, "id", fields)
+    for asked in ({"anyof": ["idiot", "loser"], "allof": ["the"], "noneof": ["worthless"]}, {"allof": ["ας"]}, {"anyof": ["(in)", "th-e"]}, {"anyof": ["the2", "inlaw", "idiots"]}, {"noneof": ["the"]}):
+        assert ids(Q.keyword_filter_texts(docs, "id", fields, **asked)) == ids(Q.keyword_filter(index, "id", **asked)), asked
+    for phrase, slop in ((["of", "the", "in"], 0), (["ofthe", "the"], 0), (["of", "the", "in"], 1), (["the", "inlaw"], 0), (["the", "idiot"], 1)):
+        assert ids(Q.phrase_filter_texts(docs, "id", fields, phrase, slop)) == ids(Q.phrase_filter(index, "id", phrase, slop)), phrase
+    found = Q.search(docs, "id", Q.keyword_filter(index, "id", anyof=["idiot"]), Q.keyword_filter(index, "id", allof=["the"]))
+    assert ids(Q.search_texts(docs, "id", fields, {"anyof": ["idiot"]}, {"allof": ["the"]})) == ids(found) != []
+    both, query = Q.token_index(docs, "id", ["text", "title"]), ["of", "the", "idiot", "the", "disgusting"]
+    weights = {"title": 10.0, "text": 2.0}
+    want = sorted(map(tuple, Q.ranked_search(both, "id", query, 21, weights, 1, weights).collect()))
+    assert sorted(map(tuple, Q.ranked_search_texts(docs, "id", query, 21, weights, 1, weights).collect())) == want and len(want) > 10
+
+
+def test_questions_shuffle_no_positions_but_those_of_their_words(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "id int, text string")
+    plan = Q.keyword_filter_texts(docs, "id", ["text"], anyof=["zzz"])
+    assert plan.count() == 0 and Q.text_index(docs, "id", ["text"], ["c"]).collect() == [(1, "text", 2, "c")]
