@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from shelfwise.functions import arrays as T
 from shelfwise.operators import identifiers as I
 from shelfwise.operators import search as Q
 from shelfwise.plans import catalogue
@@ -50,3 +51,13 @@ def test_questions_shuffle_no_positions_but_those_of_their_words(spark):
     docs = spark.createDataFrame([(1, "a b c")], "id int, text string")
     plan = Q.keyword_filter_texts(docs, "id", ["text"], anyof=["zzz"])
     assert plan.count() == 0 and Q.text_index(docs, "id", ["text"], ["c"]).collect() == [(1, "text", 2, "c")]
+
+
+def test_grouped_fields_are_not_shuffled(spark):
+    """T5: each group of a field once, without a table of whole fields in memory."""
+    groups = spark.createDataFrame([("tag", "245", "a"), ("tag", "245", "a"), ("type", "t", "a"), ("type", "t", "b"), ("tag", "650", "c")], "match string, code string, `group` string")
+    fields = spark.createDataFrame([(1, "t", "245"), (2, "t", None), (3, "x", "650"), (4, "x", None)], "n int, type_code string, marc_tag string")
+    df = T.group_fields(fields, groups)
+    assert sorted((r["group"], r["n"]) for r in df.collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 3)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("broadcast") == 2 and "Aggregate [group" not in plan  # before: all rows told apart by all their columns
