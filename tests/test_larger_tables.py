@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import arrays as T
 from shelfwise.operators import identifiers as I
 from shelfwise.operators import search as Q
+from shelfwise.operators import shelflist as W
 from shelfwise.plans import catalogue
 
 
@@ -61,3 +62,14 @@ def test_grouped_fields_are_not_shuffled(spark):
     assert sorted((r["group"], r["n"]) for r in df.collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 3)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("broadcast") == 2 and "Aggregate [group" not in plan  # before: all rows told apart by all their columns
+
+
+def test_ranked_rows_hold_only_what_is_asked_for(spark):
+    """Sort columns are not stored behind the sort."""
+    items = spark.createDataFrame([(f"i{i}", f"l{i % 2}", f"k{9 - i}") for i in range(10)], "item_id string, location_code string, call_number_sort string")
+    items = items.withColumns({c: F.lit(None).cast("string") for c in W.SHELF_ORDER if c not in items.columns})
+    listed = W.shelflist(items)
+    assert sorted(map(tuple, listed.collect())) == [(f"l{n}", i, f"i{8 + n - 2 * i}") for n in (0, 1) for i in range(5)]
+    assert "call_number_sort" not in listed._jdf.queryExecution().analyzed().toString()
+    placed = W.ordered_with_position(items, ["-call_number_sort"], tie="item_id", keep=["item_id"])
+    assert placed.columns == ["item_id", "position"] and {r["item_id"]: r["position"] for r in placed.collect()} == {f"i{i}": i for i in range(10)}
