@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfwise.functions import arrays as T
+from shelfwise.operators import documents as D
 from shelfwise.operators import identifiers as I
 from shelfwise.operators import search as Q
 from shelfwise.operators import shelflist as W
@@ -73,3 +74,28 @@ def test_ranked_rows_hold_only_what_is_asked_for(spark):
     assert "call_number_sort" not in listed._jdf.queryExecution().analyzed().toString()
     placed = W.ordered_with_position(items, ["-call_number_sort"], tie="item_id", keep=["item_id"])
     assert placed.columns == ["item_id", "position"] and {r["item_id"]: r["position"] for r in placed.collect()} == {f"i{i}": i for i in range(10)}
+
+
+def test_items_meet_fields_bibs_and_checkouts_in_one_shuffle(spark):
+    """Fields and checkouts that name the bib give the same documents as those that do not, with one shuffle of items."""
+    items = spark.createDataFrame([("i1", 1, "QA 1", "lc"), ("i2", 1, None, None), ("i3", None, "QB 2", "lc"), ("i4", 9, None, "lc"), (None, 1, None, None), ("i5", 2, None, None), ("i5", 2, "twice", "other")], "item_id string, bib_num long, call_number string, call_number_type string")
+    items = items.select("*", F.lit("-").alias("item_code"), F.lit(3).alias("item_type_code"), F.lit("w").alias("location_code"))
+    bibs = spark.createDataFrame([(1, "b1", "X 7", "lc", "T", "A", 2000, False), (2, "b2", None, None, "U", "B", 2001, True), (None, "b0", "no", "lc", "V", "C", 1, False)], "bib_num long, bib_id string, call_number string, call_number_type string, title string, author string, year int, suppressed boolean")
+    told = [("i1", 1, "x", 1, "x1"), ("i1", 1, "n", 0, "n0"), ("i1", 1, "x", 0, "x0"), ("i1", 1, "v", 1, "v.2"), ("i1", 1, "v", 0, "v.1"), ("i1", 1, "q", 0, "?"), ("i3", None, "b", 0, "99"), ("i3", None, "m", 0, None), ("i5", 2, "p", 0, "p"), (None, 1, "b", 0, "lost"), ("i7", 1, "b", 0, "no item")]
+    fields = spark.createDataFrame(told, "item_id string, bib_num long, type_code string, occ_num int, content string")
+    checkouts = spark.createDataFrame([("i2", 1, "2024-01-01"), ("i3", None, "2024-02-02")], "item_id string, bib_num long, due_date string").withColumns({c: F.lit(None).cast("string") for c in ("checkout_date", "overdue_date", "recall_date")})
+    near = D.item_documents(items, fields, bibs, checkouts)
+    apart = D.item_documents(items, D.item_fields(fields.drop("bib_num"), "item_id"), bibs, checkouts.drop("bib_num"))
+    assert set(near.columns) == set(apart.columns)
+    rows = lambda df: sorted(map(repr, df.select(*sorted(apart.columns)).collect()))
+    assert rows(near) == rows(apart) and near.count() == 7
+    one = near.where("item_id = 'i1'").first()
+    assert (one["volume"], one["internal_notes"], one["call_number_sort"]) == ("v.1", ["x0", "x1", "n0"], "QA!0000000001")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = D.item_documents(items, fields, bibs, checkouts)._jdf.queryExecution().sparkPlan()
+        initial = near.sparkSession._jvm.org.apache.spark.sql.execution.QueryExecution.prepareExecutedPlan(near.sparkSession._jsparkSession, plan).toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert initial.count("Exchange hashpartitioning") == 2  # rows of items, fields and checkouts; bibs
