@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import project as J
@@ -146,8 +147,18 @@ _BIB_LISTS = (
 _BIB_ONE = ("call_number_type", "publication_dates_label", "thumbnail_url", "author", "author_sort", "resource_type")
 
 
+#: Records whose fields, items and documents one task puts together.
+TOGETHER = 5_000
+
+
+def spread(records: DataFrame, key: str) -> DataFrame:
+    """Records dealt out by key in as many tasks as they need: one small file would be one task, and a fixed number of tasks would hold more and more."""
+    return records.repartition(max(16, -(-records.count() // TOGETHER)), key)
+
+
 def _d27(c):
-    p = c.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")).repartition(16, "k")  # one small file would be one task
+    p = c.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
+    p = spread(p, "k")
     fields = c._spark.sql(_BIB_FIELDS, p=p)
     k = F.col("k").alias("record_num")
     records = p.select(k, F.when(F.col("k") % 2 == 0, "-").otherwise("m").alias("level"), F.lit(False).alias("serial"), F.lit("a").alias("bcode2"), F.lit("2020-01-01").alias("created"), F.lit("2021-01-01").alias("catalogued"))

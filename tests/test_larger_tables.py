@@ -7,7 +7,7 @@ from shelfwise.operators import documents as D
 from shelfwise.operators import identifiers as I
 from shelfwise.operators import search as Q
 from shelfwise.operators import shelflist as W
-from shelfwise.plans import catalogue
+from shelfwise.plans import catalogue, record_queries
 
 
 def test_assembled_records_of_two_tables_keep_apart(spark, tmp_path):
@@ -99,3 +99,19 @@ def test_items_meet_fields_bibs_and_checkouts_in_one_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert initial.count("Exchange hashpartitioning") == 2  # rows of items, fields and checkouts; bibs
+
+
+def test_bib_documents_take_more_tasks_for_more_records(spark, tmp_path):
+    """What one task puts together does not grow with the table."""
+    part = spark.range(100_000).select(F.col("id").alias("p_partkey"), F.lit("nut").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("LARGE").alias("p_type"), F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    dealt = []
+    together = record_queries.spread
+    try:
+        record_queries.spread = lambda df, key: dealt.append(together(df, key)) or dealt[0].limit(0)
+        catalogue.queries()["D27_bib_documents"](spark, str(tmp_path))
+    finally:
+        record_queries.spread = together
+    each = [r["count"] for r in dealt[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == 100_000 and max(each) < 1.1 * record_queries.TOGETHER  # before: 6,250 a task, 450,000 of 7.2 million
+    assert together(spark.range(100).toDF("k"), "k").rdd.getNumPartitions() == 16
