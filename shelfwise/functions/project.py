@@ -73,7 +73,7 @@ def clean_url(c: Column) -> Column:
 def date_added(bibs: DataFrame, bib_locations: DataFrame, key: str, created: str, catalogued: str) -> DataFrame:
     """The created date if all locations end in ``www`` (so with none at all), else the catalogued one."""
     online = bib_locations.groupBy(key).agg(F.bool_and(F.col("location_code").endswith("www")).alias("_online"))
-    return bibs.join(online, key, "left").withColumn("date_added", F.when(F.coalesce("_online", F.lit(True)), F.col(created)).otherwise(F.col(catalogued))).drop("_online")
+    return bibs.join(online.hint("shuffle_hash"), key, "left").withColumn("date_added", F.when(F.coalesce("_online", F.lit(True)), F.col(created)).otherwise(F.col(catalogued))).drop("_online")
 
 
 def record_boost(year: Column, level: Column, this_year: int) -> Column:

@@ -232,9 +232,10 @@ def bib_documents(records: DataFrame, varfields: DataFrame, items: DataFrame, ma
         F.bool_or(F.col("location_code").endswith("www")).alias("online"),
         F.array_sort(F.collect_set("location_code")).alias("locations"),
     )
-    met = records.join(record_parts(varfields, mapping, rules), "record_num", "left").join(of_items, "record_num", "left")
-    for other in others:
-        met = met.join(other, "record_num", "left")
+    met = records
+    for told in (record_parts(varfields, mapping, rules), of_items, *others):
+        # A row a record on both sides: what a task has of them is met there, never gathered on the driver, however small the files are.
+        met = met.join(told.hint("shuffle_hash"), "record_num", "left")
     # What meets is written once: the many expressions that follow are planned for one stage, not again after every shuffle.
     out = settled(stored(met, "bib-parts"), rules)
     if required is None:

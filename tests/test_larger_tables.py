@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfwise.functions import arrays as T
+from shelfwise.operators import bibs
 from shelfwise.operators import documents as D
 from shelfwise.operators import identifiers as I
 from shelfwise.operators import search as Q
@@ -145,3 +146,26 @@ def test_item_documents_shuffle_lines_before_texts_are_made(spark):
     assert "Generate explode" not in initial and "ggregate" not in initial and "lineitem.parquet" in initial  # before: rows of items, fields and checkouts met, read from a stored table of items
     by_bib, by_part = (initial.index(f"hashpartitioning({k}") for k in ("l_orderkey", "l_partkey"))
     assert 0 < initial.index("concat_ws(-") < min(by_bib, by_part)  # texts stand above all shuffles of lines
+
+
+def _broadcast(node):
+    """Trees of what a plan broadcasts."""
+    if node.nodeName() == "BroadcastExchange":
+        yield node.treeString()
+    for i in range(node.children().size()):
+        yield from _broadcast(node.children().apply(i))
+
+
+def test_tables_of_records_are_never_gathered_on_the_driver(spark, monkeypatch):
+    """Spark tells a table's size by its file, a few MB for millions of records; what is as long as the table of records meets in tasks."""
+    met = []
+    monkeypatch.setattr(bibs, "stored", lambda df, name: met.append(df) or df.limit(0))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        catalogue.queries()["D27_bib_documents"](spark, "/root/testdata/sf0.001")
+        gathered = [t for t in _broadcast(met[0]._jdf.queryExecution().executedPlan()) if "FileScan" in t or "Exchange hashpartitioning" in t]
+        links = D.linked_works(*[spark.range(9).select(F.col("id").alias("k"), F.lit("a").alias("t"), F.lit("g").alias("g"), F.lit(0).alias("p"), F.lit("a").alias("work_key"))] * 2, "k", "t", "g", "p", ("g",))
+        assert not list(_broadcast(links._jdf.queryExecution().executedPlan())) and links.count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert gathered == []  # before: names, works, items, places of all records
