@@ -326,6 +326,57 @@ def test_scan_equals_every_template_at_every_word():
         assert [m.license for m in license_scan.scan(text)[1]] == brute_scan(text), text
 
 
+def test_every_block_is_compressed_with_every_template():
+    """The nearest template of a block by brute force, found in it or not."""
+    r = random.Random(5)
+    for k in r.sample(range(len(license_scan.TEMPLATES)), 8):
+        w = license_scan.TEMPLATES[k][1].split(" ")
+        del w[:: r.choice([4, 6, 8])]
+        text = f"Copyright notice, {' '.join(w)}"
+        blocks, _ = license_scan.scan_blocks(text)
+        have = license_scan.words(text)
+        gains = [license_scan.saved(have, i) for i in range(len(license_scan.TEMPLATES))]
+        gone = lambda i, have=have: (Counter(license_scan.words(license_scan.TEMPLATES[i][1])) - Counter(have)).total()
+        best = min(range(len(gains)), key=lambda i: (-gains[i][0], gone(i), i))
+        (near,) = license_scan.nearest(text, blocks)
+        assert (near.license, near.reduction) == (license_scan.TEMPLATES[best][0], round(gains[best][1], 4)), text
+
+
+@pytest.mark.parametrize(
+    ("text", "name", "missing"),
+    [
+        ("// GNU LESSER GENERAL PUBLIC LICENSE\n// Version 2.1, February 1999", "LGPL-2.1", "licensed under v2.1"),
+        ("Permission is hereby granted, of charge, to any person obtaining copy of this software and associated files, to deal in the Software restriction.", "MIT", "free a documentation without"),
+        ("Licenced by the Creative folk, Attribution-ShareAlike 4.0, International Licence", "CC-BY-SA-4.0", "this work is licensed under a creative commons license"),
+    ],
+)
+def test_license_in_other_words_is_told_as_the_nearest(text, name, missing):
+    blocks, found = license_scan.scan_blocks(text)
+    (near,) = license_scan.nearest(text, blocks)
+    assert not found and (near.license, near.missing) == (name, missing) and near.reduction > 0.4
+
+
+def test_every_notice_of_a_long_block_is_ranked():
+    apart = "licensed words of no notice at all "
+    text = apart * 60 + "Permission is hereby granted, of charge, to any person obtaining copy of this software and associated files, to deal in the Software restriction. " + apart * 60 + "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, " + apart * 60
+    blocks, found = license_scan.scan_blocks(text)
+    assert len(blocks) == 1 and not found and {"MIT", "LGPL-2.1"} <= {m.license for m in license_scan.nearest(text, blocks)}
+    assert license_scan.nearest("license " + "ab+" * 9_000, [(0, 27_008)]) == []
+
+
+def test_every_id_of_an_spdx_expression_is_named():
+    text = "x\n# SPDX-License-Identifier: MIT OR (Apache-2.0 AND GPL-2.0-only WITH Classpath-exception-2.0) OR LicenseRef-x OR bsd-3-clause\nor ISC"
+    found = license_scan.scan(text)[1]
+    assert [m.license for m in found] == ["MIT", "Apache-2.0", "GPL-2.0", "BSD-3-Clause"] and text[found[1].start : found[1].stop] == "Apache-2.0"
+    assert [m.license for m in license_scan.scan("SPDX-License-Identifier: LicenseRef-x AND MIT")[1]] == ["MIT"]
+
+
+def test_nearest_templates_stand_in_the_table(spark):
+    df = spark.createDataFrame([(1, "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1"), (2, None), (3, "plain words")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan.scan_documents(df).collect()}
+    assert [m["license"] for m in rows[1]["nearest"]] == ["LGPL-2.1"] and rows[1]["matches"] == rows[2]["nearest"] == rows[3]["nearest"] == []
+
+
 def test_license_words_take_linear_time():
     for t in ("-" * 300_000, "a." * 150_000, "license " * 50_000):
         license_scan.scan(t)
